@@ -86,7 +86,7 @@ def classify_run(as_of: dt.datetime, stale_minutes: int = STALE_RUN_MINUTES) ->
     """run death classification, first match wins.
 
     non-zero wrapper exit -> wrapper-failed; non-terminal -> stalled when the last sign of
-    life is older than ``stale_minutes`` before ``as_of``, else active; terminal without a
+    life is older than ``stale_minutes`` before ``as_of``, else (or with no sign) active; terminal without a
     log -> ended-no-log; completed; otherwise the status (or 'unknown').
     """
     last = F.coalesce(F.col("last_heartbeat_at"), F.col("submitted_at"), F.col("claimed_at"))
@@ -95,7 +95,7 @@ def classify_run(as_of: dt.datetime, stale_minutes: int = STALE_RUN_MINUTES) ->
     return (F.when(F.col("wrapper_exit_code").isNotNull() & (F.col("wrapper_exit_code") != 0),
                    F.lit("wrapper-failed"))
             .when(status.isin(*NON_TERMINAL_RUN),
-                  F.when(last.isNull() | (last < cutoff), F.lit("stalled")).otherwise(F.lit("active")))
+                  F.when(last.isNotNull() & (last < cutoff), F.lit("stalled")).otherwise(F.lit("active")))
             .when(F.col("log_uploaded_at").isNull(), F.lit("ended-no-log"))
             .when(status == "completed", F.lit("completed"))
             .otherwise(F.coalesce(status, F.lit("unknown"))))

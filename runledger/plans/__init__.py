@@ -1,3 +1,3 @@
 """Query plans: domain views over the driver tables and the registered queries."""
 from .registry import ORACLES, QUERIES  # noqa: F401
-from . import q_metrics  # noqa: F401  (registers queries)
+from . import q_metrics, q_collections  # noqa: F401,E401  (register queries)

@@ -223,7 +223,7 @@ SELECT c_mktsegment, 'S' || CAST(c_custkey AS STRING) FROM customer
 # Worker agents: one per supplier, heartbeat minutes apart, optional workflow filter list.
 DOMAIN_SQL["agents"] = """
 SELECT s_name AS agent_id, 'host' || CAST(s_nationkey AS STRING) AS hostname,
-  CASE s_suppkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'shotgun' ELSE 'amplicon, shotgun' END AS workflow_filter,
+  CASE s_suppkey % 6 WHEN 0 THEN '' WHEN 4 THEN 'shotgun' WHEN 5 THEN ' shotgun, metagenome ,' ELSE 'amplicon' END AS workflow_filter,
   make_timestamp(2001, 7, 1, 0, 0, 0) AS started_at,
   make_timestamp(2001, 8, 1, 0, CAST(s_suppkey % 6 AS INT), 0) AS last_seen_at
 FROM supplier
@@ -232,9 +232,11 @@ FROM supplier
 # Stored task logs: one text per document, keyed by run, task hash and log type.
 DOMAIN_SQL["task_logs"] = """
 SELECT 'r' || CAST(doc_id % 500 AS STRING) AS run_name,
-  CASE WHEN doc_id % 7 = 0 THEN 'nextflow/run' ELSE substr(md5(CAST(doc_id AS STRING)), 1, 2) || '/'
-       || substr(md5(CAST(doc_id AS STRING)), 3, 30) END AS task_hash,
-  CASE doc_id % 3 WHEN 0 THEN 'out' WHEN 1 THEN 'err' ELSE 'sh' END AS log_type,
+  CASE WHEN doc_id % 7 IN (0, 1) THEN 'run/' || CAST(doc_id % 7 AS STRING)
+       ELSE substr(md5(CAST(doc_id AS STRING)), 1, 2) || '/'
+            || substr(md5(CAST(doc_id AS STRING)), 3, 30) END AS task_hash,
+  CASE WHEN doc_id % 7 = 0 THEN 'nextflow_log' WHEN doc_id % 7 = 1 THEN 'wrapper_output_log'
+       WHEN doc_id % 3 = 0 THEN 'out' WHEN doc_id % 3 = 1 THEN 'err' ELSE 'sh' END AS log_type,
   text AS content
 FROM documents
 """
