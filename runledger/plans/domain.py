@@ -242,9 +242,12 @@ FROM documents
 """
 
 # Accession run report rows (the landed form of an archive lookup): one run per order,
-# runs of one customer share a secondary sample accession.
+# runs of one customer share a secondary sample accession. Customers divisible by five
+# report the same runs their curation rows list.
 DOMAIN_SQL["run_reports"] = """
-SELECT 'SRR' || CAST(5000000 + o_orderkey AS STRING) AS run_accession,
+SELECT CASE WHEN o_custkey % 10 = 0 THEN 'SRR' || CAST(1000000 + o_custkey + (o_orderkey % 2) * 1000000 AS STRING)
+            WHEN o_custkey % 5 = 0 THEN 'SRR' || CAST(1000000 + o_custkey AS STRING)
+            ELSE 'SRR' || CAST(5000000 + o_orderkey AS STRING) END AS run_accession,
   CASE WHEN o_orderkey % 97 = 0 THEN NULL ELSE 'SRS' || CAST(o_custkey AS STRING) END AS secondary_sample_accession,
   'SAMN' || CAST(o_custkey AS STRING) AS sample_accession,
   'PRJNA' || CAST(c.c_nationkey AS STRING) AS study_accession,
