@@ -298,6 +298,47 @@ SELECT 'S' || CAST(o_custkey AS STRING), 'shotgun', o_orderpriority, 'full_data'
 FROM orders
 """
 
+# Lifecycle event log in arrival order (seq). Orders are grouped three to a run; each
+# order is one job claim into its run. Run events come from the group's first order;
+# sentinels per job; some events arrive late (after the run closed) or twice.
+DOMAIN_SQL["lifecycle_events"] = """
+WITH lo AS (SELECT o.*, CAST((o_orderkey - o_orderkey % 3) / 3 AS BIGINT) AS g,
+                   CASE WHEN o_orderkey % 3 = 0 THEN 'amplicon' ELSE 'shotgun' END AS wf FROM orders o)
+SELECT seq, run_name, event, sample_id, workflow_id, workflow_version, run_id, utc_time FROM (
+  SELECT g * 100 + o_orderkey % 3 AS seq, 'run' || CAST(g AS STRING) AS run_name, 'claim' AS event,
+         'S' || CAST(o_custkey AS STRING) AS sample_id, wf AS workflow_id, o_orderpriority AS workflow_version,
+         CAST(NULL AS STRING) AS run_id, o_orderdate AS utc_time FROM lo
+  UNION ALL
+  SELECT g * 100 + 10, 'run' || CAST(g AS STRING), 'submitted', NULL, NULL, NULL, NULL, o_orderdate
+  FROM lo WHERE o_orderkey % 3 = 0 AND o_orderkey % 11 <> 0
+  UNION ALL
+  SELECT g * 100 + 15, 'run' || CAST(g AS STRING), 'started', NULL, NULL, NULL,
+         'u' || CAST(g AS STRING), o_orderdate
+  FROM lo WHERE o_orderkey % 3 = 0 AND o_orderkey % 11 <> 0 AND (o_orderstatus <> 'O' OR o_orderkey % 2 = 0)
+  UNION ALL
+  SELECT g * 100 + 20 + o_orderkey % 3, 'run' || CAST(g AS STRING), 'sentinel',
+         'S' || CAST(o_custkey AS STRING), NULL, NULL, NULL, o_orderdate
+  FROM lo WHERE o_orderstatus = 'F'
+  UNION ALL
+  SELECT g * 100 + 30, 'run' || CAST(g AS STRING),
+         CASE WHEN o_orderkey % 17 = 0 THEN 'failed' ELSE 'completed' END, NULL, NULL, NULL, NULL, o_orderdate
+  FROM lo WHERE o_orderkey % 3 = 0 AND o_orderstatus IN ('F', 'P')
+  UNION ALL
+  SELECT g * 100 + 35, 'run' || CAST(g AS STRING), 'expire', NULL, NULL, NULL, NULL, o_orderdate
+  FROM lo WHERE o_orderkey % 3 = 0 AND o_orderstatus = 'O' AND o_orderkey % 11 = 0
+  UNION ALL
+  SELECT g * 100 + 40, 'run' || CAST(g AS STRING), 'sentinel', 'S' || CAST(o_custkey AS STRING),
+         NULL, NULL, NULL, o_orderdate
+  FROM lo WHERE o_orderstatus = 'P' AND o_orderkey % 7 = 0
+  UNION ALL
+  SELECT g * 100 + 50, 'run' || CAST(g AS STRING), 'started', NULL, NULL, NULL, 'late', o_orderdate
+  FROM lo WHERE o_orderkey % 3 = 0 AND o_orderkey % 13 = 0
+  UNION ALL
+  SELECT g * 100 + 60, 'run' || CAST(g AS STRING), 'completed', NULL, NULL, NULL, NULL, o_orderdate
+  FROM lo WHERE o_orderkey % 3 = 0 AND o_orderkey % 19 = 0
+) ev
+"""
+
 # ETL watermark: completed jobs of the active shotgun version whose id is a multiple of
 # three were already ingested.
 DOMAIN_SQL["etl_ingested"] = """
