@@ -125,7 +125,8 @@ def workflow_scope(df: DataFrame, workflows: DataFrame, workflow_id: str | None
     """Explicit id/version, everything, or (default) only currently active versions.
 
     The active scope is a semi-join, so the row count of ``df`` is never multiplied. The
-    registry holds one row per (workflow, version) and is broadcast.
+    registry holds one row per (workflow, version); AQE broadcasts it from its measured
+    runtime size.
     """
     if workflow_id or workflow_version:
         if workflow_id:
@@ -137,7 +138,7 @@ def workflow_scope(df: DataFrame, workflows: DataFrame, workflow_id: str | None
         return df
     active = (workflows.filter(F.col("status") == "active")
               .select(F.col("workflow_id").alias("_wf"), F.col("version").alias("_ver")))
-    return df.join(F.broadcast(active),
+    return df.join(active,
                    (F.col(id_col) == F.col("_wf")) & (F.col(version_col) == F.col("_ver")),
                    "left_semi")
 

@@ -267,11 +267,12 @@ def close_runs(runs: DataFrame, names: DataFrame, terminal: str, now: dt.datetim
     """Terminal write once - runs already terminal keep their status."""
     hit = names.select("run_name").distinct().withColumn("_hit", F.lit(True))
     r = runs.join(hit, "run_name", "left")
-    do = F.coalesce(F.col("_hit"), F.lit(False)) & ~F.col("status").isin(*TERMINAL_RUN)
+    r = r.withColumn("_do", F.coalesce(F.col("_hit"), F.lit(False)) & ~F.col("status").isin(*TERMINAL_RUN))
+    do = F.col("_do")
     return (r.withColumn("status", F.when(do, F.lit(terminal)).otherwise(F.col("status")))
             .withColumn("completed_at", F.when(do, F.lit(now).cast("timestamp_ntz"))
                         .otherwise(F.col("completed_at")))
-            .drop("_hit"))
+            .drop("_hit", "_do"))
 
 
 def expire_stale_runs(runs: DataFrame, jobs: DataFrame, workflows: DataFrame, as_of: dt.datetime,
@@ -295,10 +296,11 @@ def requeue_expired(runs: DataFrame, jobs: DataFrame, as_of: dt.datetime,
                 .withColumn("status", F.when(F.col("_e"), F.lit("expired")).otherwise(F.col("status")))
                 .drop("_e"))
     j = jobs.join(exp.withColumn("_e", F.lit(True)), "run_name", "left")
-    hit = F.coalesce(F.col("_e"), F.lit(False)) & (F.col("status") == "claimed")
+    j = j.withColumn("_hit", F.coalesce(F.col("_e"), F.lit(False)) & (F.col("status") == "claimed"))
+    hit = F.col("_hit")
     new_jobs = (j.withColumn("status", F.when(hit, F.lit("pending")).otherwise(F.col("status")))
                 .withColumn("run_name", F.when(hit, F.lit(None).cast("string")).otherwise(F.col("run_name")))
-                .drop("_e"))
+                .drop("_e", "_hit"))
     return new_runs, new_jobs
 
 
@@ -320,10 +322,13 @@ def requeue_dead_letter(dead_letter: DataFrame, jobs: DataFrame, now: dt.datetim
 
 def reset_jobs(jobs: DataFrame, workflow_id: str) -> DataFrame:
     """running/failed jobs of a workflow back to pending, counters cleared."""
-    hit = (F.col("workflow_id") == workflow_id) & F.col("status").isin("running", "failed")
-    return (jobs.withColumn("status", F.when(hit, F.lit("pending")).otherwise(F.col("status")))
+    j = jobs.withColumn("_hit", (F.col("workflow_id") == workflow_id)
+                        & F.col("status").isin("running", "failed"))
+    hit = F.col("_hit")
+    return (j.withColumn("status", F.when(hit, F.lit("pending")).otherwise(F.col("status")))
             .withColumn("retry_count", F.when(hit, F.lit(0)).otherwise(F.col("retry_count")))
-            .withColumn("run_name", F.when(hit, F.lit(None).cast("string")).otherwise(F.col("run_name"))))
+            .withColumn("run_name", F.when(hit, F.lit(None).cast("string")).otherwise(F.col("run_name")))
+            .drop("_hit"))
 
 
 def apply_run_events(run_events: DataFrame) -> DataFrame:
