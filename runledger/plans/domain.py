@@ -20,8 +20,11 @@ BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "li
                "conversations")
 
 DIALECT = {
-    "spark": {"json_k": "get_json_object(e.props, '$.k')"},
-    "duckdb": {"json_k": "json_extract_string(e.props, '$.k')"},
+    "spark": {"json_k": "get_json_object(e.props, '$.k')",
+              "agg_lines": "array_join(transform(array_sort(collect_list(struct(pos, line))), "
+                           "x -> x.line), chr(10))"},
+    "duckdb": {"json_k": "json_extract_string(e.props, '$.k')",
+               "agg_lines": "string_agg(line, chr(10) ORDER BY pos, line)"},
 }
 
 # Views in dependency order. Names are the domain tables of the library.
@@ -281,7 +284,7 @@ DOMAIN_SQL["profile_lines"] = """
 SELECT 'S' || CAST(o.o_custkey AS STRING) AS sample_id, 'shotgun' AS workflow_id,
   o.o_orderpriority AS workflow_version,
   CASE WHEN l.l_linenumber % 2 = 0 THEN 'full_data' ELSE 'rarefied_data' END AS branch,
-  CAST(l.l_orderkey * 8 + l.l_linenumber AS BIGINT) AS pos,
+  CAST((l.l_orderkey * 8 + l.l_linenumber) * 100000 + l.l_partkey % 100000 AS BIGINT) AS pos,
   'k__Bacteria|p__' || p.p_type || '|g__' || p.p_brand || CASE WHEN p.p_size % 3 = 0 THEN ''
      ELSE '|s__' || replace(p.p_name, ' ', '_') END
      || CASE WHEN p.p_size % 5 = 0 THEN '|t__SGB' || CAST(p.p_partkey AS STRING) ELSE '' END
@@ -339,6 +342,30 @@ SELECT seq, run_name, event, sample_id, workflow_id, workflow_version, run_id, u
 ) ev
 """
 
+# One published profile file per (sample, version, branch): the lines above joined in order.
+DOMAIN_SQL["profile_files"] = """
+SELECT sample_id, workflow_id, workflow_version, branch, {agg_lines} AS text
+FROM profile_lines GROUP BY sample_id, workflow_id, workflow_version, branch
+"""
+
+# One run manifest (JSON text) per customer sample of the active shotgun version; every
+# seventh manifest is empty (all levels missing).
+DOMAIN_SQL["qc_manifests"] = """
+SELECT 'S' || CAST(c_custkey AS STRING) AS sample_id, 'shotgun' AS workflow_id,
+  '1-URGENT' AS workflow_version,
+  CASE WHEN c_custkey % 7 = 0 THEN '{}' ELSE
+  '{"read_accounting": {"raw": {"number_reads": ' || CAST(c_custkey * 1000 + 7 AS STRING)
+  || ', "number_bases": ' || CAST(c_custkey * 150000 + 1 AS STRING) || '}, "decontaminated": {"number_reads": '
+  || CAST(c_custkey * 990 AS STRING) || ', "number_bases": ' || CAST(c_custkey * 148000 AS STRING)
+  || '}, "reads_surviving_fraction": 0.' || CAST(900 + c_custkey % 100 AS STRING)
+  || ', "bases_surviving_fraction": null}, "parameters": {"metaphlan_index": "mpa_vJan25_CHOCOPhlAnSGB_202503"}'
+  || ', "provenance": {"pipeline_version": "2.2.1", "git_commit": "' || substr(md5(c_name), 1, 8)
+  || '", "input_ids": ["SRR' || CAST(1000000 + c_custkey AS STRING) || '"'
+  || CASE WHEN c_custkey % 10 = 0 THEN ', "SRR' || CAST(2000000 + c_custkey AS STRING) || '"' ELSE '' END
+  || ']}}' END AS text
+FROM customer
+"""
+
 # ETL watermark: completed jobs of the active shotgun version whose id is a multiple of
 # three were already ingested.
 DOMAIN_SQL["etl_ingested"] = """
@@ -364,6 +391,7 @@ def cte_prefix(names, dialect: str = "duckdb") -> str:
 
 _DEPS = {
     "dead_letter": {"jobs"},
+    "profile_files": {"profile_lines"},
     "etl_ingested": {"jobs"},
 }
 
