@@ -78,7 +78,8 @@ def parse_batch(spark: SparkSession, keys: DataFrame, base: str, workflow: str,
     workflow, version and the branch as data_type."""
     specs = specs_for(workflow, version)
     ready, skipped = published(keys, base)
-    files = fetch_outputs(output_paths(ready, base, specs, include_deferred))
+    # fetched once: every table's parse plan reads the same file rows
+    files = fetch_outputs(output_paths(ready, base, specs, include_deferred)).checkpoint()
     tables = parse_tables(files, [s for s in specs if include_deferred or not s.defer])
     run_ids = tables["qc_metrics"].select(*KEYS, "run_ids") if "qc_metrics" in tables else None
     out = {}

@@ -83,7 +83,8 @@ def _open_bytes(path: str) -> bytes | None:
     import pyarrow.fs as pafs
     fs, p = pafs.FileSystem.from_uri(path if "://" in path else "file://" + path)
     try:
-        with fs.open_input_stream(p) as f:
+        # compression=None: never decompress by extension; the magic bytes decide
+        with fs.open_input_stream(p, compression=None) as f:
             return f.read()
     except (FileNotFoundError, OSError):
         return None
