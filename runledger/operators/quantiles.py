@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_ACCURACY = 50000
+DEFAULT_ACCURACY = 10000
 
 
 def group_quantile(df: DataFrame, keys: list[str], values: list[str], q: float,
@@ -49,13 +49,18 @@ def group_quantile(df: DataFrame, keys: list[str], values: list[str], q: float,
     stats = (stats.withColumn("r_lo", F.floor("pos").cast("long"))
              .withColumn("r_hi", F.ceil("pos").cast("long")))
     tagged = long.join(stats, gk)
-    below = (tagged.groupBy(*gk)
-             .agg(F.count_if(F.col("v") < F.col("b_lo")).alias("below"),
-                  F.count_if((F.col("v") >= F.col("b_lo")) & (F.col("v") <= F.col("b_hi"))).alias("band")))
-    band = tagged.filter((F.col("v") >= F.col("b_lo")) & (F.col("v") <= F.col("b_hi")))
-    band = band.join(below, gk)
-    ranked = band.withColumn(
-        "rank", F.col("below") - 1 + F.row_number().over(Window.partitionBy(*gk).orderBy("v")))
+    in_band = (F.col("v") >= F.col("b_lo")) & (F.col("v") <= F.col("b_hi"))
+    counts = (tagged.groupBy(*gk)
+              .agg(F.count_if(F.col("v") < F.col("b_lo")).alias("below"),
+                   F.count_if(in_band).alias("band")))
+    # the band must hold both target ranks; otherwise the group falls back
+    chk = stats.select(*gk, "r_lo", "r_hi").join(counts, gk)
+    covered = (F.col("below") <= F.col("r_lo")) & (F.col("below") + F.col("band") - 1 >= F.col("r_hi"))
+    ok = chk.filter(covered).select(*gk, "below")
+    missed = chk.filter(~covered).select(*gk)
+    ranked = (tagged.filter(in_band).join(ok, gk)
+              .withColumn("rank", F.col("below") - 1
+                          + F.row_number().over(Window.partitionBy(*gk).orderBy("v"))))
     picked = (ranked.filter((F.col("rank") == F.col("r_lo")) | (F.col("rank") == F.col("r_hi")))
               .groupBy(*gk)
               .agg(F.first("pos").alias("pos"), F.first("r_lo").alias("r_lo"),
@@ -66,10 +71,8 @@ def group_quantile(df: DataFrame, keys: list[str], values: list[str], q: float,
              .when(F.col("v_lo") == F.col("v_hi"), F.col("v_lo"))
              .otherwise((F.col("r_hi") - F.col("pos")) * F.col("v_lo")
                         + (F.col("pos") - F.col("r_lo")) * F.col("v_hi")))
-    exact = picked.filter(F.col("v_lo").isNotNull() & F.col("v_hi").isNotNull()) \
-                  .select(*gk, value.alias("qv"))
+    exact = picked.select(*gk, value.alias("qv"))
     # Groups whose band missed a target rank (sketch bound violated): exact percentile there.
-    missed = stats.select(*gk).join(exact.select(*gk), gk, "left_anti")
     fallback = (long.join(missed, gk, "left_semi").groupBy(*gk)
                 .agg(F.percentile("v", q).alias("qv")))
     return _widen(exact.unionByName(fallback), keys, values)

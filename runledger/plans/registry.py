@@ -13,6 +13,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .domain import Domain, cte_prefix
 
+_DOMAINS: dict = {}
+
+
+def domain_for(spark: SparkSession, sf_dir: str) -> Domain:
+    """One Domain per (session, directory): its DataFrames are lazy plans, built once."""
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _DOMAINS:
+        _DOMAINS.clear()
+        _DOMAINS[key] = Domain(spark, sf_dir)
+    return _DOMAINS[key]
+
+
 QUERIES: "OrderedDict[str, Callable[[SparkSession, str], DataFrame]]" = OrderedDict()
 ORACLES: "OrderedDict[str, str]" = OrderedDict()
 
@@ -24,7 +36,7 @@ def register(name: str, views: tuple[str, ...] = (), oracle: str | None = None):
     ``, extra AS (...)`` for further CTEs."""
     def deco(fn: Callable[[Domain], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(Domain(spark, sf_dir))
+            return fn(domain_for(spark, sf_dir))
         run.__name__ = name
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
