@@ -12,8 +12,11 @@ never gathers a whole group:
 3. the band values are ranked within their group; the two ranks around
    ``q * (n - 1)`` give the interpolated exact value.
 
-If the sketch bound ever fails to enclose the target ranks, those groups (and only they)
-are recomputed with Spark's exact ``percentile``. ``method="approx"`` stops after step 1.
+Groups of at most ``small_max`` values skip the band and use Spark's exact
+``percentile`` directly: its value map is bounded by the group size, and for such groups
+the sketch is exact anyway, so a band around one rank would be a single value. If the
+sketch bound ever fails to enclose the target ranks of a large group, that group (and only
+it) is recomputed with ``percentile``. ``method="approx"`` stops after step 1.
 """
 from __future__ import annotations
 
@@ -21,10 +24,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_ACCURACY = 10000
+SMALL_GROUP_MAX = 1_000_000
 
 
 def group_quantile(df: DataFrame, keys: list[str], values: list[str], q: float,
-                   method: str = "exact", accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+                   method: str = "exact", accuracy: int = DEFAULT_ACCURACY,
+                   small_max: int = SMALL_GROUP_MAX) -> DataFrame:
     """Return ``keys + [q_<value> ...]``: the q-quantile of each value column per group
     (NULLs ignored; NULL when a group has no value)."""
     if not 0.0 <= q <= 1.0:
@@ -39,6 +44,13 @@ def group_quantile(df: DataFrame, keys: list[str], values: list[str], q: float,
         res = long.groupBy(*gk).agg(F.percentile_approx("v", q, accuracy).alias("qv"))
         return _widen(res, keys, values)
 
+    sizes = long.groupBy(*gk).agg(F.count(F.lit(1)).alias("n"))
+    small = sizes.filter(F.col("n") <= small_max).select(*gk)
+    large = sizes.filter(F.col("n") > small_max).select(*gk)
+    small_q = (long.join(small, gk, "left_semi").groupBy(*gk)
+               .agg(F.percentile("v", q).alias("qv")))
+    long = long.join(large, gk, "left_semi")
+
     margin = 3.0 / accuracy
     lo_q, hi_q = max(0.0, q - margin), min(1.0, q + margin)
     stats = (long.groupBy(*gk)
@@ -75,7 +87,7 @@ def group_quantile(df: DataFrame, keys: list[str], values: list[str], q: float,
     # Groups whose band missed a target rank (sketch bound violated): exact percentile there.
     fallback = (long.join(missed, gk, "left_semi").groupBy(*gk)
                 .agg(F.percentile("v", q).alias("qv")))
-    return _widen(exact.unionByName(fallback), keys, values)
+    return _widen(small_q.unionByName(exact).unionByName(fallback), keys, values)
 
 
 def _widen(res: DataFrame, keys: list[str], values: list[str]) -> DataFrame:

@@ -408,25 +408,54 @@ def _closure(names) -> set:
     return out
 
 
+# Sort order used when a domain table is materialised: row groups then carry tight
+# min/max statistics on the columns the reports filter on.
+_SORT = {"task_executions": ["utc_time", "telemetry_id"], "weblog": ["utc_time", "id"],
+         "lifecycle_events": ["seq"]}
+
+
 class Domain:
-    """Domain DataFrames over one directory of driver tables."""
+    """Domain DataFrames over one directory of driver tables.
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    With ``materialize=True`` each domain table is written once, on first use, as Parquet
+    into the session's shared checkpoint folder and read back - the way the ingest job
+    leaves the fact table and event log for the reports - so reports do not re-derive their
+    input on every call."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, materialize: bool = False):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self.materialize = materialize
         for t in BASE_TABLES:
             spark.read.parquet(f"{self.sf_dir}/{t}.parquet").createOrReplaceTempView(t)
         self._frames: dict[str, DataFrame] = {}
+        self._stored: dict[str, DataFrame] = {}
         for name in DOMAIN_SQL:
             df = spark.sql(view_sql(name, "spark"))
             df.createOrReplaceTempView(name)
             self._frames[name] = df
 
+    def _store(self, name: str) -> DataFrame:
+        if name not in self._stored:
+            import hashlib
+            import uuid
+            from ..session import scratch_path
+            tag = hashlib.md5(self.sf_dir.encode()).hexdigest()[:8]
+            path = scratch_path(self.spark, f"domain-{tag}-{uuid.uuid4().hex[:8]}/{name}")
+            df = self._frames[name]
+            if name in _SORT:
+                df = df.repartitionByRange(*_SORT[name]).sortWithinPartitions(*_SORT[name])
+            df.write.mode("overwrite").parquet(path)
+            self._stored[name] = self.spark.read.parquet(path)
+        return self._stored[name]
+
     def __getattr__(self, name: str) -> DataFrame:
         frames = self.__dict__.get("_frames", {})
         if name in frames:
-            return frames[name]
+            return self._store(name) if self.__dict__.get("materialize") else frames[name]
         raise AttributeError(name)
 
     def table(self, name: str) -> DataFrame:
-        return self._frames[name] if name in self._frames else self.spark.table(name)
+        if name in self._frames:
+            return getattr(self, name)
+        return self.spark.table(name)

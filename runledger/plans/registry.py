@@ -16,12 +16,15 @@ from .domain import Domain, cte_prefix
 _DOMAINS: dict = {}
 
 
+MATERIALIZE = True
+
+
 def domain_for(spark: SparkSession, sf_dir: str) -> Domain:
-    """One Domain per (session, directory): its DataFrames are lazy plans, built once."""
+    """One Domain per (session, directory), its tables materialised on first use."""
     key = (id(spark), spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     if key not in _DOMAINS:
         _DOMAINS.clear()
-        _DOMAINS[key] = Domain(spark, sf_dir)
+        _DOMAINS[key] = Domain(spark, sf_dir, materialize=MATERIALIZE)
     return _DOMAINS[key]
 
 
