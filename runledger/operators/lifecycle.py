@@ -50,18 +50,25 @@ def fold_runs(events: DataFrame) -> DataFrame:
     def first(kind):
         return F.min(F.when(ev.isin(*kind) if isinstance(kind, tuple) else ev == kind, seq))
 
+    # The first close is found as min(seq * 2 + is_failed): fixed-width aggregation buffers
+    # only, so the whole fold stays a hash aggregate with map-side partial aggregation.
+    close_code = F.when(ev.isin("completed", "failed"),
+                        seq * 2 + (ev == "failed").cast("long"))
     g = events.groupBy("run_name").agg(
         first("claim").alias("claim_seq"),
         F.min(F.when(ev == "claim", F.col("utc_time"))).alias("claimed_at"),
         first("submitted").alias("submit_seq"),
         first("started").alias("start_seq_any"),
-        first(("completed", "failed")).alias("close_seq"),
-        F.min_by(F.when(ev.isin("completed", "failed"), ev),
-                 F.when(ev.isin("completed", "failed"), seq)).alias("close_kind"),
+        F.min(close_code).alias("_close_code"),
         first("expire").alias("expire_seq"),
         F.min_by(F.when(ev.isin("completed", "failed"), F.col("utc_time")),
                  F.when(ev.isin("completed", "failed"), seq)).alias("closed_at"),
     )
+    g = (g.withColumn("close_seq", F.floor(F.col("_close_code") / 2).cast("long"))
+         .withColumn("close_kind", F.when(F.col("_close_code").isNotNull(),
+                                          F.when(F.col("_close_code") % 2 == 1, F.lit("failed"))
+                                          .otherwise(F.lit("completed"))))
+         .drop("_close_code"))
     # An expiry is effective only while the run is merely claimed.
     busy = F.least(F.coalesce("submit_seq", _big()), F.coalesce("start_seq_any", _big()),
                    F.coalesce("close_seq", _big()))

@@ -186,18 +186,27 @@ def resources_by_attempt(tasks: DataFrame, flt: MetricFilter | None = None, min_
 
 
 def failure_rollup(tasks: DataFrame, flt: MetricFilter | None = None) -> DataFrame:
-    """Compact per-(process, status, exit_code, error_action) counts; exactly re-aggregable."""
-    return (_base(tasks, flt).groupBy("process", "status", "exit_code", "error_action")
+    """Compact per-(process, status, exit_code, error_action) counts; exactly re-aggregable.
+
+    ``process`` is NOT NULL in the fact table (the flattening quarantines blank ones); the
+    explicit predicate keeps every branch built on this rollup identical, because Catalyst
+    infers the same predicate for the branches that are join sides."""
+    return (_base(tasks, flt).filter(F.col("process").isNotNull())
+            .groupBy("process", "status", "exit_code", "error_action")
             .agg(F.count(F.lit(1)).alias("n")))
 
 
 def _modal(rollup: DataFrame, column: str, out: str, keep_null: bool) -> DataFrame:
     """Most frequent value per process among failed rows; ties -> smallest value,
-    NULL last. NULL is a candidate only when ``keep_null``."""
-    f = rollup.filter(is_failed())
-    if not keep_null:
-        f = f.filter(F.col(column).isNotNull())
-    per = f.groupBy("process", column).agg(F.sum("n").alias("cnt"))
+    NULL last. NULL is a candidate only when ``keep_null``.
+
+    The failed/NULL conditions are inside the sum, and only the aggregated count is
+    filtered: a filter on a grouping column would be pushed below the shared rollup and
+    give each branch its own scan instead of one reused exchange."""
+    cond = is_failed() if keep_null else is_failed() & F.col(column).isNotNull()
+    per = (rollup.groupBy("process", column)
+           .agg(F.sum(F.when(cond, F.col("n")).otherwise(0)).alias("cnt"))
+           .filter(F.col("cnt") > 0))
     w = Window.partitionBy("process").orderBy(F.desc("cnt"), F.asc_nulls_last(column))
     return (per.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") == 1)
             .select("process", F.col(column).alias(out)))
@@ -208,8 +217,9 @@ def failures(tasks: DataFrame, flt: MetricFilter | None = None, min_samples: int
     """A10: per process totals with the modal failure exit code and modal error action.
 
     NULL exit codes compete for the mode (NULL loses ties); NULL actions are excluded.
-    A NULL process never matches the modal frames (equality join), as in SQL.
-    """
+    A NULL process never matches the modal frames (equality join), as in SQL. One scan:
+    the three views are derived from one (process, status, exit_code, error_action)
+    rollup whose exchange is reused."""
     _check(min_samples, limit)
     r = failure_rollup(tasks, flt)
     grouped = (r.groupBy("process")
