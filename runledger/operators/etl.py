@@ -125,3 +125,47 @@ def etl_status(jobs: DataFrame, watermark: DataFrame, workflow_id: str, version:
     pend = not_ingested(jobs, watermark, workflow_id, version)
     return (done.agg(F.count(F.lit(1)).alias("ingested"))
             .select("ingested", pend.agg(F.count(F.lit(1))).scalar().alias("backlog")))
+
+
+def artifact_state(notifications: DataFrame) -> DataFrame:
+    """Object-store notifications -> current artifact rows.
+
+    The latest create per key gives size/etag/created_at; a delete after it sets
+    ``archived_at``; a create after a delete revives the artifact. Out-of-order delivery
+    is resolved by event time, then delivery sequence."""
+    ev = F.col("event")
+    order = F.struct("event_time", "seq")
+    g = notifications.groupBy("key").agg(
+        F.max_by(F.struct("size", "etag", "event_time"), F.when(ev == "create", order)).alias("c"),
+        F.max(F.when(ev == "create", order)).alias("last_create"),
+        F.max(F.when(ev == "delete", order)).alias("last_delete"))
+    archived = F.col("last_delete").isNotNull() & (
+        F.col("last_create").isNull() | (F.col("last_delete") > F.col("last_create")))
+    return g.select("key", F.col("c.size").alias("size"), F.col("c.etag").alias("etag"),
+                    F.col("c.event_time").alias("created_at"),
+                    F.when(archived, F.col("last_delete.event_time")).alias("archived_at"))
+
+
+def published_manifest(jobs: DataFrame, samples: DataFrame, workflows: DataFrame, base: str,
+                       workflow_id: str | None = None, version: str | None = None,
+                       since=None, labels: DataFrame | None = None) -> DataFrame:
+    """Completed jobs x samples x workflows -> the published-sample manifest with its
+    publish prefix; ``since`` keeps completions at or after it. The next cursor is
+    ``max(completed_at)`` of the result (``next_since``)."""
+    j = jobs.filter(F.col("status") == "completed")
+    if workflow_id:
+        j = j.filter(F.col("workflow_id") == workflow_id)
+    if version:
+        j = j.filter(F.col("workflow_version") == version)
+    if since is not None:
+        j = j.filter(F.col("completed_at") >= F.lit(since).cast("timestamp_ntz"))
+    wf = workflows.select("workflow_id", F.col("version").alias("workflow_version"))
+    out = (j.join(wf, ["workflow_id", "workflow_version"], "left_semi")
+           .join(samples.select("sample_id", F.col("ncbi_accession").alias("run_ids")), "sample_id", "left"))
+    if labels is not None:
+        out = out.join(labels, "sample_id", "left")
+    from ..functions.display import publish_prefix
+    return out.select("sample_id", "run_ids", *(["study_name"] if labels is not None else []),
+                      "workflow_id", "workflow_version",
+                      publish_prefix(base, "workflow_id", "workflow_version", "sample_id").alias("publish_prefix"),
+                      "completed_at")

@@ -114,7 +114,7 @@ def curation_rows(rows: DataFrame, accession_col: str = "ncbi_accession",
     subject = F.coalesce(*[F.col(c) for c in ("subject_id", "sample_id", "Subject_id", "Sample_id")
                            if c in rows.columns] or [F.lit(None).cast("string")])
     ok = has_accession(acc)
-    meta_cols = [c for c in rows.columns if c not in (accession_col, index_col, study_col)]
+    meta_cols = [c for c in rows.columns if c not in (accession_col, index_col, study_col, "source_file")]
     valid = rows.filter(ok).select(
         sample_id(acc).alias("sample_id"), F.col(study_col).alias("study_name"),
         acc.alias("ncbi_accession"),
@@ -270,3 +270,37 @@ def latest_agents(agents: DataFrame, heartbeats: DataFrame) -> DataFrame:
     return (allrows.groupBy("agent_id")
             .agg(F.min("started_at").alias("started_at"), latest.alias("s"))
             .select("agent_id", "started_at", "s.*"))
+
+
+def add_to_collection(collections: DataFrame, members: DataFrame, new: DataFrame,
+                      now) -> tuple[DataFrame, DataFrame]:
+    """U4: upsert collections (label defaults to the id; re-declaring only bumps
+    ``updated_at``) and attach their samples idempotently. ``new`` rows:
+    (collection_id, source, type, label, sample_id)."""
+    decl = (new.select("collection_id", "source", "type",
+                       F.coalesce(F.nullif(F.trim("label"), F.lit("")), F.col("collection_id")).alias("label"))
+            .dropDuplicates(["collection_id"])
+            .withColumn("created_at", F.lit(now).cast("timestamp_ntz"))
+            .withColumn("updated_at", F.lit(now).cast("timestamp_ntz")))
+    if "updated_at" not in collections.columns:
+        collections = collections.withColumn("updated_at", F.col("created_at"))
+    cols = upsert(collections, decl, ["collection_id"], ["updated_at"])
+    mem = add_memberships(members, new.filter(F.col("sample_id").isNotNull()))
+    return cols, mem
+
+
+def register_workflow(workflows: DataFrame, jobs: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Upsert workflow versions. A registered version becomes the one to run: other
+    active versions of the same workflow are retired and their pending jobs purged; an
+    existing row keeps its status (the reference behaviour; see README)."""
+    keys = ["workflow_id", "version"]
+    incoming = new.withColumn("status", F.lit("active"))
+    retire = (workflows.join(new.select("workflow_id", F.col("version").alias("_keep")), "workflow_id")
+              .filter((F.col("status") == "active") & (F.col("version") != F.col("_keep")))
+              .select(*keys).withColumn("_retire", F.lit(True)))
+    wf = (workflows.join(retire, keys, "left")
+          .withColumn("status", F.when(F.col("_retire"), F.lit("retired")).otherwise(F.col("status")))
+          .drop("_retire"))
+    upd = [c for c in new.columns if c not in keys and c != "status"]
+    out = upsert(wf, incoming, keys, upd)
+    return out, purge_pending(jobs, out)

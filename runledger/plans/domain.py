@@ -366,6 +366,29 @@ SELECT 'S' || CAST(c_custkey AS STRING) AS sample_id, 'shotgun' AS workflow_id,
 FROM customer
 """
 
+# Object-store notifications for published files: one create per page, a delete for every
+# fifth page and a re-create for every fifteenth, some delivered out of order.
+DOMAIN_SQL["object_notifications"] = """
+SELECT url AS key, 'create' AS event, CAST(length(html) AS BIGINT) AS size,
+  md5(html) AS etag, make_timestamp(2026, 1, CAST(1 + page_id % 28 AS INT), 0, 0, 0) AS event_time,
+  page_id * 4 AS seq FROM pages
+UNION ALL
+SELECT url, 'delete', CAST(NULL AS BIGINT), CAST(NULL AS STRING),
+  make_timestamp(2026, 2, CAST(1 + page_id % 28 AS INT), 0, 0, 0), page_id * 4 + 1 FROM pages WHERE page_id % 5 = 0
+UNION ALL
+SELECT url, 'create', CAST(length(html) + 1 AS BIGINT), md5(url),
+  make_timestamp(2026, 3, CAST(1 + page_id % 28 AS INT), 0, 0, 0), page_id * 4 - 1 FROM pages WHERE page_id % 15 = 0
+"""
+
+# Taxon dimension keyed by (sgb_id, db_version): one row per SGB leaf of the profiles,
+# with a relabelled lineage.
+DOMAIN_SQL["taxa"] = """
+SELECT 't__SGB' || CAST(p_partkey AS STRING) AS sgb_id,
+  'mpa_vJan25_CHOCOPhlAnSGB_202503' AS db_version,
+  'd__Bacteria;p__' || p_type || ';g__' || replace(p_brand, '#', '_') AS lineage
+FROM part WHERE p_size % 5 = 0
+"""
+
 # ETL watermark: completed jobs of the active shotgun version whose id is a multiple of
 # three were already ingested.
 DOMAIN_SQL["etl_ingested"] = """

@@ -163,3 +163,65 @@ ORDER BY j.completed_at, j.sample_id LIMIT 100
 def q_pending_queue(d):
     """The next ETL batch (oldest completions first)."""
     return E.pending_queue(d.jobs, d.etl_ingested, "shotgun", "1-URGENT", limit=100)
+
+
+@register("artifact_state", ("object_notifications",), """
+, g AS (SELECT key,
+    arg_max(size, (event_time, seq)) FILTER (WHERE event = 'create') AS size,
+    arg_max(etag, (event_time, seq)) FILTER (WHERE event = 'create') AS etag,
+    max((event_time, seq)) FILTER (WHERE event = 'create') AS lc,
+    max((event_time, seq)) FILTER (WHERE event = 'delete') AS ld
+  FROM object_notifications GROUP BY key)
+SELECT key, size, etag, lc[1] AS created_at,
+  CASE WHEN ld IS NOT NULL AND (lc IS NULL OR ld > lc) THEN ld[1] END AS archived_at
+FROM g
+""")
+def q_artifact_state(d):
+    """Current artifact rows from create/delete notifications (latest per key)."""
+    return E.artifact_state(d.object_notifications)
+
+
+@register("published_manifest", ("jobs", "samples", "workflows", "collections", "collection_samples"),
+          _LABELS + """
+SELECT j.sample_id, s.ncbi_accession AS run_ids, lab.study_name, j.workflow_id, j.workflow_version,
+  's3://mirror/' || j.workflow_id || '/' || j.workflow_version || '/' || j.sample_id AS publish_prefix,
+  j.completed_at
+FROM jobs j LEFT JOIN samples s ON s.sample_id = j.sample_id LEFT JOIN lab ON lab.sample_id = j.sample_id
+WHERE j.status = 'completed' AND j.completed_at >= TIMESTAMP '1998-01-01 00:00:00'
+  AND EXISTS (SELECT 1 FROM workflows w WHERE w.workflow_id = j.workflow_id AND w.version = j.workflow_version)
+""")
+def q_published_manifest(d):
+    """Completed jobs x samples x workflows since a cursor, with publish prefixes."""
+    return E.published_manifest(d.jobs, d.samples, d.workflows, "s3://mirror",
+                                since=dt.datetime(1998, 1, 1),
+                                labels=E.study_labels(d.collections, d.collection_samples))
+
+
+@register("profile_taxa", ("profile_lines", "profile_files", "qc_manifests", "taxa"), _PARSED + _QC + """
+SELECT p.sample_id, p.workflow_version, p.branch, p.sgb_id, p.relative_abundance, t.lineage,
+       qc.metaphlan_index AS db_version
+FROM parsed p LEFT JOIN qc ON qc.sample_id = p.sample_id
+LEFT JOIN taxa t ON t.sgb_id = p.sgb_id AND t.db_version = qc.metaphlan_index
+WHERE p.sgb_id IS NOT NULL
+""")
+def q_profile_taxa(d):
+    """SGB leaves of the parsed profiles with their taxon, joined on (sgb_id, db
+    version); a sample's db version comes from its qc manifest."""
+    prof = parse_metaphlan(_files(d)).filter(F.col("sgb_id").isNotNull())
+    return (X.with_taxon(prof, _qc(d), d.taxa)
+            .select("sample_id", "workflow_version", "branch", "sgb_id", "relative_abundance",
+                    "lineage", "db_version"))
+
+
+@register("lineage_rollup", ("profile_lines", "profile_files", "taxa"), _PARSED + f"""
+SELECT p.sample_id, p.workflow_version, p.branch, t.lineage, {r2("sum(p.relative_abundance)")} AS relative_abundance
+FROM parsed p JOIN taxa t ON t.sgb_id = p.sgb_id
+WHERE p.sgb_id IS NOT NULL
+GROUP BY p.sample_id, p.workflow_version, p.branch, t.lineage
+""")
+def q_lineage_rollup(d):
+    """SGB leaf abundances relabelled to the taxon lineage and summed per sample."""
+    prof = parse_metaphlan(_files(d))
+    r = X.rollup_lineage(prof, d.taxa.select("sgb_id", "lineage"),
+                         ["sample_id", "workflow_version", "branch"])
+    return r.withColumn("relative_abundance", F.round("relative_abundance", 2))
