@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 GIB = 1073741824.0
@@ -120,13 +120,13 @@ def driver_death(aborted="aborted", failed="failed") -> Column:
     return (_col(aborted) > 0) & (_col(failed) == 0)
 
 
-def heat_level(failures="failures") -> Column:
+def heat_level(failures="failures", max_failures: Column | None = None) -> Column:
     """F32: share of the largest cell: >0.6 high, >0.3 mid, >0.1 low, else none.
 
-    The maximum is a global aggregate; the caller applies this to a small, already
-    aggregated frame (a signature matrix), never to raw rows.
-    """
-    share = _col(failures) / F.greatest(F.max(_col(failures)).over(Window.partitionBy()), F.lit(1))
+    ``max_failures`` is the largest cell, passed as a scalar (e.g. a scalar subquery), so
+    no single-partition window is needed."""
+    top = max_failures if max_failures is not None else F.lit(1)
+    share = _col(failures) / F.greatest(top, F.lit(1))
     return (F.when(share > 0.6, "high").when(share > 0.3, "mid").when(share > 0.1, "low")
             .otherwise("none"))
 
@@ -191,6 +191,7 @@ def exit_label(c) -> Column:
     return F.coalesce(F.element_at(F.create_map(*pairs), null_label(c)), F.lit("other"))
 
 
-def bar_share(failures="failures") -> Column:
-    """failures / max(failures) over a small top-k frame, max at least 1."""
-    return _col(failures) / F.greatest(F.max(_col(failures)).over(Window.partitionBy()), F.lit(1))
+def bar_share(failures="failures", max_failures: Column | None = None) -> Column:
+    """failures / max(failures) with the maximum given as a scalar, at least 1."""
+    top = max_failures if max_failures is not None else F.lit(1)
+    return _col(failures) / F.greatest(top, F.lit(1))

@@ -258,9 +258,11 @@ def signature_heatmap(tasks: DataFrame, flt: MetricFilter | None = None) -> Data
     g = (failed_rows(_base(tasks, flt)).groupBy("process", "exit_code", "error_action")
          .agg(F.count(F.lit(1)).alias("failures")))
     sig = F.concat(null_label("exit_code"), F.lit(" / "), F.coalesce("error_action", F.lit("<null>")))
+    top = g.agg(F.max("failures")).scalar()          # largest cell, as a scalar subquery
+    totals = g.groupBy("process").agg(F.sum("failures").alias("row_total"))
     return (g.select("process", sig.alias("signature"), "failures")
-            .withColumn("row_total", F.sum("failures").over(Window.partitionBy("process")))
-            .withColumn("heat", heat_level("failures")))
+            .join(totals, "process")
+            .withColumn("heat", heat_level("failures", top)))
 
 
 def timeline(tasks: DataFrame, bucket: str = "hour", flt: MetricFilter | None = None,

@@ -44,11 +44,15 @@ def group_quantile(df: DataFrame, keys: list[str], values: list[str], q: float,
         res = long.groupBy(*gk).agg(F.percentile_approx("v", q, accuracy).alias("qv"))
         return _widen(res, keys, values)
 
-    sizes = long.groupBy(*gk).agg(F.count(F.lit(1)).alias("n"))
+    # Group sizes: one row per group, checkpointed (tiny) so the plan choice below and the
+    # joins read the same result without recomputing it.
+    sizes = long.groupBy(*gk).agg(F.count(F.lit(1)).alias("n")).checkpoint()
     small = sizes.filter(F.col("n") <= small_max).select(*gk)
     large = sizes.filter(F.col("n") > small_max).select(*gk)
     small_q = (long.join(small, gk, "left_semi").groupBy(*gk)
                .agg(F.percentile("v", q).alias("qv")))
+    if large.isEmpty():                  # a one-row probe of the checkpointed sizes
+        return _widen(small_q, keys, values)
     long = long.join(large, gk, "left_semi")
 
     margin = 3.0 / accuracy
