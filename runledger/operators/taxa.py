@@ -50,16 +50,21 @@ def rollup_lineage(profile: DataFrame, mapping: DataFrame, by: list[str]) -> Dat
             .agg(F.sum("relative_abundance").alias("relative_abundance")))
 
 
-def match_profilers(metaphlan: DataFrame, bracken: DataFrame) -> DataFrame:
-    """Each metaphlan species matched to bracken on species taxid, else genus taxid,
-    else unmatched, with the match level."""
-    mp = metaphlan.filter(F.col("rank") == "species")
-    sp = bracken.filter(F.col("rank") == "species").select(
-        "sample_id", F.col("ncbi_taxid").alias("sp_taxid"), F.col("fraction_total_reads").alias("sp_frac"))
-    ge = bracken.filter(F.col("rank") == "genus").select(
-        "sample_id", F.col("ncbi_taxid").alias("ge_taxid"), F.col("fraction_total_reads").alias("ge_frac"))
-    j = (mp.join(sp, (mp.sample_id == sp.sample_id) & (mp.ncbi_taxid == sp.sp_taxid), "left").drop(sp.sample_id)
-         .join(ge, (mp.sample_id == ge.sample_id) & (F.col("genus_taxid") == ge.ge_taxid), "left")
-         .drop(ge.sample_id))
-    return j.withColumn("match_level", F.when(F.col("sp_taxid").isNotNull(), "species")
-                        .when(F.col("ge_taxid").isNotNull(), "genus").otherwise("unmatched"))
+def match_profilers(metaphlan: DataFrame, bracken: DataFrame, genus_of: DataFrame) -> DataFrame:
+    """Each metaphlan species row matched to bracken in the same sample on the species
+    taxid, else on its genus taxid (``genus_of``: species ncbi_taxid -> genus_taxid), else
+    unmatched; ``match_level`` says which."""
+    keys = ["sample_id", "workflow_id", "workflow_version", "data_type"]
+    keys = [k for k in keys if k in metaphlan.columns and k in bracken.columns]
+    mp = (metaphlan.filter(F.col("rank") == "species")
+          .join(genus_of.select("ncbi_taxid", "genus_taxid"), "ncbi_taxid", "left"))
+    sp = (bracken.filter(F.col("rank") == "species")
+          .select(*keys, F.col("ncbi_taxid"), F.col("fraction_total_reads").alias("species_fraction")))
+    ge = (bracken.filter(F.col("rank") == "genus")
+          .select(*keys, F.col("ncbi_taxid").alias("genus_taxid"),
+                  F.col("fraction_total_reads").alias("genus_fraction")))
+    j = (mp.join(sp, keys + ["ncbi_taxid"], "left")
+         .join(ge, keys + ["genus_taxid"], "left"))
+    level = (F.when(F.col("species_fraction").isNotNull(), F.lit("species"))
+             .when(F.col("genus_fraction").isNotNull(), F.lit("genus")).otherwise(F.lit("unmatched")))
+    return j.withColumn("match_level", level)

@@ -131,3 +131,14 @@ def test_paths_never_list(spark):
     assert len(paths) == 9            # 4 branched specs x 2 branches + manifest
     with pytest.raises(KeyError):
         O.specs_for("cmgd_nextflow", "9.9")
+
+
+def test_match_profilers_fallback(spark):
+    from runledger.operators.taxa import match_profilers
+    mp = spark.createDataFrame([("s1", "species", 10), ("s1", "species", 11), ("s1", "species", 12)],
+                               "sample_id string, rank string, ncbi_taxid int")
+    br = spark.createDataFrame([("s1", "species", 10, 0.5), ("s1", "genus", 100, 0.2)],
+                               "sample_id string, rank string, ncbi_taxid int, fraction_total_reads double")
+    genus = spark.createDataFrame([(10, 100), (11, 100), (12, 200)], "ncbi_taxid int, genus_taxid int")
+    got = {r["ncbi_taxid"]: r["match_level"] for r in match_profilers(mp, br, genus).collect()}
+    assert got == {10: "species", 11: "genus", 12: "unmatched"}
