@@ -133,18 +133,21 @@ RUN_STATE = T.StructType([
 TERMINAL = ("completed", "failed", "expired")
 
 
-def _run_state_fn(heartbeat_ms: int, claim_ttl_ms: int, timeouts: bool = True):
+def _run_state_fn(heartbeat_ms: int, claim_ttl_ms: int, timeouts: bool = True,
+                  retention_ms: int = 24 * 3600 * 1000):
     def fn(key, pdfs, state):
         (run_name,) = key
         if state.hasTimedOut:
             status, run_id, last = state.get
+            if status in TERMINAL:           # retention over: forget the finished run
+                state.remove()
+                return
             if status == "running":
                 status, reason = "failed", "heartbeat timeout"
-            elif status == "claimed":
+            else:                            # claimed / submitted past the claim TTL
                 status, reason = "expired", "claim ttl"
-            else:
-                reason = None
-            state.remove()
+            state.update((status, run_id, last))
+            state.setTimeoutDuration(retention_ms)
             yield pd.DataFrame([{"run_name": run_name, "status": status, "run_id": run_id,
                                  "last_event_at": last, "reason": reason}])
             return
@@ -161,28 +164,29 @@ def _run_state_fn(heartbeat_ms: int, claim_ttl_ms: int, timeouts: bool = True):
                 status = "submitted"
             elif ev == "started" and status in ("claimed", "submitted"):
                 status, run_id = "running", run_id or rid
-            elif ev in ("completed", "failed"):
+            elif ev in ("completed", "failed") and status is not None:
                 status = ev
             elif ev == "expire" and status == "claimed":
                 status = "expired"
-        if status in TERMINAL:
-            state.remove()
-        else:
-            state.update((status, run_id, last))
-            if timeouts:
-                state.setTimeoutDuration(heartbeat_ms if status == "running" else claim_ttl_ms)
+        if status is None:                        # events of an unknown run: nothing to keep
+            return
+        state.update((status, run_id, last))
+        if timeouts:
+            # a finished run is kept for ``retention_ms`` so late events stay no-ops
+            state.setTimeoutDuration(retention_ms if status in TERMINAL
+                                     else heartbeat_ms if status == "running" else claim_ttl_ms)
         yield pd.DataFrame([{"run_name": run_name, "status": status, "run_id": run_id,
                              "last_event_at": last, "reason": None}])
     return fn
 
 
-def run_state_stream(events: DataFrame, heartbeat_minutes: int = 15,
-                     claim_ttl_minutes: int = 5, timeouts: bool = True) -> DataFrame:
+def run_state_stream(events: DataFrame, heartbeat_minutes: float = 15,
+                     claim_ttl_minutes: float = 5, timeouts: bool = True) -> DataFrame:
     """Per-run guarded state with processing-time timeouts (receipt time is what
     the heartbeat rule measures). Output: the run's state after each micro-batch.
 
     ``timeouts=False`` replays a log deterministically (no wall-clock transitions)."""
-    fn = _run_state_fn(heartbeat_minutes * 60_000, claim_ttl_minutes * 60_000, timeouts)
+    fn = _run_state_fn(int(heartbeat_minutes * 60_000), int(claim_ttl_minutes * 60_000), timeouts)
     mode = GroupStateTimeout.ProcessingTimeTimeout if timeouts else GroupStateTimeout.NoTimeout
     return (events.select("run_name", "seq", "event", "run_id", F.col("utc_time").cast("timestamp"))
             .groupBy("run_name")
