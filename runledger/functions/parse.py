@@ -95,9 +95,22 @@ TRACE_FIELDS_FLOAT = [
 ]
 
 
-def task_fact_columns(trace="trace") -> list[Column]:
-    """typed columns of one completed task, from the raw ``trace`` JSON text."""
+def task_fact_columns(trace="trace", strict: bool = False) -> list[Column]:
+    """typed columns of one completed task, from the raw ``trace`` JSON text.
+
+    ``strict=True`` (U17, the backfill from stored events) casts with ANSI semantics, so
+    junk numbers fail the job instead of becoming NULL or the default."""
     tr = _col(trace)
+    if strict:
+        return ([F.coalesce(json_text(tr, "task_id"), F.lit("")).alias("task_id")]
+                + [parse_str(json_text(tr, k)).alias(n) for n, k in
+                   (("task_hash", "hash"), ("process", "process"), ("name", "name"),
+                    ("status", "status"))]
+                + [F.coalesce(parse_str(json_text(tr, "attempt")), F.lit("1")).cast("int").alias("attempt")]
+                + [parse_str(json_text(tr, k)).alias(n) for n, k in
+                   (("exit_code", "exit"), ("error_action", "error_action"))]
+                + [parse_str(json_text(tr, key)).cast("double").alias(name)
+                   for name, key in TRACE_FIELDS_FLOAT])
     out = [
         F.coalesce(json_text(tr, "task_id"), F.lit("")).alias("task_id"),
         parse_str(json_text(tr, "hash")).alias("task_hash"),

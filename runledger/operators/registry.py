@@ -304,3 +304,103 @@ def register_workflow(workflows: DataFrame, jobs: DataFrame, new: DataFrame) ->
     upd = [c for c in new.columns if c not in keys and c != "status"]
     out = upsert(wf, incoming, keys, upd)
     return out, purge_pending(jobs, out)
+
+
+def register_accessions(reports: DataFrame, samples: DataFrame, collections: DataFrame,
+                        members: DataFrame, submitted_by: str, now, dry_run: bool = False,
+                        by: str = "source_accession") -> dict[str, DataFrame]:
+    """U9 + U20 for a batch of submitted study accessions (one per distinct ``by``).
+
+    Per accession: classify the source (F14), group its runs into samples (A24), count
+    found / added / existing (A26). Accessions that are not study/project accessions or
+    have no runs fail and are audited. Unless ``dry_run``: new samples are inserted
+    (existing ones keep their metadata), the collection (upper-cased accession, type
+    'project') is upserted with its memberships, and an audit row is appended per
+    accession, successes and failures alike. A dry run returns the receipts only."""
+    acc = F.trim(F.col(by))
+    subs = reports.select(acc.alias("accession")).distinct()
+    subs = (subs.withColumn("collection_id", F.upper("accession"))
+            .withColumn("source", classify_source("accession")))
+    grouped = group_runs(reports.withColumn(by, F.upper(F.trim(F.col(by)))), collection_col=by)
+    counts = count_new(grouped, samples)
+    rec = (subs.join(counts, "collection_id", "left")
+           .select("accession", "collection_id", "source",
+                   *[F.coalesce(c, F.lit(0)).alias(c) for c in ("samples_found", "samples_added",
+                                                                "samples_existing")]))
+    error = (F.when(F.col("source").isNull(), F.lit("not a study/BioProject accession"))
+             .when(F.col("samples_found") == 0, F.lit("no runs found")))
+    status = (F.when(error.isNotNull(), F.lit("failed"))
+              .otherwise(F.lit("dry_run" if dry_run else "succeeded")))
+    receipts = (rec.withColumn("error", error).withColumn("status", status)
+                .withColumn("type", F.lit("project")))
+    if dry_run:
+        return {"receipts": receipts, "samples": samples, "collections": collections,
+                "members": members}
+    receipts = receipts.withColumn(
+        "submission_id", F.md5(F.concat_ws("|", "accession", F.lit(str(now)), F.lit(submitted_by))))
+    ok = receipts.filter(F.col("status") == "succeeded").select("collection_id", "source")
+    g_ok = grouped.join(ok, "collection_id", "left_semi")
+    new_samples = g_ok.select("sample_id", "ncbi_accession", "biosample_id",
+                              F.to_json(F.struct("sra_sample", F.col("biosample_id").alias("biosample"),
+                                                 "sra_study", "bioproject",
+                                                 F.col("collection_id").alias("collection"))).alias("metadata"))
+    out_samples = insert_ignore(samples, new_samples.dropDuplicates(["sample_id"]), ["sample_id"])
+    decl = (g_ok.select("collection_id", "sample_id").join(ok, "collection_id")
+            .withColumn("type", F.lit("project")).withColumn("label", F.col("collection_id")))
+    cols, mem = add_to_collection(collections, members, decl, now)
+    audit = receipts.select("submission_id", F.lit("ena_accession").alias("method"), "accession",
+                            "collection_id", "status", "error", "samples_found", "samples_added",
+                            "samples_existing", F.lit(submitted_by).alias("submitted_by"),
+                            F.lit(now).cast("timestamp_ntz").alias("submitted_at"))
+    return {"receipts": receipts, "samples": out_samples, "collections": cols, "members": mem,
+            "submissions": audit}
+
+
+def ingest_sample_rows(rows: DataFrame, collection: str | None = None,
+                       limit: int | None = None) -> dict[str, DataFrame]:
+    """Bulk registration from sheet rows (``ncbi_accession``, ``study_name``,
+    ``row_index``). Rows without a real run accession are skipped; the collection is the
+    given one or the row's study name (none -> registered but unattached). ``limit`` caps
+    the *registered* rows in row order; rows after the cut-off are not looked at, as in a
+    sequential pass. Returns the registrations and one row of counters."""
+    acc = F.trim("ncbi_accession")
+    r = rows.withColumn("sample_id", derive_sample_id(acc)).withColumn(
+        "collection_id", F.lit(collection) if collection else F.nullif(F.trim("study_name"), F.lit("")))
+    valid = r.filter(F.col("sample_id").isNotNull())
+    if limit is not None:
+        cutoff = valid.orderBy("row_index").limit(limit).agg(F.max("row_index"),
+                                                            F.count(F.lit(1)).alias("n"))
+        cut = F.when(cutoff.select(F.col("n")).scalar() >= limit,
+                     cutoff.select("max(row_index)").scalar())
+        r = r.filter(cut.isNull() | (F.col("row_index") <= cut))
+        valid = r.filter(F.col("sample_id").isNotNull())
+    regs = valid.select("row_index", "sample_id", acc.alias("ncbi_accession"), "collection_id")
+    counters = r.agg(F.count_if(F.col("sample_id").isNotNull()).alias("registered"),
+                     F.count_if(F.col("sample_id").isNull()).alias("skipped"),
+                     F.count_if(F.col("sample_id").isNotNull() & F.col("collection_id").isNull())
+                     .alias("unattached"))
+    return {"registrations": regs, "counters": counters}
+
+
+def backfill_type(collections: DataFrame) -> DataFrame:
+    """Collection type from its source."""
+    return collections.withColumn(
+        "type", F.when(F.col("source") == "sra_study", F.lit("study"))
+        .when(F.col("source") == "bioproject", F.lit("project")).otherwise(F.col("type")))
+
+
+def study_samples_page(annotations: DataFrame, study_name: str, limit: int = 100,
+                       offset: int = 0) -> DataFrame:
+    """One study's annotated samples by sample id."""
+    page = annotations.filter(F.col("study_name") == study_name).orderBy("sample_id")
+    return page.limit(offset + limit).offset(offset) if offset else page.limit(limit)
+
+
+def sample_annotations(annotations: DataFrame, sample_id: str) -> DataFrame:
+    """A sample's annotations, ordered by study."""
+    return annotations.filter(F.col("sample_id") == sample_id).orderBy("study_name")
+
+
+def studies(curated_studies: DataFrame) -> DataFrame:
+    """Curated studies by name."""
+    return curated_studies.orderBy("study_name")

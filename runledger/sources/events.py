@@ -59,7 +59,7 @@ def _to_utc(c):
 def read_weblog(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     """Landed weblog JSON -> (run_id, run_name, event, utc_time, metadata, trace).
 
-    Payload objects are kept as JSON text (``primitivesAsString`` keeps nested text whole).
+    Payload objects are read into string columns, which keeps them as JSON text.
     Rows that are not JSON, or lack runName/event, go to ``valid = false``."""
     reader = spark.readStream if stream else spark.read
     raw = (reader.schema(WEBLOG_SCHEMA).option("mode", "PERMISSIVE")
@@ -130,15 +130,16 @@ def enrich_events(events: DataFrame, runs: DataFrame) -> DataFrame:
             .join(wf, "run_name", "left"))
 
 
-def to_task_executions(telemetry: DataFrame) -> DataFrame:
-    """flatten ``process_completed`` events into the typed task fact table.
+def to_task_executions(telemetry: DataFrame, strict: bool = False) -> DataFrame:
+    """F1 (U17 with ``strict``): flatten ``process_completed`` events into the typed task
+    fact table.
 
     Rows whose process is missing or blank are not valid facts (process is NOT NULL);
     use ``quarantined_tasks`` to keep them instead of failing the batch."""
     done = telemetry.filter((F.col("event") == "process_completed") & F.col("trace").isNotNull())
     flat = done.select(
         F.col("id").alias("telemetry_id"), "run_name", "run_id", "sample_id", "workflow_id",
-        "workflow_version", "utc_time", *task_fact_columns("trace"))
+        "workflow_version", "utc_time", *task_fact_columns("trace", strict=strict))
     return flat.filter(F.col("process").isNotNull())
 
 

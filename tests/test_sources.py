@@ -116,3 +116,46 @@ def test_artifact_state_out_of_order(spark):
     got = {r["key"]: r for r in E.artifact_state(n).collect()}
     assert got["k1"]["archived_at"] == T0 + dt.timedelta(hours=1) and got["k1"]["size"] == 10
     assert got["k2"]["archived_at"] is None and got["k2"]["etag"] == "e2"
+
+
+def test_register_accessions_and_bulk_rows(spark):
+    rep = spark.createDataFrame(
+        [("PRJNA1", "SRR2", "SRS1", "SAMN1", 1), ("PRJNA1", "SRR1", "SRS1", "SAMN1", 2),
+         ("PRJNA1", "SRR3", "SRS2", "SAMN2", 3), ("SRR999", "SRR9", "SRS9", "SAMN9", 4)],
+        "source_accession string, run_accession string, secondary_sample_accession string, "
+        "sample_accession string, pos long")
+    for c in ("study_accession", "secondary_study_accession"):
+        rep = rep.withColumn(c, __import__("pyspark.sql.functions", fromlist=["lit"]).lit("PRJNA1"))
+    samples = spark.createDataFrame([], "sample_id string, ncbi_accession string, biosample_id string, metadata string")
+    cols = spark.createDataFrame([], "collection_id string, source string, type string, label string, created_at timestamp")
+    mem = spark.createDataFrame([], "collection_id string, sample_id string")
+    dry = G.register_accessions(rep, samples, cols, mem, "me", T0, dry_run=True)
+    r = {x["accession"]: x for x in dry["receipts"].collect()}
+    assert (r["PRJNA1"]["samples_found"], r["PRJNA1"]["samples_added"], r["PRJNA1"]["status"]) == (2, 2, "dry_run")
+    assert r["SRR999"]["status"] == "failed"
+    assert dry["samples"].count() == 0                      # dry run writes nothing
+    res = G.register_accessions(rep, samples, cols, mem, "me", T0)
+    assert res["samples"].count() == 2 and res["members"].count() == 2
+    assert {x["status"] for x in res["submissions"].collect()} == {"succeeded", "failed"}
+    again = G.register_accessions(rep, res["samples"], res["collections"], res["members"], "me", T0)
+    r2 = {x["accession"]: x for x in again["receipts"].collect()}
+    assert (r2["PRJNA1"]["samples_added"], r2["PRJNA1"]["samples_existing"]) == (0, 2)
+    assert again["samples"].count() == 2 and again["members"].count() == 2
+
+    rows = spark.createDataFrame(
+        [(0, "SRR1", "st"), (1, "Not applicable", "st"), (2, "SRR2", ""), (3, "NA", "st"), (4, "SRR3", "st")],
+        "row_index long, ncbi_accession string, study_name string")
+    c = G.ingest_sample_rows(rows)["counters"].collect()[0]
+    assert (c["registered"], c["skipped"], c["unattached"]) == (3, 2, 1)
+    c2 = G.ingest_sample_rows(rows, limit=2)["counters"].collect()[0]
+    assert (c2["registered"], c2["skipped"], c2["unattached"]) == (2, 1, 1)
+
+
+def test_strict_backfill_raises_on_junk(spark):
+    df = spark.createDataFrame([(1, "r", "u", "process_completed", T0, '{"process": "P", "attempt": "x"}')],
+                               "id long, run_name string, run_id string, event string, utc_time timestamp, trace string")
+    runs = spark.createDataFrame([("r", "wf", "v")], "run_name string, workflow_id string, workflow_version string")
+    tel = EV.enrich_events(df, runs)
+    assert EV.to_task_executions(tel).collect()[0]["attempt"] == 1
+    with pytest.raises(Exception):
+        EV.to_task_executions(tel, strict=True).collect()
