@@ -1,6 +1,8 @@
 """Registered identity / registration / catalog-maintenance queries with oracle SQL."""
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -197,3 +199,49 @@ def q_retire_purge(d):
     wf = G.set_workflow_status(d.workflows, "shotgun", "1-URGENT", "retired")
     kept = G.purge_pending(d.jobs, wf)
     return kept.groupBy("workflow_id", "workflow_version", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("accession_receipts", ("run_reports", "curation_rows"), _GROUPED + _CURATED + """
+, subs AS (SELECT DISTINCT trim(source_accession) AS accession FROM run_reports),
+ids AS (SELECT DISTINCT upper(collection_id) AS collection_id, sample_id FROM grouped),
+known AS (SELECT DISTINCT sample_id FROM curated),
+c AS (SELECT i.collection_id, count(*) AS samples_found,
+             count(*) FILTER (WHERE k.sample_id IS NULL) AS samples_added,
+             count(*) FILTER (WHERE k.sample_id IS NOT NULL) AS samples_existing
+      FROM ids i LEFT JOIN known k ON i.sample_id = k.sample_id GROUP BY i.collection_id),
+rc AS (SELECT s.accession, upper(s.accession) AS collection_id,
+        CASE WHEN starts_with(upper(trim(s.accession)), 'PRJ') THEN 'bioproject'
+             WHEN substr(upper(trim(s.accession)), 1, 3) IN ('SRP', 'ERP', 'DRP') THEN 'sra_study' END AS source,
+        coalesce(c.samples_found, 0) AS samples_found, coalesce(c.samples_added, 0) AS samples_added,
+        coalesce(c.samples_existing, 0) AS samples_existing
+      FROM subs s LEFT JOIN c ON c.collection_id = upper(s.accession))
+SELECT *, CASE WHEN source IS NULL THEN 'not a study/BioProject accession'
+               WHEN samples_found = 0 THEN 'no runs found' END AS error,
+       CASE WHEN source IS NULL OR samples_found = 0 THEN 'failed' ELSE 'dry_run' END AS status,
+       'project' AS type
+FROM rc
+""")
+def q_accession_receipts(d):
+    """U9 dry run: per submitted accession, source, samples found / new / already known to
+    the curated catalog, and the status; nothing is written."""
+    catalog, _ = curation_rows(d.curation_rows)
+    empty_c = d.spark.createDataFrame([], "collection_id string, source string, type string, "
+                                          "label string, created_at timestamp")
+    empty_m = d.spark.createDataFrame([], "collection_id string, sample_id string")
+    return G.register_accessions(d.run_reports, catalog.select("sample_id").distinct(), empty_c,
+                                 empty_m, "bench", dt.datetime(2026, 1, 1), dry_run=True)["receipts"]
+
+
+@register("bulk_sample_counters", ("curation_rows",), r"""
+, v AS (SELECT row_index, regexp_matches(trim(ncbi_accession), '\b[SED]RR\d+\b') AS ok,
+               nullif(trim(study_name), '') AS coll FROM curation_rows),
+cut AS (SELECT CASE WHEN count(*) >= 1000 THEN max(row_index) END AS c
+        FROM (SELECT row_index FROM v WHERE ok ORDER BY row_index LIMIT 1000) x),
+r AS (SELECT v.* FROM v, cut WHERE cut.c IS NULL OR v.row_index <= cut.c)
+SELECT count(*) FILTER (WHERE ok) AS registered, count(*) FILTER (WHERE NOT ok) AS skipped,
+       count(*) FILTER (WHERE ok AND coll IS NULL) AS unattached
+FROM r
+""")
+def q_bulk_sample_counters(d):
+    """Bulk registration of the sheet rows, capped at 1000 registered rows in row order."""
+    return G.ingest_sample_rows(d.curation_rows, limit=1000)["counters"]
