@@ -195,20 +195,25 @@ def _fold_partition(batches):
 def fold_jobs(events: DataFrame, runs: DataFrame, workflows: DataFrame) -> DataFrame:
     """L1-L4, L6, L7, L13 at job level: the final state of every claimed job.
 
-    A sentinel counts only when it arrives before its run ended (the job is detached
-    at the run's end); the fold checks that the job was attached to that run."""
+    A sentinel counts only when it arrives after the claim and before its run ended (the
+    job is detached at the run's end); the fold checks that the job was still attached
+    to that run."""
     keys = ["sample_id", "workflow_id", "workflow_version"]
     claims = (events.filter(F.col("event") == "claim")
               .select(*keys, "run_name", F.col("seq").alias("claim_seq")))
-    sentinels = (events.filter(F.col("event") == "sentinel")
-                 .groupBy("run_name", "sample_id").agg(F.min("seq").alias("sentinel_any")))
     r = runs.select("run_name", "end_seq", "expired", F.col("status").alias("run_status"))
     wf = workflows.select("workflow_id", F.col("version").alias("workflow_version"), "max_retries")
-    rows = (claims.join(r, "run_name", "left")
-            .join(sentinels, ["run_name", "sample_id"], "left")
-            .withColumn("sentinel_seq",
-                        F.when(F.col("sentinel_any") < F.coalesce(F.col("end_seq"), _big()),
-                               F.col("sentinel_any")))
+    c = claims.join(r, "run_name", "left")
+    # per claim: the first sentinel of its (run, sample) at or after the claim and before the
+    # run ended - only then can it complete the job this claim attached
+    sent = (events.filter(F.col("event") == "sentinel")
+            .select("run_name", "sample_id", F.col("seq").alias("s_seq")))
+    first_sent = (c.select(*keys, "run_name", "claim_seq", "end_seq")
+                  .join(sent, ["run_name", "sample_id"])
+                  .filter((F.col("s_seq") >= F.col("claim_seq"))
+                          & (F.col("s_seq") < F.coalesce(F.col("end_seq"), _big())))
+                  .groupBy(*keys, "run_name", "claim_seq").agg(F.min("s_seq").alias("sentinel_seq")))
+    rows = (c.join(first_sent, keys + ["run_name", "claim_seq"], "left")
             .join(wf, ["workflow_id", "workflow_version"], "left")
             .select(*keys, "run_name", "claim_seq", "sentinel_seq", "end_seq", "expired",
                     "run_status", "max_retries"))

@@ -170,3 +170,36 @@ def test_close_run_first_terminal_wins(spark):
     names = spark.createDataFrame([("a",), ("b",)], "run_name string")
     got = {r["run_name"]: r["status"] for r in L.close_runs(runs, names, "completed", NOW).collect()}
     assert got == {"a": "failed", "b": "completed"}
+
+
+def test_fold_edge_cases_match_simulation(spark):
+    """A sentinel that arrives before its run's claim, a claim while the job is held by
+    another run, a late sentinel after the run closed, and an expiry."""
+    rows = [
+        (1, "r1", "claim", "A", "wf", "v"), (2, "r2", "sentinel", "A", None, None),
+        (3, "r1", "completed", None, None, None),            # A swept: retry 1, pending
+        (4, "r2", "claim", "A", "wf", "v"), (5, "r2", "sentinel", "A", None, None),   # A completed
+        (10, "r3", "claim", "B", "wf", "v"), (11, "r4", "claim", "B", "wf", "v"),     # r4 claim ineffective
+        (12, "r4", "completed", None, None, None), (13, "r3", "failed", None, None, None),
+        (14, "r3", "sentinel", "B", None, None),             # late: ignored
+        (20, "r5", "claim", "C", "wf", "v"), (21, "r5", "expire", None, None, None),
+        (22, "r6", "claim", "C", "wf", "v"), (23, "r6", "submitted", None, None, None),
+        (30, "r7", "claim", "D", "wf", "v"), (31, "r7", "completed", None, None, None),
+        (32, "r8", "claim", "D", "wf", "v"), (33, "r8", "completed", None, None, None),   # D exhausts budget 1
+    ]
+    ev = spark.createDataFrame(
+        [(s, r, e, smp, w, v, None, dt.datetime(2026, 1, 1)) for s, r, e, smp, w, v in rows],
+        "seq long, run_name string, event string, sample_id string, workflow_id string, "
+        "workflow_version string, run_id string, utc_time timestamp")
+    wf = spark.createDataFrame([("wf", "v", "active", 1)],
+                               "workflow_id string, version string, status string, max_retries int")
+    runs, jobs, dlq = simulate([r.asDict() for r in ev.collect()], {"wf": 1})
+    run_state = L.fold_runs(ev)
+    assert {r["run_name"]: r["status"] for r in run_state.collect()} == runs
+    got = {r["sample_id"]: r for r in L.fold_jobs(ev, run_state, wf).collect()}
+    for k, j in jobs.items():
+        g = got[k[0]]
+        assert (g["status"], g["retry_count"], g["run_name"]) == (j["status"], j["retry"], j["run"]), k
+    assert {k for k, g in got.items() if g["dead_letter"]} == {k[0] for k in dlq}
+    assert got["A"]["status"] == "completed" and got["B"]["retry_count"] == 1
+    assert got["C"]["status"] == "submitted" and got["D"]["status"] == "failed"
