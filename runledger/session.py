@@ -20,6 +20,24 @@ BASE_CONF = {
 }
 
 
+# Sizing for a large cluster (about 100 TB of input, about 1000 executors). Shuffles start
+# wide and AQE coalesces them to ~256 MB partitions; scans split at 512 MB; a side is
+# broadcast only when its *measured* runtime size is under 64 MB; partitions more than
+# 5x the median and over 1 GB are split by the skew-join rule.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "8000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64m",
+    "spark.sql.files.maxPartitionBytes": "512m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1g",
+    "spark.sql.parquet.aggregatePushdown": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "20000",
+}
+
+
 def get_session(master: str | None = None, app: str = "runledger",
                 shuffle_partitions: int | None = None,
                 extra: dict[str, str] | None = None) -> SparkSession:
@@ -27,6 +45,8 @@ def get_session(master: str | None = None, app: str = "runledger",
     if master:
         builder = builder.master(master)
     conf = dict(BASE_CONF)
+    if not (master or "").startswith("local"):
+        conf.update(CLUSTER_CONF)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
