@@ -13,8 +13,9 @@ Two levels:
   counts only while the run is still merely claimed.
 * **Job level** (key ``(sample, workflow, version)``) depends on which earlier claims took
   effect (a job can only be claimed while pending), so it is a small sequential fold per
-  job. Rows are hash-partitioned by job, sorted, and streamed through ``mapInPandas``; a
-  job's rows (its claims and their runs' outcomes) are contiguous and folded together. A sweep adds one retry; a job fails - and is dead-lettered -
+  job. Jobs whose runs never overlap (each claim after the previous run ended) are folded
+  with window functions; the others are hash-partitioned by job, sorted, and streamed
+  through ``mapInPandas``, where a job's rows are contiguous and folded together. A sweep adds one retry; a job fails - and is dead-lettered -
   when its retry count passes ``max_retries``; an expiry detaches without penalty; a
   sentinel completes the job only while the job is still attached to that run.
 
@@ -26,7 +27,7 @@ from __future__ import annotations
 import datetime as dt
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -217,9 +218,50 @@ def fold_jobs(events: DataFrame, runs: DataFrame, workflows: DataFrame) -> DataF
             .join(wf, ["workflow_id", "workflow_version"], "left")
             .select(*keys, "run_name", "claim_seq", "sentinel_seq", "end_seq", "expired",
                     "run_status", "max_retries"))
-    # co-locate each job's rows and stream them in key order; no per-job Python call
-    return (rows.repartition(*keys).sortWithinPartitions(*keys, "claim_seq")
+    # Jobs whose runs are strictly sequential (every claim arrives after the previous run
+    # ended) take effect claim by claim: the fold is a few window functions. Only jobs with
+    # overlapping claims need the sequential Python fold.
+    w = Window.partitionBy(*keys).orderBy("claim_seq")
+    rows = rows.withColumn("_rn", F.row_number().over(w))
+    prev_end = F.lag("end_seq").over(w)
+    rows = rows.withColumn("_ok", (F.col("_rn") == 1) | (prev_end.isNotNull() & (prev_end < F.col("claim_seq"))))
+    rows = rows.withColumn("_seq", F.min(F.col("_ok").cast("int")).over(Window.partitionBy(*keys)) == 1)
+    fast = _fold_sequential(rows.filter("_seq"), keys)
+    slow = (rows.filter(~F.col("_seq")).drop("_rn", "_ok", "_seq")
+            # co-locate each job's rows and stream them in key order; no per-job Python call
+            .repartition(*keys).sortWithinPartitions(*keys, "claim_seq")
             .mapInPandas(_fold_partition, _JOB_OUT))
+    return fast.unionByName(slow)
+
+
+def _fold_sequential(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The job fold for jobs whose claims never overlap, as window functions."""
+    w = Window.partitionBy(*keys).orderBy("claim_seq")
+    done = F.col("sentinel_seq").isNotNull()
+    ended = F.col("end_seq").isNotNull()
+    swept = ended & ~done & ~F.coalesce(F.col("expired"), F.lit(False))
+    budget = F.coalesce(F.col("max_retries"), F.lit(0))
+    r = (rows.withColumn("_done", done).withColumn("_swept", swept)
+         .withColumn("_sweeps", F.sum(F.col("_swept").cast("long")).over(
+             w.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
+    terminal = F.col("_done") | (F.col("_swept") & (F.col("_sweeps") > budget))
+    r = r.withColumn("_term", F.min(F.when(terminal, F.col("_rn"))).over(Window.partitionBy(*keys)))
+    last = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("claim_seq")))
+    final = (r.filter(F.col("_term").isNull() | (F.col("_rn") <= F.col("_term")))
+             .withColumn("_last", last).filter("_last = 1"))
+    failed = F.col("_swept") & (F.col("_sweeps") > budget)
+    inflight = ~F.col("end_seq").isNotNull() & ~F.col("_done")
+    status = (F.when(F.col("_done"), F.lit("completed"))
+              .when(failed, F.lit("failed"))
+              .when(inflight, F.when(F.col("run_status").isin(*IN_FLIGHT_JOB), F.col("run_status"))
+                    .otherwise(F.lit("claimed")))
+              .otherwise(F.lit("pending")))
+    attached = F.col("_done") | failed | inflight
+    return final.select(
+        *keys, status.alias("status"), F.col("_sweeps").cast("long").alias("retry_count"),
+        F.when(attached, F.col("run_name")).alias("run_name"),
+        failed.alias("dead_letter"), F.when(failed, F.col("run_name")).alias("dead_letter_run"),
+        F.when(F.col("_done"), F.col("sentinel_seq")).cast("long").alias("completed_seq"))
 
 
 def dead_letters(job_state: DataFrame) -> DataFrame:
