@@ -226,6 +226,8 @@ def fold_jobs(events: DataFrame, runs: DataFrame, workflows: DataFrame) -> DataF
     prev_end = F.lag("end_seq").over(w)
     rows = rows.withColumn("_ok", (F.col("_rn") == 1) | (prev_end.isNotNull() & (prev_end < F.col("claim_seq"))))
     rows = rows.withColumn("_seq", F.min(F.col("_ok").cast("int")).over(Window.partitionBy(*keys)) == 1)
+    # both branches read the per-claim table; cut its lineage once (shared checkpoint dir)
+    rows = rows.checkpoint()
     fast = _fold_sequential(rows.filter("_seq"), keys)
     slow = (rows.filter(~F.col("_seq")).drop("_rn", "_ok", "_seq")
             # co-locate each job's rows and stream them in key order; no per-job Python call
