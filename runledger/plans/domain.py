@@ -468,6 +468,8 @@ class Domain:
             df = self._frames[name]
             if name in _SORT:
                 df = df.repartitionByRange(*_SORT[name]).sortWithinPartitions(*_SORT[name])
+            else:   # several files, so reads of the stand-in input are not one task
+                df = df.repartition(self.spark.sparkContext.defaultParallelism * 2)
             df.write.mode("overwrite").parquet(path)
             self._stored[name] = self.spark.read.parquet(path)
         return self._stored[name]

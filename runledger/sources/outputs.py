@@ -90,11 +90,17 @@ def _open_bytes(path: str) -> bytes | None:
         return None
 
 
-def fetch_outputs(paths: DataFrame, read_content: bool = True) -> DataFrame:
+def fetch_outputs(paths: DataFrame, read_content: bool = True,
+                  partitions: int | None = None) -> DataFrame:
     """S8 (+S16): add ``text`` (decoded content, NULL when missing or empty) and ``exists``.
 
     Runs on the executors; each task opens only its own paths through pyarrow's filesystem
-    layer (local, HDFS or object store URIs)."""
+    layer (local, HDFS or object store URIs). Path rows are tiny, so they are first spread
+    over an explicit number of partitions (by default 4 per core; an explicit count is
+    not coalesced by AQE): a batch of thousands of files is fetched by thousands of tasks,
+    not by the one or two partitions its keys happened to arrive in."""
+    n = partitions or paths.sparkSession.sparkContext.defaultParallelism * 4
+    paths = paths.repartition(n, "path")
     out_schema = T.StructType(paths.schema.fields + [T.StructField("exists", T.BooleanType()),
                                                      T.StructField("text", T.StringType())])
 
