@@ -6,8 +6,9 @@ domain table is defined here as a view over those tables. The views only shape r
 the schema the operators expect; none of an operator's work happens here.
 
 Each view is written once, in SQL that both Spark and DuckDB accept, so the Spark side and
-the DuckDB oracle read identical inputs. Two spots differ by dialect (JSON text extraction,
-string aggregation); they are filled from ``DIALECT``.
+the DuckDB oracle read identical inputs. A few spots differ by dialect (JSON text
+extraction, ordered string aggregation, zone-less timestamp construction); they are
+filled from ``DIALECT``. All timestamps are zone-less (UTC wall clock).
 """
 from __future__ import annotations
 
@@ -20,10 +21,10 @@ BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "li
                "conversations")
 
 DIALECT = {
-    "spark": {"json_k": "get_json_object(e.props, '$.k')",
+    "spark": {"json_k": "get_json_object(e.props, '$.k')", "mkts": "make_timestamp_ntz",
               "agg_lines": "array_join(transform(array_sort(collect_list(struct(pos, line))), "
                            "x -> x.line), chr(10))"},
-    "duckdb": {"json_k": "json_extract_string(e.props, '$.k')",
+    "duckdb": {"json_k": "json_extract_string(e.props, '$.k')", "mkts": "make_timestamp",
                "agg_lines": "string_agg(line, chr(10) ORDER BY pos, line)"},
 }
 
@@ -147,7 +148,7 @@ SELECT workflow_id, version,
          OR (workflow_id = 'amplicon' AND version = '2-HIGH') THEN 'active'
        WHEN version = '3-MEDIUM' THEN 'paused' ELSE 'retired' END AS status,
   CASE WHEN workflow_id = 'shotgun' THEN 2 ELSE 3 END AS max_retries,
-  make_timestamp(2024, 1, CAST(substr(version, 1, 1) AS INT), 0, 0, 0) AS created_at
+  {mkts}(2024, 1, CAST(substr(version, 1, 1) AS INT), 0, 0, 0) AS created_at
 FROM (SELECT DISTINCT CASE WHEN o_orderkey % 3 = 0 THEN 'amplicon' ELSE 'shotgun' END AS workflow_id,
                       o_orderpriority AS version
       FROM orders) v
@@ -196,7 +197,7 @@ SELECT 'S' || CAST(c_custkey AS STRING) AS sample_id,
   'SAMN' || CAST(c_custkey AS STRING) AS biosample_id,
   '{"subject": "' || c_name || '", "segment": "' || c_mktsegment || '", "cohort": "'
     || CASE WHEN c_custkey % 4 = 0 THEN 'pilot' ELSE 'main' END || '"}' AS metadata,
-  make_timestamp(2023, CAST(1 + c_custkey % 12 AS INT), CAST(1 + c_custkey % 28 AS INT),
+  {mkts}(2023, CAST(1 + c_custkey % 12 AS INT), CAST(1 + c_custkey % 28 AS INT),
                  CAST(c_nationkey % 24 AS INT), CAST(c_custkey % 60 AS INT), 0) AS created_at
 FROM customer
 """
@@ -204,15 +205,15 @@ FROM customer
 # Collections: one study per nation, one group per market segment, one empty one per region.
 DOMAIN_SQL["collections"] = """
 SELECT n_name AS collection_id, 'country' AS source, 'study' AS type, lower(n_name) AS label,
-  make_timestamp(2024, 2, CAST(1 + n_nationkey AS INT), 0, 0, 0) AS created_at
+  {mkts}(2024, 2, CAST(1 + n_nationkey AS INT), 0, 0, 0) AS created_at
 FROM nation
 UNION ALL
 SELECT DISTINCT c_mktsegment, 'segment', 'group', lower(c_mktsegment),
-  make_timestamp(2023, 6, CAST(length(c_mktsegment) AS INT), 0, 0, 0)
+  {mkts}(2023, 6, CAST(length(c_mktsegment) AS INT), 0, 0, 0)
 FROM customer
 UNION ALL
 SELECT r_name, 'region', 'group', lower(r_name),
-  make_timestamp(2022, 1, CAST(1 + r_regionkey AS INT), 0, 0, 0)
+  {mkts}(2022, 1, CAST(1 + r_regionkey AS INT), 0, 0, 0)
 FROM region
 """
 
@@ -227,8 +228,8 @@ SELECT c_mktsegment, 'S' || CAST(c_custkey AS STRING) FROM customer
 DOMAIN_SQL["agents"] = """
 SELECT s_name AS agent_id, 'host' || CAST(s_nationkey AS STRING) AS hostname,
   CASE s_suppkey % 6 WHEN 0 THEN '' WHEN 4 THEN 'shotgun' WHEN 5 THEN ' shotgun, metagenome ,' ELSE 'amplicon' END AS workflow_filter,
-  make_timestamp(2001, 7, 1, 0, 0, 0) AS started_at,
-  make_timestamp(2001, 8, 1, 0, CAST(s_suppkey % 6 AS INT), 0) AS last_seen_at
+  {mkts}(2001, 7, 1, 0, 0, 0) AS started_at,
+  {mkts}(2001, 8, 1, 0, CAST(s_suppkey % 6 AS INT), 0) AS last_seen_at
 FROM supplier
 """
 
@@ -370,14 +371,14 @@ FROM customer
 # fifth page and a re-create for every fifteenth, some delivered out of order.
 DOMAIN_SQL["object_notifications"] = """
 SELECT url AS key, 'create' AS event, CAST(length(html) AS BIGINT) AS size,
-  md5(html) AS etag, make_timestamp(2026, 1, CAST(1 + page_id % 28 AS INT), 0, 0, 0) AS event_time,
+  md5(html) AS etag, {mkts}(2026, 1, CAST(1 + page_id % 28 AS INT), 0, 0, 0) AS event_time,
   page_id * 4 AS seq FROM pages
 UNION ALL
 SELECT url, 'delete', CAST(NULL AS BIGINT), CAST(NULL AS STRING),
-  make_timestamp(2026, 2, CAST(1 + page_id % 28 AS INT), 0, 0, 0), page_id * 4 + 1 FROM pages WHERE page_id % 5 = 0
+  {mkts}(2026, 2, CAST(1 + page_id % 28 AS INT), 0, 0, 0), page_id * 4 + 1 FROM pages WHERE page_id % 5 = 0
 UNION ALL
 SELECT url, 'create', CAST(length(html) + 1 AS BIGINT), md5(url),
-  make_timestamp(2026, 3, CAST(1 + page_id % 28 AS INT), 0, 0, 0), page_id * 4 - 1 FROM pages WHERE page_id % 15 = 0
+  {mkts}(2026, 3, CAST(1 + page_id % 28 AS INT), 0, 0, 0), page_id * 4 - 1 FROM pages WHERE page_id % 15 = 0
 """
 
 # Taxon dimension keyed by (sgb_id, db_version): one row per SGB leaf of the profiles,
