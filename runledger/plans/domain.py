@@ -390,6 +390,38 @@ SELECT 't__SGB' || CAST(p_partkey AS STRING) AS sgb_id,
 FROM part WHERE p_size % 5 = 0
 """
 
+# Published bracken reports, one per (sample, version): a header row, then one row per
+# lineitem - species rows for even part sizes, genus rows (genus = brand) otherwise; every
+# 61st supplier's rows are cut short.
+DOMAIN_SQL["bracken_lines"] = """
+SELECT 'S' || CAST(o.o_custkey AS STRING) AS sample_id, 'shotgun' AS workflow_id,
+  o.o_orderpriority AS workflow_version,
+  CAST((l.l_orderkey * 8 + l.l_linenumber) * 100000 + l.l_partkey % 100000 AS BIGINT) AS pos,
+  CASE WHEN p.p_size % 2 = 0
+       THEN replace(p.p_name, ' ', '_') || chr(9) || CAST(p.p_partkey + 1000 AS STRING) || chr(9) || 'S'
+       ELSE p.p_brand || chr(9) || CAST(500 + CAST(substr(p.p_brand, 7) AS INT) AS STRING) || chr(9) || 'G' END
+  || chr(9) || CAST(CAST(l.l_quantity AS INT) AS STRING) || chr(9) || CAST(l.l_linenumber AS STRING)
+  || CASE WHEN l.l_suppkey % 61 = 0 THEN ''
+          ELSE chr(9) || CAST(CAST(l.l_quantity AS INT) * 10 + l.l_linenumber AS STRING)
+               || chr(9) || '0.' || CAST(100 + l.l_partkey % 900 AS STRING) END AS line
+FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN part p ON l.l_partkey = p.p_partkey
+UNION ALL
+SELECT DISTINCT 'S' || CAST(o_custkey AS STRING), 'shotgun', o_orderpriority, CAST(-1 AS BIGINT),
+  'name' || chr(9) || 'taxonomy_id' || chr(9) || 'taxonomy_lvl' || chr(9) || 'kraken_assigned_reads'
+  || chr(9) || 'added_reads' || chr(9) || 'new_est_reads' || chr(9) || 'fraction_total_reads'
+FROM orders
+"""
+
+DOMAIN_SQL["bracken_files"] = """
+SELECT sample_id, workflow_id, workflow_version, {agg_lines} AS text
+FROM bracken_lines GROUP BY sample_id, workflow_id, workflow_version
+"""
+
+# Species -> genus taxid of the profiles' species (genus = part brand).
+DOMAIN_SQL["genus_map"] = """
+SELECT p_partkey + 1000 AS ncbi_taxid, 500 + CAST(substr(p_brand, 7) AS INT) AS genus_taxid FROM part
+"""
+
 # ETL watermark: completed jobs of the active shotgun version whose id is a multiple of
 # three were already ingested.
 DOMAIN_SQL["etl_ingested"] = """
@@ -416,6 +448,7 @@ def cte_prefix(names, dialect: str = "duckdb") -> str:
 _DEPS = {
     "dead_letter": {"jobs"},
     "profile_files": {"profile_lines"},
+    "bracken_files": {"bracken_lines"},
     "etl_ingested": {"jobs"},
 }
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import etl as E
 from ..operators import taxa as X
+from ..sources import outputs as O
 from ..sources.outputs import parse_metaphlan, parse_qc
 from .registry import r2, register
 
@@ -225,3 +226,60 @@ def q_lineage_rollup(d):
     r = X.rollup_lineage(prof, d.taxa.select("sgb_id", "lineage"),
                          ["sample_id", "workflow_version", "branch"])
     return r.withColumn("relative_abundance", F.round("relative_abundance", 2))
+
+
+_BRACKEN = r"""
+, bf AS (SELECT sample_id, workflow_id, workflow_version, string_split(text, chr(10)) AS arr FROM bracken_files),
+bl AS (SELECT sample_id, workflow_id, workflow_version, unnest(arr) AS line, unnest(range(len(arr))) AS line_no,
+              list_filter(arr, lambda x: NOT regexp_matches(x, '^\s*$'))[1] AS first FROM bf),
+bv AS (SELECT *, string_split(line, chr(9)) AS f, string_split(first, chr(9)) AS h FROM bl
+       WHERE NOT regexp_matches(line, '^\s*$') AND line <> first),
+bracken AS (
+  SELECT sample_id, workflow_id, workflow_version, CAST(line_no AS INTEGER) AS line_no,
+    f[list_position(h, 'name')] AS clade_name,
+    CASE trim(f[list_position(h, 'taxonomy_lvl')]) WHEN 'D' THEN 'domain' WHEN 'K' THEN 'kingdom'
+      WHEN 'P' THEN 'phylum' WHEN 'C' THEN 'class' WHEN 'O' THEN 'order' WHEN 'F' THEN 'family'
+      WHEN 'G' THEN 'genus' WHEN 'S' THEN 'species' END AS rank,
+    CASE WHEN regexp_matches(trim(f[list_position(h, 'taxonomy_id')]), '^-?\d+$')
+          AND trim(f[list_position(h, 'taxonomy_id')]) <> '-1'
+         THEN TRY_CAST(trim(f[list_position(h, 'taxonomy_id')]) AS INTEGER) END AS ncbi_taxid,
+    CAST(trim(f[list_position(h, 'fraction_total_reads')]) AS DOUBLE) AS fraction_total_reads,
+    CAST(CASE WHEN regexp_matches(trim(f[list_position(h, 'new_est_reads')]), '^-?\d+$')
+          AND trim(f[list_position(h, 'new_est_reads')]) <> '-1'
+         THEN TRY_CAST(trim(f[list_position(h, 'new_est_reads')]) AS INTEGER) END AS BIGINT) AS estimated_reads
+  FROM bv WHERE len(f) >= len(h))
+"""
+
+
+@register("parse_bracken_reports", ("bracken_lines", "bracken_files"), _BRACKEN + "SELECT * FROM bracken")
+def q_parse_bracken_reports(d):
+    """S11 + F21: header-addressed bracken reports parsed per file; short rows dropped."""
+    return O.parse_bracken(d.bracken_files)
+
+
+@register("profiler_match", ("profile_lines", "profile_files", "bracken_lines", "bracken_files", "genus_map"),
+          _PARSED + _BRACKEN + """
+, mp AS (SELECT p.*, g.genus_taxid FROM parsed p LEFT JOIN genus_map g ON g.ncbi_taxid = p.ncbi_taxid
+         WHERE p.rank = 'species' AND p.branch = 'full_data'),
+sp AS (SELECT sample_id, workflow_id, workflow_version, ncbi_taxid, fraction_total_reads AS species_fraction
+       FROM bracken WHERE rank = 'species'),
+ge AS (SELECT sample_id, workflow_id, workflow_version, ncbi_taxid AS genus_taxid, fraction_total_reads AS genus_fraction
+       FROM bracken WHERE rank = 'genus')
+SELECT mp.sample_id, mp.workflow_version, mp.line_no, mp.clade_name, mp.ncbi_taxid, mp.genus_taxid,
+  sp.species_fraction, ge.genus_fraction,
+  CASE WHEN sp.species_fraction IS NOT NULL THEN 'species'
+       WHEN ge.genus_fraction IS NOT NULL THEN 'genus' ELSE 'unmatched' END AS match_level
+FROM mp
+LEFT JOIN sp ON sp.sample_id = mp.sample_id AND sp.workflow_id = mp.workflow_id
+  AND sp.workflow_version = mp.workflow_version AND sp.ncbi_taxid = mp.ncbi_taxid
+LEFT JOIN ge ON ge.sample_id = mp.sample_id AND ge.workflow_id = mp.workflow_id
+  AND ge.workflow_version = mp.workflow_version AND ge.genus_taxid = mp.genus_taxid
+""")
+def q_profiler_match(d):
+    """Profile species matched to bracken rows of the same sample on species taxid,
+    else on genus taxid, else unmatched (full_data branch)."""
+    prof = parse_metaphlan(_files(d)).filter(F.col("branch") == "full_data").drop("branch")
+    br = O.parse_bracken(d.bracken_files)
+    m = X.match_profilers(prof, br, d.genus_map)
+    return m.select("sample_id", "workflow_version", "line_no", "clade_name", "ncbi_taxid",
+                    "genus_taxid", "species_fraction", "genus_fraction", "match_level")
