@@ -422,6 +422,57 @@ DOMAIN_SQL["genus_map"] = """
 SELECT p_partkey + 1000 AS ncbi_taxid, 500 + CAST(substr(p_brand, 7) AS INT) AS genus_taxid FROM part
 """
 
+# Resistome reports per (sample, version): a '#'-prefixed header and space-padded numbers.
+DOMAIN_SQL["resistome_lines"] = """
+SELECT 'S' || CAST(o.o_custkey AS STRING) AS sample_id, 'shotgun' AS workflow_id,
+  o.o_orderpriority AS workflow_version,
+  CAST((l.l_orderkey * 8 + l.l_linenumber) * 100000 + l.l_partkey % 100000 AS BIGINT) AS pos,
+  'ARO:' || CAST(3000000 + l.l_partkey AS STRING) || '|' || replace(p.p_name, ' ', '-')
+  || chr(9) || '   ' || CAST(CAST(l.l_quantity AS INT) * 250 AS STRING)
+  || chr(9) || '     ' || CAST(l.l_linenumber * 10 AS STRING)
+  || chr(9) || '     ' || CAST(p.p_size * 20 AS STRING)
+  || chr(9) || '   ' || CAST(90 + l.l_linenumber AS STRING) || '.' || CAST(10 + p.p_size AS STRING)
+  || chr(9) || '  ' || CAST(50 + p.p_size AS STRING) || '.00'
+  || chr(9) || '   99.21' || chr(9) || '  100.00'
+  || chr(9) || '   ' || CAST(CAST(l.l_quantity AS INT) AS STRING) || '.' || CAST(l.l_linenumber AS STRING) || '0'
+  || chr(9) || '1.5' || chr(9) || '1.0e-26' AS line
+FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN part p ON l.l_partkey = p.p_partkey
+WHERE l.l_returnflag = 'R'
+UNION ALL
+SELECT DISTINCT 'S' || CAST(o_custkey AS STRING), 'shotgun', o_orderpriority, CAST(-1 AS BIGINT),
+  '#Template' || chr(9) || 'Score' || chr(9) || 'Expected' || chr(9) || 'Template_length' || chr(9)
+  || 'Template_Identity' || chr(9) || 'Template_Coverage' || chr(9) || 'Query_Identity' || chr(9)
+  || 'Query_Coverage' || chr(9) || 'Depth' || chr(9) || 'q_value' || chr(9) || 'p_value'
+FROM orders
+"""
+
+DOMAIN_SQL["resistome_files"] = """
+SELECT sample_id, workflow_id, workflow_version, {agg_lines} AS text
+FROM resistome_lines GROUP BY sample_id, workflow_id, workflow_version
+"""
+
+# Marker files per (sample, version): comment lines, then (marker, value) rows; some values
+# are not numbers and some rows have no value.
+DOMAIN_SQL["marker_lines"] = """
+SELECT 'S' || CAST(o.o_custkey AS STRING) AS sample_id, 'shotgun' AS workflow_id,
+  o.o_orderpriority AS workflow_version,
+  CAST((l.l_orderkey * 8 + l.l_linenumber) * 100000 + l.l_partkey % 100000 AS BIGINT) AS pos,
+  'UniRef90_' || CAST(l.l_partkey AS STRING)
+  || CASE WHEN l.l_suppkey % 41 = 0 THEN ''
+          WHEN l.l_suppkey % 43 = 0 THEN chr(9) || 'n/a'
+          ELSE chr(9) || CAST(l.l_linenumber AS STRING) || '.' || CAST(CAST(l.l_quantity AS INT) AS STRING) END AS line
+FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+WHERE l.l_linestatus = 'O'
+UNION ALL
+SELECT DISTINCT 'S' || CAST(o_custkey AS STRING), 'shotgun', o_orderpriority, CAST(-1 AS BIGINT), '#mpa_vJan25'
+FROM orders
+"""
+
+DOMAIN_SQL["marker_files"] = """
+SELECT sample_id, workflow_id, workflow_version, {agg_lines} AS text
+FROM marker_lines GROUP BY sample_id, workflow_id, workflow_version
+"""
+
 # ETL watermark: completed jobs of the active shotgun version whose id is a multiple of
 # three were already ingested.
 DOMAIN_SQL["etl_ingested"] = """
@@ -449,6 +500,8 @@ _DEPS = {
     "dead_letter": {"jobs"},
     "profile_files": {"profile_lines"},
     "bracken_files": {"bracken_lines"},
+    "resistome_files": {"resistome_lines"},
+    "marker_files": {"marker_lines"},
     "etl_ingested": {"jobs"},
 }
 

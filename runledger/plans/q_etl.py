@@ -283,3 +283,50 @@ def q_profiler_match(d):
     m = X.match_profilers(prof, br, d.genus_map)
     return m.select("sample_id", "workflow_version", "line_no", "clade_name", "ncbi_taxid",
                     "genus_taxid", "species_fraction", "genus_fraction", "match_level")
+
+
+@register("parse_resistome_reports", ("resistome_lines", "resistome_files"), r"""
+, rf AS (SELECT sample_id, workflow_id, workflow_version, string_split(text, chr(10)) AS arr FROM resistome_files),
+rl AS (SELECT sample_id, workflow_id, workflow_version, unnest(arr) AS line, unnest(range(len(arr))) AS line_no,
+              list_filter(arr, lambda x: NOT regexp_matches(x, '^\s*$'))[1] AS first FROM rf),
+rv AS (SELECT *, string_split(line, chr(9)) AS f,
+              list_transform(string_split(first, chr(9)), lambda x: trim(regexp_replace(x, '^#+', ''))) AS h
+       FROM rl WHERE NOT regexp_matches(line, '^\s*$') AND line <> first)
+SELECT sample_id, workflow_id, workflow_version, CAST(line_no AS INTEGER) AS line_no,
+  trim(f[list_position(h, 'Template')]) AS gene,
+  CAST(trim(f[list_position(h, 'Template_Coverage')]) AS DOUBLE) AS template_coverage,
+  CAST(trim(f[list_position(h, 'Template_Identity')]) AS DOUBLE) AS template_identity,
+  CAST(trim(f[list_position(h, 'Depth')]) AS DOUBLE) AS depth,
+  CAST(trim(f[list_position(h, 'Score')]) AS DOUBLE) AS score
+FROM rv WHERE len(f) >= len(h)
+""")
+def q_parse_resistome_reports(d):
+    """S12: '#'-header resistome reports with whitespace-padded numbers."""
+    return O.parse_resistome(d.resistome_files)
+
+
+_MARKERS = r"""
+, mf AS (SELECT sample_id, workflow_id, workflow_version, string_split(text, chr(10)) AS arr FROM marker_files),
+ml AS (SELECT sample_id, workflow_id, workflow_version, unnest(arr) AS line, unnest(range(len(arr))) AS line_no FROM mf),
+mv AS (SELECT *, string_split(line, chr(9)) AS f FROM ml
+       WHERE NOT regexp_matches(line, '^\s*$') AND NOT starts_with(line, '#'))
+"""
+
+
+@register("parse_marker_abundance", ("marker_lines", "marker_files"), _MARKERS + """
+SELECT sample_id, workflow_id, workflow_version, CAST(line_no AS INTEGER) AS line_no,
+       f[1] AS marker_name, TRY_CAST(f[2] AS DOUBLE) AS value
+FROM mv WHERE len(f) >= 2 AND TRY_CAST(f[2] AS DOUBLE) IS NOT NULL
+""")
+def q_parse_marker_abundance(d):
+    """Marker abundances; rows without a parsable value are skipped."""
+    return O.parse_marker_abundance(d.marker_files)
+
+
+@register("parse_marker_presence", ("marker_lines", "marker_files"), _MARKERS + """
+SELECT sample_id, workflow_id, workflow_version, CAST(line_no AS INTEGER) AS line_no, f[1] AS marker_name
+FROM mv WHERE f[1] <> ''
+""")
+def q_parse_marker_presence(d):
+    """Marker presence; a listed marker is present, the value is dropped."""
+    return O.parse_marker_presence(d.marker_files)
