@@ -473,6 +473,29 @@ SELECT sample_id, workflow_id, workflow_version, {agg_lines} AS text
 FROM marker_lines GROUP BY sample_id, workflow_id, workflow_version
 """
 
+# Wrapper / scheduler events of the runs, in arrival order, with receipt times: queue wait,
+# scheduler states (some without a reason), heartbeats and a wrapper exit per order.
+DOMAIN_SQL["run_events"] = """
+SELECT 'r' || CAST(o_orderkey % 500 AS STRING) AS run_name, o_orderkey * 10 AS seq, 'pre_nextflow' AS type,
+  CASE WHEN o_orderkey % 4 <> 0 THEN CAST(o_orderkey % 900 AS BIGINT) END AS wait_seconds,
+  CAST(NULL AS BIGINT) AS exit_code, CAST(NULL AS STRING) AS state, CAST(NULL AS STRING) AS reason,
+  o_orderdate AS received_at
+FROM orders
+UNION ALL
+SELECT 'r' || CAST(o_orderkey % 500 AS STRING), o_orderkey * 10 + 1, 'slurm_state', NULL, NULL,
+  CASE o_orderstatus WHEN 'O' THEN 'PENDING' WHEN 'P' THEN 'RUNNING' ELSE 'COMPLETED' END,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'Priority' END, o_orderdate + INTERVAL 1 HOUR
+FROM orders
+UNION ALL
+SELECT 'r' || CAST(o_orderkey % 500 AS STRING), o_orderkey * 10 + 2, 'heartbeat', NULL, NULL, NULL, NULL,
+  o_orderdate + INTERVAL 2 HOUR
+FROM orders
+UNION ALL
+SELECT 'r' || CAST(o_orderkey % 500 AS STRING), o_orderkey * 10 + 3, 'wrapper_exited', NULL,
+  CAST(o_orderkey % 3 AS BIGINT), NULL, NULL, o_orderdate + INTERVAL 3 HOUR
+FROM orders WHERE o_orderstatus = 'F'
+"""
+
 # ETL watermark: completed jobs of the active shotgun version whose id is a multiple of
 # three were already ingested.
 DOMAIN_SQL["etl_ingested"] = """

@@ -86,3 +86,32 @@ def q_watchdog_runs(d):
     """Run statuses after the heartbeat watchdog (submitted runs untouched)."""
     runs, _, _ = L.heartbeat_watchdog(d.workflow_runs, d.jobs, d.workflows, AS_OF)
     return runs.select("run_name", "status")
+
+
+@register("run_event_summary", ("run_events",), """
+SELECT run_name,
+  arg_max(wait_seconds, seq) FILTER (WHERE wait_seconds IS NOT NULL) AS wait_seconds,
+  arg_max(exit_code, seq) FILTER (WHERE type = 'wrapper_exited' AND exit_code IS NOT NULL) AS wrapper_exit_code,
+  max(received_at) AS last_heartbeat_at,
+  (arg_max({'s': state, 'r': reason}, seq) FILTER (WHERE type = 'slurm_state')).s AS slurm_state,
+  (arg_max({'s': state, 'r': reason}, seq) FILTER (WHERE type = 'slurm_state')).r AS slurm_reason,
+  bool_or(type = 'wrapper_started') AS started_by_wrapper
+FROM run_events GROUP BY run_name
+""")
+def q_run_event_summary(d):
+    """Per-run summary columns from wrapper/scheduler events in arrival order (last
+    non-NULL wait, last exit code, latest receipt, latest scheduler state and reason)."""
+    return L.apply_run_events(d.run_events)
+
+
+@register("etl_status", ("jobs", "etl_ingested"), """
+SELECT (SELECT count(*) FROM etl_ingested WHERE workflow_id = 'shotgun' AND workflow_version = '1-URGENT') AS ingested,
+       (SELECT count(*) FROM jobs j WHERE j.status = 'completed' AND j.workflow_id = 'shotgun'
+          AND j.workflow_version = '1-URGENT'
+          AND NOT EXISTS (SELECT 1 FROM etl_ingested w WHERE w.sample_id = j.sample_id
+                          AND w.workflow_id = j.workflow_id AND w.workflow_version = j.workflow_version)) AS backlog
+""")
+def q_etl_status(d):
+    """Samples ingested and the backlog of the active shotgun version."""
+    from ..operators import etl as E
+    return E.etl_status(d.jobs, d.etl_ingested, "shotgun", "1-URGENT")
