@@ -245,3 +245,26 @@ FROM r
 def q_bulk_sample_counters(d):
     """Bulk registration of the sheet rows, capped at 1000 registered rows in row order."""
     return G.ingest_sample_rows(d.curation_rows, limit=1000)["counters"]
+
+
+@register("agent_heartbeats", ("agents",), """
+, hb AS (SELECT agent_id, 'host-new' || hostname AS hostname, workflow_filter,
+                started_at + INTERVAL 1 DAY AS started_at, last_seen_at + INTERVAL 10 MINUTE AS last_seen_at
+         FROM agents WHERE length(agent_id) % 2 = 0),
+allrows AS (SELECT * FROM agents UNION ALL SELECT * FROM hb)
+SELECT agent_id, min(started_at) AS started_at,
+       arg_max({'h': hostname, 'w': workflow_filter, 'l': last_seen_at}, last_seen_at).h AS hostname,
+       arg_max({'h': hostname, 'w': workflow_filter, 'l': last_seen_at}, last_seen_at).w AS workflow_filter,
+       max(last_seen_at) AS last_seen_at
+FROM allrows GROUP BY agent_id
+""")
+def q_agent_heartbeats(d):
+    """A heartbeat batch upserted into the agent registry - the first start time is
+    kept, every other value comes from the latest heartbeat."""
+    a = d.agents
+    hb = (a.filter(F.length("agent_id") % 2 == 0)
+          .select("agent_id", F.concat(F.lit("host-new"), F.col("hostname")).alias("hostname"),
+                  "workflow_filter", (F.col("started_at") + F.expr("INTERVAL 1 DAY")).alias("started_at"),
+                  (F.col("last_seen_at") + F.expr("INTERVAL 10 MINUTES")).alias("last_seen_at")))
+    return G.latest_agents(a, hb).select("agent_id", "started_at", "hostname", "workflow_filter",
+                                         "last_seen_at")
