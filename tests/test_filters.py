@@ -34,3 +34,20 @@ def test_filter_pushdown(spark):
     f = MetricFilter(since=dt.datetime(2000, 1, 1), until=dt.datetime(2000, 12, 31))
     plan = f.apply(d.task_executions)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(l_shipdate), GreaterThanOrEqual(l_shipdate" in plan
+
+
+def test_event_date_partition_pruning(spark, tmp_path):
+    """A time window on a fact table partitioned by event_date prunes partitions."""
+    from pyspark.sql import functions as F
+    rows = [(i, dt.datetime(2024, 1, 1 + i % 20, i % 24)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, utc_time timestamp_ntz").withColumn("event_date", F.to_date("utc_time"))
+    path = str(tmp_path / "facts")
+    df.write.partitionBy("event_date").parquet(path)
+    facts = spark.read.parquet(path)
+    f = MetricFilter(since=dt.datetime(2024, 1, 5), until=dt.datetime(2024, 1, 7, 23))
+    out = f.apply(facts, keys=())
+    utils = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils
+    plan = utils.explainString(out._jdf.queryExecution(), "formatted")
+    part = [ln for ln in plan.splitlines() if ln.startswith("PartitionFilters:")]
+    assert part and "event_date" in part[0] and "2024-01-05" in part[0] and "2024-01-07" in part[0]
+    assert out.count() == sum(1 for _, t in rows if dt.datetime(2024, 1, 5) <= t <= dt.datetime(2024, 1, 7, 23))
