@@ -5,15 +5,16 @@
   and the flattened task facts. Each micro-batch writes under its own ``batch_id``
   directory in overwrite mode, so a replayed batch replaces its earlier output
   (exactly-once by batch id, not by content: duplicate events are kept, as the log does).
-* T2 ``running_stream``: per (run, task, process) flags in a stateful aggregation; the
-  per-process counts are the second level, computed on the state table's snapshot.
+* T2 ``running_state`` + ``running_by_process``: per (run, task, process) flags in a
+  stateful aggregation; the per-process counts are the second level, computed on a
+  snapshot of that state table.
 * T6 ``timeline_stream``: tumbling event-time windows with a watermark; weeks start on
   Monday (``startTime`` offset from the Thursday epoch).
 * T9 ``event_mix_stream``: running count per event type.
 * T3-T5, T7 ``run_state_stream``: a keyed state machine per run (``applyInPandasWithState``)
   with the guarded transitions and a processing-time timeout that fails a running run whose
   heartbeats stopped (T4) or expires a claim past its TTL (T5).
-* T8 ``etl_tick``: an ``availableNow`` style job - decide by backlog/age, then ingest.
+* T8 ``etl_tick``: one scheduled tick - decide by backlog/age, then ingest the next batch.
 """
 from __future__ import annotations
 
