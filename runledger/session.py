@@ -29,7 +29,9 @@ CLUSTER_CONF = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64m",
     "spark.sql.files.maxPartitionBytes": "512m",
-    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    # no broadcast from pre-execution estimates; AQE broadcasts a side once its shuffle
+    # output is measured under 64 MB
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1g",
