@@ -49,3 +49,19 @@ def test_run_state_timers_and_late_events(spark):
     assert final["stale"] == ("expired", "claim ttl")
     statuses = {r["status"] for r in spark.table("live_runs").collect() if r["run_name"] == "done"}
     assert statuses == {"completed"}
+
+
+def test_weekly_window_starts_monday(spark):
+    """The 7-day tumbling window with the Thursday-epoch offset equals date_trunc('week')."""
+    from pyspark.sql import functions as F
+    rows = [(dt.datetime(2024, 1, 1) + dt.timedelta(hours=13 * i), "COMPLETED" if i % 3 else "FAILED")
+            for i in range(120)]
+    df = spark.createDataFrame(rows, "utc_time timestamp_ntz, status string")
+    got = {r["bucket_start"].replace(tzinfo=None): (r["total"], r["failed"])
+           for r in S.timeline_stream(df, "week", late="3650 days").collect()}
+    want = {r["b"]: (r["total"], r["failed"]) for r in
+            df.groupBy(F.date_trunc("week", "utc_time").alias("b"))
+              .agg(F.count("*").alias("total"),
+                   F.count_if(F.col("status") == "FAILED").alias("failed")).collect()}
+    assert got == want
+    assert all(b.weekday() == 0 for b in got)
