@@ -70,3 +70,26 @@ def test_ratio_pct_half_up(spark):
 
 def test_tail_text(spark):
     assert one(spark, D.tail_text("x", 3), [("abcdef",), ("ab",)]) == ["def", "ab"]
+
+
+def test_misc_derived_columns(spark):
+    import datetime as dt
+    assert one(spark, D.run_id_or_sentinel("a", "b"), [(None, "r1"), ("u1", "r1")], "a string, b string") == \
+        ["pre-weblog:r1", "u1"]
+    assert one(spark, I.is_run_name("x"), [("r0a1b2c3d-0000-1111-2222-333344445555",), ("R0A1B2C3D00001111222233334444555" + "5",),
+                                           ("run1",), (None,)]) == [True, True, False, False]
+    assert one(spark, D.queue_wait("a", "b"), [("2026-01-01 00:00:00", "2026-01-01 00:01:30"),
+                                               ("2026-01-01 00:02:00", "2026-01-01 00:01:00"),
+                                               ("junk", "2026-01-01 00:00:00"), (None, None)],
+               "a string, b string") == [90, None, None, None]
+    assert one(spark, D.clamp_pct("a", "b"), [(3, 4), (5, 0), (-1, 2), (9, 3)], "a long, b long") == \
+        [75.0, 100.0, 0.0, 100.0]
+    assert one(spark, D.severity("x"), [(7.0,), (3.5,), (1.0,)], "x double") == ["high", "elevated", "normal"]
+    assert one(spark, D.severity("x", overview=True), [(3.5,), (4.5,)], "x double") == ["normal", "elevated"]
+    assert one(spark, D.publish_prefix("s3://m/", F.col("a"), F.col("b"), F.col("c")),
+               [("wf", "1.0", "s1")], "a string, b string, c string") == ["s3://m/wf/1.0/s1"]
+    as_of = dt.datetime(2026, 1, 10)
+    df = spark.createDataFrame(
+        [(1, 0, None), (1, 0, dt.datetime(2026, 1, 1)), (1, 0, dt.datetime(2026, 1, 9)), (1, 1, None), (0, 0, None)],
+        "samples_remaining long, samples_running long, last_completed_at timestamp_ntz")
+    assert [r[0] for r in df.select(D.is_stalled_collection(as_of)).collect()] == [True, True, False, False, False]
