@@ -1,41 +1,44 @@
 """Connected components of a large edge table by contraction."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import Scratch
+
 MAX_ROUNDS = 64
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """``edges(a long, b long)`` -> ``(node, component)``, component = its smallest node.
 
-    Each round hooks every node to its smallest neighbour, follows two such hooks and
+    Each round hooks every node to its smallest neighbour, follows one more such hook and
     contracts: edges are rewritten between the hooked nodes, so inner edges vanish. The
-    minimum is combined map-side, so a node with very many edges is no hot group. Every
-    round's small tables are checkpointed to the shared folder. Self-loops and nulls are
-    ignored; an empty table gives an empty result."""
-    e = (edges.filter("a is not null and b is not null and a <> b")
-         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint())
+    minimum is combined map-side, so a node with very many edges is no hot group. The
+    rounds' small tables are kept in the shared folder. Self-loops and nulls are ignored; an
+    empty table gives an empty result."""
+    scratch = Scratch(edges.sparkSession, "components")
+    e = scratch.keep(edges.filter("a is not null and b is not null and a <> b")
+                     .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     nodes = e.select(F.col("a").alias("node")).union(e.select("b")).distinct()
+    hooks = []
+    while not e.isEmpty():
+        if len(hooks) == MAX_ROUNDS:
+            raise RuntimeError("components did not converge")
+        hook = (e.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+                         .alias("x")).groupBy(F.col("x.a").alias("u")).agg(F.min("x.b").alias("m"))
+                .select("u", F.least("u", "m").alias("p")))
+        hook = scratch.keep(hook)
+        up = hook.select(F.col("u").alias("p"), F.col("p").alias("pp"))
+        hooks.append(hook.join(up, "p").select("u", F.col("pp").alias("p")))
+        to = hooks[-1]
+        e = scratch.keep(
+            e.join(to.select(F.col("u").alias("a"), F.col("p").alias("pa")), "a")
+            .join(to.select(F.col("u").alias("b"), F.col("p").alias("pb")), "b").filter("pa <> pb")
+            .select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
     labels = nodes.withColumn("component", F.col("node"))
-    for _ in range(MAX_ROUNDS):
-        if e.isEmpty():
-            break
-        both = e.select("a", "b").union(e.select(F.col("b"), F.col("a")))
-        hook = (both.groupBy("a").agg(F.min("b").alias("m"))
-                .select(F.col("a").alias("u"), F.least("a", "m").alias("p")))
-        for _ in range(2):
-            up = hook.select(F.col("u").alias("q"), F.col("p").alias("pp"))
-            hook = (hook.join(up, hook.p == up.q).select("u", F.col("pp").alias("p")))
-        hook = hook.checkpoint()
-        labels = (labels.join(hook.withColumnRenamed("u", "component"), "component", "left")
-                  .select("node", F.coalesce("p", "component").alias("component"))).checkpoint()
-        ha = hook.select(F.col("u").alias("a"), F.col("p").alias("pa"))
-        hb = hook.select(F.col("u").alias("b"), F.col("p").alias("pb"))
-        e = (e.join(ha, "a").join(hb, "b").filter("pa <> pb")
-             .select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
-             .distinct().checkpoint())
-    else:
-        raise RuntimeError("components did not converge")
-    return labels
+    return scratch.keep(reduce(
+        lambda t, h: t.join(h.withColumnRenamed("u", "component"), "component", "left")
+        .select("node", F.coalesce("p", "component").alias("component")), hooks, labels))

@@ -14,16 +14,16 @@ Method
    later by (size, id) probes with its own l; the earlier one is found by index entries,
    whose prefix may be shorter (``ceil(6n/7)`` common shingles are needed there at 0.75).
 3. *Classes of equal sets* are joined first, so only one document of each goes on.
-4. *Stars.* Per prefix shingle each document is paired with the list's first document and
-   with its predecessor by size, the most promising partners of each are verified exactly,
-   and the links found are contracted to components.
+4. *Stars.* Each list names a head, first the document with most shared shingles (the
+   original of a group of copies), then one drawn by a hash. Every document is verified
+   against the head it shares most with, and the links are contracted to components.
 5. *Rest.* Pairs from different components that share at least l prefix shingles, pass the
    size test and can still reach the threshold by the positions of their matches are
    verified exactly. Pairs inside one component need no check, as they cannot change the
    classes; so a group of thousands of near copies costs about its size, not its square.
 
-Common shingles are salted by their estimated count before the star windows. Nothing is
-capped: a shingle shared by many documents is only ordered late.
+List heads come from combined maxima and common shingles are salted, so no list is held in
+one task's memory. Nothing is capped: a shingle shared by many documents is only ordered late.
 
 Defined results: null or word-less texts have an empty set and link with nothing; a text
 shorter than a shingle is one shingle (its whole word sequence); rows that repeat an id are
@@ -32,7 +32,6 @@ an empty table gives no rows. Extra columns are ignored.
 """
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,17 +39,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from runledger.session import scratch_path
-
 from . import textops
 from .components import connected_components
+from .store import Scratch
 
 SKETCH_BITS = 18          # counters of the frequency sketch (a fixed 2 MB)
 SKETCH_PARTS = 32         # pieces in which tasks hand it over
 L_MAX = 4                 # longest prefix extension a document may choose
 VERIFY_COST = 8.0         # cost of a verification in posting entries
 VERIFY_ROWS = 64          # pairs whose sets are held at a time
-SALT_ROWS = 50_000        # posting entries of one shingle that a star window should hold
+SALTS = 16                # window groups of a shingle above the lowest frequency class
+STAR_ROUNDS = 2           # rounds that look for links by list heads
+STAR_SHARE = 0.4          # share of a prefix that a star pair must have in common
 NUM, DEN = 75, 100        # similarity threshold as a fraction
 
 
@@ -173,95 +173,112 @@ def _verify(num_words: int, num: int, den: int):
     return run
 
 
-def _links(pairs: DataFrame, docs: DataFrame, num_words: int, num: int, den: int) -> DataFrame:
-    """Verified pairs. Texts are fetched only for documents that stand in a pair."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.join(ids, "doc_id", "left_semi")
-    both = (pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
+def _links(pairs: DataFrame, texts: DataFrame, num_words: int, num: int, den: int) -> DataFrame:
+    """The pairs ``(a, b)`` that link."""
+    return (pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
             .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-            .select("a", "b", "ta", "tb"))
-    return both.mapInArrow(_verify(num_words, num, den), "a long, b long")
+            .select("a", "b", "ta", "tb").mapInArrow(_verify(num_words, num, den), "a long, b long"))
 
 
-def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                           num_words: int = textops.SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
-    """-> ``(doc_id long, n_shingles long, component_id long)``, one row per input row."""
-    spark = docs.sparkSession
-    folder = scratch_path(spark, f"jaccard-{uuid.uuid4().hex}")
-    docs = (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-            .filter("doc_id is not null"))
+def _with_components(post: DataFrame, links: DataFrame | None) -> DataFrame:
+    if links is None:
+        return post.withColumn("component", F.col("doc_id"))
+    comp = connected_components(links).select(F.col("node").alias("doc_id"), "component")
+    return (post.join(comp, "doc_id", "left")
+            .withColumn("component", F.coalesce("component", "doc_id")))
 
-    docs.mapInArrow(_scan(num_words), "doc_id long, n int, h1 long, h2 long, part int, counts binary") \
-        .write.parquet(f"{folder}/scan")
-    scan = spark.read.parquet(f"{folder}/scan")
+
+def _sketch(scan: DataFrame) -> np.ndarray:
+    """The summed count sketch: a fixed 2 MB, whatever the input."""
     pieces = (scan.filter("part is not null").select("part", "counts")
               .repartition(SKETCH_PARTS, "part").mapInArrow(_sum_parts, "part int, counts binary").collect())
-    sketch = np.zeros(1 << SKETCH_BITS, np.int64)                # fixed size, whatever the input
+    sketch = np.zeros(1 << SKETCH_BITS, np.int64)
     width = len(sketch) // SKETCH_PARTS
     for part, raw in pieces:
         sketch[part * width:(part + 1) * width] += np.frombuffer(raw, np.int64)
-    shared = spark.sparkContext.broadcast(sketch.tobytes())
+    return sketch
+
+
+def _postings(pre: DataFrame) -> DataFrame:
+    """``(tok, doc_id, n, ell, pos)`` without the entries that are alone under their shingle.
+
+    Shingles above the lowest frequency class are salted (their entries all stay), so that a
+    very common one is no single window group."""
+    post = pre.select("doc_id", "n", "ell", F.posexplode("toks").alias("pos", "tok"))
+    common = F.shiftrightunsigned("tok", 58) > 0
+    post = post.withColumn("salt", F.when(common, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(0).cast("int"))
+    group = Window.partitionBy("tok", "salt").orderBy("doc_id")
+    return (post.withColumn("prev", F.lag("doc_id").over(group)).withColumn("next", F.lead("doc_id").over(group))
+            .filter(F.col("prev").isNotNull() | F.col("next").isNotNull() | common)
+            .select("tok", "doc_id", "n", "ell", "pos"))
+
 
+def _star_pairs(post: DataFrame, num: int, den: int) -> DataFrame:
+    """Each document with the list head it shares most prefix shingles with.
+
+    ``post`` has ``prio``: the head of a list is its entry of highest priority. Heads are
+    found by a map-side combined maximum, so a common shingle is no hot group."""
+    heads = (post.groupBy("tok").agg(F.max(F.struct("prio", "doc_id", "n", "component")).alias("h"))
+             .select("tok", F.col("h.doc_id").alias("hd"), F.col("h.n").alias("hn"), F.col("h.component").alias("hc")))
+    near = (post.join(heads, "tok")
+            .filter(f"component <> hc and {den} * least(n, hn) >= {num} * greatest(n, hn)")
+            .groupBy("doc_id", "hd", "n").agg(F.count("*").alias("shared"))
+            .filter(F.col("shared") >= F.lit(STAR_SHARE * (1 - num / den)) * F.col("n"))
+            .groupBy("doc_id").agg(F.max(F.struct("shared", "hd")).alias("best")))
+    return near.select(F.least("doc_id", "best.hd").alias("a"), F.greatest("doc_id", "best.hd").alias("b")).distinct()
+
+
+def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                           num_words: int = textops.SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
+    """-> ``(doc_id long, n_shingles long, component_id long)``, one row per input row."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "jaccard")
+    docs = (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+            .filter("doc_id is not null"))
+    scan = scratch.keep(docs.mapInArrow(
+        _scan(num_words), "doc_id long, n int, h1 long, h2 long, part int, counts binary"))
+    shared = spark.sparkContext.broadcast(_sketch(scan).tobytes())
+
+    # one document for each class of equal sets
     sets = scan.filter("part is null").select("doc_id", "n", "h1", "h2")
     rep = sets.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"))
     reps = rep.select(F.col("rep").alias("doc_id")).distinct()
-
-    # postings of class representatives
     pre = docs.mapInArrow(_prefixes(num_words, shared, num, den), "doc_id long, n int, ell int, toks array<long>")
-    pre = pre.filter("n > 0").join(reps, "doc_id", "left_semi")
-    mean = max(1.0, float(sketch.mean()))
-    post = pre.select("doc_id", "n", "ell", F.posexplode("toks").alias("pos", "tok"))
-    # shingles of the highest classes: salt by the number of entries their class may have
-    cls = F.shiftrightunsigned("tok", 58)
-    salts = F.greatest(F.lit(1), F.ceil(F.pow(F.lit(2.0), (cls + 1) / 2) * (mean + 4 * mean ** 0.5) / SALT_ROWS))
-    post = post.withColumn("salt", F.when(cls == 0, F.lit(0))
-                           .otherwise(F.pmod(F.xxhash64("doc_id"), salts)).cast("int"))
-    lone = Window.partitionBy("tok", "salt").orderBy("n", "doc_id")
-    me = F.struct("n", "doc_id", "ell")
-    seen = post.select("*", F.first(me).over(lone).alias("head"), F.lag(me).over(lone).alias("prev"),
-                       F.lead("doc_id").over(lone).alias("next"))
-    # an entry alone under its shingle can match nothing (salted shingles are kept)
-    seen = seen.filter("prev is not null or next is not null or salt > 0 or shiftrightunsigned(tok, 58) > 0")
-    (seen.select("tok", "salt", "doc_id", "n", "ell", "pos", "head", "prev").write.parquet(f"{folder}/post"))
-    post = spark.read.parquet(f"{folder}/post")
-
-    star = post.filter("prev is not null").select(
-        "doc_id", "n", F.explode(F.array_distinct(F.array("head", "prev"))).alias("q"))
-    # heads of salted lists meet in a second window
-    tops = Window.partitionBy("tok").orderBy("n", "doc_id")
-    second = (post.filter("prev is null and shiftrightunsigned(tok, 58) > 0")
-              .select("doc_id", "n", F.lag(me).over(tops).alias("q")).filter("q is not null"))
-    star = (star.union(second).filter("q.doc_id <> doc_id")
-            .select(F.col("doc_id").alias("b"), "n", F.col("q.doc_id").alias("a"), F.col("q.n").alias("m"))
-            .filter(f"{den} * least(n, m) >= {num} * greatest(n, m)")
-            .groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max("n").alias("n")))
-    best = Window.partitionBy("b").orderBy(F.desc("shared"), "a")
-    star = star.withColumn("r", F.row_number().over(best)).filter("r <= 2").select("a", "b")
-    star = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    linked = _links(star, docs, num_words, num, den).checkpoint()
-    comp1 = connected_components(linked).select(F.col("node").alias("doc_id"), "component")
+    post = scratch.keep(_postings(pre.filter("n > 0").join(reps, "doc_id", "left_semi")))
+    # only documents with at least l shared prefix shingles can have a partner
+    matched = post.groupBy("doc_id", "n", "ell").agg(F.count("*").alias("m")).filter("m >= ell")
+    matched = scratch.keep(matched.select("doc_id", (F.col("m") / F.col("n")).alias("prio")))
+    texts = scratch.keep(docs.join(matched.select("doc_id").distinct(), "doc_id", "left_semi"))
+
+    # stars: the first heads are the documents with most shared shingles (a copied original),
+    # later ones are drawn by a hash
+    links = None
+    for turn in range(STAR_ROUNDS):
+        tagged = _with_components(post, links)
+        tagged = (tagged.join(matched.groupBy("doc_id").agg(F.max("prio").alias("prio")), "doc_id") if turn == 0
+                  else tagged.withColumn("prio", F.xxhash64("doc_id", F.lit(turn)).cast("double")))
+        found = scratch.keep(_links(_star_pairs(tagged, num, den), texts, num_words, num, den))
+        links = found if links is None else links.union(found)
 
     # pairs of different components that share at least the probe's l prefix shingles
-    tagged = (post.select("tok", "doc_id", "n", "ell", "pos").join(comp1, "doc_id", "left")
-              .withColumn("component", F.coalesce("component", "doc_id")))
+    tagged = scratch.keep(_with_components(post, links))
     mixed = (tagged.groupBy("tok").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
              .filter("lo <> hi").select("tok"))
-    tagged = tagged.join(mixed, "tok").checkpoint()
+    tagged = scratch.keep(tagged.join(mixed, "tok"))
     x = tagged.filter(f"pos < n - ceil({num} * n / {den}) + ell").select(
-        "tok", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("ell"), F.col("pos").alias("pb"),
+        "tok", F.col("doc_id").alias("b"), F.col("n").alias("nb"), "ell", F.col("pos").alias("pb"),
         F.col("component").alias("cb"))
     y = tagged.select("tok", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"),
                       F.col("component").alias("ca"))
-    need = f"ceil({num} * (na + nb) / {num + den})"
     pairs = (x.join(y, "tok").filter(
         f"ca <> cb and (na < nb or (na = nb and a < b)) and {den} * na >= {num} * nb "
         f"and pa < na - ceil({2 * num} * na / {num + den}) + ell")
         .groupBy("a", "b", "ell", "na", "nb")
-        .agg(F.count(F.lit(1)).alias("shared"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
-        .filter(f"shared >= ell and shared + least(na - pa - 1, nb - pb - 1) >= {need}")
+        .agg(F.count("*").alias("shared"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
+        .filter(f"shared >= ell and shared + least(na - pa - 1, nb - pb - 1) >= ceil({num} * (na + nb) / {num + den})")
         .select("a", "b").distinct())
-    more = _links(pairs, docs, num_words, num, den).checkpoint()
-    final = connected_components(linked.union(more)).select(F.col("node").alias("rep"), "component")
+    links = links.union(scratch.keep(_links(pairs, texts, num_words, num, den)))
+    final = connected_components(links).select(F.col("node").alias("rep"), "component")
     rep = rep.join(final, "rep", "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("c"))
     return (sets.join(rep, ["n", "h1", "h2"], "left")
             .select("doc_id", F.col("n").cast("long").alias("n_shingles"),
