@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join
+from . import jaccard_join, mixing, packing, sharding, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +24,12 @@ def register(name: str, oracle: str | None = None):
     return deco
 
 
+def tokenizer_file(name: str) -> str:
+    """Place of a public tokenizer's vocabulary file."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -53,3 +59,34 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN reach r ON r.doc_i
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents at Jaccard 0.75 over 5-word shingles."""
     return jaccard_join.near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
+@register("op10_consistent_hash_sharding")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents on 16 shards by a bounded-load consistent-hash ring, row counts at most
+    one apart."""
+    placed = sharding.shard_documents(table(spark, sf_dir, "documents"), 16)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
+@register("op1_toxicity")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labelled rows outside the held-out third."""
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(~held))
+    return toxicity.score(docs, model).select(
+        "doc_id", held.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+@register("op4_minimum_bin_slack_packing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into windows of 2048 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file(packing.TOKENIZER))
+
+
+@register("op9_source_mixing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated sampling of all documents by source, language and topic margins."""
+    return mixing.mixture(table(spark, sf_dir, "documents"))
