@@ -14,13 +14,17 @@ Method
    later by (size, id) probes with its own l; the earlier one is found by index entries,
    whose prefix may be shorter (``ceil(6n/7)`` common shingles are needed there at 0.75).
 3. *Classes of equal sets* are joined first, so only one document of each goes on.
-4. *Stars.* Each list names a head, first the document with most shared shingles (the
-   original of a group of copies), then one drawn by a hash. Every document is verified
-   against the head it shares most with, and the links are contracted to components.
+4. *Stars.* Each list names a head, the document with the largest share of shared shingles
+   (the original of a group of copies). Every document is tested against the head it shares
+   most with, and the links are contracted to components.
 5. *Rest.* Pairs from different components that share at least l prefix shingles, pass the
    size test and can still reach the threshold by the positions of their matches are
-   verified exactly. Pairs inside one component need no check, as they cannot change the
-   classes; so a group of thousands of near copies costs about its size, not its square.
+   tested. Pairs inside one component need no check, as they cannot change the classes; so
+   a group of thousands of near copies costs about its size, not its square.
+6. *Test.* Parity bitmaps of the sets rule out most pairs without their texts (the sets
+   differ in at least as many shingles as the bitmaps differ in bits). The others are tested
+   exactly on whole texts. Texts of documents in posting lists are found by an id filter of
+   fixed size, so no text is shuffled to find them; what passes it by chance is never used.
 
 List heads come from combined maxima and common shingles are salted, so no list is held in
 one task's memory. Nothing is capped: a shingle shared by many documents is only ordered late.
@@ -49,7 +53,8 @@ L_MAX = 4                 # longest prefix extension a document may choose
 VERIFY_COST = 8.0         # cost of a verification in posting entries
 VERIFY_ROWS = 64          # pairs whose sets are held at a time
 SALTS = 16                # window groups of a shingle above the lowest frequency class
-STAR_ROUNDS = 2           # rounds that look for links by list heads
+FILTER_BITS = 24          # bits of the id filter (a fixed 2 MB)
+PARITY_BITS = 2048        # bits of a document's parity bitmap
 STAR_SHARE = 0.4          # share of a prefix that a star pair must have in common
 NUM, DEN = 75, 100        # similarity threshold as a fraction
 
@@ -173,19 +178,65 @@ def _verify(num_words: int, num: int, den: int):
     return run
 
 
-def _links(pairs: DataFrame, texts: DataFrame, num_words: int, num: int, den: int) -> DataFrame:
-    """The pairs ``(a, b)`` that link."""
-    return (pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-            .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-            .select("a", "b", "ta", "tb").mapInArrow(_verify(num_words, num, den), "a long, b long"))
+def _id_slots(ids: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (textops.mix64(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
-def _with_components(post: DataFrame, links: DataFrame | None) -> DataFrame:
-    if links is None:
-        return post.withColumn("component", F.col("doc_id"))
-    comp = connected_components(links).select(F.col("node").alias("doc_id"), "component")
-    return (post.join(comp, "doc_id", "left")
-            .withColumn("component", F.coalesce("component", "doc_id")))
+def _filter_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        slot = _id_slots(batch.column(0).to_numpy())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array((slot >> 6).astype(np.int32)), pa.array(np.int64(1) << (slot & 63))], names=["word", "bits"])
+
+
+def _id_filter(ids: DataFrame) -> bytes:
+    """A filter of fixed size (2 MB) that every one of ``ids`` passes and few others do."""
+    words = (ids.mapInArrow(_filter_words, "word int, bits long")
+             .groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow())
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out.tobytes()
+
+
+def _fetch(num_words: int, filter_value):
+    """Task function: the texts that pass the filter, with their parity bitmap."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = np.frombuffer(filter_value.value, np.int64)
+        for batch in batches:
+            slot = _id_slots(batch.column(0).to_numpy())
+            batch = batch.filter(pa.array((words[slot >> 6] >> (slot & 63)) & 1 == 1))
+            data, offsets = textops.utf8(batch.column(1))
+            bits = []
+            for _, _, b, o in textops.chunks(data, offsets):
+                for s in textops.shingle_sets(b, o, num_words):
+                    odd = np.bincount((s & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
+                    bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+            flat = np.concatenate(bits) if bits else np.zeros(0, np.int64)
+            k = PARITY_BITS // 64
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1),
+                 pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * k), pa.array(flat))],
+                names=["doc_id", "text", "parity"])
+    return run
+
+
+def _links(pairs: DataFrame, texts: DataFrame, scratch: Scratch, num_words: int, num: int, den: int) -> DataFrame:
+    """The pairs ``(a, na, b, nb)`` that link, as ``(a, b)``.
+
+    Two sets differ in at least as many shingles as their parity bitmaps differ in bits, so
+    most pairs need no texts; the others are tested exactly."""
+    bits = texts.select("doc_id", "parity")
+    differ = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    near = (pairs.join(bits.select(F.col("doc_id").alias("a"), F.col("parity").alias("pa")), "a")
+            .join(bits.select(F.col("doc_id").alias("b"), F.col("parity").alias("pb")), "b")
+            .filter(differ <= F.expr(f"na + nb - 2 * ceil({num} * (na + nb) / {num + den})"))
+            .select("a", "b").distinct())
+    near = scratch.keep(near)
+    return scratch.keep(
+        near.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
+        .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+        .select("a", "b", "ta", "tb").mapInArrow(_verify(num_words, num, den), "a long, b long"))
 
 
 def _sketch(scan: DataFrame) -> np.ndarray:
@@ -216,16 +267,16 @@ def _postings(pre: DataFrame) -> DataFrame:
 def _star_pairs(post: DataFrame, num: int, den: int) -> DataFrame:
     """Each document with the list head it shares most prefix shingles with.
 
-    ``post`` has ``prio``: the head of a list is its entry of highest priority. Heads are
-    found by a map-side combined maximum, so a common shingle is no hot group."""
-    heads = (post.groupBy("tok").agg(F.max(F.struct("prio", "doc_id", "n", "component")).alias("h"))
-             .select("tok", F.col("h.doc_id").alias("hd"), F.col("h.n").alias("hn"), F.col("h.component").alias("hc")))
+    The head of a list is its entry of highest ``prio``. Heads are found by a map-side combined maximum, so a common shingle is no hot group."""
+    heads = (post.groupBy("tok").agg(F.max(F.struct("prio", "doc_id", "n")).alias("h"))
+             .select("tok", F.col("h.doc_id").alias("hd"), F.col("h.n").alias("hn")))
     near = (post.join(heads, "tok")
-            .filter(f"component <> hc and {den} * least(n, hn) >= {num} * greatest(n, hn)")
-            .groupBy("doc_id", "hd", "n").agg(F.count("*").alias("shared"))
+            .filter(f"doc_id <> hd and {den} * least(n, hn) >= {num} * greatest(n, hn)")
+            .groupBy("doc_id", "hd", "n", "hn").agg(F.count("*").alias("shared"))
             .filter(F.col("shared") >= F.lit(STAR_SHARE * (1 - num / den)) * F.col("n"))
-            .groupBy("doc_id").agg(F.max(F.struct("shared", "hd")).alias("best")))
-    return near.select(F.least("doc_id", "best.hd").alias("a"), F.greatest("doc_id", "best.hd").alias("b")).distinct()
+            .groupBy("doc_id").agg(F.max(F.struct("shared", "hd", "n", "hn")).alias("best")))
+    return near.select(F.col("doc_id").alias("a"), F.col("best.n").alias("na"),
+                       F.col("best.hd").alias("b"), F.col("best.hn").alias("nb"))
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -244,24 +295,20 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     rep = sets.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"))
     reps = rep.select(F.col("rep").alias("doc_id")).distinct()
     pre = docs.mapInArrow(_prefixes(num_words, shared, num, den), "doc_id long, n int, ell int, toks array<long>")
-    post = scratch.keep(_postings(pre.filter("n > 0").join(reps, "doc_id", "left_semi")))
-    # only documents with at least l shared prefix shingles can have a partner
-    matched = post.groupBy("doc_id", "n", "ell").agg(F.count("*").alias("m")).filter("m >= ell")
-    matched = scratch.keep(matched.select("doc_id", (F.col("m") / F.col("n")).alias("prio")))
-    texts = scratch.keep(docs.join(matched.select("doc_id").distinct(), "doc_id", "left_semi"))
-
-    # stars: the first heads are the documents with most shared shingles (a copied original),
-    # later ones are drawn by a hash
-    links = None
-    for turn in range(STAR_ROUNDS):
-        tagged = _with_components(post, links)
-        tagged = (tagged.join(matched.groupBy("doc_id").agg(F.max("prio").alias("prio")), "doc_id") if turn == 0
-                  else tagged.withColumn("prio", F.xxhash64("doc_id", F.lit(turn)).cast("double")))
-        found = scratch.keep(_links(_star_pairs(tagged, num, den), texts, num_words, num, den))
-        links = found if links is None else links.union(found)
+    post = _postings(pre.filter("n > 0").join(reps, "doc_id", "left_semi"))
+    # only documents with at least l shared prefix shingles can have a partner; those with the
+    # largest share of shared shingles (a copied original) become the heads of lists
+    own = Window.partitionBy("doc_id")
+    post = scratch.keep(post.withColumn("m", F.count("*").over(own)).filter("m >= ell")
+                        .select("tok", "doc_id", "n", "ell", "pos", (F.col("m") / F.col("n")).alias("prio")))
+    found = spark.sparkContext.broadcast(_id_filter(post.select("doc_id").distinct()))
+    texts = scratch.keep(docs.mapInArrow(_fetch(num_words, found), "doc_id long, text string, parity array<long>"))
+    links = _links(_star_pairs(post, num, den), texts, scratch, num_words, num, den)
 
     # pairs of different components that share at least the probe's l prefix shingles
-    tagged = scratch.keep(_with_components(post, links))
+    comp = connected_components(links).select(F.col("node").alias("doc_id"), "component")
+    tagged = (post.drop("prio").join(comp, "doc_id", "left")
+              .withColumn("component", F.coalesce("component", "doc_id")))
     mixed = (tagged.groupBy("tok").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
              .filter("lo <> hi").select("tok"))
     tagged = scratch.keep(tagged.join(mixed, "tok"))
@@ -276,8 +323,8 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
         .groupBy("a", "b", "ell", "na", "nb")
         .agg(F.count("*").alias("shared"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
         .filter(f"shared >= ell and shared + least(na - pa - 1, nb - pb - 1) >= ceil({num} * (na + nb) / {num + den})")
-        .select("a", "b").distinct())
-    links = links.union(scratch.keep(_links(pairs, texts, num_words, num, den)))
+        .select("a", "na", "b", "nb"))
+    links = links.union(_links(pairs, texts, scratch, num_words, num, den))
     final = connected_components(links).select(F.col("node").alias("rep"), "component")
     rep = rep.join(final, "rep", "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("c"))
     return (sets.join(rep, ["n", "h1", "h2"], "left")
