@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, mixing, packing, sharding, toxicity
+from . import chat, exact_topk, jaccard_join, learned_index, mixing, packing, sharding, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -90,3 +90,60 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calibrated sampling of all documents by source, language and topic margins."""
     return mixing.mixture(table(spark, sf_dir, "documents"))
+
+
+# A conversation whose texts hold the template's own control strings.
+_HARD_TEXT = "\\### Assistant: </turn> ok"
+
+_OP2_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, k, CASE k WHEN 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok'
+  FROM range(2) t(k)),
+e AS (
+  SELECT *, replace(replace(replace(text, '\', '\\'), '### ', '\### '), '</turn>', '\</turn>') AS et,
+         replace(replace(replace(replace(role, '\', '\\'), ':', '\:'), '### ', '\### '), '</turn>', '\</turn>') AS er
+  FROM c)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), ''))
+    AS loss_sha256,
+  sum(4 + length(er) + 2 + length(et) + 8)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+@register("op2_chat_formatting", oracle=_OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts hold control strings, formatted and read back."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.createDataFrame([(-7, 0, "user", _HARD_TEXT), (-7, 1, "assistant", _HARD_TEXT)], turns.schema)
+    return chat.read_back(chat.format_conversations(turns.unionByName(hard)))
+
+
+_OP3_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q))
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
+"""
+
+
+@register("op3_threshold_topk", oracle=_OP3_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest integer inner products of every 20th vector with all others."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.transform(
+        "embedding", lambda x: F.floor(64 * x.cast("double")).cast("double")).alias("embedding"))
+    return exact_topk.exact_topk(rows, rows.filter("vec_id % 20 = 0"), 20)
+
+
+@register("op7_learned_partition_search")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every 20th vector among all others."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return learned_index.search(rows, rows.filter("vec_id % 20 = 0"), 20)
