@@ -16,6 +16,7 @@ documents; a null id is kept; an empty table gives no rows; other columns are ig
 """
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -32,44 +33,109 @@ CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 EOS = 1
 RANK_ROWS = 20_000        # pieces that one numbering group should hold
-CACHE_WORDS = 400_000     # words a Python worker remembers
+CACHE_WORDS = 1_200_000   # words a Python worker remembers
 
-# Text made of these characters only is split with Python's ``re`` exactly as the tokenizer
-# splits it (no composition, one-to-one lower case); any other text goes to it as a whole.
-_PLAIN = re.compile("[^\t\n\r -~À-ÖØ-öø-įı-ſ]")
+# Texts made of these characters only (ASCII and most Latin letters up to U+017F) are split by
+# white space and then by ``_WORD`` exactly as the tokenizer splits them: they need no
+# composition and change case one to one. Any other text goes to the tokenizer as a whole.
 _WORD = re.compile(r"[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|(?:[^\w\s]|_)+")
+_OK = np.zeros(256, bool)
+_OK[[9, 10, 13, *range(32, 127), *range(0x80, 0xC0), 0xC3, 0xC4, 0xC5]] = True
+
+
+def _odd_texts(b: np.ndarray, o: np.ndarray) -> np.ndarray:
+    """Texts that need the tokenizer's own splitting."""
+    bad = ~_OK[b]
+    if len(b) > 1:
+        x, y = b[:-1], b[1:]
+        bad[:-1] |= ((x == 0xC3) & ((y == 0x97) | (y == 0xB7))) | ((x == 0xC4) & (y == 0xB0)) | ((x == 60) & (y == 124))
+    return np.unique(np.searchsorted(o, np.flatnonzero(bad), side="right") - 1)
+
+
+class _Ragged:
+    """Growing list of id sequences in flat arrays."""
+
+    def __init__(self):
+        self.flat, self.starts, self.lens, self.n, self.used = np.zeros(1 << 16, "<u4"), *np.zeros((2, 1 << 16), np.int64), 0, 0
+
+    def append(self, flat: np.ndarray, lens: np.ndarray) -> None:
+        while len(self.flat) < self.used + len(flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while len(self.lens) < self.n + len(lens):
+            self.starts, self.lens = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lens))
+        self.flat[self.used:self.used + len(flat)] = flat
+        self.lens[self.n:self.n + len(lens)] = lens
+        self.starts[self.n:self.n + len(lens)] = self.used + np.cumsum(lens) - lens
+        self.n, self.used = self.n + len(lens), self.used + len(flat)
+
+    def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the sequences, one after the other; their lengths)."""
+        lens = self.lens[which]
+        ends = np.cumsum(lens)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.repeat(self.starts[which] - (ends - lens), lens) + np.arange(total)], lens
 
 
 class WordTokens:
-    """Token ids of texts as little-endian uint32 bytes, with a cache of words."""
+    """Token ids of texts.
+
+    A word (run without white space) is known by a 64-bit hash and encoded once per worker:
+    it is split into the tokenizer's pieces, and each new piece goes through its bare model.
+    Both caches start anew when they are full."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        out: list = [None] * len(texts)
-        split = {}
-        for i, t in enumerate(texts):
-            if _PLAIN.search(t) or "<|" in t:
-                ids = self.tokenizer.encode(t, add_special_tokens=False).ids
-                out[i] = np.array(ids, "<u4").tobytes()
-            else:
-                split[i] = _WORD.findall(t.lower())
-        known = self.words
-        new = set().union(*split.values()).difference(known) if split else set()
+        self.bare = Tokenizer(self.tokenizer.model)
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        # the model's own names for the bytes of the characters of plain texts
+        self.names = str.maketrans({c: "".join(x for x, _ in level.pre_tokenize_str(c))
+                                    for c in map(chr, [*range(33, 127), *range(0xC0, 0x180)])})
+        self._clear()
+
+    def _clear(self) -> None:
+        self.index: dict[int, int] = {}
+        self.piece: dict[str, int] = {}
+        self.words, self.pieces = _Ragged(), _Ragged()
+
+    def _learn(self, words: list[str]) -> None:
+        split = [_WORD.findall(w.lower()) for w in words]
+        size, piece = len(self.piece), self.piece
+        at = np.fromiter((piece.setdefault(p, len(piece)) for parts in split for p in parts), np.int64)
+        new = list(itertools.islice(reversed(piece), len(piece) - size))[::-1]
         if new:
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                new = set().union(*split.values())
-            new = list(new)
-            for at in range(0, len(new), 10_000):
-                part = new[at:at + 10_000]
-                for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
-        for i, words in split.items():
-            out[i] = b"".join([known[w] for w in words])
+            got = self.bare.encode([p.translate(self.names) for p in new], is_pretokenized=True, add_special_tokens=False)
+            self.pieces.append(np.array(got.ids, "<u4"), np.bincount(np.array(got.word_ids), minlength=len(new)))
+        flat, lens = self.pieces.take(at)
+        count = np.fromiter(map(len, split), np.int64, len(split))
+        ends = np.concatenate([[0], np.cumsum(lens)])[np.concatenate([[0], np.cumsum(count)])]
+        self.words.append(flat, np.diff(ends))
+
+    def __call__(self, b: np.ndarray, o: np.ndarray) -> list[np.ndarray]:
+        """Ids of each text of a chunk."""
+        words = textops.Words(b, o)
+        out: list = [np.zeros(0, "<u4")] * (len(o) - 1)
+        if len(words.hashes):
+            known, first, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
+            if len(self.index) + len(known) > CACHE_WORDS:
+                self._clear()
+            index = self.index
+            hashes = known.tolist()
+            at = np.fromiter((index.get(h, -1) for h in hashes), np.int64, len(hashes))
+            new = np.flatnonzero(at < 0)
+            if len(new):
+                at[new] = np.arange(len(index), len(index) + len(new))
+                raw = b.tobytes()
+                self._learn([raw[s:e].decode("utf-8", "replace") for s, e in
+                             zip(words.starts[first[new]].tolist(), words.ends[first[new]].tolist())])
+                index.update(zip(known[new].tolist(), at[new].tolist()))
+            ids, lens = self.words.take(at[inverse])
+            cuts = np.concatenate([[0], np.cumsum(lens)])[words.bounds].tolist()
+            out = [ids[s:e] for s, e in zip(cuts[:-1], cuts[1:])]
+        for i in _odd_texts(b, o).tolist():
+            text = b[o[i]:o[i + 1]].tobytes().decode("utf-8", "replace")
+            out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
         return out
 
 
@@ -91,12 +157,10 @@ def _cut(path: str, capacity: int, with_ids: bool):
         for batch in batches:
             ids = batch.column(0)
             data, offsets = textops.utf8(batch.column(1))
-            for i, j, b, o in textops.chunks(data, offsets):
-                raw = b.tobytes()
-                texts = [raw[s:e].decode("utf-8", "replace") for s, e in zip(o[:-1].tolist(), o[1:].tolist())]
+            for i, j, b, o in textops.chunks(data, offsets, 2 * textops.CHUNK_BYTES):
                 row, start, length, crc, total, parts = [], [], [], [], [], []
-                for k, got in enumerate(tokens(texts)):
-                    got += end
+                for k, got in enumerate(tokens(b, o)):
+                    got = got.tobytes() + end
                     n = len(got) // 4
                     for s in range(0, n, capacity):
                         piece = got[4 * s:4 * (s + capacity)]
