@@ -29,7 +29,7 @@ from . import vectors
 SAMPLE_ROWS = 4_096       # expected size of the sample
 NEIGHBOURS = 10           # edges per vector of the sample's graph
 PARTS = 16
-PROBES = 6                # parts that a query visits
+PROBES = 14               # parts that a query visits; unclustered data needs most of them
 HIDDEN = 64
 EPOCHS = 150
 
