@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_topk, jaccard_join, learned_index, mixing, packing, sharding, toxicity
+from . import (chat, exact_topk, html_text, jaccard_join, learned_index, mixing, packing, sharding, token_counts,
+               toxicity)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -147,3 +148,16 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest found of every 20th vector among all others."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return learned_index.search(rows, rows.filter("vec_id % 20 = 0"), 20)
+
+
+@register("op5_html_visible_text")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of every page, laid out."""
+    return html_text.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@register("op8_unigram_token_counts")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document under a public vocabulary read as a unigram model."""
+    vocab = token_counts.vocabulary(tokenizer_file(token_counts.MODEL))
+    return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), vocab).drop("text")

@@ -83,7 +83,6 @@ class Words:
         if n == 0:
             self.hashes, self.bounds = np.zeros(0, np.uint64), np.zeros(docs + 1, np.int64)
             return
-        store = worker_store()
         sep = self._sep[data]
         opens, shuts = sep.copy(), sep.copy()
         opens[1:], opens[0] = sep[:-1], True
@@ -93,22 +92,27 @@ class Words:
         shuts[(edge - 1)[1:]] = True
         starts = np.flatnonzero(opens & ~sep)
         ends = np.flatnonzero(shuts & ~sep) + 1
-        table = store.get("byte_table")
-        if table is None:
-            table = seeded(256, 7)
-            fold = np.arange(256)
-            fold[65:91] += 32                      # only A-Z
-            table = store["byte_table"] = table[fold]
-        powers, inverse = _powers(n)
-        with np.errstate(over="ignore"):
-            sums = np.zeros(n + 1, np.uint64)
-            np.cumsum(table[data] * powers[:n], out=sums[1:])
-            h = (sums[ends] - sums[starts]) * inverse[starts]
-            self.hashes = mix64(h + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        self.hashes = span_hashes(data, starts, ends, fold=True)
         self.starts, self.ends = starts, ends
         self.bounds = np.searchsorted(starts, offsets).astype(np.int64)
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool) -> np.ndarray:
+    """A 64-bit hash of each span of bytes; ``fold``: A-Z count as a-z."""
+    store = worker_store()
+    if ("bytes", fold) not in store:
+        order = np.arange(256)
+        if fold:
+            order[65:91] += 32
+        store["bytes", fold] = seeded(256, 7)[order]
+    powers, inverse = _powers(len(data) + 1)
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(store["bytes", fold][data] * powers[:len(data)], out=sums[1:])
+        h = (sums[ends] - sums[starts]) * inverse[starts]
+        return mix64(h + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number modulo 2^64 and of its inverse, at least n of each."""
     store = worker_store()
