@@ -7,8 +7,8 @@ than there is. Raking multiplies one factor per source, language and topic until
 expected tokens ``tokens * min(1, product of factors)`` meet all margins. A document is kept
 with its cell's calibrated probability, by a hash of its id, so a rerun keeps the same.
 
-Cells, margins and factors stay Spark tables; sums are combined map-side, so a source with a
-third of all rows is no hot group. A document's text is never shuffled: cells join back by
+Cells, margins and factors stay Spark tables; token sums are combined map-side, so a source
+with a third of all rows is no hot group. A document's text is never shuffled: cells join back by
 their key, and Spark broadcasts them only if their stored size is under its threshold.
 
 Topics, where the input has none, come from spherical k-means over hashed word counts, fitted
@@ -25,7 +25,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textops
@@ -37,6 +37,8 @@ BUCKETS = 1024            # hashed words
 BUDGET = 0.6              # share of all tokens to keep
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.7}
 SWEEPS = 24
+SWEEPS_KEPT = 4           # sweeps in one job
+CELL_ROWS = 100_000       # cells that one task holds
 TOLERANCE = 2e-3
 GRID = 64
 
@@ -107,56 +109,62 @@ def annotate(docs: DataFrame, centers: np.ndarray, text_col: str = "text") -> Da
     return docs.mapInArrow(_topics(shared, docs.columns.index(text_col)), schema)
 
 
+def _compact(cells: DataFrame) -> DataFrame:
+    """Cells in as few partitions as their count asks for (one for CELL_ROWS cells)."""
+    return cells.coalesce(max(1, -(-cells.count() // CELL_ROWS)))
+
+
 def margin_targets(cells: DataFrame, dim: str, budget: float, power: float) -> DataFrame:
     """``(dim, target)``: ``min(t, scale * t**power)`` with the scale that spends the budget.
 
     The scale is bracketed three times by one aggregation over a grid of candidates."""
     t = cells.groupBy(dim).agg(F.sum("tokens").cast("double").alias("t")).filter("t > 0")
-    lo, hi = t.agg(F.min(F.pow("t", 1 - power)), F.max(F.pow("t", 1 - power))).first()
-    if lo is None:
-        return t.select(dim, F.lit(0.0).alias("target"))
+    hi = t.agg(F.max(F.pow("t", 1 - power))).first()[0]
     lo = 0.0
-    for _ in range(3):
+    for _ in range(3 if hi else 0):
         steps = [lo + (hi - lo) * k / GRID for k in range(GRID + 1)]
-        spent = (t.select("t", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(s).alias("s"))
-                                                   for k, s in enumerate(steps)])).alias("x"))
-                 .groupBy("x.k").agg(F.sum(F.least(F.col("t"), F.col("x.s") * F.pow("t", power))).alias("sum")))
-        k = spent.filter(F.col("sum") <= budget * (1 + 1e-12)).agg(F.max("k")).first()[0] or 0
+        spent = t.agg(F.array(*[F.sum(F.least(F.col("t"), F.lit(x) * F.pow("t", power))) for x in steps])).first()[0]
+        k = max([i for i, x in enumerate(spent) if x <= budget * (1 + 1e-12)], default=0)
         lo, hi = steps[k], steps[min(k + 1, GRID)]
     return t.select(dim, F.least(F.col("t"), F.lit(lo) * F.pow("t", power)).alias("target"))
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS,
          tolerance: float = TOLERANCE) -> DataFrame:
-    """Cells with ``probability``: the margins' factors multiplied, at most 1."""
+    """Cells with ``probability``: the margins' factors multiplied, at most 1.
+
+    A sweep scales every margin in turn; its sums are windows over the cells. After every
+    ``SWEEPS_KEPT`` sweeps the cells are stored and the last corrections tested."""
     scratch = Scratch(cells.sparkSession, "rake")
     factors = {d: f"f_{i}" for i, d in enumerate(targets)}
-    expected = F.col("tokens") * F.least(F.lit(1.0), reduce(lambda a, b: a * b, [F.col(f) for f in factors.values()]))
+    product = reduce(lambda a, b: a * b, [F.col(f) for f in factors.values()])
+    expected = F.col("tokens") * F.least(F.lit(1.0), product)
     for d, goal in targets.items():
         goal = goal.select(F.col(d).alias("__d"), F.col("target").alias(f"t_{factors[d]}"))
         cells = cells.join(goal, cells[d].eqNullSafe(goal["__d"]), "left").drop("__d")
-    cells = scratch.keep(cells.withColumns({f: F.lit(1.0) for f in factors.values()}))
-    for _ in range(sweeps):
-        step = cells
-        for d, f in factors.items():
-            sums = step.groupBy(F.col(d).alias("__d")).agg(F.sum(expected).alias("__s"))
-            ratio = F.when(F.col("__s") > 0, F.col(f"t_{f}") / F.col("__s"))
-            step = (step.join(sums, step[d].eqNullSafe(sums["__d"]), "left")
-                    .withColumn(f"r_{f}", F.coalesce(ratio, F.lit(1.0)))
-                    .withColumn(f, F.least(F.lit(1e9), F.greatest(F.lit(1e-9), F.col(f) * F.col(f"r_{f}"))))
-                    .drop("__d", "__s"))
+    cells = scratch.keep(_compact(scratch.keep(cells.withColumns({f: F.lit(1.0) for f in factors.values()}))))
+    parts = max(1, -(-cells.count() // CELL_ROWS))
+    done = 0
+    while done < sweeps:
+        step = cells.coalesce(parts)
+        for _ in range(min(SWEEPS_KEPT, sweeps - done)):
+            for d, f in factors.items():
+                total = F.sum(expected).over(Window.partitionBy(d))
+                step = step.withColumn(f"r_{f}", F.coalesce(F.when(total > 0, F.col(f"t_{f}") / total), F.lit(1.0)))
+                step = step.withColumn(f, F.least(F.lit(1e9), F.greatest(F.lit(1e-9), F.col(f) * F.col(f"r_{f}"))))
+            done += 1
         step = scratch.keep(step)
-        off = step.agg(*[F.max(F.abs(F.col(f"r_{f}") - 1)).alias(f) for f in factors.values()]).first()
+        off = step.agg(*[F.max(F.abs(F.col(f"r_{f}") - 1)) for f in factors.values()]).first()
         cells = step.drop(*[f"r_{f}" for f in factors.values()])
         if all(x is None or x < tolerance for x in off):
             break
-    product = reduce(lambda a, b: a * b, [F.col(f) for f in factors.values()])
     return cells.select(*targets, "tokens", F.when(F.col("tokens") > 0, F.least(F.lit(1.0), product))
                         .otherwise(1.0).alias("probability"))
 
 
 def calibrated_cells(cells: DataFrame, budget: float = BUDGET, powers: dict[str, float] = POWERS) -> DataFrame:
     """Sampling probability per cell. ``cells``: one row per cell, the margins' columns and ``tokens``."""
+    cells = Scratch(cells.sparkSession, "cells").keep(_compact(cells))
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     return rake(cells, {d: margin_targets(cells, d, budget * total, p) for d, p in powers.items()})
 
