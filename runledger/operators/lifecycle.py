@@ -3,7 +3,7 @@
 The event log has one row per lifecycle event with its arrival sequence ``seq``:
 ``claim`` (one row per job claimed into a run), ``submitted``, ``started``, ``sentinel``
 (a sample's MARK_COMPLETE task finished), ``completed`` / ``failed`` (the run closed) and
-``expire`` (the claim outlived its TTL).
+``expire`` (the claim outlived its TTL). ``lifecycle_log`` derives that log from telemetry.
 
 Two levels:
 
@@ -12,12 +12,13 @@ Two levels:
   counts only while the run is claimed/submitted, the first terminal write wins, an expiry
   counts only while the run is still merely claimed.
 * **Job level** (key ``(sample, workflow, version)``) depends on which earlier claims took
-  effect (a job can only be claimed while pending), so it is a small sequential fold per
-  job. Jobs whose runs never overlap (each claim after the previous run ended) are folded
-  with window functions; the others are hash-partitioned by job, sorted, and streamed
-  through ``mapInPandas``, where a job's rows are contiguous and folded together. A sweep adds one retry; a job fails - and is dead-lettered -
-  when its retry count passes ``max_retries``; an expiry detaches without penalty; a
-  sentinel completes the job only while the job is still attached to that run.
+  effect (a job can only be claimed while pending), so it is a sequential fold per job. Every
+  claim is joined with the events of its run, rows are hash-partitioned by job, sorted by
+  arrival and streamed through ``mapInPandas``; the state of one job is a few values, so a
+  job may have any number of events. Each event applies a guarded update: it acts only on
+  jobs that are attached to that run and in a state the update accepts. A sweep adds one
+  retry; a job fails - and is dead-lettered - when its retry count passes ``max_retries``; an
+  expiry detaches without penalty.
 
 State-table operators (watchdog, TTL, resets, dead-letter requeue) apply the same rules to
 the current tables.
@@ -35,6 +36,7 @@ TERMINAL_RUN = ("completed", "failed", "expired")
 IN_FLIGHT_JOB = ("claimed", "submitted", "running")
 CLAIM_TTL_MINUTES = 5
 SWEEP_REASON = "run ended without completing this sample"
+SENTINEL_PROCESS = "MARK_COMPLETE"
 
 _BIG_SEQ = 2 ** 62
 
@@ -43,10 +45,38 @@ def _big():
     return F.lit(_BIG_SEQ)
 
 
-def fold_runs(events: DataFrame) -> DataFrame:
-    """L1-L3, L5, L7, L13 at run level: one row per run with its effective state."""
+def lifecycle_log(telemetry: DataFrame, run_events: DataFrame, claims: DataFrame) -> DataFrame:
+    """The lifecycle log from what the producers send.
+
+    ``telemetry``: weblog events (run_name, event, trace, run_id, sample_id, utc_time, seq);
+    ``run_events``: wrapper events (run_name, type, utc_time, seq); ``claims``: dispatch
+    records (run_name, sample_id, workflow_id, workflow_version, utc_time, seq). A weblog
+    ``started`` starts the run, ``completed`` closes it, and a completed task whose process
+    ends in the sentinel name completes its sample; a ``wrapper_started`` submits the run."""
+    none = F.lit(None).cast("string")
+    process, status = (F.get_json_object("trace", f"$['{k}']") for k in ("process", "status"))
+    sentinel = ((F.col("event") == "process_completed") & process.endswith(SENTINEL_PROCESS)
+                & (status == "COMPLETED") & (F.coalesce(F.col("sample_id"), F.lit("")) != ""))
+    kind = (F.when(F.col("event").isin("started", "completed"), F.col("event")).when(sentinel, F.lit("sentinel")))
+    log = telemetry.select("seq", "run_name", kind.alias("event"), F.when(sentinel, F.col("sample_id")).alias("sample_id"),
+                           none.alias("workflow_id"), none.alias("workflow_version"), "run_id", "utc_time")
+    wrapper = (run_events.filter(F.col("type") == "wrapper_started")
+               .select("seq", "run_name", F.lit("submitted").alias("event"), none.alias("sample_id"),
+                       none.alias("workflow_id"), none.alias("workflow_version"), none.alias("run_id"), "utc_time"))
+    claimed = claims.select("seq", "run_name", F.lit("claim").alias("event"), "sample_id", "workflow_id",
+                            "workflow_version", none.alias("run_id"), "utc_time")
+    return log.filter("event is not null").unionByName(wrapper).unionByName(claimed)
+
+
+def fold_runs(events: DataFrame, guards: bool = False) -> DataFrame:
+    """L1-L3, L5, L7, L13 at run level: one row per run with its effective state.
+
+    ``guards`` adds the arrivals of the submit and the expiry that took effect."""
     ev = F.col("event")
     seq = F.col("seq")
+    # a run exists from its first claim on; what arrives before finds no run
+    claim = F.min(F.when(ev == "claim", seq)).over(Window.partitionBy("run_name"))
+    events = events.withColumn("_claim", claim).filter(seq >= F.col("_claim")).drop("_claim")
 
     def first(kind):
         return F.min(F.when(ev.isin(*kind) if isinstance(kind, tuple) else ev == kind, seq))
@@ -93,9 +123,14 @@ def fold_runs(events: DataFrame) -> DataFrame:
               .when(F.col("start_seq").isNotNull(), F.lit("running"))
               .when(submit_eff, F.lit("submitted"))
               .otherwise(F.lit("claimed")))
-    return g.select("run_name", "run_id", status.alias("status"), "claim_seq", "end_seq",
-                    "claimed_at", "started_at", "closed_at",
-                    F.col("expire_seq").isNotNull().alias("expired"))
+    # the submit that found the run still claimed
+    submit = F.when(F.col("submit_seq") < F.least(F.coalesce("start_seq_any", _big()), F.coalesce("end_seq", _big())),
+                    F.col("submit_seq"))
+    out = g.select("run_name", "run_id", status.alias("status"), "claim_seq", "end_seq",
+                   "claimed_at", "started_at", "closed_at",
+                   F.col("expire_seq").isNotNull().alias("expired"), submit.alias("submit_seq"),
+                   "expire_seq")
+    return out if guards else out.drop("submit_seq", "expire_seq")
 
 
 _JOB_OUT = T.StructType([
@@ -114,156 +149,83 @@ _JOB_OUT = T.StructType([
 _KEYS = ["sample_id", "workflow_id", "workflow_version"]
 
 
-def _fold_one(key, rows) -> dict:
-    """Sequential rules for one job. ``rows``: its claims (claim_seq, run_name, sentinel_seq,
-    end_seq, expired, run_status, max_retries), in any order."""
-    max_retries = rows[0][6]
-    max_retries = 0 if max_retries is None or max_retries != max_retries else int(max_retries)
-    steps = []
-    for claim_seq, run, sentinel_seq, end_seq, expired, _, _ in rows:
-        steps.append((int(claim_seq), 1, run, False))
-        if sentinel_seq is not None and sentinel_seq == sentinel_seq:
-            steps.append((int(sentinel_seq), 2, run, False))
-        if end_seq is not None and end_seq == end_seq:
-            steps.append((int(end_seq), 3, run, bool(expired)))
-    steps.sort(key=lambda s: (s[0], s[1]))
-    status, retries, attached = "pending", 0, None
-    dead, dead_run, done_seq = False, None, None
-    for seq, kind, run, expired in steps:
-        if status in ("completed", "failed"):
-            break
-        if kind == 1:                          # claim: only a pending job is claimed
-            if attached is None:
-                attached, status = run, "claimed"
-        elif kind == 2:                        # sentinel of the run holding the job
-            if attached == run:
-                status, done_seq = "completed", seq
-        elif attached == run:                  # the holding run ended
-            if expired:                        # claim TTL: detach, no retry penalty
-                status, attached = "pending", None
-            else:                              # sweep: one more retry, or fail
-                retries += 1
-                if retries > max_retries:
-                    status, dead, dead_run = "failed", True, run
-                else:
-                    status, attached = "pending", None
-    if status == "claimed" and attached is not None:
-        run_status = next(r[5] for r in rows if r[1] == attached)
-        if run_status in IN_FLIGHT_JOB:
-            status = run_status
-    return {"sample_id": key[0], "workflow_id": key[1], "workflow_version": key[2],
-            "status": status, "retry_count": retries,
-            "run_name": attached if attached is not None else (dead_run if dead else None),
-            "dead_letter": dead, "dead_letter_run": dead_run, "completed_seq": done_seq}
-
-
-_ROW_COLS = ["claim_seq", "run_name", "sentinel_seq", "end_seq", "expired", "run_status", "max_retries"]
-
-
-def _fold_partition(batches):
-    """mapInPandas body: rows arrive hash-partitioned and sorted by job key, so a job's rows
-    are contiguous; the last job of a batch is carried into the next batch."""
-    carry = None
-    out_cols = [f.name for f in _JOB_OUT.fields]
-
-    def fold(pdf):
-        recs = []
-        keys = list(zip(*(pdf[k].tolist() for k in _KEYS)))
-        vals = list(zip(*(pdf[c].tolist() for c in _ROW_COLS)))
-        start = 0
-        for i in range(1, len(keys) + 1):
-            if i == len(keys) or keys[i] != keys[start]:
-                recs.append(_fold_one(keys[start], vals[start:i]))
-                start = i
-        return pd.DataFrame.from_records(recs, columns=out_cols)
-
+class _JobState:
+    """One job and its guarded updates, applied in order of arrival."""
+
+    def __init__(self, max_retries):
+        self.budget = 0 if max_retries is None or max_retries != max_retries else int(max_retries)
+        self.status, self.retries, self.run, self.dead, self.done_seq = "pending", 0, None, False, None
+
+    def apply(self, seq: int, event: str, run: str) -> None:
+        if event == "claim":
+            if self.status == "pending":
+                self.status, self.run = "claimed", run
+        elif self.run != run or self.status in ("completed", "failed"):
+            return
+        elif event == "submitted":
+            if self.status == "claimed":
+                self.status = "submitted"
+        elif event == "started":
+            if self.status in ("claimed", "submitted"):
+                self.status = "running"
+        elif event == "sentinel":
+            self.status, self.done_seq = "completed", seq
+        elif event == "expire":
+            if self.status == "claimed":
+                self.status, self.run = "pending", None
+        else:                                  # the run closed: one more retry, or fail
+            self.retries += 1
+            if self.retries > self.budget:
+                self.status, self.dead = "failed", True
+            else:
+                self.status, self.run = "pending", None
+
+    def row(self, key) -> tuple:
+        return (*key, self.status, self.retries, self.run, self.dead, self.run if self.dead else None, self.done_seq)
+
+
+def _fold_stream(batches):
+    """mapInPandas body: rows arrive sorted by job and arrival; only the open job is held."""
+    columns = [f.name for f in _JOB_OUT.fields]
+    key, state = None, None
     for pdf in batches:
-        if carry is not None:
-            pdf = pd.concat([carry, pdf], ignore_index=True)
-        if pdf.empty:
-            continue
-        last = tuple(pdf.iloc[-1][k] for k in _KEYS)
-        is_last = (pdf["sample_id"] == last[0]) & (pdf["workflow_id"] == last[1]) \
-            & (pdf["workflow_version"] == last[2])
-        carry = pdf[is_last]
-        done = pdf[~is_last]
-        if not done.empty:
-            yield fold(done)
-    if carry is not None and not carry.empty:
-        yield fold(carry)
-
-
-def fold_jobs(events: DataFrame, runs: DataFrame, workflows: DataFrame) -> DataFrame:
+        out = []
+        for *k, seq, event, run, budget in zip(*(pdf[c].tolist() for c in (*_KEYS, "seq", "event", "run_name", "max_retries"))):
+            if k != key:
+                if state is not None:
+                    out.append(state.row(key))
+                key, state = k, _JobState(budget)
+            state.apply(int(seq), event, run)
+        if out:
+            yield pd.DataFrame.from_records(out, columns=columns)
+    if state is not None:
+        yield pd.DataFrame.from_records([state.row(key)], columns=columns)
+
+
+def fold_jobs(events: DataFrame, workflows: DataFrame) -> DataFrame:
     """L1-L4, L6, L7, L13 at job level: the final state of every claimed job.
 
-    A sentinel counts only when it arrives after the claim and before its run ended (the
-    job is detached at the run's end); the fold checks that the job was still attached
-    to that run."""
-    keys = ["sample_id", "workflow_id", "workflow_version"]
+    Each claim meets the events of its run that arrived after it: every start and close, the
+    submit and the expiry that found the run still claimed, and the sentinels of its sample."""
     claims = (events.filter(F.col("event") == "claim")
-              .select(*keys, "run_name", F.col("seq").alias("claim_seq")))
-    r = runs.select("run_name", "end_seq", "expired", F.col("status").alias("run_status"))
+              .groupBy(*_KEYS, "run_name").agg(F.min("seq").alias("claim_seq")))
+    repeats = events.filter(F.col("event") == "claim").select(*_KEYS, "seq", "event", "run_name")
+    guards = fold_runs(events, guards=True).select("run_name", "submit_seq", "expire_seq")
+    of_run = (events.filter(F.col("event").isin("submitted", "started", "completed", "failed", "expire"))
+              .select("run_name", "seq", "event").join(guards, "run_name")
+              .filter(F.col("event").isin("started", "completed", "failed")
+                      | ((F.col("event") == "submitted") & (F.col("seq") == F.col("submit_seq")))
+                      | ((F.col("event") == "expire") & (F.col("seq") == F.col("expire_seq"))))
+              .select("run_name", "seq", "event"))
+    of_sample = (events.filter(F.col("event") == "sentinel")
+                 .select("run_name", "sample_id", "seq", "event"))
+    steps = (repeats
+             .unionByName(claims.join(of_run, "run_name").filter("seq > claim_seq").drop("claim_seq"))
+             .unionByName(claims.join(of_sample, ["run_name", "sample_id"]).filter("seq > claim_seq").drop("claim_seq")))
     wf = workflows.select("workflow_id", F.col("version").alias("workflow_version"), "max_retries")
-    c = claims.join(r, "run_name", "left")
-    # per claim: the first sentinel of its (run, sample) at or after the claim and before the
-    # run ended - only then can it complete the job this claim attached
-    sent = (events.filter(F.col("event") == "sentinel")
-            .select("run_name", "sample_id", F.col("seq").alias("s_seq")))
-    first_sent = (c.select(*keys, "run_name", "claim_seq", "end_seq")
-                  .join(sent, ["run_name", "sample_id"])
-                  .filter((F.col("s_seq") >= F.col("claim_seq"))
-                          & (F.col("s_seq") < F.coalesce(F.col("end_seq"), _big())))
-                  .groupBy(*keys, "run_name", "claim_seq").agg(F.min("s_seq").alias("sentinel_seq")))
-    rows = (c.join(first_sent, keys + ["run_name", "claim_seq"], "left")
-            .join(wf, ["workflow_id", "workflow_version"], "left")
-            .select(*keys, "run_name", "claim_seq", "sentinel_seq", "end_seq", "expired",
-                    "run_status", "max_retries"))
-    # Jobs whose runs are strictly sequential (every claim arrives after the previous run
-    # ended) take effect claim by claim: the fold is a few window functions. Only jobs with
-    # overlapping claims need the sequential Python fold.
-    w = Window.partitionBy(*keys).orderBy("claim_seq")
-    rows = rows.withColumn("_rn", F.row_number().over(w))
-    prev_end = F.lag("end_seq").over(w)
-    rows = rows.withColumn("_ok", (F.col("_rn") == 1) | (prev_end.isNotNull() & (prev_end < F.col("claim_seq"))))
-    rows = rows.withColumn("_seq", F.min(F.col("_ok").cast("int")).over(Window.partitionBy(*keys)) == 1)
-    # both branches read the per-claim table; cut its lineage once (shared checkpoint dir)
-    rows = rows.checkpoint()
-    fast = _fold_sequential(rows.filter("_seq"), keys)
-    slow = (rows.filter(~F.col("_seq")).drop("_rn", "_ok", "_seq")
-            # co-locate each job's rows and stream them in key order; no per-job Python call
-            .repartition(*keys).sortWithinPartitions(*keys, "claim_seq")
-            .mapInPandas(_fold_partition, _JOB_OUT))
-    return fast.unionByName(slow)
-
-
-def _fold_sequential(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The job fold for jobs whose claims never overlap, as window functions."""
-    w = Window.partitionBy(*keys).orderBy("claim_seq")
-    done = F.col("sentinel_seq").isNotNull()
-    ended = F.col("end_seq").isNotNull()
-    swept = ended & ~done & ~F.coalesce(F.col("expired"), F.lit(False))
-    budget = F.coalesce(F.col("max_retries"), F.lit(0))
-    r = (rows.withColumn("_done", done).withColumn("_swept", swept)
-         .withColumn("_sweeps", F.sum(F.col("_swept").cast("long")).over(
-             w.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
-    terminal = F.col("_done") | (F.col("_swept") & (F.col("_sweeps") > budget))
-    r = r.withColumn("_term", F.min(F.when(terminal, F.col("_rn"))).over(Window.partitionBy(*keys)))
-    last = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("claim_seq")))
-    final = (r.filter(F.col("_term").isNull() | (F.col("_rn") <= F.col("_term")))
-             .withColumn("_last", last).filter("_last = 1"))
-    failed = F.col("_swept") & (F.col("_sweeps") > budget)
-    inflight = ~F.col("end_seq").isNotNull() & ~F.col("_done")
-    status = (F.when(F.col("_done"), F.lit("completed"))
-              .when(failed, F.lit("failed"))
-              .when(inflight, F.when(F.col("run_status").isin(*IN_FLIGHT_JOB), F.col("run_status"))
-                    .otherwise(F.lit("claimed")))
-              .otherwise(F.lit("pending")))
-    attached = F.col("_done") | failed | inflight
-    return final.select(
-        *keys, status.alias("status"), F.col("_sweeps").cast("long").alias("retry_count"),
-        F.when(attached, F.col("run_name")).alias("run_name"),
-        failed.alias("dead_letter"), F.when(failed, F.col("run_name")).alias("dead_letter_run"),
-        F.when(F.col("_done"), F.col("sentinel_seq")).cast("long").alias("completed_seq"))
+    return (steps.join(wf, ["workflow_id", "workflow_version"], "left")
+            .select(*_KEYS, "seq", "event", "run_name", "max_retries")
+            .repartition(*_KEYS).sortWithinPartitions(*_KEYS, "seq").mapInPandas(_fold_stream, _JOB_OUT))
 
 
 def dead_letters(job_state: DataFrame) -> DataFrame:
@@ -274,6 +236,32 @@ def dead_letters(job_state: DataFrame) -> DataFrame:
                     F.lit(SWEEP_REASON).alias("reason")))
 
 
+def _set_failure(jobs: DataFrame, hit, at, reason) -> DataFrame:
+    """Write ``failed_at`` and ``failure_reason`` of the rows ``hit`` (added when absent)."""
+    for name, value, kind in (("failed_at", at, "timestamp_ntz"), ("failure_reason", reason, "string")):
+        old = F.col(name) if name in jobs.columns else F.lit(None)
+        jobs = jobs.withColumn(name, F.when(hit, value.cast(kind)).otherwise(old.cast(kind)))
+    return jobs
+
+
+def new_dead_letters(found: DataFrame, existing: DataFrame) -> DataFrame:
+    """Dead-letter rows to insert; a job that has a row keeps it (one per ``job_id``)."""
+    return (found.join(existing.select("job_id").distinct(), "job_id", "left_anti")
+            .dropDuplicates(["job_id"]))
+
+
+def watchdog_report(runs: DataFrame, jobs: DataFrame, as_of: dt.datetime, stale_minutes: int = 15) -> DataFrame:
+    """One row per run that the watchdog fails: its last signal and the jobs it sweeps."""
+    cutoff = F.lit(as_of - dt.timedelta(minutes=stale_minutes)).cast("timestamp_ntz")
+    last = F.coalesce(F.col("last_heartbeat_at"), F.col("started_at"))
+    stale = (runs.filter((F.col("status") == "running") & last.isNotNull() & (last < cutoff))
+             .select("run_name", last.alias("last_signal_at")))
+    swept = (jobs.filter(F.col("status").isin(*IN_FLIGHT_JOB)).groupBy("run_name")
+             .agg(F.count("*").alias("jobs_swept")))
+    return (stale.join(swept, "run_name", "left")
+            .select("run_name", "last_signal_at", F.coalesce("jobs_swept", F.lit(0)).alias("jobs_swept")))
+
+
 def sweep(jobs: DataFrame, closed_runs: DataFrame, workflows: DataFrame,
           now: dt.datetime, reason: str = SWEEP_REASON) -> tuple[DataFrame, DataFrame]:
     """L6 on state tables: in-flight jobs of the closed runs get one more retry; within the
@@ -293,6 +281,7 @@ def sweep(jobs: DataFrame, closed_runs: DataFrame, workflows: DataFrame,
                        .when(F.col("_hit"), F.lit("failed")).otherwise(F.col("status")))
            .withColumn("run_name", F.when(F.col("_hit") & F.col("_within"), F.lit(None).cast("string"))
                        .otherwise(F.col("run_name"))))
+    out = _set_failure(out, F.col("_fail"), F.lit(now).cast("timestamp_ntz"), F.lit(reason))
     dlq = (out.filter("_fail").select("job_id", "run_name", "sample_id", "workflow_id",
                                       "workflow_version", F.lit(reason).alias("reason"),
                                       F.lit(now).cast("timestamp_ntz").alias("created_at")))
@@ -369,8 +358,8 @@ def requeue_dead_letter(dead_letter: DataFrame, jobs: DataFrame, now: dt.datetim
     hit = F.coalesce(F.col("_r"), F.lit(False))
     new_jobs = (j.withColumn("status", F.when(hit, F.lit("pending")).otherwise(F.col("status")))
                 .withColumn("retry_count", F.when(hit, F.lit(0)).otherwise(F.col("retry_count")))
-                .withColumn("run_name", F.when(hit, F.lit(None).cast("string")).otherwise(F.col("run_name")))
-                .drop("_r"))
+                .withColumn("run_name", F.when(hit, F.lit(None).cast("string")).otherwise(F.col("run_name"))))
+    new_jobs = _set_failure(new_jobs, hit, F.lit(None), F.lit(None)).drop("_r")
     new_dlq = dead_letter.withColumn(
         "resolved_at", F.coalesce(F.col("resolved_at"), F.lit(now).cast("timestamp_ntz")))
     return new_jobs, new_dlq
@@ -381,26 +370,27 @@ def reset_jobs(jobs: DataFrame, workflow_id: str) -> DataFrame:
     j = jobs.withColumn("_hit", (F.col("workflow_id") == workflow_id)
                         & F.col("status").isin("running", "failed"))
     hit = F.col("_hit")
-    return (j.withColumn("status", F.when(hit, F.lit("pending")).otherwise(F.col("status")))
-            .withColumn("retry_count", F.when(hit, F.lit(0)).otherwise(F.col("retry_count")))
-            .withColumn("run_name", F.when(hit, F.lit(None).cast("string")).otherwise(F.col("run_name")))
-            .drop("_hit"))
+    j = (j.withColumn("status", F.when(hit, F.lit("pending")).otherwise(F.col("status")))
+         .withColumn("retry_count", F.when(hit, F.lit(0)).otherwise(F.col("retry_count")))
+         .withColumn("run_name", F.when(hit, F.lit(None).cast("string")).otherwise(F.col("run_name"))))
+    return _set_failure(j, hit, F.lit(None), F.lit(None)).drop("_hit")
 
 
-def apply_run_events(run_events: DataFrame) -> DataFrame:
-    """Per-run summary columns from wrapper events in arrival order.
+def apply_run_events(run_events: DataFrame, runs: DataFrame) -> DataFrame:
+    """Per-run summary columns from wrapper events in arrival order, for known runs.
 
     wait_seconds: last non-NULL value; wrapper_exit_code: last exit; last_heartbeat_at:
-    latest *receipt* time of any event; scheduler state and reason from the latest
+    latest *receipt* time of a heartbeat; scheduler state and reason from the latest
     scheduler event (a state event without a reason clears it); started_by_wrapper when a
     wrapper_started arrived (L2)."""
     t = F.col("type")
     seq = F.col("seq")
-    return run_events.groupBy("run_name").agg(
+    known = runs.select("run_name").distinct()
+    return run_events.join(known, "run_name", "left_semi").groupBy("run_name").agg(
         F.max_by(F.col("wait_seconds"), F.when(F.col("wait_seconds").isNotNull(), seq)).alias("wait_seconds"),
         F.max_by(F.col("exit_code"), F.when((t == "wrapper_exited") & F.col("exit_code").isNotNull(), seq)
                  ).alias("wrapper_exit_code"),
-        F.max(F.col("received_at")).alias("last_heartbeat_at"),
+        F.max(F.when(t == "heartbeat", F.col("received_at"))).alias("last_heartbeat_at"),
         F.max_by(F.struct(F.col("state").alias("slurm_state"), F.col("reason").alias("slurm_reason")),
                  F.when(t == "slurm_state", seq)).alias("_slurm"),
         F.max(t == "wrapper_started").alias("started_by_wrapper"),

@@ -97,8 +97,9 @@ SELECT
        THEN '{"runName": "r' || CAST(e.user_id AS STRING) || '", "workflow": {"revision": "v'
             || CAST(e.user_id % 5 AS STRING) || '"}}' END AS metadata,
   CASE WHEN e.event_type IN ('click', 'view', 'purchase')
-       THEN '{"task_id": "' || {json_k} || '", "process": "PROC_'
-            || CAST((e.user_id + length(e.props)) % 9 AS STRING)
+       THEN '{"task_id": "' || {json_k} || '", "process": "'
+            || CASE WHEN e.event_id % 12 = 5 THEN 'FLOW:MARK_COMPLETE'
+                    ELSE 'PROC_' || CAST((e.user_id + length(e.props)) % 9 AS STRING) END
             || '", "tag": "S' || CAST(e.event_id % 1500 AS STRING) || ':r' || CAST(e.user_id AS STRING)
             || '", "status": "' || CASE WHEN e.value < 3 THEN 'FAILED' WHEN e.value < 4 THEN 'ABORTED'
                                         ELSE 'COMPLETED' END
@@ -473,7 +474,7 @@ SELECT sample_id, workflow_id, workflow_version, {agg_lines} AS text
 FROM marker_lines GROUP BY sample_id, workflow_id, workflow_version
 """
 
-# Wrapper / scheduler events of the runs, in arrival order, with receipt times: queue wait,
+# Wrapper / scheduler events of the runs, in arrival order, with receipt times: start, queue wait,
 # scheduler states (some without a reason), heartbeats and a wrapper exit per order.
 DOMAIN_SQL["run_events"] = """
 SELECT 'r' || CAST(o_orderkey % 500 AS STRING) AS run_name, o_orderkey * 10 AS seq, 'pre_nextflow' AS type,
@@ -487,10 +488,13 @@ SELECT 'r' || CAST(o_orderkey % 500 AS STRING), o_orderkey * 10 + 1, 'slurm_stat
   CASE WHEN o_orderkey % 3 = 0 THEN 'Priority' END, o_orderdate + INTERVAL 1 HOUR
 FROM orders
 UNION ALL
-SELECT 'r' || CAST(o_orderkey % 500 AS STRING), o_orderkey * 10 + 2, 'heartbeat', NULL, NULL, NULL, NULL,
-  o_orderdate + INTERVAL 2 HOUR
+SELECT CASE WHEN o_orderkey % 29 = 0 THEN 'unknown' ELSE 'r' END || CAST(o_orderkey % 500 AS STRING),
+  o_orderkey * 10 + 2, 'heartbeat', NULL, NULL, NULL, NULL, o_orderdate + INTERVAL 2 HOUR
 FROM orders
 UNION ALL
+SELECT 'r' || CAST(o_orderkey % 500 AS STRING), o_orderkey * 10 - 1, 'wrapper_started', NULL, NULL, NULL, NULL, o_orderdate
+FROM orders WHERE o_orderkey % 6 = 1
+UNION ALL
 SELECT 'r' || CAST(o_orderkey % 500 AS STRING), o_orderkey * 10 + 3, 'wrapper_exited', NULL,
   CAST(o_orderkey % 3 AS BIGINT), NULL, NULL, o_orderdate + INTERVAL 3 HOUR
 FROM orders WHERE o_orderstatus = 'F'
@@ -516,7 +520,7 @@ def cte_prefix(names, dialect: str = "duckdb") -> str:
     """``WITH a AS (...), b AS (...)`` for the named domain views and their dependencies."""
     needed = _closure(names)
     parts = [f"{n} AS ({view_sql(n, dialect)})" for n in DOMAIN_SQL if n in needed]
-    return "WITH " + ",\n".join(parts)
+    return "WITH RECURSIVE " + ",\n".join(parts)
 
 
 _DEPS = {

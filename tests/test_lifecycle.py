@@ -1,6 +1,7 @@
 """The job-level fold against an independent event-by-event simulation of the guarded
 updates, plus the pinned retry-budget, TTL and watchdog behaviours."""
 import datetime as dt
+import random
 
 from runledger.operators import lifecycle as L
 from runledger.plans.domain import Domain
@@ -26,18 +27,18 @@ def simulate(events, max_retries):
                 for j in jobs.values():
                     if j["run"] == r and j["status"] == "claimed":
                         j["status"] = "submitted"
-        elif ev == "started":
+        elif ev == "started":                      # the jobs' update does not look at the run
             if runs.get(r) in ("claimed", "submitted"):
                 runs[r] = "running"
-                for j in jobs.values():
-                    if j["run"] == r and j["status"] in ("claimed", "submitted"):
-                        j["status"] = "running"
+            for j in jobs.values():
+                if j["run"] == r and j["status"] in ("claimed", "submitted"):
+                    j["status"] = "running"
         elif ev == "sentinel":
             for k, j in jobs.items():
                 if k[0] == e["sample_id"] and j["run"] == r and j["status"] not in TERMINAL_JOB:
                     j["status"] = "completed"
         elif ev in ("completed", "failed"):
-            if runs.get(r) not in ("completed", "failed", "expired"):
+            if runs.get(r, "completed") not in ("completed", "failed", "expired"):
                 runs[r] = ev
             for k, j in jobs.items():
                 if j["run"] == r and j["status"] in ("claimed", "submitted", "running"):
@@ -67,7 +68,7 @@ def test_fold_matches_simulation(spark):
     got_runs = {r["run_name"]: r["status"] for r in run_state.collect()}
     assert got_runs == runs
     got = {(r["sample_id"], r["workflow_id"], r["workflow_version"]): r
-           for r in L.fold_jobs(ev, run_state, d.workflows).collect()}
+           for r in L.fold_jobs(ev, d.workflows).collect()}
     assert set(got) == set(jobs)
     for k, j in jobs.items():
         g = got[k]
@@ -142,13 +143,16 @@ def test_run_events_summary(spark):
          ("r1", 2, "slurm_state", None, None, "PENDING", "Priority", NOW),
          ("r1", 3, "slurm_state", None, None, "RUNNING", None, NOW + dt.timedelta(minutes=1)),
          ("r1", 4, "wrapper_exited", None, 1, None, None, NOW + dt.timedelta(minutes=2)),
-         ("r1", 5, "pre_nextflow", None, None, None, None, NOW + dt.timedelta(minutes=3))],
+         ("r1", 5, "heartbeat", None, None, None, None, NOW + dt.timedelta(minutes=1)),
+         ("r1", 6, "pre_nextflow", None, None, None, None, NOW + dt.timedelta(minutes=3)),
+         ("nobody", 7, "heartbeat", None, None, None, None, NOW)],
         "run_name string, seq long, type string, wait_seconds long, exit_code long, state string, "
         "reason string, received_at timestamp")
-    r = L.apply_run_events(ev).collect()[0]
+    known = spark.createDataFrame([("r1",)], "run_name string")
+    [r] = L.apply_run_events(ev, known).collect()
     assert r["wait_seconds"] == 30 and r["wrapper_exit_code"] == 1
     assert r["slurm_state"] == "RUNNING" and r["slurm_reason"] is None   # reason cleared
-    assert r["last_heartbeat_at"] == NOW + dt.timedelta(minutes=3)
+    assert r["last_heartbeat_at"] == NOW + dt.timedelta(minutes=1)     # heartbeats only
 
 
 def test_reset_and_requeue_dead_letter(spark):
@@ -196,10 +200,31 @@ def test_fold_edge_cases_match_simulation(spark):
     runs, jobs, dlq = simulate([r.asDict() for r in ev.collect()], {"wf": 1})
     run_state = L.fold_runs(ev)
     assert {r["run_name"]: r["status"] for r in run_state.collect()} == runs
-    got = {r["sample_id"]: r for r in L.fold_jobs(ev, run_state, wf).collect()}
+    got = {r["sample_id"]: r for r in L.fold_jobs(ev, wf).collect()}
     for k, j in jobs.items():
         g = got[k[0]]
         assert (g["status"], g["retry_count"], g["run_name"]) == (j["status"], j["retry"], j["run"]), k
     assert {k for k, g in got.items() if g["dead_letter"]} == {k[0] for k in dlq}
     assert got["A"]["status"] == "completed" and got["B"]["retry_count"] == 1
     assert got["C"]["status"] == "submitted" and got["D"]["status"] == "failed"
+
+
+def test_fold_of_unordered_logs_matches_simulation(spark):
+    """Random logs: events before any claim, late claims, repeated starts and closes."""
+    rng = random.Random(11)
+    rows = []
+    for g in range(60):                                   # independent groups of runs and samples
+        for k in range(25):
+            ev = rng.choice(["claim"] * 4 + ["submitted", "started", "sentinel", "sentinel", "completed", "failed", "expire"])
+            named = ev in ("claim", "sentinel")
+            rows.append((g * 100 + k, f"r{g}-{rng.randrange(4)}", ev, f"S{g}-{rng.randrange(3)}" if named else None,
+                         "wf" if ev == "claim" else None, "v" if ev == "claim" else None, None, NOW))
+    ev = spark.createDataFrame(rows, "seq long, run_name string, event string, sample_id string, workflow_id string, "
+                                     "workflow_version string, run_id string, utc_time timestamp")
+    wf = spark.createDataFrame([("wf", "v", "active", 1)], "workflow_id string, version string, status string, max_retries int")
+    runs, jobs, dlq = simulate([r.asDict() for r in ev.collect()], {"wf": 1})
+    assert {r["run_name"]: r["status"] for r in L.fold_runs(ev).collect()} == runs
+    got = {(r["sample_id"], r["workflow_id"], r["workflow_version"]): r for r in L.fold_jobs(ev, wf).collect()}
+    assert {k: (g["status"], g["retry_count"], g["run_name"]) for k, g in got.items()} == {
+        k: (j["status"], j["retry"], j["run"]) for k, j in jobs.items()}
+    assert {k for k, g in got.items() if g["dead_letter"]} == dlq and len(dlq) > 5
