@@ -15,12 +15,11 @@ NON_TERMINAL_RUN = ("claimed", "submitted", "running")
 
 # Meaning of common exit codes shown next to the modal exit code.
 EXIT_LABELS = {
-    "0": "success",
-    "1": "generic error",
-    "2": "misuse of shell builtin",
-    "134": "abort (SIGABRT)",
-    "137": "killed (SIGKILL, usually out of memory)",
-    "<null>": "unknown",
+    "137": "OOM kill (SIGKILL)",
+    "1": "Generic error",
+    "2": "Misuse / config",
+    "134": "Abort (SIGABRT)",
+    "<null>": "Signal / unknown",
 }
 
 
@@ -184,11 +183,11 @@ def publish_prefix(base: str, workflow, version, sample) -> Column:
 
 
 def exit_label(c) -> Column:
-    """meaning of an exit code label."""
+    """meaning of an exit code label; an unknown code has an empty text."""
     pairs = []
     for k, v in EXIT_LABELS.items():
         pairs += [F.lit(k), F.lit(v)]
-    return F.coalesce(F.element_at(F.create_map(*pairs), null_label(c)), F.lit("other"))
+    return F.coalesce(F.element_at(F.create_map(*pairs), null_label(c)), F.lit(""))
 
 
 def bar_share(failures="failures", max_failures: Column | None = None) -> Column:

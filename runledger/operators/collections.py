@@ -65,7 +65,7 @@ def leaderboard(collections: DataFrame, members: DataFrame, jobs: DataFrame,
     ratio = F.when(F.col("sample_count") == 0, F.lit(0.0)).otherwise(
         F.col("samples_completed") / F.col("sample_count"))
     return (out.withColumn("samples_remaining", F.col("sample_count") - F.col("samples_completed"))
-            .withColumn("completion_pct", F.round(ratio * 100.0, 2))
+            .withColumn("completion_pct", F.bround(ratio * 100.0, 2))
             .withColumn("_ratio", ratio)
             .orderBy(F.asc("_ratio"), F.desc("sample_count"), F.asc("collection_id"))
             .drop("_ratio"))
@@ -105,7 +105,7 @@ def collection_summary(collections: DataFrame, members: DataFrame, jobs: DataFra
     pct = F.when(F.col("sample_count") > 0,
                  F.col("samples_completed") / F.col("sample_count") * 100.0).otherwise(F.lit(0.0))
     return (out.withColumn("total_jobs", total)
-            .withColumn("completion_pct", F.round(pct, 2)))
+            .withColumn("completion_pct", F.bround(pct, 2)))
 
 
 def failure_by_process(tasks: DataFrame, members: DataFrame, workflows: DataFrame,

@@ -80,6 +80,10 @@ def parse_batch(spark: SparkSession, keys: DataFrame, base: str, workflow: str,
     ready, skipped = published(keys, base)
     # fetched once: every table's parse plan reads the same file rows
     files = fetch_outputs(output_paths(ready, base, specs, include_deferred)).checkpoint()
+    # a sample with a file that could not be read is left for the next tick, not marked ingested
+    failed = files.filter(F.col("status").startswith("error")).select(*KEYS).distinct()
+    files = files.join(failed, KEYS, "left_anti")
+    skipped = skipped.unionByName(ready.join(failed, KEYS, "left_semi"))
     tables = parse_tables(files, [s for s in specs if include_deferred or not s.defer])
     run_ids = tables["qc_metrics"].select(*KEYS, "run_ids") if "qc_metrics" in tables else None
     out = {}

@@ -2,21 +2,19 @@
 
 Spark's exact ``percentile`` keeps a value->count map per group and merges it in one task,
 which is unbounded when one group holds a large share of the rows. The exact method here
-never gathers a whole group:
+never gathers a whole group. It is one lazy plan for groups of every size:
 
-1. one pass computes, per group, the row count and a ``percentile_approx`` band
-   ``[b_lo, b_hi]`` around the target quantile (the sketch merges map-side; its rank error
-   is at most n/accuracy, so the band is a few n/accuracy ranks wide);
-2. a second pass counts the values below ``b_lo`` per group and keeps only the values
-   inside the band (about 6n/accuracy of them);
-3. the band values are ranked within their group; the two ranks around
-   ``q * (n - 1)`` give the interpolated exact value.
+1. one pass computes, per group, the row count, the extremes and a ``percentile_approx``
+   band ``[b_lo, b_hi]`` around the target quantile (the sketch merges map-side; its rank
+   error is at most n/accuracy, so the band is a few n/accuracy ranks wide). A group of at
+   most ``accuracy`` values has its whole range as band;
+2. a second pass counts the values below and inside the band (combined map-side). Should the
+   band of a group not hold the target ranks, its band becomes the whole range;
+3. the values inside the band (about 6n/accuracy, or at most ``accuracy`` of them) are
+   sorted within their group; the two ranks around ``q * (n - 1)`` give the interpolated
+   exact value.
 
-Groups of at most ``small_max`` values skip the band and use Spark's exact
-``percentile`` directly: its value map is bounded by the group size, and for such groups
-the sketch is exact anyway, so a band around one rank would be a single value. If the
-sketch bound ever fails to enclose the target ranks of a large group, that group (and only
-it) is recomputed with ``percentile``. ``method="approx"`` stops after step 1.
+``method="approx"`` stops after the sketch.
 """
 from __future__ import annotations
 
@@ -24,12 +22,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_ACCURACY = 10000
-SMALL_GROUP_MAX = 1_000_000
 
 
 def group_quantile(df: DataFrame, keys: list[str], values: list[str], q: float,
-                   method: str = "exact", accuracy: int = DEFAULT_ACCURACY,
-                   small_max: int = SMALL_GROUP_MAX) -> DataFrame:
+                   method: str = "exact", accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
     """Return ``keys + [q_<value> ...]``: the q-quantile of each value column per group
     (NULLs ignored; NULL when a group has no value)."""
     if not 0.0 <= q <= 1.0:
@@ -44,54 +40,35 @@ def group_quantile(df: DataFrame, keys: list[str], values: list[str], q: float,
         res = long.groupBy(*gk).agg(F.percentile_approx("v", q, accuracy).alias("qv"))
         return _widen(res, keys, values)
 
-    # Group sizes: one row per group, checkpointed (tiny) so the plan choice below and the
-    # joins read the same result without recomputing it.
-    sizes = long.groupBy(*gk).agg(F.count(F.lit(1)).alias("n")).checkpoint()
-    small = sizes.filter(F.col("n") <= small_max).select(*gk)
-    large = sizes.filter(F.col("n") > small_max).select(*gk)
-    small_q = (long.join(small, gk, "left_semi").groupBy(*gk)
-               .agg(F.percentile("v", q).alias("qv")))
-    if large.isEmpty():                  # a one-row probe of the checkpointed sizes
-        return _widen(small_q, keys, values)
-    long = long.join(large, gk, "left_semi")
-
     margin = 3.0 / accuracy
-    lo_q, hi_q = max(0.0, q - margin), min(1.0, q + margin)
+    ends = F.array(F.lit(max(0.0, q - margin)), F.lit(min(1.0, q + margin)))
+    few = F.col("n") <= accuracy
     stats = (long.groupBy(*gk)
-             .agg(F.count(F.lit(1)).alias("n"),
-                  F.percentile_approx("v", F.array(F.lit(lo_q), F.lit(hi_q)), accuracy).alias("b"))
-             .select(*gk, "n", F.col("b")[0].alias("b_lo"), F.col("b")[1].alias("b_hi")))
-    stats = stats.withColumn("pos", (F.col("n") - 1).cast("double") * F.lit(q))
-    stats = (stats.withColumn("r_lo", F.floor("pos").cast("long"))
-             .withColumn("r_hi", F.ceil("pos").cast("long")))
-    tagged = long.join(stats, gk)
-    in_band = (F.col("v") >= F.col("b_lo")) & (F.col("v") <= F.col("b_hi"))
-    counts = (tagged.groupBy(*gk)
+             .agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"),
+                  F.percentile_approx("v", ends, accuracy).alias("b"))
+             .withColumn("b_lo", F.when(few, F.col("lo")).otherwise(F.col("b")[0]))
+             .withColumn("b_hi", F.when(few, F.col("hi")).otherwise(F.col("b")[1]))
+             .withColumn("pos", (F.col("n") - 1).cast("double") * F.lit(q))
+             .withColumn("r_lo", F.floor("pos").cast("long")).withColumn("r_hi", F.ceil("pos").cast("long"))
+             .drop("b"))
+    counts = (long.join(stats.select(*gk, "b_lo", "b_hi"), gk).groupBy(*gk)
               .agg(F.count_if(F.col("v") < F.col("b_lo")).alias("below"),
-                   F.count_if(in_band).alias("band")))
-    # the band must hold both target ranks; otherwise the group falls back
-    chk = stats.select(*gk, "r_lo", "r_hi").join(counts, gk)
-    covered = (F.col("below") <= F.col("r_lo")) & (F.col("below") + F.col("band") - 1 >= F.col("r_hi"))
-    ok = chk.filter(covered).select(*gk, "below")
-    missed = chk.filter(~covered).select(*gk)
-    ranked = (tagged.filter(in_band).join(ok, gk)
-              .withColumn("rank", F.col("below") - 1
-                          + F.row_number().over(Window.partitionBy(*gk).orderBy("v"))))
+                   F.count_if(F.col("v").between(F.col("b_lo"), F.col("b_hi"))).alias("inside")))
+    held = (F.col("below") <= F.col("r_lo")) & (F.col("below") + F.col("inside") > F.col("r_hi"))
+    bands = (stats.join(counts, gk).withColumn("held", held)
+             .select(*gk, "pos", "r_lo", "r_hi", F.when(held, F.col("below")).otherwise(0).alias("below"),
+                     F.when(held, F.col("b_lo")).otherwise(F.col("lo")).alias("b_lo"),
+                     F.when(held, F.col("b_hi")).otherwise(F.col("hi")).alias("b_hi")))
+    ranked = (long.join(bands, gk).filter(F.col("v").between(F.col("b_lo"), F.col("b_hi")))
+              .withColumn("rank", F.col("below") - 1 + F.row_number().over(Window.partitionBy(*gk).orderBy("v"))))
     picked = (ranked.filter((F.col("rank") == F.col("r_lo")) | (F.col("rank") == F.col("r_hi")))
-              .groupBy(*gk)
-              .agg(F.first("pos").alias("pos"), F.first("r_lo").alias("r_lo"),
-                   F.first("r_hi").alias("r_hi"),
-                   F.max(F.when(F.col("rank") == F.col("r_lo"), F.col("v"))).alias("v_lo"),
+              .groupBy(*gk, "pos", "r_lo", "r_hi")
+              .agg(F.max(F.when(F.col("rank") == F.col("r_lo"), F.col("v"))).alias("v_lo"),
                    F.max(F.when(F.col("rank") == F.col("r_hi"), F.col("v"))).alias("v_hi")))
-    value = (F.when(F.col("r_lo") == F.col("r_hi"), F.col("v_lo"))
-             .when(F.col("v_lo") == F.col("v_hi"), F.col("v_lo"))
+    value = (F.when(F.col("v_lo") == F.col("v_hi"), F.col("v_lo"))
              .otherwise((F.col("r_hi") - F.col("pos")) * F.col("v_lo")
                         + (F.col("pos") - F.col("r_lo")) * F.col("v_hi")))
-    exact = picked.select(*gk, value.alias("qv"))
-    # Groups whose band missed a target rank (sketch bound violated): exact percentile there.
-    fallback = (long.join(missed, gk, "left_semi").groupBy(*gk)
-                .agg(F.percentile("v", q).alias("qv")))
-    return _widen(small_q.unionByName(exact).unionByName(fallback), keys, values)
+    return _widen(picked.select(*gk, value.alias("qv")), keys, values)
 
 
 def _widen(res: DataFrame, keys: list[str], values: list[str]) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.identity import (canon_label, classify_source, derive_sample_id, has_accession,
                                   is_amplicon, is_orphan, normalize_srrs, parse_srrs, sample_id)
-from .state import insert_ignore, upsert
+from .state import insert_ignore, latest_per_key, upsert
 
 LIBRARY_FIELDS = ("library_strategy", "library_selection", "library_source", "instrument_platform")
 
@@ -118,7 +118,7 @@ def curation_rows(rows: DataFrame, accession_col: str = "ncbi_accession",
     valid = rows.filter(ok).select(
         sample_id(acc).alias("sample_id"), F.col(study_col).alias("study_name"),
         acc.alias("ncbi_accession"),
-        F.to_json(F.struct(*[F.col(c) for c in meta_cols])).alias("metadata"))
+        F.to_json(F.struct(*[F.col(c) for c in meta_cols])).alias("metadata"), F.col(index_col).alias("row_index"))
     dropped = rows.filter(~ok).select(F.col(study_col).alias("study_name"),
                                       F.col(index_col).alias("row_index"),
                                       subject.alias("subject_id"))
@@ -131,7 +131,8 @@ def import_curation(rows: DataFrame, annotations: DataFrame, **kw) -> dict[str,
     rows_updated counts incoming keys that already had an annotation."""
     parsed, dropped = curation_rows(rows, **kw)
     keys = ["sample_id", "study_name"]
-    valid = parsed.dropDuplicates(keys)
+    # of several rows of one key the last in row order stays
+    valid = latest_per_key(parsed, keys, ["row_index"]).drop("row_index")
     updated = valid.join(annotations.select(*keys), keys, "left_semi")
     summary = (parsed.groupBy("study_name").agg(F.count(F.lit(1)).alias("rows_loaded"))
                .join(updated.groupBy("study_name").agg(F.count(F.lit(1)).alias("rows_updated")),
@@ -241,12 +242,17 @@ def enforce_one_active(workflows: DataFrame) -> DataFrame:
 
 
 def purge_pending(jobs: DataFrame, workflows: DataFrame) -> DataFrame:
-    """Drop pending jobs of versions that are no longer active."""
-    inactive = workflows.filter(F.col("status") != "active").select(
+    """Drop pending jobs of retired versions. Pausing is reversible and purges
+    nothing."""
+    return jobs.join(purgeable_jobs(jobs, workflows).select("job_id"), "job_id", "left_anti")
+
+
+def purgeable_jobs(jobs: DataFrame, workflows: DataFrame) -> DataFrame:
+    """The pending jobs of retired versions (their count is the purge report)."""
+    retired = workflows.filter(F.col("status") == "retired").select(
         "workflow_id", F.col("version").alias("workflow_version"))
-    doomed = jobs.filter(F.col("status") == "pending").join(
-        inactive, ["workflow_id", "workflow_version"], "left_semi").select("job_id")
-    return jobs.join(doomed, "job_id", "left_anti")
+    return jobs.filter(F.col("status") == "pending").join(
+        retired, ["workflow_id", "workflow_version"], "left_semi")
 
 
 def set_workflow_status(workflows: DataFrame, workflow_id: str, version: str,
@@ -266,7 +272,7 @@ def latest_agents(agents: DataFrame, heartbeats: DataFrame) -> DataFrame:
     """Heartbeat upsert - first ``started_at`` kept, latest values otherwise."""
     allrows = agents.unionByName(heartbeats, allowMissingColumns=True)
     latest = F.max_by(F.struct(*[c for c in allrows.columns if c not in ("agent_id", "started_at")]),
-                      F.col("last_seen_at"))
+                      F.struct("last_seen_at", *[c for c in allrows.columns if c not in ("agent_id", "started_at", "last_seen_at")]))
     return (allrows.groupBy("agent_id")
             .agg(F.min("started_at").alias("started_at"), latest.alias("s"))
             .select("agent_id", "started_at", "s.*"))
@@ -292,12 +298,17 @@ def add_to_collection(collections: DataFrame, members: DataFrame, new: DataFrame
 def register_workflow(workflows: DataFrame, jobs: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Upsert workflow versions. A registered version becomes the one to run: other
     active versions of the same workflow are retired and their pending jobs purged; an
-    existing row keeps its status (the reference behaviour; see README)."""
+    existing row keeps its status (the reference behaviour; see README). Of several versions
+    of one workflow in a batch, only the last (by ``created_at``, then version) is active."""
     keys = ["workflow_id", "version"]
-    incoming = new.withColumn("status", F.lit("active"))
-    retire = (workflows.join(new.select("workflow_id", F.col("version").alias("_keep")), "workflow_id")
+    new = new.dropDuplicates(keys)
+    order = [F.desc(c) for c in ("created_at", "version") if c in new.columns]
+    last = F.row_number().over(Window.partitionBy("workflow_id").orderBy(*order)) == 1
+    incoming = new.withColumn("status", F.when(last, F.lit("active")).otherwise(F.lit("retired")))
+    keep = incoming.filter("status = 'active'").select("workflow_id", F.col("version").alias("_keep"))
+    retire = (workflows.join(keep, "workflow_id")
               .filter((F.col("status") == "active") & (F.col("version") != F.col("_keep")))
-              .select(*keys).withColumn("_retire", F.lit(True)))
+              .select(*keys).distinct().withColumn("_retire", F.lit(True)))
     wf = (workflows.join(retire, keys, "left")
           .withColumn("status", F.when(F.col("_retire"), F.lit("retired")).otherwise(F.col("status")))
           .drop("_retire"))

@@ -37,7 +37,7 @@ def job_summary(workflows: DataFrame, jobs: DataFrame, dead_letter: DataFrame) -
     total = sum((F.col(s) for s in JOB_STATUSES[1:]), F.col(JOB_STATUSES[0]))
     out = out.withColumn("total", total)
     pct = F.when(F.col("total") > 0, F.col("completed") * 100.0 / F.col("total")).otherwise(0.0)
-    return out.withColumn("completion_pct", F.round(pct, 2))
+    return out.withColumn("completion_pct", F.bround(pct, 2))
 
 
 def admin_stats(samples: DataFrame, workflows: DataFrame, jobs: DataFrame, runs: DataFrame,

@@ -37,9 +37,12 @@ def find_sample_by_run(qc: DataFrame, accession: str) -> DataFrame:
 
 def with_taxon(profile: DataFrame, qc: DataFrame, taxon: DataFrame) -> DataFrame:
     """Profile rows with their taxon, joined on (sgb_id, db_version); the db version of
-    a sample comes from its qc row's index name, so rows never fan out across versions."""
-    dbv = qc.select("sample_id", F.col("metaphlan_index").alias("db_version"))
-    return profile.join(dbv, "sample_id", "left").join(taxon, ["sgb_id", "db_version"], "left")
+    a published sample comes from the qc row of the same sample, workflow and version, so rows
+    never fan out across versions."""
+    keys = [k for k in ("sample_id", "workflow", "version", "workflow_id", "workflow_version")
+            if k in profile.columns and k in qc.columns]
+    dbv = qc.select(*keys, F.col("metaphlan_index").alias("db_version"))
+    return profile.join(dbv, keys, "left").join(taxon, ["sgb_id", "db_version"], "left")
 
 
 def rollup_lineage(profile: DataFrame, mapping: DataFrame, by: list[str]) -> DataFrame:

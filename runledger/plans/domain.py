@@ -351,7 +351,8 @@ FROM profile_lines GROUP BY sample_id, workflow_id, workflow_version, branch
 """
 
 # One run manifest (JSON text) per customer sample of the active shotgun version; every
-# seventh manifest is empty (all levels missing).
+# seventh manifest is empty (all levels missing). Every second sample has a manifest of
+# another version, too.
 DOMAIN_SQL["qc_manifests"] = """
 SELECT 'S' || CAST(c_custkey AS STRING) AS sample_id, 'shotgun' AS workflow_id,
   '1-URGENT' AS workflow_version,
@@ -366,6 +367,11 @@ SELECT 'S' || CAST(c_custkey AS STRING) AS sample_id, 'shotgun' AS workflow_id,
   || CASE WHEN c_custkey % 10 = 0 THEN ', "SRR' || CAST(2000000 + c_custkey AS STRING) || '"' ELSE '' END
   || ']}}' END AS text
 FROM customer
+UNION ALL
+SELECT 'S' || CAST(c_custkey AS STRING), 'shotgun', '2-HIGH',
+  '{"parameters": {"metaphlan_index": "' || CASE WHEN c_custkey % 3 = 0 THEN 'mpa_vJan25_CHOCOPhlAnSGB_202503'
+  ELSE 'mpa_vJun23_CHOCOPhlAnSGB_202307' END || '"}, "provenance": {"pipeline_version": "2.1.0", "input_ids": []}}'
+FROM customer WHERE c_custkey % 2 = 0
 """
 
 # Object-store notifications for published files: one create per page, a delete for every

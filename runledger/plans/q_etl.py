@@ -201,7 +201,8 @@ def q_published_manifest(d):
 @register("profile_taxa", ("profile_lines", "profile_files", "qc_manifests", "taxa"), _PARSED + _QC + """
 SELECT p.sample_id, p.workflow_version, p.branch, p.sgb_id, p.relative_abundance, t.lineage,
        qc.metaphlan_index AS db_version
-FROM parsed p LEFT JOIN qc ON qc.sample_id = p.sample_id
+FROM parsed p LEFT JOIN qc ON qc.sample_id = p.sample_id AND qc.workflow_id = p.workflow_id
+  AND qc.workflow_version = p.workflow_version
 LEFT JOIN taxa t ON t.sgb_id = p.sgb_id AND t.db_version = qc.metaphlan_index
 WHERE p.sgb_id IS NOT NULL
 """)

@@ -19,34 +19,33 @@ def telemetry(d):
     return enrich_events(d.weblog, d.workflow_runs)
 
 
+# One tally of all facts; every figure is a sum over it, and the mode is the head of the
+# process's own list of failed values, most frequent first.
 _FAILURES_SQL = """
-, x AS (SELECT process, status, exit_code, error_action FROM task_executions {where}),
-grouped AS (
-  SELECT process, count(*) AS total_completed,
-         count(*) FILTER (WHERE status = 'COMPLETED') AS success,
-         count(*) FILTER (WHERE status IN ('FAILED', 'ABORTED')) AS failed
-  FROM x GROUP BY process HAVING count(*) >= 5),
-fail_exit AS (
-  SELECT process, exit_code,
-         row_number() OVER (PARTITION BY process ORDER BY count(*) DESC, exit_code ASC NULLS LAST) AS rn
-  FROM x WHERE status IN ('FAILED', 'ABORTED') GROUP BY process, exit_code),
-fail_action AS (
-  SELECT process, error_action,
-         row_number() OVER (PARTITION BY process ORDER BY count(*) DESC, error_action ASC NULLS LAST) AS rn
-  FROM x WHERE status IN ('FAILED', 'ABORTED') AND error_action IS NOT NULL
-  GROUP BY process, error_action)
-SELECT g.process, g.total_completed, g.success, g.failed,
-       {pct} AS failure_pct,
-       f.exit_code AS modal_failure_exit_code, a.error_action AS modal_error_action
-FROM grouped g
-LEFT JOIN fail_exit f ON f.process = g.process AND f.rn = 1
-LEFT JOIN fail_action a ON a.process = g.process AND a.rn = 1
-ORDER BY g.failed DESC, failure_pct DESC, g.total_completed DESC, g.process ASC NULLS LAST
-LIMIT 50
+, tally AS (
+  SELECT process, exit_code AS code, error_action AS action, status, count(*) AS k
+  FROM task_executions {where} GROUP BY ALL),
+bad AS (SELECT * FROM tally WHERE status IN ('FAILED', 'ABORTED')),
+codes AS (
+  SELECT process, list(code ORDER BY k DESC, code NULLS LAST) AS ranked
+  FROM (SELECT process, code, sum(k) AS k FROM bad GROUP BY ALL) GROUP BY process),
+actions AS (
+  SELECT process, list(action ORDER BY k DESC, action) AS ranked
+  FROM (SELECT process, action, sum(k) AS k FROM bad WHERE action IS NOT NULL GROUP BY ALL) GROUP BY process),
+sums AS (
+  SELECT process, CAST(sum(k) AS BIGINT) AS total_completed,
+    CAST(sum(if(status = 'COMPLETED', k, 0)) AS BIGINT) AS success,
+    CAST(sum(if(status = 'FAILED' OR status = 'ABORTED', k, 0)) AS BIGINT) AS failed
+  FROM tally GROUP BY process)
+SELECT sums.*, {pct} AS failure_pct,
+  (SELECT ranked[1] FROM codes WHERE codes.process = sums.process) AS modal_failure_exit_code,
+  (SELECT ranked[1] FROM actions WHERE actions.process = sums.process) AS modal_error_action
+FROM sums WHERE total_completed > 4
+ORDER BY failed DESC, failure_pct DESC, total_completed DESC, process NULLS LAST LIMIT 50
 """
 
 
-@register("failures", TE, _FAILURES_SQL.format(where="", pct=pct("g.failed", "g.total_completed")))
+@register("failures", TE, _FAILURES_SQL.format(where="", pct=pct("failed", "total_completed")))
 def q_failures(d):
     """A10 over all task facts: per-process totals, modal exit code and error action."""
     return M.failures(d.task_executions, ALL)
@@ -54,7 +53,7 @@ def q_failures(d):
 
 @register("failures_window", TE, _FAILURES_SQL.format(
     where="WHERE utc_time >= TIMESTAMP '2000-01-01 00:00:00' AND utc_time <= TIMESTAMP '2001-12-31 23:59:59'",
-    pct=pct("g.failed", "g.total_completed")))
+    pct=pct("failed", "total_completed")))
 def q_failures_window(d):
     """A10 with a since/until window (P1), pushed into the lineitem scan."""
     return M.failures(d.task_executions, WINDOW)
@@ -128,20 +127,12 @@ def q_top_exit_codes(d):
     return M.top_exit_codes(d.task_executions, ALL)
 
 
-_TELEMETRY_SQL = """
-, telemetry AS (
-  SELECT w.*, split_part(nullif(json_extract_string(w.trace, '$.tag'), ''), ':', 1) AS sample_id,
-         r.workflow_id, r.workflow_version
-  FROM weblog w LEFT JOIN workflow_runs r ON w.run_name = r.run_name)
-"""
-
-
-@register("event_mix", ("weblog", "workflow_runs"), _TELEMETRY_SQL + """
-SELECT event, count(*) AS rows FROM telemetry GROUP BY event ORDER BY rows DESC, event
+@register("event_mix", ("weblog",), """
+SELECT event, count(*) AS rows FROM weblog GROUP BY event ORDER BY rows DESC, event
 """)
 def q_event_mix(d):
-    """A5 over the enriched event log."""
-    return M.event_mix(telemetry(d), ALL)
+    """A5 over the raw event log."""
+    return M.event_mix(d.weblog, ALL)
 
 
 @register("retries_summary", TE, f"""
@@ -168,26 +159,43 @@ def q_retries_by_attempt(d):
     return M.retries_by_attempt(d.task_executions, ALL)
 
 
+def _mean(expr: str, scale: str = "") -> str:
+    return r2(f"sum({expr}) / count({expr}){scale}")
+
+
+# The 0.95 quantile by its definition: sort the present values, interpolate between the two
+# that surround position 0.95 * (n - 1).
+def _q95(column: str, scale: str = "") -> str:
+    at = f"0.95 * (len({column}) - 1)"
+    low, high = f"{column}[CAST(floor({at}) AS INT) + 1]", f"{column}[CAST(ceil({at}) AS INT) + 1]"
+    return r2(f"({low} + ({high} - {low}) * ({at} - floor({at}))){scale}")
+
+
+_GIB = " / 1073741824.0"
+
+
 @register("resources_by_attempt", TE, f"""
-SELECT process, attempt, count(*) AS rows,
-  count(*) FILTER (WHERE status = 'COMPLETED') AS success,
-  count(*) FILTER (WHERE {FAILED}) AS failed,
-  {r2("avg(requested_cpus)")} AS avg_requested_cpus,
-  {r2("avg(requested_memory_bytes) / (1024*1024*1024)")} AS avg_requested_memory_gb,
-  {r2("avg(requested_time_ms) / (1000*60)")} AS avg_requested_time_min,
-  {r2("avg(pct_cpu)")} AS avg_pct_cpu,
-  {r2("percentile_cont(0.95) WITHIN GROUP (ORDER BY pct_cpu)")} AS p95_pct_cpu,
-  {r2("avg(pct_cpu / nullif(requested_cpus * 100, 0)) * 100")} AS avg_cpu_efficiency_pct,
-  {r2("avg(pct_mem)")} AS avg_pct_mem,
-  {r2("percentile_cont(0.95) WITHIN GROUP (ORDER BY pct_mem)")} AS p95_pct_mem,
-  {r2("avg(peak_rss / nullif(requested_memory_bytes, 0)) * 100")} AS avg_memory_efficiency_pct,
-  {r2("avg(peak_rss) / (1024*1024*1024)")} AS avg_peak_rss_gb,
-  {r2("percentile_cont(0.95) WITHIN GROUP (ORDER BY peak_rss) / (1024*1024*1024)")} AS p95_peak_rss_gb,
-  {r2("avg(read_bytes) / (1024*1024*1024)")} AS avg_read_gb,
-  {r2("avg(write_bytes) / (1024*1024*1024)")} AS avg_write_gb
-FROM task_executions WHERE process IS NOT NULL
-GROUP BY process, attempt HAVING count(*) >= 5
-ORDER BY rows DESC, process, attempt LIMIT 100
+, used AS (
+  SELECT process, attempt, status, requested_cpus AS cpus, requested_memory_bytes AS memory, requested_time_ms AS time_ms,
+    pct_cpu, pct_mem, peak_rss, read_bytes, write_bytes,
+    if(requested_cpus <> 0, pct_cpu / (100 * requested_cpus), NULL) AS cpu_use,
+    if(requested_memory_bytes <> 0, peak_rss / requested_memory_bytes, NULL) AS memory_use
+  FROM task_executions WHERE process IS NOT NULL),
+per AS (
+  SELECT process, attempt, count(*) AS rows,
+    sum(if(status = 'COMPLETED', 1, 0))::BIGINT AS success, sum(if({FAILED}, 1, 0))::BIGINT AS failed,
+    {_mean("cpus")} AS avg_requested_cpus, {_mean("memory", _GIB)} AS avg_requested_memory_gb,
+    {_mean("time_ms", " / 60000.0")} AS avg_requested_time_min, {_mean("pct_cpu")} AS avg_pct_cpu,
+    {_mean("cpu_use", " * 100")} AS avg_cpu_efficiency_pct, {_mean("pct_mem")} AS avg_pct_mem,
+    {_mean("memory_use", " * 100")} AS avg_memory_efficiency_pct, {_mean("peak_rss", _GIB)} AS avg_peak_rss_gb,
+    {_mean("read_bytes", _GIB)} AS avg_read_gb, {_mean("write_bytes", _GIB)} AS avg_write_gb,
+    list(pct_cpu ORDER BY pct_cpu) FILTER (pct_cpu IS NOT NULL) AS cpu_list,
+    list(pct_mem ORDER BY pct_mem) FILTER (pct_mem IS NOT NULL) AS mem_list,
+    list(peak_rss ORDER BY peak_rss) FILTER (peak_rss IS NOT NULL) AS rss_list
+  FROM used GROUP BY process, attempt)
+SELECT * EXCLUDE (cpu_list, mem_list, rss_list), {_q95("cpu_list")} AS p95_pct_cpu, {_q95("mem_list")} AS p95_pct_mem,
+  {_q95("rss_list", _GIB)} AS p95_peak_rss_gb
+FROM per WHERE rows > 4 ORDER BY rows DESC, process, attempt LIMIT 100
 """)
 def q_resources_by_attempt(d):
     """A9 with exact p95 (banded exact quantile, no whole-group gather)."""
@@ -243,43 +251,35 @@ def q_timeline_week(d):
     return M.timeline(d.task_executions, "week", ALL)
 
 
-_RUNNING_SQL = """
-, ev AS (
-  SELECT w.run_name, json_extract_string(w.trace, '$.task_id') AS task_id,
-         coalesce(json_extract_string(w.trace, '$.process'), '<null>') AS process, w.event
-  FROM weblog w JOIN (SELECT run_name FROM workflow_runs WHERE status = 'running') ar
-    ON w.run_name = ar.run_name
-  WHERE w.event IN ('process_submitted', 'process_started', 'process_completed') AND w.trace IS NOT NULL),
-ts AS (
-  SELECT process, bool_or(event = 'process_submitted') AS is_submitted,
-         bool_or(event = 'process_started') AS is_started,
-         bool_or(event = 'process_completed') AS is_completed
-  FROM ev GROUP BY run_name, task_id, process)
+# One row per task with a 0/1 mark for each kind of event seen.
+TASK_MARKS = """
+SELECT run_name, trace ->> '$.task_id' AS task, coalesce(trace ->> '$.process', '<null>') AS process,
+  max(if(event = 'process_submitted', 1, 0)) AS sent, max(if(event = 'process_started', 1, 0)) AS begun,
+  max(if(event = 'process_completed', 1, 0)) AS ended
+FROM weblog WHERE event LIKE 'process%' AND trace IS NOT NULL GROUP BY ALL
 """
+_LIVE = "run_name IN (FROM workflow_runs SELECT run_name WHERE status = 'running')"
 
 
-@register("running", ("weblog", "workflow_runs"), _RUNNING_SQL + """
-SELECT process, count(*) FILTER (WHERE is_started AND NOT is_completed) AS running,
-       count(*) FILTER (WHERE is_submitted AND NOT is_started) AS queued
-FROM ts GROUP BY process
-HAVING count(*) FILTER (WHERE is_started AND NOT is_completed) > 0
-    OR count(*) FILTER (WHERE is_submitted AND NOT is_started) > 0
-ORDER BY running DESC, queued DESC, process
+@register("running", ("weblog", "workflow_runs"), f"""
+, marks AS ({TASK_MARKS})
+SELECT process, sum(begun * (1 - ended))::BIGINT AS running, sum(sent * (1 - begun))::BIGINT AS queued
+FROM marks WHERE {_LIVE} GROUP BY process HAVING running + queued > 0 ORDER BY running DESC, queued DESC, process
 """)
 def q_running(d):
     """In-flight and queued tasks per process over running runs."""
-    return M.running(telemetry(d), d.workflow_runs)
+    return M.running(d.weblog, d.workflow_runs)
 
 
-@register("running_totals", ("weblog", "workflow_runs"), _RUNNING_SQL + """
-SELECT (SELECT count(*) FROM workflow_runs WHERE status = 'running') AS active_runs,
-       count(*) FILTER (WHERE is_started AND NOT is_completed) AS total_running,
-       count(*) FILTER (WHERE is_submitted AND NOT is_started) AS total_queued
-FROM ts
+@register("running_totals", ("weblog", "workflow_runs"), f"""
+, marks AS ({TASK_MARKS})
+SELECT (FROM workflow_runs SELECT count(*) WHERE status = 'running') AS active_runs,
+  coalesce(sum(begun * (1 - ended)), 0)::BIGINT AS total_running, coalesce(sum(sent * (1 - begun)), 0)::BIGINT AS total_queued
+FROM marks WHERE {_LIVE}
 """)
 def q_running_totals(d):
     """A13 envelope: active runs, total running and queued tasks."""
-    return M.running_totals(telemetry(d), d.workflow_runs)
+    return M.running_totals(d.weblog, d.workflow_runs)
 
 
 @register("tasks_page", TE, """

@@ -190,11 +190,11 @@ def q_backfill_members(d):
         FROM workflows),
 kept AS (SELECT j.* FROM jobs j WHERE NOT (j.status = 'pending' AND EXISTS (
            SELECT 1 FROM w WHERE w.workflow_id = j.workflow_id AND w.version = j.workflow_version
-           AND w.status <> 'active')))
+           AND w.status = 'retired')))
 SELECT workflow_id, workflow_version, status, count(*) AS n FROM kept GROUP BY 1, 2, 3
 """)
 def q_retire_purge(d):
-    """U6 + purge: retire the active shotgun version, drop pending jobs of inactive versions;
+    """U6 + purge: retire the active shotgun version, drop pending jobs of retired versions (paused ones keep theirs);
     remaining jobs per version and status."""
     wf = G.set_workflow_status(d.workflows, "shotgun", "1-URGENT", "retired")
     kept = G.purge_pending(d.jobs, wf)
@@ -235,16 +235,13 @@ def q_accession_receipts(d):
 @register("bulk_sample_counters", ("curation_rows",), r"""
 , v AS (SELECT row_index, regexp_matches(trim(ncbi_accession), '\b[SED]RR\d+\b') AS ok,
                nullif(trim(study_name), '') AS coll FROM curation_rows),
-cut AS (SELECT CASE WHEN count(*) >= 1000 THEN max(row_index) END AS c
-        FROM (SELECT row_index FROM v WHERE ok ORDER BY row_index LIMIT 1000) x),
-r AS (SELECT v.* FROM v, cut WHERE cut.c IS NULL OR v.row_index <= cut.c)
 SELECT count(*) FILTER (WHERE ok) AS registered, count(*) FILTER (WHERE NOT ok) AS skipped,
        count(*) FILTER (WHERE ok AND coll IS NULL) AS unattached
-FROM r
+FROM v
 """)
 def q_bulk_sample_counters(d):
-    """Bulk registration of the sheet rows, capped at 1000 registered rows in row order."""
-    return G.ingest_sample_rows(d.curation_rows, limit=1000)["counters"]
+    """Bulk registration of all sheet rows."""
+    return G.ingest_sample_rows(d.curation_rows)["counters"]
 
 
 @register("agent_heartbeats", ("agents",), """

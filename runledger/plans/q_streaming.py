@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..streaming import streams as S
-from .q_metrics import telemetry
+from .q_metrics import TASK_MARKS
 from .registry import pct, register
 
 
@@ -92,23 +92,11 @@ def q_stream_ingest_facts(d):
                         "pct_cpu", "requested_memory_bytes")
 
 
-@register("stream_running", ("weblog", "workflow_runs"), """
-, ev AS (
-  SELECT w.run_name, json_extract_string(w.trace, '$.task_id') AS task_id,
-         coalesce(json_extract_string(w.trace, '$.process'), '<null>') AS process, w.event
-  FROM weblog w WHERE w.event IN ('process_submitted', 'process_started', 'process_completed')
-    AND w.trace IS NOT NULL),
-ts AS (
-  SELECT run_name, process, bool_or(event = 'process_submitted') AS is_submitted,
-         bool_or(event = 'process_started') AS is_started,
-         bool_or(event = 'process_completed') AS is_completed
-  FROM ev GROUP BY run_name, task_id, process)
-SELECT process, count(*) FILTER (WHERE is_started AND NOT is_completed) AS running,
-       count(*) FILTER (WHERE is_submitted AND NOT is_started) AS queued
-FROM ts WHERE run_name IN (SELECT run_name FROM workflow_runs WHERE status = 'running')
-GROUP BY process
-HAVING count(*) FILTER (WHERE is_started AND NOT is_completed) > 0
-    OR count(*) FILTER (WHERE is_submitted AND NOT is_started) > 0
+@register("stream_running", ("weblog", "workflow_runs"), f"""
+, marks AS ({TASK_MARKS})
+SELECT process, sum(begun * (1 - ended))::BIGINT AS running, sum(sent * (1 - begun))::BIGINT AS queued
+FROM marks SEMI JOIN (FROM workflow_runs WHERE status = 'running') live USING (run_name)
+GROUP BY process HAVING running + queued > 0
 """)
 def q_stream_running(d):
     """Stateful per-task flags maintained by a stream, then in-flight counts per process."""

@@ -56,5 +56,10 @@ def r2(expr: str) -> str:
     return f"CAST(round(CAST(CAST(({expr}) AS VARCHAR) AS DECIMAL(38,20)), 2) AS DOUBLE)"
 
 
+def r2e(expr: str) -> str:
+    """As ``r2`` with ties to the even digit."""
+    return f"CAST(round_even(CAST(CAST(({expr}) AS VARCHAR) AS DECIMAL(38,20)), 2) AS DOUBLE)"
+
+
 def pct(num: str, den: str) -> str:
     return r2(f"100.0 * CAST({num} AS DOUBLE) / nullif(CAST({den} AS DOUBLE), 0)")

@@ -22,16 +22,17 @@ BASE_CONF = {
 
 # Sizing for a large cluster (about 100 TB of input, about 1000 executors). Shuffles start
 # wide and AQE coalesces them to ~256 MB partitions; scans split at 512 MB; a side is
-# broadcast only when its *measured* runtime size is under 64 MB; partitions more than
+# broadcast when its stored size is under 32 MB or its measured runtime size under 64 MB; partitions more than
 # 5x the median and over 1 GB are split by the skew-join rule.
 CLUSTER_CONF = {
     "spark.sql.shuffle.partitions": "8000",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64m",
     "spark.sql.files.maxPartitionBytes": "512m",
-    # no broadcast from pre-execution estimates; AQE broadcasts a side once its shuffle
-    # output is measured under 64 MB
-    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    # sides whose stored size is known to be small (registries) are broadcast at once, so the
+    # event log and the facts are not shuffled to meet them; AQE decides the others from
+    # their measured size
+    "spark.sql.autoBroadcastJoinThreshold": "32m",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1g",
@@ -64,11 +65,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's shared checkpoint folder (``spark.checkpoint.dir``).
 
     On a cluster this is set by the deployment to a shared filesystem and is only read
-    here. A local dir is created only when the setting is absent (tests, local runs).
+    here. A local dir is created only for a local master (tests, local runs); on a cluster
+    an absent setting is an error, as executors would write to their own disks.
     """
     conf = spark.sparkContext.getConf()
     path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="runledger-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)

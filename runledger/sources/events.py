@@ -52,15 +52,16 @@ RUN_EVENT_SCHEMA = T.StructType([
 
 
 def _to_utc(c):
-    """Timestamps may arrive with or without a zone; zone-less values are UTC."""
-    return F.to_timestamp(c).cast("timestamp_ntz")
+    """Timestamps may arrive with or without a zone; zone-less values are UTC, junk is NULL."""
+    return F.try_to_timestamp(c).cast("timestamp_ntz")
 
 
 def read_weblog(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     """Landed weblog JSON -> (run_id, run_name, event, utc_time, metadata, trace).
 
     Payload objects are read into string columns, which keeps them as JSON text.
-    Rows that are not JSON, or lack runName/event, go to ``valid = false``."""
+    Rows that are not JSON, lack runName/event, or have a time that is none, go to
+    ``valid = false``."""
     reader = spark.readStream if stream else spark.read
     raw = (reader.schema(WEBLOG_SCHEMA).option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
@@ -69,7 +70,8 @@ def read_weblog(spark: SparkSession, path: str, stream: bool = False) -> DataFra
 
 def weblog_envelope(raw: DataFrame) -> DataFrame:
     valid = (F.col("_corrupt_record").isNull() & F.col("runName").isNotNull()
-             & F.col("event").isNotNull())
+             & F.col("event").isNotNull()
+             & (F.col("utcTime").isNull() | _to_utc(F.col("utcTime")).isNotNull()))
     return raw.select(
         F.col("runId").alias("run_id"), F.col("runName").alias("run_name"), "event",
         _to_utc(F.col("utcTime")).alias("utc_time"),
@@ -80,9 +82,14 @@ def weblog_envelope(raw: DataFrame) -> DataFrame:
 def strip_blobs(metadata):
     """Drop workflow.start/complete.offset.availableZoneIds from run metadata text.
 
-    The blob is a long list of zone names; removing it with a regex on the JSON text keeps
-    the rest of the document byte-identical and is a no-op when absent."""
-    return F.regexp_replace(metadata, r',?\s*"availableZoneIds"\s*:\s*\[[^\]]*\]', "")
+    The blob is a long list of zone names. It is cut from the JSON text with one of the
+    commas beside it, so the rest of the document stays byte-identical; documents without it
+    at that place are left alone. The pattern reads strings whole, so brackets in them do
+    not end the list."""
+    blob = r'"availableZoneIds"\s*:\s*\[(?:[^\]"]|"(?:\\.|[^"\\])*")*\]'
+    there = F.coalesce(*[F.get_json_object(metadata, f"$.workflow.{k}.offset.availableZoneIds") for k in ("start", "complete")])
+    cut = F.regexp_replace(F.regexp_replace(metadata, blob + r"\s*,\s*", ""), r",?\s*" + blob, "")
+    return F.when(there.isNotNull(), cut).otherwise(metadata)
 
 
 def read_run_events(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
@@ -102,14 +109,15 @@ def validate_run_events(raw: DataFrame) -> DataFrame:
     reason = (F.when(F.col("_corrupt_record").isNotNull(), F.lit("malformed"))
               .when(~t.isin(*RUN_EVENT_TYPES) | t.isNull(), F.lit("unknown type"))
               .when(F.col("utc_time").isNull(), F.lit("missing utc_time"))
+              .when(_to_utc(F.col("utc_time")).isNull(), F.lit("bad utc_time"))
               .when((t == "wrapper_exited") & F.col("exit_code").isNull(), F.lit("missing exit_code"))
               .when((t == "slurm_state") & F.col("state").isNull(), F.lit("missing state"))
               .when((t == "workflow_oncomplete") & F.col("success").isNull(), F.lit("missing success"))
               .when((t == "wrapper_log") & (F.col("stream").isNull() | F.col("text").isNull()
                                             | ~F.col("stream").isin("stdout", "stderr")),
                     F.lit("missing stream/text")))
-    return (raw.withColumn("utc_time", _to_utc(F.col("utc_time")))
-            .withColumn("reject_reason", reason)
+    return (raw.withColumn("reject_reason", reason)
+            .withColumn("utc_time", _to_utc(F.col("utc_time")))
             .withColumn("valid", F.col("reject_reason").isNull()))
 
 

@@ -15,8 +15,7 @@ directory.
 """
 from __future__ import annotations
 
-import json
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,6 +58,10 @@ def partition_cols(table: str) -> list[str]:
     return ["workflow", "version"] + (["data_type"] if "data_type" in SCHEMAS[table].fieldNames() else [])
 
 
+def stored_schema(table: str) -> T.StructType:
+    return T.StructType(SCHEMAS[table].fields + [T.StructField("ingest_id", T.StringType())])
+
+
 def ensure_schema(spark: SparkSession, base: str) -> None:
     """K1: create every lake table (empty, with its schema) if missing."""
     import pyarrow.fs as pafs
@@ -66,8 +69,7 @@ def ensure_schema(spark: SparkSession, base: str) -> None:
         path = f"{base.rstrip('/')}/{name}"
         fs, p = pafs.FileSystem.from_uri(path if "://" in path else "file://" + path)
         if fs.get_file_info(p).type == pafs.FileType.NotFound:
-            full = T.StructType(schema.fields + [T.StructField("ingest_id", T.StringType())])
-            (spark.createDataFrame([], full)
+            (spark.createDataFrame([], stored_schema(name))
              .write.mode("append").partitionBy(*partition_cols(name)).parquet(path))
 
 
@@ -105,9 +107,25 @@ def mark_ingested(counts: DataFrame, base: str, ingest_id: str, at) -> DataFrame
     return wm
 
 
+WATERMARK_SCHEMA = _schema([(k, T.StringType()) for k in KEY] + [
+    ("row_counts", T.MapType(T.StringType(), T.LongType())), ("ingest_id", T.StringType()),
+    ("ingested_at", T.TimestampNTZType())])
+
+
+def watermark_history(spark: SparkSession, base: str) -> DataFrame:
+    """All watermark rows; none before the first ingest."""
+    path = f"{base.rstrip('/')}/{WATERMARK}"
+    try:
+        return spark.read.schema(WATERMARK_SCHEMA).parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], WATERMARK_SCHEMA)
+
+
 def read_watermark(spark: SparkSession, base: str) -> DataFrame:
     """Latest watermark row per key (an upsert by key, read side)."""
-    wm = spark.read.parquet(f"{base.rstrip('/')}/{WATERMARK}")
+    wm = watermark_history(spark, base)
     w = Window.partitionBy(*KEY).orderBy(F.desc("ingested_at"), F.desc("ingest_id"))
     return wm.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
@@ -118,19 +136,31 @@ def watermark_keys(wm: DataFrame) -> DataFrame:
             .withColumnRenamed("version", "workflow_version"))
 
 
-def live(rows: DataFrame, watermark: DataFrame) -> DataFrame:
-    """Latest-wins: rows of the current ingest of their key only (K2/K3 read side)."""
-    cur = watermark.select(*KEY, "ingest_id")
-    return rows.join(cur, KEY + ["ingest_id"], "left_semi")
+def live(rows: DataFrame, history: DataFrame) -> DataFrame:
+    """Latest-wins: rows of the current ingest of their key only (K2/K3 read side).
+
+    Rows of an ingest that never reached the watermark are left out by its id; of the others
+    only the superseded (key, ingest) pairs are, which stay few, so a scan does not meet the
+    whole watermark."""
+    w = Window.partitionBy(*KEY).orderBy(F.desc("ingested_at"), F.desc("ingest_id"))
+    superseded = (history.withColumn("_rn", F.row_number().over(w)).filter("_rn > 1")
+                  .select(*KEY, "ingest_id"))
+    return (rows.join(history.select("ingest_id").distinct(), "ingest_id", "left_semi")
+            .join(superseded, KEY + ["ingest_id"], "left_anti").select(*rows.columns))
+
+
+def _stored(spark: SparkSession, base: str, table: str) -> DataFrame:
+    path = f"{base.rstrip('/')}/{table}"
+    return spark.read.schema(stored_schema(table)).option("basePath", path).parquet(path)
 
 
 def scan_lake(spark: SparkSession, base: str, table: str, **partition_eq) -> DataFrame:
     """One lake table (live rows only); equality filters on partition columns prune
     directories."""
-    df = spark.read.option("basePath", f"{base.rstrip('/')}/{table}").parquet(f"{base.rstrip('/')}/{table}")
+    df = _stored(spark, base, table)
     for k, v in partition_eq.items():
         df = df.filter(F.col(k) == v)
-    return live(df, read_watermark(spark, base))
+    return live(df, watermark_history(spark, base))
 
 
 def compact(spark: SparkSession, base: str, table: str, out: str) -> None:
@@ -142,15 +172,22 @@ def compact(spark: SparkSession, base: str, table: str, out: str) -> None:
 
 
 def freeze_snapshot(spark: SparkSession, base: str, public_base: str) -> DataFrame:
-    """K6: a point-in-time manifest of every live data file, addressed under another base
-    URL, plus each table's schema - readers load the listed files directly."""
+    """K6: a point-in-time manifest of every data file with live rows, addressed under
+    another base URL, plus each table's schema - readers load the listed files directly.
+
+    ``rows`` and ``live_rows`` tell files that also hold superseded rows; for those the
+    watermark's own files, listed as table ``etl_ingested``, say which rows count."""
     frames = []
+    history = watermark_history(spark, base)
     for table in SCHEMAS:
-        df = scan_lake(spark, base, table)
-        files = (df.select(F.input_file_name().alias("file")).distinct()
-                 .withColumn("table", F.lit(table))
-                 .withColumn("schema", F.lit(json.dumps(json.loads(SCHEMAS[table].json())))))
+        df = _stored(spark, base, table).select(*KEY, "ingest_id", F.col("_metadata.file_path").alias("file"))
+        alive = live(df, history).groupBy("file").agg(F.count("*").alias("live_rows"))
+        files = (df.groupBy("file").agg(F.count("*").alias("rows")).join(alive, "file")
+                 .withColumn("table", F.lit(table)).withColumn("schema", F.lit(stored_schema(table).json())))
         frames.append(files)
+    frames.append(history.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("rows"))
+                  .withColumn("live_rows", F.col("rows")).withColumn("table", F.lit(WATERMARK))
+                  .withColumn("schema", F.lit(WATERMARK_SCHEMA.json())))
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
@@ -159,11 +196,12 @@ def freeze_snapshot(spark: SparkSession, base: str, public_base: str) -> DataFra
                                           F.substring_index(F.col("file"), prefix, -1)))
 
 
-def write_metadata_tsv(jobs: DataFrame, samples: DataFrame, out: str) -> None:
+def write_metadata_tsv(jobs: DataFrame, samples: DataFrame, out: str, files: int | None = 1) -> None:
     """K7: ``sample_id<TAB>NCBI_accession`` for a batch; accession from the sample row, or
-    its metadata's accession key when the column is empty."""
+    its metadata's accession key when the column is empty. A dispatch batch is one file;
+    ``files=None`` writes an export of any size from as many tasks as it has partitions."""
     acc = F.coalesce(F.nullif(F.trim("ncbi_accession"), F.lit("")),
                      F.get_json_object("metadata", "$['ncbi_accession']"))
-    (jobs.select("sample_id").distinct().join(samples, "sample_id", "left")
-     .select("sample_id", acc.alias("NCBI_accession"))
-     .coalesce(1).write.mode("overwrite").option("sep", "\t").option("header", True).csv(out))
+    rows = (jobs.select("sample_id").distinct().join(samples, "sample_id", "left")
+            .select("sample_id", acc.alias("NCBI_accession")))
+    ((rows if files is None else rows.coalesce(files)).write.mode("overwrite").option("sep", "\t").option("header", True).csv(out))

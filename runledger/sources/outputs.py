@@ -79,20 +79,33 @@ def _decode(raw: bytes) -> str:
     return raw.decode("utf-8", "replace")
 
 
-def _open_bytes(path: str) -> bytes | None:
+def _open_bytes(path: str, content: bool) -> tuple[bytes | None, str]:
+    """(content, status): ``ok``, ``missing``, or ``error: ...`` for what may pass (permissions,
+    timeouts, throttling)."""
     import pyarrow.fs as pafs
-    fs, p = pafs.FileSystem.from_uri(path if "://" in path else "file://" + path)
     try:
+        fs, p = pafs.FileSystem.from_uri(path if "://" in path else "file://" + path)
+        if fs.get_file_info(p).type == pafs.FileType.NotFound:
+            return None, "missing"
+        if not content:
+            return None, "ok"
         # compression=None: never decompress by extension; the magic bytes decide
         with fs.open_input_stream(p, compression=None) as f:
-            return f.read()
-    except (FileNotFoundError, OSError):
-        return None
+            return f.read(), "ok"
+    except FileNotFoundError:
+        return None, "missing"
+    except OSError as e:
+        return None, f"error: {type(e).__name__}: {e}"[:200]
+
+
+FETCH_BYTES = 32 << 20      # text that a fetch task hands over at a time
 
 
 def fetch_outputs(paths: DataFrame, read_content: bool = True,
                   partitions: int | None = None) -> DataFrame:
-    """S8 (+S16): add ``text`` (decoded content, NULL when missing or empty) and ``exists``.
+    """S8 (+S16): add ``text`` (decoded content, NULL when missing or empty), ``exists`` and
+    ``status`` (``ok``, ``missing`` or an error that a later fetch may not meet). Files are
+    handed over one by one, at most about FETCH_BYTES of text at a time.
 
     Runs on the executors; each task opens only its own paths through pyarrow's filesystem
     layer (local, HDFS or object store URIs). Path rows are tiny, so they are first spread
@@ -102,16 +115,21 @@ def fetch_outputs(paths: DataFrame, read_content: bool = True,
     n = partitions or paths.sparkSession.sparkContext.defaultParallelism * 4
     paths = paths.repartition(n, "path")
     out_schema = T.StructType(paths.schema.fields + [T.StructField("exists", T.BooleanType()),
-                                                     T.StructField("text", T.StringType())])
+                                                     T.StructField("text", T.StringType()),
+                                                     T.StructField("status", T.StringType())])
 
     def fetch(batches):
         for pdf in batches:
-            texts, exists = [], []
-            for p in pdf["path"].tolist():
-                raw = _open_bytes(p)
-                exists.append(raw is not None)
-                texts.append(_decode(raw) if (read_content and raw) else None)
-            yield pdf.assign(exists=exists, text=texts)
+            texts, status, held, first = [], [], 0, 0
+            files = pdf["path"].tolist()
+            for i, p in enumerate(files):
+                raw, s = _open_bytes(p, read_content)
+                texts.append(_decode(raw) if raw else None)
+                status.append(s)
+                held += len(texts[-1] or "")
+                if held >= FETCH_BYTES or i + 1 == len(files):
+                    yield pdf.iloc[first:i + 1].assign(exists=[x == "ok" for x in status], text=texts, status=status)
+                    texts, status, held, first = [], [], 0, i + 1
 
     return paths.mapInPandas(fetch, out_schema)
 

@@ -145,8 +145,10 @@ def _run_state_fn(heartbeat_ms: int, claim_ttl_ms: int, timeouts: bool = True,
                 return
             if status == "running":
                 status, reason = "failed", "heartbeat timeout"
-            else:                            # claimed / submitted past the claim TTL
+            elif status == "claimed":
                 status, reason = "expired", "claim ttl"
+            else:                            # submitted runs may wait in the queue for long
+                return
             state.update((status, run_id, last))
             state.setTimeoutDuration(retention_ms)
             yield pd.DataFrame([{"run_name": run_name, "status": status, "run_id": run_id,
@@ -174,8 +176,9 @@ def _run_state_fn(heartbeat_ms: int, claim_ttl_ms: int, timeouts: bool = True,
         state.update((status, run_id, last))
         if timeouts:
             # a finished run is kept for ``retention_ms`` so late events stay no-ops
-            state.setTimeoutDuration(retention_ms if status in TERMINAL
-                                     else heartbeat_ms if status == "running" else claim_ttl_ms)
+            wait = retention_ms if status in TERMINAL else {"running": heartbeat_ms, "claimed": claim_ttl_ms}.get(status)
+            if wait is not None:
+                state.setTimeoutDuration(wait)
         yield pd.DataFrame([{"run_name": run_name, "status": status, "run_id": run_id,
                              "last_event_at": last, "reason": None}])
     return fn

@@ -58,7 +58,7 @@ def test_trace_flatten_mixed_types(spark):
 
 def test_short_hash_and_labels(spark):
     assert one(spark, D.short_task_hash("x"), [("ab/cdef123456",), ("ab/cd",)]) == ["ab/cdef12", "ab/cd"]
-    assert one(spark, D.exit_label("x"), [("137",), (None,), ("9",)])[1] == "unknown"
+    assert one(spark, D.exit_label("x"), [("137",), (None,), ("9",)])[1:3] == ["Signal / unknown", ""]
     assert one(spark, D.fmt_duration("x"), [(123.0,), (4500.0,), (184000.0,), (7500000.0,)], "x double") == \
         ["123ms", "4.5s", "3m 4s", "2h 5m"]
 

@@ -38,10 +38,29 @@ def test_sheet_import(spark):
     meta = json.loads(ann.filter("ncbi_accession = 'SRR1;SRR2'").collect()[0]["metadata"])
     assert meta == {"subject_id": "A", "disease": "IBD"}
     _write(f"{d}/bad/b.tsv", "accession\tsubject_id\nSRR1\tA\n")
-    with pytest.raises(ValueError):
+    with pytest.raises(ValueError, match="b.tsv"):
         FS.read_sheet(spark, f"{d}/bad/b.tsv")
 
 
+def test_sheets_are_read_by_their_own_headers(spark):
+    d = tempfile.mkdtemp(prefix="rl-sheets-")
+    _write(f"{d}/a.tsv", "ncbi_accession\tdisease\nSRR1\tIBD\n")
+    _write(f"{d}/b.tsv", "disease\tNCBI_Accession\thost\t_cohort\t\nhealthy\tSRR9\thuman\tpilot\tx\tbeyond\nshort\n")
+    _write(f"{d}/c.tsv", "ncbi_accession\n")
+    got = {(os.path.basename(r["source_file"]), r["row_index"]): (r["ncbi_accession"], r["disease"], r["host"], r["_cohort"])
+           for r in FS.read_sheet(spark, d).collect()}
+    assert got == {("a.tsv", 0): ("SRR1", "IBD", None, None), ("b.tsv", 0): ("SRR9", "healthy", "human", "pilot"),
+                   ("b.tsv", 1): (None, "short", None, None)}
+
+
+def test_later_sheet_row_of_a_key_wins(spark):
+    rows = spark.createDataFrame([(i, "SRR1", d, "st") for i, d in enumerate(["x", "z", "a"])],
+                                 "row_index long, ncbi_accession string, disease string, study_name string")
+    empty = spark.createDataFrame([], "sample_id string, study_name string, ncbi_accession string, metadata string")
+    [r] = G.import_curation(rows, empty)["annotations"].collect()
+    assert json.loads(r["metadata"])["disease"] == "a"
+
+
 def test_task_logs_walk_and_upsert(spark):
     w = tempfile.mkdtemp(prefix="rl-work-")
     _write(f"{w}/ab/cdef1234567890/.command.out", "hello")
@@ -51,13 +70,35 @@ def test_task_logs_walk_and_upsert(spark):
     logs, oversize = FS.read_task_logs(spark, w, max_bytes=10)
     got = {(r["task_hash"], r["log_type"]): r["content"] for r in logs.collect()}
     assert got == {("ab/cdef12", "out"): "hello", ("cd/012345", "sh"): "echo"}
-    assert oversize.count() == 1
+    assert {(os.path.basename(r["path"]), r["reason"]) for r in oversize.collect()} == {(".command.err", "over size")}
+    _write(f"{w}/ef/xyz/.command.sh", "outside")
+    with open(f"{w}/cd/0123456789/.command.out", "wb") as f:
+        f.write(b"a\xffb")
+    logs, rejected = FS.read_task_logs(spark, w, max_bytes=None)
+    got = {(r["task_hash"], r["log_type"]): r["content"] for r in logs.collect()}
+    assert got["ab/cdef12", "err"] == "x" * 50 and got["cd/012345", "out"] == "a\ufffdb"
+    assert [r["reason"] for r in rejected.collect()] == ["not a task folder"]
     stored = spark.createDataFrame([("r1", "ab/cdef12", "out", "old")],
                                    "run_name string, task_hash string, log_type string, content string")
     inc = spark.createDataFrame([("r1", "ab/cdef12", "out", "new"), ("r1", "ab/cdef12", "err", "e")],
                                 "run_name string, task_hash string, log_type string, content string")
     out = {(r["log_type"]): r["content"] for r in FS.upsert_task_logs(stored, inc).collect()}
     assert out == {"out": "new", "err": "e"}
+    assert {r["log_type"]: r["content"] for r in FS.upsert_task_logs(stored, inc, max_bytes=2).collect()} == {"out": "old", "err": "e"}
+    assert [(r["log_type"], r["reason"]) for r in FS.rejected_logs(inc, 2).collect()] == [("out", "over size")]
+
+
+def test_fetch_reports_what_it_could_not_read(spark, monkeypatch):
+    from runledger.sources import outputs as O
+    d = tempfile.mkdtemp(prefix="rl-fetch-")
+    for i in range(5):
+        _write(f"{d}/f{i}", "y" * 1000)
+    monkeypatch.setattr(O, "FETCH_BYTES", 1500)
+    paths = spark.createDataFrame([(f"{d}/f{i}",) for i in range(5)] + [(f"{d}/none",), (d,)], "path string")
+    got = {os.path.basename(r["path"]): r for r in O.fetch_outputs(paths, partitions=1).collect()}
+    assert all(got[f"f{i}"]["status"] == "ok" and len(got[f"f{i}"]["text"]) == 1000 for i in range(5))
+    assert (got["none"]["status"], got["none"]["exists"]) == ("missing", False)
+    assert got[os.path.basename(d)]["status"].startswith("error") and not got[os.path.basename(d)]["exists"]
 
 
 def test_run_events_validation(spark):
@@ -80,12 +121,48 @@ def test_weblog_reader_and_strip(spark):
     _write(f"{d}/w.json", json.dumps(ev) + "\n")
     df = EV.read_weblog(spark, d)
     r = df.collect()[0]
-    assert r["valid"] and r["utc_time"] == T0 and "availableZoneIds" not in r["metadata"]
+    assert r["valid"] and r["utc_time"] == T0
+    assert json.loads(r["metadata"]) == {"workflow": {"start": {"offset": {"id": "Z"}}}}
     runs = spark.createDataFrame([("r1", "wf", "v1")], "run_name string, workflow_id string, workflow_version string")
     facts = EV.to_task_executions(EV.enrich_events(df.withColumn("id", __import__("pyspark.sql.functions", fromlist=["lit"]).lit(1)), runs)).collect()
     assert facts[0]["sample_id"] == "S1" and facts[0]["workflow_id"] == "wf" and facts[0]["attempt"] == 1
 
 
+@pytest.mark.parametrize("offset", [{"availableZoneIds": ["A", 'x]"y'], "id": "Z"}, {"id": "Z", "availableZoneIds": []},
+                                    {"a": 1, "availableZoneIds": ["q"], "id": "Z"}, {"availableZoneIds": ["only"]}])
+def test_strip_keeps_the_rest_of_the_document(spark, offset):
+    doc = {"k": "availableZoneIds", "workflow": {"complete": {"offset": offset}, "n": [1, 2]}}
+    other = {"list": {"availableZoneIds": ["stays"]}}
+    df = spark.createDataFrame([(json.dumps(doc),), (json.dumps(other),), (None,)], "m string")
+    got = [r[0] for r in df.select(EV.strip_blobs(df.m)).collect()]
+    doc["workflow"]["complete"]["offset"].pop("availableZoneIds")
+    assert json.loads(got[0]) == doc and json.loads(got[1]) == other and got[2] is None
+
+
+def test_junk_time_is_quarantined(spark):
+    d = tempfile.mkdtemp(prefix="rl-junk-")
+    rows = [{"runName": "r", "event": "started", "utcTime": t} for t in ("2026-01-01T00:00:00Z", "yesterday", "")]
+    _write(f"{d}/w.json", "\n".join(map(json.dumps, rows)))
+    assert sorted((r["valid"], r["utc_time"]) for r in EV.read_weblog(spark, d).collect() if r["valid"]) == [(True, T0)]
+    _write(f"{d}/run/e.json", json.dumps({"run_name": "r", "type": "heartbeat", "utc_time": "soon"}))
+    [r] = EV.read_run_events(spark, f"{d}/run").collect()
+    assert (r["valid"], r["reject_reason"]) == (False, "bad utc_time")
+
+
+def test_only_retired_versions_are_purged(spark):
+    wf = spark.createDataFrame([("w", "1", "active", T0), ("w", "2", "paused", T0), ("w", "3", "retired", T0)],
+                               "workflow_id string, version string, status string, created_at timestamp")
+    jobs = spark.createDataFrame([(i, "w", str(i), "pending") for i in (1, 2, 3)] + [(4, "w", "3", "running")],
+                                 "job_id long, workflow_id string, workflow_version string, status string")
+    assert sorted(r["job_id"] for r in G.purge_pending(jobs, wf).collect()) == [1, 2, 4]
+    assert G.purgeable_jobs(jobs, wf).count() == 1
+    new = spark.createDataFrame([("w", "5", T0), ("w", "6", T0 + dt.timedelta(days=1))],
+                                "workflow_id string, version string, created_at timestamp")
+    out, _ = G.register_workflow(wf, jobs, new)
+    rows = [(r["version"], r["status"]) for r in out.collect()]
+    assert sorted(rows) == [("1", "retired"), ("2", "paused"), ("3", "retired"), ("5", "retired"), ("6", "active")]
+
+
 def test_collections_and_workflow_register(spark):
     cols = spark.createDataFrame([("C1", "study", "study", "c1", T0)],
                                  "collection_id string, source string, type string, label string, created_at timestamp")
