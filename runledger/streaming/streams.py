@@ -21,7 +21,7 @@ from __future__ import annotations
 import datetime as dt
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -106,8 +106,28 @@ def running_by_process(state: DataFrame, runs: DataFrame) -> DataFrame:
             .filter((F.col("running") > 0) | (F.col("queued") > 0)))
 
 
+def run_to_parts(df: DataFrame, mode: str, out: str, checkpoint: str) -> None:
+    """Drive a streaming frame to completion into Parquet, one directory per micro-batch.
+
+    A replayed batch overwrites its own directory; the rows never pass the driver."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+    q = (df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    q.processAllAvailable()
+    q.stop()
+
+
+def latest_state(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
+    """The last row written per key by ``run_to_parts`` (of an update-mode stream)."""
+    w = Window.partitionBy(*keys).orderBy(F.desc("batch_id"))
+    rows = spark.read.parquet(out)
+    return rows.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", "batch_id")
+
+
 def run_to_table(df: DataFrame, name: str, mode: str, checkpoint: str):
-    """Drive a streaming frame to completion into an in-memory table (tests, reports)."""
+    """Drive a streaming frame to completion into an in-memory table on the driver. Only for
+    results that stay small (tests, counts per event type or day)."""
     q = (df.writeStream.format("memory").queryName(name).outputMode(mode)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     # processAllAvailable + stop: a stateful query with pending timeouts keeps running
