@@ -43,13 +43,14 @@ def backlog(jobs: DataFrame, watermark: DataFrame, workflow_id: str, version: st
 
 
 def tick_decision(backlog_df: DataFrame, threshold: int = DEFAULT_THRESHOLD,
-                  max_age_hours: float = DEFAULT_MAX_AGE_HOURS, batch: int = DEFAULT_BATCH) -> DataFrame:
-    """Ingest iff backlog >= threshold, or backlog > 0 and the oldest waited long enough."""
+                  max_age_hours: float = DEFAULT_MAX_AGE_HOURS, batch: int | None = DEFAULT_BATCH) -> DataFrame:
+    """Ingest iff backlog >= threshold, or backlog > 0 and the oldest waited long enough.
+    ``batch=None`` takes the whole backlog, so that it cannot grow from tick to tick."""
     go = (F.col("backlog") >= threshold) | ((F.col("backlog") > 0) & (F.col("oldest_age_hours") >= max_age_hours))
     reason = (F.when(F.col("backlog") >= threshold, F.lit("threshold"))
               .when(go, F.lit("age")).otherwise(F.lit("wait")))
     return backlog_df.select("*", go.alias("ingest"), reason.alias("reason"),
-                             F.when(go, F.least(F.col("backlog"), F.lit(batch))).otherwise(0).alias("batch_size"))
+                             F.when(go, F.col("backlog") if batch is None else F.least(F.col("backlog"), F.lit(batch))).otherwise(0).alias("batch_size"))
 
 
 def pending_queue(jobs: DataFrame, watermark: DataFrame, workflow_id: str, version: str,
@@ -80,8 +81,9 @@ def parse_batch(spark: SparkSession, keys: DataFrame, base: str, workflow: str,
     ready, skipped = published(keys, base)
     # fetched once: every table's parse plan reads the same file rows
     files = fetch_outputs(output_paths(ready, base, specs, include_deferred)).checkpoint()
-    # a sample with a file that could not be read is left for the next tick, not marked ingested
-    failed = files.filter(F.col("status").startswith("error")).select(*KEYS).distinct()
+    # a sample with a file that could not be read, or a torn manifest, is left for the next tick, not marked ingested
+    torn = F.col("path").endswith("/manifest.json") & F.col("text").isNotNull() & F.get_json_object("text", "$").isNull()
+    failed = files.filter(F.col("status").startswith("error") | torn).select(*KEYS).distinct()
     files = files.join(failed, KEYS, "left_anti")
     skipped = skipped.unionByName(ready.join(failed, KEYS, "left_semi"))
     tables = parse_tables(files, [s for s in specs if include_deferred or not s.defer])

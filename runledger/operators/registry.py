@@ -69,6 +69,11 @@ def library_composition(reports: DataFrame, by: str = "source_accession",
     return g.withColumn("rank", F.row_number().over(w)).drop("first_pos")
 
 
+# Fixed value: wording of the report.
+AMPLICON_WARNING = ("%d of %d run(s) look like amplicon/16S (library_strategy=AMPLICON or "
+                    "library_selection=PCR), not shotgun metagenomics")
+
+
 def amplicon_warnings(reports: DataFrame, by: str = "source_accession") -> DataFrame:
     """Studies whose runs look like amplicon/16S (AMPLICON strategy or PCR selection);
     the flagged count is max(#amplicon, #pcr) of all runs."""
@@ -78,9 +83,7 @@ def amplicon_warnings(reports: DataFrame, by: str = "source_accession") -> DataF
                                 F.count(F.lit(1)).alias("n_runs"))
     flagged = F.greatest("n_amplicon", "n_pcr")
     return (g.filter(flagged > 0).withColumn("flagged", flagged)
-            .withColumn("warning", F.format_string(
-                "%d of %d run(s) look like amplicon/16S (library_strategy=AMPLICON or "
-                "library_selection=PCR), not shotgun metagenomics", F.col("flagged"), F.col("n_runs"))))
+            .withColumn("warning", F.format_string(AMPLICON_WARNING, F.col("flagged"), F.col("n_runs"))))
 
 
 def is_amplicon_run(reports: DataFrame) -> DataFrame:
@@ -400,6 +403,17 @@ def backfill_type(collections: DataFrame) -> DataFrame:
         .when(F.col("source") == "bioproject", F.lit("project")).otherwise(F.col("type")))
 
 
+def upsert_studies(studies: DataFrame, incoming: DataFrame, now) -> DataFrame:
+    """U8: curated study records by name. A re-import updates the source file and load time;
+    stored metadata is replaced only by metadata that is given."""
+    new = latest_per_key(incoming, ["study_name"], ["source_file"]).select(
+        "study_name", F.col("source_file").alias("_f"), F.nullif(F.nullif(F.trim("metadata"), F.lit("")), F.lit("{}")).alias("_m"))
+    j = studies.join(new, "study_name", "full_outer")
+    hit = F.col("_f").isNotNull()
+    return j.select("study_name", F.coalesce("_f", "source_file").alias("source_file"), F.coalesce("_m", "metadata").alias("metadata"),
+                    F.when(hit, F.lit(now).cast("timestamp_ntz")).otherwise(F.col("loaded_at")).alias("loaded_at"))
+
+
 def study_samples_page(annotations: DataFrame, study_name: str, limit: int = 100,
                        offset: int = 0) -> DataFrame:
     """One study's annotated samples by sample id."""

@@ -86,10 +86,14 @@ def dispatchability(jobs: DataFrame, workflows: DataFrame, agents: DataFrame,
     claim_any = live.filter(F.size("filters") == 0).agg(F.count(F.lit(1))).scalar()
     return (pending.join(claimed, "workflow_id", "left_anti")
             .filter(claim_any == 0)
-            .withColumn("reason", F.lit("no active daemon claims this workflow"))
+            .withColumn("reason", F.lit(NO_DAEMON_REASON))
             .orderBy("workflow_id", "workflow_version"))
 
 
+# Fixed value: wording of the report.
+NO_DAEMON_REASON = "no active daemon claims this workflow"
+
+
 def dispatch_totals(jobs: DataFrame, workflows: DataFrame, agents: DataFrame,
                     as_of: dt.datetime) -> DataFrame:
     """A22 envelope: active agents and total stuck pending jobs (one row)."""
@@ -161,6 +165,14 @@ def run_detail(runs: DataFrame, tasks: DataFrame, jobs: DataFrame, logs: DataFra
     ).withColumn("driver_death", driver_death("tasks_aborted", "tasks_failed"))
 
 
+def failed_tasks(tasks: DataFrame, run_name: str | None = None) -> DataFrame:
+    """The failed and aborted tasks of every run (or one), newest first within a run."""
+    t = tasks if run_name is None else tasks.filter(F.col("run_name") == run_name)
+    return (t.filter(F.col("status").isin("FAILED", "ABORTED"))
+            .select("run_name", "utc_time", "process", "sample_id", "exit_code", "task_hash", "attempt", "error_action")
+            .orderBy("run_name", F.desc("utc_time"), "task_hash"))
+
+
 def agents_list(agents: DataFrame, as_of: dt.datetime, active_only: bool = False) -> DataFrame:
     """O6 + F29: agents newest heartbeat first, with liveness."""
     a = agents.withColumn("is_active", is_active_agent(as_of))

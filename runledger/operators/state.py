@@ -1,16 +1,46 @@
 """Keyed writes on state tables without a transactional table format.
 
 Each operation takes the current table and a DataFrame of change rows (a batch; a single
-change is a one-row batch) and returns the new table. Callers persist the result with
-``sinks.write_versioned``, which writes a new version directory and then moves the
-pointer, so a table is never read and overwritten in the same job.
+change is a one-row batch) and returns the new table. ``write_versioned`` persists the
+result: it writes a new version directory and then moves the pointer, so a table is never
+read and overwritten in the same job, and readers see the old or the new version.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+POINTER = "CURRENT"
+
+
+def _pointer(base: str):
+    import pyarrow.fs as pafs
+    fs, path = pafs.FileSystem.from_uri(base if "://" in base else "file://" + base)
+    return fs, f"{path.rstrip('/')}/{POINTER}"
+
+
+def write_versioned(table: DataFrame, base: str) -> str:
+    """Persist a state table: a new version directory, then the pointer to it (replaced by a
+    rename). A crash in between leaves the old version current. Returns the version."""
+    version = f"v-{uuid.uuid4().hex}"
+    table.write.parquet(f"{base.rstrip('/')}/{version}")
+    fs, pointer = _pointer(base)
+    with fs.open_output_stream(f"{pointer}.{version}", compression=None) as f:
+        f.write(version.encode())
+    fs.move(f"{pointer}.{version}", pointer)
+    return version
+
+
+def read_current(spark: SparkSession, base: str) -> DataFrame:
+    """The current version of a state table."""
+    fs, pointer = _pointer(base)
+    with fs.open_input_stream(pointer, compression=None) as f:
+        return spark.read.parquet(f"{base.rstrip('/')}/{f.read().decode()}")
+
+
 def latest_per_key(df: DataFrame, keys: list[str], order_cols: list) -> DataFrame:
     """Keep the last row per key by ``order_cols`` (descending), deterministic."""
     w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() if isinstance(c, str) else c

@@ -501,3 +501,59 @@ def q_batch_metadata(d):
     lake.write_metadata_tsv(d.jobs, d.samples, root, files=None)
     back = d.spark.read.option("sep", "\t").option("header", True).csv(root)
     return back.select("sample_id", F.coalesce("NCBI_accession", F.lit("")).alias("NCBI_accession"))
+
+
+# ------------------------------------------------------------------- runs, studies, versions
+
+@register("run_failed_tasks", ("task_executions",), """
+SELECT run_name, utc_time, process, sample_id, exit_code, task_hash, attempt, error_action
+FROM task_executions WHERE status <> 'COMPLETED'
+""")
+def q_run_failed_tasks(d):
+    """Failed tasks of every run, newest first."""
+    from ..operators import runs as RU
+    return RU.failed_tasks(d.task_executions)
+
+
+@register("curated_studies", ("curation_rows",), """
+, s AS (SELECT DISTINCT study_name FROM curation_rows)
+SELECT study_name, if(right(study_name, 1) IN ('1', '2', '3'), 'second.tsv', 'first.tsv') AS source_file,
+  CASE WHEN study_name LIKE '%1' THEN '{"doi": 2}' WHEN study_name NOT LIKE '%9' THEN '{"doi": 1}' END AS metadata,
+  if(right(study_name, 1) IN ('1', '2', '3'), TIMESTAMP '2026-01-02', TIMESTAMP '2026-01-01') AS loaded_at
+FROM s
+""")
+def q_curated_studies(d):
+    """U8: study records imported twice; metadata is overwritten only when given."""
+    names = d.curation_rows.select("study_name").distinct()
+    none = d.spark.createDataFrame([], "study_name string, source_file string, metadata string, loaded_at timestamp_ntz")
+    first = names.select("study_name", F.lit("first.tsv").alias("source_file"),
+                         F.when(~F.col("study_name").like("%9"), F.lit('{"doi": 1}')).alias("metadata"))
+    last = F.substring("study_name", -1, 1)
+    second = names.filter(last.isin("1", "2", "3")).select(
+        "study_name", F.lit("second.tsv").alias("source_file"), F.when(last == "1", F.lit('{"doi": 2}')).otherwise(F.lit("{}")).alias("metadata"))
+    table = G.upsert_studies(none, first, NOW)
+    return G.upsert_studies(table, second, NOW + dt.timedelta(days=1))
+
+
+@register("versioned_state", ("jobs",), """
+SELECT job_id, CASE WHEN workflow_id = 'shotgun' AND status IN ('running', 'failed') THEN 'pending' ELSE status END AS status FROM jobs
+""")
+def q_versioned_state(d):
+    """A state table persisted, changed and read back through its version pointer."""
+    from ..operators import lifecycle as L
+    root = _scratch(d, "jobs-table")
+    ST.write_versioned(d.jobs, root)
+    ST.write_versioned(L.reset_jobs(ST.read_current(d.spark, root), "shotgun"), root)
+    return ST.read_current(d.spark, root).select("job_id", "status")
+
+
+@register("etl_tick_all", ("jobs", "etl_ingested"), """
+, p AS (SELECT count(*) AS n FROM jobs j WHERE status = 'completed' AND workflow_id = 'shotgun' AND workflow_version = '1-URGENT'
+  AND NOT EXISTS (FROM etl_ingested e WHERE e.sample_id = j.sample_id AND e.workflow_id = j.workflow_id AND e.workflow_version = j.workflow_version))
+SELECT n AS backlog, n > 0 AS ingest, n AS batch_size FROM p
+""")
+def q_etl_tick_all(d):
+    """A tick that takes the whole backlog."""
+    from ..operators import etl as E
+    b = E.backlog(d.jobs, d.etl_ingested, "shotgun", "1-URGENT", dt.datetime(2030, 1, 1))
+    return E.tick_decision(b, batch=None).select("backlog", "ingest", "batch_size")

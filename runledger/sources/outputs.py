@@ -297,7 +297,8 @@ QC_SCHEMA = T.StructType([
 def parse_qc(files: DataFrame) -> DataFrame:
     """Manifest JSON -> one qc row; every level optional; run_ids joined by ';'."""
     keys = [c for c in files.columns if c != "text"]
-    m = F.from_json(F.col("text"), QC_SCHEMA)
+    whole = F.get_json_object("text", "$").isNotNull()
+    m = F.from_json(F.when(whole, F.col("text")).otherwise(F.raise_error(F.lit("malformed manifest"))), QC_SCHEMA)
     ra = m["read_accounting"]
     return files.filter(F.col("text").isNotNull()).select(
         *keys, F.lit(0).alias("line_no"),

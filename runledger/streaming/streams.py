@@ -41,6 +41,13 @@ def read_weblog_stream(spark: SparkSession, landing: str, max_files: int | None
     return weblog_envelope(r.json(landing))
 
 
+def _event_id(batch_id: int):
+    """K8: unique and growing id of a log row: batch, partition, row in the partition."""
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return (F.when(row < (1 << 24), F.lit(batch_id << 40) + F.shiftleft(F.spark_partition_id().cast("long"), 24) + row)
+            .otherwise(F.raise_error(F.lit("more than 2^24 rows in one partition of a micro-batch")).cast("long")))
+
+
 def ingest_stream(spark: SparkSession, landing: str, runs_path: str, out: str, checkpoint: str,
                   available_now: bool = True):
     """Event log + task facts, enriched by run name, one directory per micro-batch."""
@@ -49,7 +56,7 @@ def ingest_stream(spark: SparkSession, landing: str, runs_path: str, out: str, c
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         runs = spark.read.parquet(runs_path)            # static side, re-read per batch
         log = (enrich_events(batch, runs)
-               .withColumn("id", F.xxhash64("run_name", "event", "utc_time", "trace", "metadata")))
+               .withColumn("id", _event_id(batch_id)))
         log = log.withColumn("event_date", F.to_date("utc_time")).persist()
         (log.write.mode("overwrite").partitionBy("event_date")
          .parquet(f"{out}/telemetry/batch_id={batch_id}"))

@@ -236,3 +236,20 @@ def test_strict_backfill_raises_on_junk(spark):
     assert EV.to_task_executions(tel).collect()[0]["attempt"] == 1
     with pytest.raises(Exception):
         EV.to_task_executions(tel, strict=True).collect()
+
+
+def test_versioned_state_survives_a_torn_write(spark):
+    from runledger.operators import state as ST
+    base = tempfile.mkdtemp(prefix="rl-state-")
+    ST.write_versioned(spark.createDataFrame([(1, "a")], "k int, v string"), base)
+    spark.createDataFrame([(2, "lost")], "k int, v string").write.parquet(f"{base}/v-torn")     # no pointer moved
+    assert [tuple(r) for r in ST.read_current(spark, base).collect()] == [(1, "a")]
+    ST.write_versioned(spark.createDataFrame([(1, "b")], "k int, v string"), base)
+    assert [tuple(r) for r in ST.read_current(spark, base).collect()] == [(1, "b")]
+
+
+def test_malformed_manifest_is_an_error(spark):
+    from runledger.sources import outputs as O
+    bad = spark.createDataFrame([("s1", '{"read_accounting": ')], "sample_id string, text string")
+    with pytest.raises(Exception, match="malformed manifest"):
+        O.parse_qc(bad).collect()
