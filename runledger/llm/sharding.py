@@ -97,7 +97,9 @@ def shard_rows(rows: DataFrame, n_shards: int, key: str = "doc_id", tie: tuple[s
              .withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
              .withColumn("home", F.greatest(F.lit(0), F.least("n", F.col("quota") - F.col("base"))))
              .withColumn("over", F.col("n") - F.col("home")))
-    along = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    # clockwise order from the first virtual node's arc, which begins beyond the last one
+    beyond = F.col("cell") <= nodes.agg(F.max("cell")).scalar()
+    along = Window.orderBy(beyond, "cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("lo", F.coalesce(F.sum("over").over(along), F.lit(0)))
     cells = scratch.keep(cells)
     # the overflow of a cell passes the virtual node that ends its arc; beyond the last one, the first
