@@ -33,7 +33,7 @@ CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 EOS = 1
 RANK_ROWS = 20_000        # pieces that one numbering group should hold
-CACHE_WORDS = 800_000     # words a Python worker remembers
+CACHE_WORDS = 300_000     # words a Python worker remembers
 
 # Texts made of these characters only (ASCII and most Latin letters up to U+017F) are split by
 # white space and then by ``_WORD`` exactly as the tokenizer splits them: they need no

@@ -27,7 +27,7 @@ from . import textops
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 500_000
 
 
 def vocabulary(path: str) -> list[tuple[str, float]]:
