@@ -106,7 +106,7 @@ class WordTokens:
         new = list(itertools.islice(reversed(piece), len(piece) - size))[::-1]
         if new:
             got = self.bare.encode([p.translate(self.names) for p in new], is_pretokenized=True, add_special_tokens=False)
-            self.pieces.append(np.array(got.ids, "<u4"), np.bincount(np.array(got.word_ids), minlength=len(new)))
+            self.pieces.append(np.array(got.ids, "<u4"), np.bincount(np.array(got.word_ids, np.int64), minlength=len(new)))
         flat, lens = self.pieces.take(at)
         count = np.fromiter(map(len, split), np.int64, len(split))
         ends = np.concatenate([[0], np.cumsum(lens)])[np.concatenate([[0], np.cumsum(count)])]
