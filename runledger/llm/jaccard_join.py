@@ -62,6 +62,7 @@ NUM, DEN = 75, 100        # similarity threshold as a fraction
 def _scan(num_words: int):
     """Task function: one row per document plus the task's part of the sketch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        textops.drop_large_cache()
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
         none = lambda n, t: pa.nulls(n, t)
         for batch in batches:
@@ -283,6 +284,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
                            num_words: int = textops.SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
     """-> ``(doc_id long, n_shingles long, component_id long)``, one row per input row."""
     spark = docs.sparkSession
+    textops.small_batches(spark)
     scratch = Scratch(spark, "jaccard")
     docs = (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
             .filter("doc_id is not null"))

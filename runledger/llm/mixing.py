@@ -66,6 +66,7 @@ def _sample_bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit_topics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", topics: int = TOPICS,
                sample_rows: int = TOPIC_ROWS, rounds: int = 12) -> np.ndarray:
     """Topic centroids (unit rows)."""
+    textops.small_batches(docs.sparkSession)
     n = docs.count()
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("__id")).filter("length(text) > 0")
     if n > sample_rows:
@@ -89,6 +90,7 @@ def fit_topics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def _topics(centers_value, column: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        textops.drop_large_cache()
         centers = centers_value.value
         for batch in batches:
             data, offsets = textops.utf8(batch.column(column))

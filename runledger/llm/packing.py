@@ -17,6 +17,7 @@ documents; a null id is kept; an empty table gives no rows; other columns are ig
 from __future__ import annotations
 
 import itertools
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -140,12 +141,8 @@ class WordTokens:
 
 
 def worker_tokens(path: str) -> WordTokens:
-    store = textops.worker_store()
-    if ("tokens", path) not in store:
-        import os
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        store["tokens", path] = WordTokens(path)
-    return store["tokens", path]
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return textops.large_cache(("tokens", path), lambda: WordTokens(path))
 
 
 def _cut(path: str, capacity: int, with_ids: bool):
@@ -272,6 +269,7 @@ def place_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
                    capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Tokenize, cut and place all documents. Pieces are stored once in the shared folder."""
+    textops.small_batches(docs.sparkSession)
     pieces = Scratch(docs.sparkSession, "pieces").keep(
         cut_documents(docs, tokenizer_path, id_col, text_col, capacity, with_ids))
     return place_pieces(pieces, capacity)

@@ -1,7 +1,8 @@
 """Vectorised text helpers that run inside Spark tasks (numpy over Arrow buffers).
 
-All functions work on chunks of whole texts: a chunk holds about ``CHUNK_BYTES`` of text, or
-one text if that text is longer, so memory follows the longest text, never the partition.
+All functions work on chunks of whole texts: a chunk holds about ``CHUNK_BYTES`` of text and at
+most ``CHUNK_TEXTS`` texts, or one text if that text is longer, so memory follows the longest
+text, never the partition.
 """
 from __future__ import annotations
 
@@ -12,7 +13,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
+CHUNK_TEXTS = 4096
+BATCH_ROWS = 2000         # rows of an Arrow batch between the JVM and a Python worker
 
 
 def worker_store() -> dict:
@@ -26,6 +29,32 @@ def worker_store() -> dict:
     return sys.modules[name].__dict__
 
 
+def small_batches(spark) -> None:
+    """Let Arrow batches of texts stay small (a session setting that Spark reads when it runs
+    a plan)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def large_cache(key, build):
+    """The worker's one large cache: made by ``build()`` and held until another is asked for, so
+    that stages which share a worker do not add up."""
+    store = worker_store()
+    if store.get("cache_key") != key:
+        store.pop("cache", None)
+        store["cache"] = build()
+        store["cache_key"] = key
+    return store["cache"]
+
+
+def drop_large_cache() -> None:
+    """Called by tasks that need none."""
+    store = worker_store()
+    store.pop("cache", None)
+    store.pop("cache_key", None)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64 over uint64 (a bijection)."""
     x = x ^ (x >> np.uint64(30))
@@ -64,7 +93,7 @@ def chunks(data: np.ndarray, offsets: np.ndarray, limit: int = CHUNK_BYTES) \
     n, i = len(offsets) - 1, 0
     while i < n:
         j = int(np.searchsorted(offsets, offsets[i] + limit, side="right")) - 1
-        j = min(n, max(j, i + 1))
+        j = min(n, max(j, i + 1), i + CHUNK_TEXTS)
         yield i, j, data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]
         i = j
 

@@ -110,11 +110,8 @@ def _segments(b: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 def _counts(vocab_value, column: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = textops.worker_store()
-        key = ("unigram", vocab_value.value[0])
-        if key not in store:
-            store[key] = (UnigramCounter(vocab_value.value[1]), {})
-        counter, known = store[key]
+        mark, vocab = vocab_value.value
+        counter, known = textops.large_cache(("unigram", mark), lambda: (UnigramCounter(vocab), {}))
         for batch in batches:
             col = batch.column(column)
             data, offsets = textops.utf8(col)
@@ -145,6 +142,7 @@ def _counts(vocab_value, column: int):
 def count_tokens(docs: DataFrame, vocab: list[tuple[str, float]], text_col: str = "text",
                  name: str = "n_tokens") -> DataFrame:
     """``docs`` with the column ``name``: tokens of the text (a column of that name is replaced)."""
+    textops.small_batches(docs.sparkSession)
     docs = docs.drop(name)
     docs = docs.withColumn(text_col, F.col(text_col).cast("string"))
     shared = docs.sparkSession.sparkContext.broadcast((hash(tuple(vocab)), vocab))   # the vocabulary only

@@ -35,6 +35,7 @@ FEATURES = 1024           # n-grams that enter the regression
 ALPHA = 1.0               # smoothing of the counts
 L2 = 1e-4
 THRESHOLD = 0.7
+PART_BYTES = 1 << 18      # text whose n-grams are held at a time
 
 
 def _blank_table() -> np.ndarray:
@@ -84,11 +85,12 @@ def _doc_of(offsets: np.ndarray) -> np.ndarray:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents per slot and class, as (class, slot, count) of the slots met."""
+    textops.drop_large_cache()
     total = np.zeros((2, 1 << BITS), np.int64)
     for batch in batches:
         toxic = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), np.int64)
         data, offsets = textops.utf8(batch.column(0))
-        for i, j, b, o in textops.chunks(data, offsets):
+        for i, j, b, o in textops.chunks(data, offsets, PART_BYTES):
             owner = _doc_of(o)
             keys = [(owner[p] << BITS) | s for p, s in ngram_slots(b, o)]
             if keys:
@@ -120,7 +122,7 @@ def _rows(table_value):
         for batch in batches:
             data, offsets = textops.utf8(batch.column(0))
             got = [np.zeros(0, np.int16)] * batch.num_rows
-            for i, j, b, o in textops.chunks(data, offsets):
+            for i, j, b, o in textops.chunks(data, offsets, PART_BYTES):
                 doc, feature = _present(table, b, o)
                 cuts = np.searchsorted(doc, np.arange(j - i + 1))
                 for k in range(j - i):
@@ -156,6 +158,7 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> Model:
     spark = docs.sparkSession
+    textops.small_batches(spark)
     labels = (labels.select(F.col(id_col).cast("long").alias("__id"), F.col(label_col).cast("int").alias("toxic"))
               .filter("__id is not null and toxic in (0, 1)"))
     n = labels.count()
@@ -195,11 +198,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def _score(model_value, column: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        textops.drop_large_cache()
         model = model_value.value
         for batch in batches:
             data, offsets = textops.utf8(batch.column(column))
             z = np.full(batch.num_rows, model.bias)
-            for i, j, b, o in textops.chunks(data, offsets):
+            for i, j, b, o in textops.chunks(data, offsets, PART_BYTES):
                 doc, feature = _present(model.table, b, o)
                 z[i:j] += np.bincount(doc, model.weights[feature], minlength=j - i)
             score = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
