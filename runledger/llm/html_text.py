@@ -102,7 +102,9 @@ def parse(source: str) -> Node:
                 # inline end tags do not reach out of a table cell or list item
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag == tag:
-                        del stack[k:]
+                        # an inline end tag leaves the blocks inside it open
+                        inside = tag not in BLOCK and any(n.tag in BLOCK for n in stack[k + 1:])
+                        del stack[k:k + 1 if inside else len(stack)]
                         break
                     if stack[k].tag in ("td", "th", "table") and tag not in ("tr", "tbody", "thead", "tfoot", "table", "body", "html"):
                         break
@@ -220,6 +222,8 @@ def _number(value: str | None, default: int) -> int:
 def _walk(node: Node, flow: _Flow, pre: bool, depth: int) -> None:
     for child in node.children:
         if isinstance(child, str):
+            if node.tag == "details" and "open" not in node.attrs:
+                continue
             if pre:
                 flow.raw(child)
             elif node.tag not in ("ul", "ol", "table", "tr") or child.strip():

@@ -16,7 +16,6 @@ documents; a null id is kept; an empty table gives no rows; other columns are ig
 """
 from __future__ import annotations
 
-import itertools
 import os
 import re
 import zlib
@@ -34,7 +33,7 @@ CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 EOS = 1
 RANK_ROWS = 20_000        # pieces that one numbering group should hold
-CACHE_WORDS = 300_000     # words a Python worker remembers
+CACHE_WORDS = 1_200_000   # words a Python worker remembers
 
 # Texts made of these characters only (ASCII and most Latin letters up to U+017F) are split by
 # white space and then by ``_WORD`` exactly as the tokenizer splits them: they need no
@@ -57,13 +56,14 @@ class _Ragged:
     """Growing list of id sequences in flat arrays."""
 
     def __init__(self):
-        self.flat, self.starts, self.lens, self.n, self.used = np.zeros(1 << 16, "<u4"), *np.zeros((2, 1 << 16), np.int64), 0, 0
+        self.flat, self.starts, self.lens = np.zeros(1 << 16, "<u4"), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+        self.n = self.used = 0
 
     def append(self, flat: np.ndarray, lens: np.ndarray) -> None:
         while len(self.flat) < self.used + len(flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat) // 2, "<u4")])
         while len(self.lens) < self.n + len(lens):
-            self.starts, self.lens = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lens))
+            self.starts, self.lens = (np.concatenate([x, np.zeros(len(x) // 2, x.dtype)]) for x in (self.starts, self.lens))
         self.flat[self.used:self.used + len(flat)] = flat
         self.lens[self.n:self.n + len(lens)] = lens
         self.starts[self.n:self.n + len(lens)] = self.used + np.cumsum(lens) - lens
@@ -71,18 +71,54 @@ class _Ragged:
 
     def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the sequences, one after the other; their lengths)."""
-        lens = self.lens[which]
+        lens = self.lens[which].astype(np.int64)
         ends = np.cumsum(lens)
         total = int(ends[-1]) if len(ends) else 0
         return self.flat[np.repeat(self.starts[which] - (ends - lens), lens) + np.arange(total)], lens
 
 
+class _Keys:
+    """Numbers 0, 1, .. of distinct hashes in order of arrival, as sorted arrays (12 bytes each).
+
+    New hashes collect in a small part that is merged into the large one now and then."""
+
+    def __init__(self):
+        self.parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int32)) for _ in range(2)]
+        self.n = 0
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each hash, or -1. ``hashes`` are sorted and distinct."""
+        out = np.full(len(hashes), -1, np.int64)
+        for keys, numbers in self.parts:
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+                hit = keys[at] == hashes
+                out[hit] = numbers[at[hit]]
+        return out
+
+    def add(self, hashes: np.ndarray) -> np.ndarray:
+        """Number new (sorted) hashes."""
+        numbers = np.arange(self.n, self.n + len(hashes), dtype=np.int32)
+        self.n += len(hashes)
+        large, small = self.parts
+        small = self._merge(small, (hashes, numbers))
+        if len(small[0]) > 100_000:
+            large, small = self._merge(large, small), (np.zeros(0, np.uint64), np.zeros(0, np.int32))
+        self.parts = [large, small]
+        return numbers
+
+    @staticmethod
+    def _merge(a, b):
+        at = np.searchsorted(a[0], b[0])
+        return np.insert(a[0], at, b[0]), np.insert(a[1], at, b[1])
+
+
 class WordTokens:
     """Token ids of texts.
 
     A word (run without white space) is known by a 64-bit hash and encoded once per worker:
-    it is split into the tokenizer's pieces, and each new piece goes through its bare model.
-    Both caches start anew when they are full."""
+    it is split into the tokenizer's pieces, and these go through its bare model. The cache
+    takes about 40 bytes a word and starts anew when it is full."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -96,19 +132,17 @@ class WordTokens:
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[int, int] = {}
-        self.piece: dict[str, int] = {}
-        self.words, self.pieces = _Ragged(), _Ragged()
+        self.keys, self.words = _Keys(), _Ragged()
 
     def _learn(self, words: list[str]) -> None:
+        """Append the ids of new words."""
         split = [_WORD.findall(w.lower()) for w in words]
-        size, piece = len(self.piece), self.piece
+        piece: dict[str, int] = {}
         at = np.fromiter((piece.setdefault(p, len(piece)) for parts in split for p in parts), np.int64)
-        new = list(itertools.islice(reversed(piece), len(piece) - size))[::-1]
-        if new:
-            got = self.bare.encode([p.translate(self.names) for p in new], is_pretokenized=True, add_special_tokens=False)
-            self.pieces.append(np.array(got.ids, "<u4"), np.bincount(np.array(got.word_ids, np.int64), minlength=len(new)))
-        flat, lens = self.pieces.take(at)
+        got = self.bare.encode([p.translate(self.names) for p in piece], is_pretokenized=True, add_special_tokens=False)
+        pieces = _Ragged()
+        pieces.append(np.array(got.ids, "<u4"), np.bincount(np.array(got.word_ids, np.int64), minlength=len(piece)))
+        flat, lens = pieces.take(at)
         count = np.fromiter(map(len, split), np.int64, len(split))
         ends = np.concatenate([[0], np.cumsum(lens)])[np.concatenate([[0], np.cumsum(count)])]
         self.words.append(flat, np.diff(ends))
@@ -119,18 +153,15 @@ class WordTokens:
         out: list = [np.zeros(0, "<u4")] * (len(o) - 1)
         if len(words.hashes):
             known, first, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
-            if len(self.index) + len(known) > CACHE_WORDS:
+            if self.keys.n + len(known) > CACHE_WORDS:
                 self._clear()
-            index = self.index
-            hashes = known.tolist()
-            at = np.fromiter((index.get(h, -1) for h in hashes), np.int64, len(hashes))
+            at = self.keys.find(known)
             new = np.flatnonzero(at < 0)
             if len(new):
-                at[new] = np.arange(len(index), len(index) + len(new))
                 raw = b.tobytes()
                 self._learn([raw[s:e].decode("utf-8", "replace") for s, e in
                              zip(words.starts[first[new]].tolist(), words.ends[first[new]].tolist())])
-                index.update(zip(known[new].tolist(), at[new].tolist()))
+                at[new] = self.keys.add(known[new])
             ids, lens = self.words.take(at[inverse])
             cuts = np.concatenate([[0], np.cumsum(lens)])[words.bounds].tolist()
             out = [ids[s:e] for s, e in zip(cuts[:-1], cuts[1:])]
@@ -154,7 +185,7 @@ def _cut(path: str, capacity: int, with_ids: bool):
         for batch in batches:
             ids = batch.column(0)
             data, offsets = textops.utf8(batch.column(1))
-            for i, j, b, o in textops.chunks(data, offsets, 2 * textops.CHUNK_BYTES):
+            for i, j, b, o in textops.chunks(data, offsets):
                 row, start, length, crc, total, parts = [], [], [], [], [], []
                 for k, got in enumerate(tokens(b, o)):
                     got = got.tobytes() + end
