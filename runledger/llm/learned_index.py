@@ -107,9 +107,6 @@ class Router:
         self.b2 = np.zeros(parts)
         self.scale = 1.0
 
-    def __call__(self, x: np.ndarray) -> np.ndarray:
-        return np.maximum(x * self.scale @ self.w1 + self.b1, 0) @ self.w2 + self.b2
-
     def fit(self, x: np.ndarray, target: np.ndarray) -> "Router":
         """Cross-entropy against the target distributions, Adam on small batches."""
         self.scale = 1 / max(float(np.sqrt((x * x).mean())), 1e-12)
@@ -161,7 +158,7 @@ def fit_router(rows: DataFrame, parts: int = PARTS, sample_rows: int = SAMPLE_RO
 def _route(router_value, dim: int, parts: int, probes: int):
     """Task function: add the most probable parts; other lengths have a part of their own."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        router = router_value.value
+        w1, b1, w2, b2, scale = router_value.value
         for batch in batches:
             vs = batch.column(1)
             size = np.asarray(vs.value_lengths())
@@ -169,7 +166,7 @@ def _route(router_value, dim: int, parts: int, probes: int):
             chosen: list = [[parts + int(s)] for s in size]
             if len(usual):
                 x = vs.take(pa.array(usual)).flatten().to_numpy(zero_copy_only=False).reshape(len(usual), dim)
-                order = np.argsort(-router(x), axis=1, kind="stable")[:, :probes].astype(int)
+                order = np.argsort(-(np.maximum(x * scale @ w1 + b1, 0) @ w2 + b2), axis=1, kind="stable")[:, :probes].astype(int)
                 for i, row in zip(usual.tolist(), order.tolist()):
                     chosen[i] = row
             yield pa.RecordBatch.from_arrays([batch.column(0), vs, pa.array(chosen, pa.list_(pa.int32()))],
@@ -204,7 +201,7 @@ def search(candidates: DataFrame, queries: DataFrame, k: int, id_col: str = "vec
     c = vectors.usable(candidates, id_col, vec_col, zero=False)
     q = vectors.usable(queries, id_col, vec_col, zero=False)
     router, dim = fit_router(c, parts)
-    shared = candidates.sparkSession.sparkContext.broadcast(router)
+    shared = candidates.sparkSession.sparkContext.broadcast((router.w1, router.b1, router.w2, router.b2, router.scale))
     schema = "vec_id long, v array<double>, parts array<int>"
     c = c.mapInArrow(_route(shared, dim, parts, 1), schema).select("vec_id", "v", F.col("parts")[0].alias("part"))
     q = q.mapInArrow(_route(shared, dim, parts, probes), schema).select("vec_id", "v", F.explode("parts").alias("part"))
