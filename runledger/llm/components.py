@@ -39,6 +39,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
             .join(to.select(F.col("u").alias("b"), F.col("p").alias("pb")), "b").filter("pa <> pb")
             .select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
     labels = nodes.withColumn("component", F.col("node"))
-    return scratch.keep(reduce(
+    out = scratch.keep(reduce(
         lambda t, h: t.join(h.withColumnRenamed("u", "component"), "component", "left")
         .select("node", F.coalesce("p", "component").alias("component")), hooks, labels))
+    scratch.drop_all_but(out)
+    return out

@@ -328,6 +328,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
         .select("a", "na", "b", "nb"))
     links = links.union(_links(pairs, texts, scratch, num_words, num, den))
     final = connected_components(links).select(F.col("node").alias("rep"), "component")
+    scratch.drop_all_but(scan)
     rep = rep.join(final, "rep", "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("c"))
     return (sets.join(rep, ["n", "h1", "h2"], "left")
             .select("doc_id", F.col("n").cast("long").alias("n_shingles"),

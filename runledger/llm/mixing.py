@@ -146,7 +146,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS,
         cells = cells.join(goal, cells[d].eqNullSafe(goal["__d"]), "left").drop("__d")
     cells = scratch.keep(_compact(scratch.keep(cells.withColumns({f: F.lit(1.0) for f in factors.values()}))))
     parts = max(1, -(-cells.count() // CELL_ROWS))
-    done = 0
+    done, step = 0, cells
     while done < sweeps:
         step = cells.coalesce(parts)
         for _ in range(min(SWEEPS_KEPT, sweeps - done)):
@@ -160,6 +160,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS,
         cells = step.drop(*[f"r_{f}" for f in factors.values()])
         if all(x is None or x < tolerance for x in off):
             break
+    scratch.drop_all_but(step)
     return cells.select(*targets, "tokens", F.when(F.col("tokens") > 0, F.least(F.lit(1.0), product))
                         .otherwise(1.0).alias("probability"))
 
