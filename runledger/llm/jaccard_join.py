@@ -16,10 +16,12 @@ Method
 3. *Classes of equal sets* are joined first, so only one document of each goes on.
 4. *Stars.* Each list names a head, the document with the largest share of shared shingles
    (the original of a group of copies). Every document is tested against the head it shares
-   most with, and the links are contracted to components.
+   most with, and the links are contracted to components. Further rounds draw heads by a
+   hash in lists of several components, while enough of their tests link.
 5. *Rest.* Pairs from different components that share at least l prefix shingles, pass the
-   size test and can still reach the threshold by the positions of their matches are
-   tested. Pairs inside one component need no check, as they cannot change the classes; so
+   size test and can still reach the threshold by the positions of their matches (after a
+   match by what is left of both sets, before it by the shingles that other components
+   hold, too) are tested. Pairs inside one component need no check, as they cannot change the classes; so
    a group of thousands of near copies costs about its size, not its square.
 6. *Test.* Parity bitmaps of the sets rule out most pairs without their texts (the sets
    differ in at least as many shingles as the bitmaps differ in bits). The others are tested
@@ -54,6 +56,8 @@ VERIFY_COST = 8.0         # cost of a verification in posting entries
 VERIFY_ROWS = 64          # pairs whose sets are held at a time
 SALTS = 16                # window groups of a shingle above the lowest frequency class
 FILTER_BITS = 24          # bits of the id filter (a fixed 2 MB)
+STAR_ROUNDS = 8           # rounds of drawn heads at most
+STAR_YIELD = 0.05         # share of star tests that must link for another round
 PARITY_BITS = 2048        # bits of a document's parity bitmap
 STAR_SHARE = 0.4          # share of a prefix that a star pair must have in common
 NUM, DEN = 75, 100        # similarity threshold as a fraction
@@ -266,13 +270,14 @@ def _postings(pre: DataFrame) -> DataFrame:
 
 
 def _star_pairs(post: DataFrame, num: int, den: int) -> DataFrame:
-    """Each document with the list head it shares most prefix shingles with.
+    """Each document with the list head of another component it shares most prefix shingles with.
 
-    The head of a list is its entry of highest ``prio``. Heads are found by a map-side combined maximum, so a common shingle is no hot group."""
-    heads = (post.groupBy("tok").agg(F.max(F.struct("prio", "doc_id", "n")).alias("h"))
-             .select("tok", F.col("h.doc_id").alias("hd"), F.col("h.n").alias("hn")))
+    The head of a list is its entry of highest ``prio``. Heads are found by a map-side combined
+    maximum, so a common shingle is no hot group."""
+    heads = (post.groupBy("tok").agg(F.max(F.struct("prio", "doc_id", "n", "component")).alias("h"))
+             .select("tok", F.col("h.doc_id").alias("hd"), F.col("h.n").alias("hn"), F.col("h.component").alias("hc")))
     near = (post.join(heads, "tok")
-            .filter(f"doc_id <> hd and {den} * least(n, hn) >= {num} * greatest(n, hn)")
+            .filter(f"component <> hc and {den} * least(n, hn) >= {num} * greatest(n, hn)")
             .groupBy("doc_id", "hd", "n", "hn").agg(F.count("*").alias("shared"))
             .filter(F.col("shared") >= F.lit(STAR_SHARE * (1 - num / den)) * F.col("n"))
             .groupBy("doc_id").agg(F.max(F.struct("shared", "hd", "n", "hn")).alias("best")))
@@ -280,6 +285,16 @@ def _star_pairs(post: DataFrame, num: int, den: int) -> DataFrame:
                        F.col("best.hd").alias("b"), F.col("best.hn").alias("nb"))
 
 
+def _mixed(post: DataFrame, links: DataFrame) -> DataFrame:
+    """The entries, with their component, of lists that hold more than one component."""
+    comp = connected_components(links).select(F.col("node").alias("doc_id"), "component")
+    tagged = (post.join(comp, "doc_id", "left")
+              .select("tok", "doc_id", "n", "ell", "pos", F.coalesce("component", "doc_id").alias("component")))
+    mixed = (tagged.groupBy("tok").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+             .filter("lo <> hi").select("tok"))
+    return tagged.join(mixed, "tok")
+
+
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                            num_words: int = textops.SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
     """-> ``(doc_id long, n_shingles long, component_id long)``, one row per input row."""
@@ -305,23 +320,33 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
                         .select("tok", "doc_id", "n", "ell", "pos", (F.col("m") / F.col("n")).alias("prio")))
     found = spark.sparkContext.broadcast(_id_filter(post.select("doc_id").distinct()))
     texts = scratch.keep(docs.mapInArrow(_fetch(num_words, found), "doc_id long, text string, parity array<long>"))
-    links = _links(_star_pairs(post, num, den), texts, scratch, num_words, num, den)
-
-    # pairs of different components that share at least the probe's l prefix shingles
-    comp = connected_components(links).select(F.col("node").alias("doc_id"), "component")
-    tagged = (post.drop("prio").join(comp, "doc_id", "left")
-              .withColumn("component", F.coalesce("component", "doc_id")))
-    mixed = (tagged.groupBy("tok").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-             .filter("lo <> hi").select("tok"))
-    tagged = scratch.keep(tagged.join(mixed, "tok"))
+    star = post.withColumn("component", F.col("doc_id"))
+    links = _links(scratch.keep(_star_pairs(star, num, den)), texts, scratch, num_words, num, den)
+    tagged = scratch.keep(_mixed(post.drop("prio"), links))
+    # later heads are drawn by a hash, as long as such tests find links at a fair rate (a group
+    # of copies whose original is missing)
+    for turn in range(STAR_ROUNDS):
+        drawn = tagged.withColumn("prio", F.xxhash64("doc_id", F.lit(turn)).cast("double"))
+        pairs = scratch.keep(_star_pairs(drawn, num, den))
+        found = _links(pairs, texts, scratch, num_words, num, den)
+        links = links.union(found)
+        tagged = scratch.keep(_mixed(tagged.drop("component"), links))
+        if found.count() < STAR_YIELD * pairs.count():
+            break
+
+    # pairs of different components that share at least the probe's l prefix shingles; of the
+    # shingles before a match only those in lists of several components can be shared, too
+    mine = Window.partitionBy("doc_id").orderBy("pos")
+    tagged = scratch.keep(tagged.withColumn("r", F.row_number().over(mine) - 1))
     x = tagged.filter(f"pos < n - ceil({num} * n / {den}) + ell").select(
         "tok", F.col("doc_id").alias("b"), F.col("n").alias("nb"), "ell", F.col("pos").alias("pb"),
-        F.col("component").alias("cb"))
+        F.col("component").alias("cb"), F.col("r").alias("rb"))
     y = tagged.select("tok", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"),
-                      F.col("component").alias("ca"))
+                      F.col("component").alias("ca"), F.col("r").alias("ra"))
     pairs = (x.join(y, "tok").filter(
         f"ca <> cb and (na < nb or (na = nb and a < b)) and {den} * na >= {num} * nb "
-        f"and pa < na - ceil({2 * num} * na / {num + den}) + ell")
+        f"and pa < na - ceil({2 * num} * na / {num + den}) + ell "
+        f"and least(ra, rb) + least(na - pa, nb - pb) >= ceil({num} * (na + nb) / {num + den})")
         .groupBy("a", "b", "ell", "na", "nb")
         .agg(F.count("*").alias("shared"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
         .filter(f"shared >= ell and shared + least(na - pa - 1, nb - pb - 1) >= ceil({num} * (na + nb) / {num + den})")
