@@ -313,10 +313,11 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     reps = rep.select(F.col("rep").alias("doc_id")).distinct()
     pre = docs.mapInArrow(_prefixes(num_words, shared, num, den), "doc_id long, n int, ell int, toks array<long>")
     post = _postings(pre.filter("n > 0").join(reps, "doc_id", "left_semi"))
-    # only documents with at least l shared prefix shingles can have a partner; those with the
-    # largest share of shared shingles (a copied original) become the heads of lists
+    # a document owes its own l only as a probe; as the smaller one of a pair it owes the probe's,
+    # so every document with an entry goes on. Those with the largest share of shared shingles
+    # (a copied original) become the heads of lists
     own = Window.partitionBy("doc_id")
-    post = scratch.keep(post.withColumn("m", F.count("*").over(own)).filter("m >= ell")
+    post = scratch.keep(post.withColumn("m", F.count("*").over(own))
                         .select("tok", "doc_id", "n", "ell", "pos", (F.col("m") / F.col("n")).alias("prio")))
     found = spark.sparkContext.broadcast(_id_filter(post.select("doc_id").distinct()))
     texts = scratch.keep(docs.mapInArrow(_fetch(num_words, found), "doc_id long, text string, parity array<long>"))
@@ -337,8 +338,9 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     # pairs of different components that share at least the probe's l prefix shingles; of the
     # shingles before a match only those in lists of several components can be shared, too
     mine = Window.partitionBy("doc_id").orderBy("pos")
-    tagged = scratch.keep(tagged.withColumn("r", F.row_number().over(mine) - 1))
-    x = tagged.filter(f"pos < n - ceil({num} * n / {den}) + ell").select(
+    tagged = scratch.keep(tagged.withColumn("r", F.row_number().over(mine) - 1)
+                          .withColumn("m", F.count("*").over(own)))
+    x = tagged.filter(f"m >= ell and pos < n - ceil({num} * n / {den}) + ell").select(
         "tok", F.col("doc_id").alias("b"), F.col("n").alias("nb"), "ell", F.col("pos").alias("pb"),
         F.col("component").alias("cb"), F.col("r").alias("rb"))
     y = tagged.select("tok", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"),

@@ -89,6 +89,22 @@ def test_classes_edge_cases(spark):
     assert jaccard_join.near_duplicate_classes(df.limit(0)).collect() == []
 
 
+def test_pairs_whose_sides_choose_different_prefixes(spark, monkeypatch):
+    """Whatever the sketch estimates, a pair may link by fewer shared prefix shingles than the
+    smaller set's own l."""
+    counts = np.random.default_rng(5).choice([0, 27], 1 << jaccard_join.SKETCH_BITS, p=[2 / 3, 1 / 3])
+    monkeypatch.setattr(jaccard_join, "_sketch", lambda scan: counts.astype(np.int64))
+    rng = random.Random(3)
+    sets = []
+    for g in range(3000):
+        base = {f"s{g}x{i}" for i in range(rng.randint(4, 12))}
+        sets += [base, base | {f"e{g}x{i}" for i in range(rng.randint(1, len(base) // 3))}]
+    df = spark.createDataFrame([(i, " ".join(sorted(s))) for i, s in enumerate(sets)], "doc_id long, text string").coalesce(3)
+    got = {r.doc_id: r.component_id for r in jaccard_join.near_duplicate_classes(df, num_words=1).collect()}
+    near = {i for i in range(0, len(sets), 2) if 100 * len(sets[i]) >= 75 * len(sets[i + 1])}
+    assert got == {i: i - i % 2 if i - i % 2 in near else i for i in range(len(sets))}
+
+
 def test_a_prefix_length_serves_every_multiplicity():
     """Two sets with overlap T share at least l of their first ``n - T + l`` members."""
     rng = random.Random(4)
