@@ -6,7 +6,8 @@ between them; a small neural network learns, from a vector, the distribution of
 neighbours' parts. Every row is then assigned to its most probable part (all rows are
 indexed). A query goes to its ``PROBES`` most probable parts and is ranked there by the exact
 inner product in double precision. A part of any size is searched in blocks of bounded size;
-nothing in it is left out.
+nothing in it is left out. A query that finds fewer than k there visits all other parts, too, so
+it misses candidates only when it has k. A table too small to learn from is one part.
 
 The sample (about SAMPLE_ROWS rows chosen by a hash of the id) and the network are the only
 things on the driver and in broadcasts, and have a fixed bound.
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vectors
+from .store import Scratch
 
 SAMPLE_ROWS = 4_096       # expected size of the sample
 NEIGHBOURS = 10           # edges per vector of the sample's graph
@@ -107,6 +109,11 @@ class Router:
         self.b2 = np.zeros(parts)
         self.scale = 1.0
 
+    def one_part(self) -> "Router":
+        """Send every vector to the first part."""
+        self.w2[:] = 0
+        return self
+
     def fit(self, x: np.ndarray, target: np.ndarray) -> "Router":
         """Cross-entropy against the target distributions, Adam on small batches."""
         self.scale = 1 / max(float(np.sqrt((x * x).mean())), 1e-12)
@@ -146,7 +153,7 @@ def fit_router(rows: DataFrame, parts: int = PARTS, sample_rows: int = SAMPLE_RO
     order = np.argsort(got.column("vec_id").to_numpy(), kind="stable")
     x = got.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(order), dim)[order]
     if len(x) < 2 * parts:
-        return Router(dim, parts), dim
+        return Router(dim, parts).one_part(), dim
     graph = neighbour_graph(x, NEIGHBOURS)
     label = balanced_parts(graph, parts)
     target = np.zeros((len(x), parts))
@@ -197,14 +204,23 @@ def _search(k: int):
 
 def search(candidates: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding",
            parts: int = PARTS, probes: int = PROBES) -> DataFrame:
-    """``(query_id, rank, vec_id, score double)``: each query's k best in the parts it visits."""
+    """``(query_id, rank, vec_id, score double)``: each query's k best in the parts it visits,
+    which are all parts if its ``probes`` most probable ones hold fewer than k."""
     c = vectors.usable(candidates, id_col, vec_col, zero=False)
     q = vectors.usable(queries, id_col, vec_col, zero=False)
     router, dim = fit_router(c, parts)
     shared = candidates.sparkSession.sparkContext.broadcast((router.w1, router.b1, router.w2, router.b2, router.scale))
     schema = "vec_id long, v array<double>, parts array<int>"
     c = c.mapInArrow(_route(shared, dim, parts, 1), schema).select("vec_id", "v", F.col("parts")[0].alias("part"))
-    q = q.mapInArrow(_route(shared, dim, parts, probes), schema).select("vec_id", "v", F.explode("parts").alias("part"))
-    found = vectors.search_blocks(vectors.blocks(q, vectors.QUERY_ROWS), vectors.blocks(c, vectors.BLOCK_ROWS),
-                                  _search(k), "double")
-    return vectors.best(found, k)
+    q = q.mapInArrow(_route(shared, dim, parts, parts), schema)
+    blocks = vectors.blocks(c, vectors.BLOCK_ROWS)
+
+    def visit(asked: DataFrame, visited) -> DataFrame:
+        rows = asked.select("vec_id", "v", F.explode(visited).alias("part"))
+        return vectors.search_blocks(vectors.blocks(rows, vectors.QUERY_ROWS), blocks, _search(k), "double")
+    found = Scratch(candidates.sparkSession, "index").keep(vectors.best(visit(q, F.slice("parts", 1, probes)), k))
+    full = found.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
+    short = q.filter(F.size("parts") > probes).join(full, "vec_id", "left_anti")
+    if short.isEmpty():
+        return found
+    return vectors.best(found.drop("rank").unionByName(visit(short, F.slice("parts", probes + 1, parts))), k)

@@ -82,6 +82,31 @@ def test_learned_index_recall_and_ties(spark):
     assert copies == list(range(101, 101 + len(copies))) and copies
 
 
+@pytest.mark.parametrize("n,k", [(18, 20), (31, 20), (40, 40)])
+def test_small_tables_are_searched_whole(spark, n, k):
+    """With the production probes, a query misses nothing while it has fewer than k rows, nor on
+    a table too small to learn from."""
+    rng = np.random.default_rng(n)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((n, 4)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collected(learned_index.search(df, df, k))
+    want = brute(rows, rows, k, lambda a, b: sum(x * y for x, y in zip(a, b)))
+    assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
+
+
+def test_production_probes_on_unclustered_vectors(spark):
+    x = np.random.default_rng(6).standard_normal((3000, 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = collected(learned_index.search(df, df.filter("vec_id % 20 = 0"), 20))
+    hits = 0
+    for q in range(0, 3000, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(set(np.argsort(-s)[:20].tolist()) & {i for i, _ in got[q]})
+        assert len(got[q]) == 20
+    assert hits / (150 * 20) >= 0.9
+
+
 def test_balanced_parts_are_balanced_and_cut_few_edges():
     rng = np.random.default_rng(1)
     x = np.vstack([rng.standard_normal((100, 8)) + 6 * np.eye(8)[k] for k in range(4)])
