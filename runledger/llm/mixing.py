@@ -11,8 +11,9 @@ Cells, margins and factors stay Spark tables; token sums are combined map-side,
 with a third of all rows is no hot group. A document's text is never shuffled: cells join back by
 their key, and Spark broadcasts them only if their stored size is under its threshold.
 
-Topics, where the input has none, come from spherical k-means over hashed word counts, fitted
-on a bounded sample of about ``TOPIC_ROWS`` documents chosen by a hash of their id.
+Topics, where the input has none, come from spherical k-means over the hashed word counts of all
+documents. Their counts are stored once; every round reads them, and a task hands over one sum
+per centroid. Sums are integers, so the order of tasks does not change them.
 
 Defined results: null sources, languages and topics are values of their own; null and empty
 texts have no tokens, count as topic 0, and are kept by their cell's probability (1 in a cell
@@ -32,8 +33,9 @@ from . import textops
 from .store import Scratch
 
 TOPICS = 8
-TOPIC_ROWS = 4_000        # expected size of the topic sample
 BUCKETS = 1024            # hashed words
+BAG_ROWS = 1024           # documents whose bags a task holds as one matrix
+UNIT = 1 << 20            # integer steps of a bag's entries in sums
 BUDGET = 0.6              # share of all tokens to keep
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.7}
 SWEEPS = 24
@@ -43,48 +45,134 @@ TOLERANCE = 2e-3
 GRID = 64
 
 
-def _bags(b: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(unit vectors of square-rooted hashed word counts, words) of each text."""
+def _counts(b: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashed word counts, words) of each text."""
     words = textops.Words(b, o)
     count = np.diff(words.bounds)
     docs = len(count)
     slot = np.repeat(np.arange(docs), count) * BUCKETS + (words.hashes >> np.uint64(54)).astype(np.int64)
-    bag = np.sqrt(np.bincount(slot, minlength=docs * BUCKETS).reshape(docs, BUCKETS)).astype(np.float32)
+    return np.bincount(slot, minlength=docs * BUCKETS).reshape(docs, BUCKETS), count
+
+
+def _unit(counts: np.ndarray) -> np.ndarray:
+    """Unit vectors of square-rooted counts."""
+    bag = np.sqrt(counts).astype(np.float32)
     norm = np.sqrt((bag * bag).sum(axis=1, keepdims=True))
-    return bag / np.maximum(norm, 1e-9), count
+    return bag / np.maximum(norm, 1e-9)
+
+
+def _bags(b: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(unit vectors of square-rooted hashed word counts, words) of each text."""
+    counts, words = _counts(b, o)
+    return _unit(counts), words
 
 
-def _sample_bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _store_bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The word counts above zero of every document with words."""
+    textops.drop_large_cache()
     for batch in batches:
         data, offsets = textops.utf8(batch.column(0))
         for _, _, b, o in textops.chunks(data, offsets):
-            bag, _ = _bags(b, o)
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in bag.astype(np.float16)], pa.binary())],
-                                             names=["bag"])
-
-
-def fit_topics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", topics: int = TOPICS,
-               sample_rows: int = TOPIC_ROWS, rounds: int = 12) -> np.ndarray:
-    """Topic centroids (unit rows)."""
-    textops.small_batches(docs.sparkSession)
-    n = docs.count()
-    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("__id")).filter("length(text) > 0")
-    if n > sample_rows:
-        share = int(sample_rows / n * (1 << 62))
-        rows = rows.filter(F.shiftrightunsigned(F.xxhash64(F.lit("topic"), "__id"), 2) < F.lit(share))
-    raw = rows.select("text").mapInArrow(_sample_bags, "bag binary").toArrow().column("bag").to_pylist()
-    x = np.array([np.frombuffer(r, np.float16) for r in sorted(raw)], np.float32).reshape(-1, BUCKETS)
-    if not len(x):
+            counts, words = _counts(b, o)
+            counts = counts[words > 0]
+            row, slot = np.nonzero(counts)
+            at = pa.array(np.searchsorted(row, np.arange(len(counts) + 1)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [pa.ListArray.from_arrays(at, pa.array(slot.astype(np.int16))),
+                 pa.ListArray.from_arrays(at, pa.array(counts[row, slot].astype(np.int32)))], names=["slots", "counts"])
+
+
+def _matrices(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Stored bags as unit vectors, BAG_ROWS at a time."""
+    for at in range(0, batch.num_rows, BAG_ROWS):
+        part = batch.slice(at, BAG_ROWS)
+        size = np.asarray(part.column(0).value_lengths())
+        counts = np.zeros((len(size), BUCKETS))
+        counts[np.repeat(np.arange(len(size)), size), part.column(0).flatten().to_numpy()] = part.column(1).flatten().to_numpy()
+        yield part, _unit(counts)
+
+
+def _farthest(centers_value):
+    """Task function: the task's bag that is least like its most similar centroid."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
+        for batch in batches:
+            for part, x in _matrices(batch):
+                near = np.round((x @ centers_value.value.T).max(axis=1), 5)
+                if best is not None and near.min() > best[0]:
+                    continue
+                for i in np.flatnonzero(near == near.min()):
+                    bag = (float(near[i]), part.column(0)[int(i)].as_py(), part.column(1)[int(i)].as_py())
+                    best = bag if best is None else min(best, bag)
+        if best is not None:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([best[0]], pa.float64()), pa.array([best[1]], pa.list_(pa.int16())),
+                 pa.array([best[2]], pa.list_(pa.int32()))], names=["near", "slots", "counts"])
+    return run
+
+
+def _sums(centers_value):
+    """Task function: the sum of the bags nearest to each centroid."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centers = centers_value.value
+        total = np.zeros(centers.shape, np.int64)
+        for batch in batches:
+            for _, x in _matrices(batch):
+                near = np.argmax(x @ centers.T, axis=1)
+                steps = np.rint(x.astype(np.float64) * UNIT)
+                total += ((near == np.arange(len(centers))[:, None]).astype(np.float64) @ steps).astype(np.int64)
+        some = np.flatnonzero(total.any(axis=1))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(some.astype(np.int32)), pa.array([total[k].tobytes() for k in some], pa.binary())], names=["k", "sums"])
+    return run
+
+
+def _add_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+            add = np.frombuffer(raw.as_buffer(), np.int64)
+            total[k] = total[k] + add if k in total else add
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["k", "sums"])
+
+
+def fit_topics(docs: DataFrame, text_col: str = "text", topics: int = TOPICS, rounds: int = 12) -> np.ndarray:
+    """Topic centroids (unit rows), fitted on all documents with words.
+
+    The driver sees one bag for each starting centroid and one sum per centroid and round."""
+    spark = docs.sparkSession
+    textops.small_batches(spark)
+    scratch = Scratch(spark, "topics")
+    bags = scratch.keep(docs.select(F.col(text_col).cast("string").alias("text")).filter("length(text) > 0")
+                        .mapInArrow(_store_bags, "slots array<smallint>, counts array<int>"))
+    first = bags.agg(F.min(F.struct("slots", "counts")).alias("bag")).first().bag
+    if first is None:
+        scratch.drop_all_but()
         return np.zeros((1, BUCKETS), np.float32)
-    centers = x[:1]
-    while len(centers) < min(topics, len(x)):                 # farthest first, so no random start
-        centers = np.vstack([centers, x[np.argmin((x @ centers.T).max(axis=1))]])
+
+    def row(bag) -> np.ndarray:
+        counts = np.zeros((1, BUCKETS))
+        counts[0, bag.slots] = bag.counts
+        return _unit(counts)
+    centers = row(first)
+    while len(centers) < topics:                              # farthest first, so no random start
+        shared = spark.sparkContext.broadcast(centers)
+        far = (bags.mapInArrow(_farthest(shared), "near double, slots array<smallint>, counts array<int>")
+               .agg(F.min(F.struct("near", "slots", "counts")).alias("bag")).first().bag)
+        if far.near >= 1:                                     # every bag is a centroid
+            break
+        centers = np.vstack([centers, row(far)])
     for _ in range(rounds):
-        near = np.argmax(x @ centers.T, axis=1)
-        for k in range(len(centers)):
-            if (near == k).any():
-                m = x[near == k].sum(axis=0)
-                centers[k] = m / max(float(np.sqrt(m @ m)), 1e-9)
+        shared, before = spark.sparkContext.broadcast(centers), centers
+        centers = centers.copy()
+        for k, raw in (bags.mapInArrow(_sums(shared), "k int, sums binary").repartition(topics, "k")
+                       .mapInArrow(_add_sums, "k int, sums binary").collect()):
+            m = np.frombuffer(raw, np.int64).astype(np.float64)
+            centers[k] = m / np.sqrt(m @ m)
+        if np.array_equal(centers, before):
+            break
+    scratch.drop_all_but()
     return centers
 
 

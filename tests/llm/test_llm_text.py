@@ -210,6 +210,21 @@ def test_raking_agrees_with_plain_ipf(spark):
     assert all(abs(got[str(i), str(j)] - w[i, j]) < 1e-3 for i in range(2) for j in range(2))
 
 
+def test_topics_are_fitted_on_all_documents(spark):
+    """Two documents of 6,000 are a topic of their own, and the centroids are the means of all."""
+    rng = random.Random(8)
+    vocab = [[f"{t}{i}" for i in range(40)] for t in "abc"]
+    texts = [" ".join(rng.choices(vocab[i % 2], k=60)) for i in range(5998)] + [" ".join(vocab[2][:30])] * 2
+    docs = spark.createDataFrame([(7 if i % 3 else None, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    centers = mixing.fit_topics(docs, topics=3)
+    x, _ = mixing._bags(*textops.utf8(pa.array(texts, pa.string())))
+    near = np.argmax(x @ centers.T, axis=1)
+    assert len({*near[-2:]}) == 1 and (near == near[-1]).sum() == 2
+    for k in range(3):
+        m = x[near == k].sum(axis=0)
+        assert np.allclose(centers[k], m / np.sqrt(m @ m), atol=1e-4)
+
+
 def test_mixture_edge_cases(spark):
     rows = [(1, None, None, "a"), (2, "", "en", None), (3, "x " * 50_000, "en", "a"), (4, "one two", "fr", "b"), (4, "one two", "fr", "b"),
             (None, "three", "fr", "b")] + [(10 + i, f"text number {i}", "en", "c") for i in range(30)]
