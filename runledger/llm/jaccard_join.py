@@ -365,7 +365,9 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 def keep_one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without those whose near-duplicate class has a smaller id.
 
-    Documents without words are kept. Rows that repeat the kept id stay as one row."""
+    Documents without words are kept. An id is kept or dropped with all its rows: a class is one
+    of ids, and rows that repeat an id may differ in text or other columns, so none stands for
+    the others."""
     classes = near_duplicate_classes(docs, id_col, text_col)
     gone = (classes.filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct())
     kept = docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
