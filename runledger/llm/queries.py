@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (chat, exact_topk, html_text, jaccard_join, learned_index, mixing, packing, sharding, token_counts,
-               toxicity)
+from . import (chat, exact_topk, fill_in_middle, html_text, jaccard_join, learned_index, mixing, packing, quality,
+               sharding, token_counts, toxicity, whitening)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -161,3 +161,45 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document under a public vocabulary read as a unigram model."""
     vocab = token_counts.vocabulary(tokenizer_file(token_counts.MODEL))
     return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), vocab).drop("text")
+
+
+_OP11_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n,
+    list_transform(range(4), lambda k: ('0x' || substr(sha256('1:' || coalesce(doc_id::VARCHAR, '')), 1 + 8 * k, 8))::BIGINT) AS h
+  FROM documents),
+c AS (
+  SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+    CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain'
+         WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, substr(t, 1, a) AS prefix, substr(t, a + 1, b - a) AS middle, substr(t, b + 1) AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+         ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+@register("op11_fill_in_middle", oracle=_OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its middle moved to the end, and the text rebuilt from the output."""
+    done = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(fill_in_middle.restored(), 256).alias("restored_sha256"))
+
+
+@register("op12_quality_classifier")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from the labelled rows outside the held-out quarter."""
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.quality_scores(docs, table(spark, sf_dir, "labels").filter(~held))
+    return scored.select("doc_id", held.alias("held_out"), "score",
+                         (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+@register("op13_embedding_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding whitened on the eight leading components of all embeddings."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
