@@ -6,21 +6,25 @@ are left out, white space collapses outside preformatted text, blocks stand on l
 own with blank lines around paragraphs, headings, lists and tables, list items get bullets or
 numbers with indentation, and table cells are aligned in columns.
 
-All visible text is emitted, boilerplate included. Defined results: a null page gives null, an
-empty one an empty text; repeated rows are kept; an empty table gives no rows; extra columns
-stay.
+All visible text is emitted, boilerplate included. Elements may nest to any depth: the tree is
+built and walked without recursion, and only the indentation stops growing, at ``INDENT``
+columns. Defined results: a null page gives null, an empty one an empty text; very long pages
+are handled whole; repeated rows are kept; an empty table gives no rows; extra columns stay, but
+for one named like the result, which is replaced.
 """
 from __future__ import annotations
 
 import html as html_lib
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
+from collections.abc import Generator, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 512           # deeper elements become siblings, as in browsers
+INDENT = 512              # columns; deeper lists and quotations are indented no further
 BATCH_CHARS = 1 << 23
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -73,41 +77,81 @@ def _text(source: str) -> str:
     return html_lib.unescape(source) if "&" in source else source
 
 
+class _Open:
+    """The open elements, innermost last, with the places of each tag.
+
+    Places are serial numbers that stay when an element further out is closed, so each lookup is
+    a bisection, however deep the page."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places, self.serial = [root], [0], 0
+        self.by_tag: dict[str, list[int]] = defaultdict(list)
+        self.blocks: list[int] = []
+
+    def push(self, node: Node) -> None:
+        self.serial += 1
+        self.nodes.append(node)
+        self.places.append(self.serial)
+        self.by_tag[node.tag].append(self.serial)
+        if node.tag in BLOCK:
+            self.blocks.append(self.serial)
+
+    def last(self, tags) -> int:
+        """Place of the innermost element with one of ``tags``; 0 (the root) if there is none."""
+        return max((self.by_tag[t][-1] for t in tags if self.by_tag.get(t)), default=0)
+
+    def close_from(self, place: int) -> None:
+        """Close the element at a place and all inside it."""
+        while self.places[-1] >= place > 0:
+            self.close_one(len(self.nodes) - 1)
+
+    def close_one(self, at: int) -> None:
+        """Close one element; those inside it stay open."""
+        node, place = self.nodes.pop(at), self.places.pop(at)
+        held = self.by_tag[node.tag]
+        del held[bisect_left(held, place)]
+        if node.tag in BLOCK:
+            del self.blocks[bisect_left(self.blocks, place)]
+
+    def close_within(self, tags, bounds) -> None:
+        """Close the outermost of ``tags`` inside the innermost of ``bounds``."""
+        bound = self.last(bounds)
+        first = [held[k] for held in map(self.by_tag.get, tags) if held and (k := bisect_right(held, bound)) < len(held)]
+        if first:
+            self.close_from(min(first))
+
+
+TABLE_PARTS = frozenset(("tr", "tbody", "thead", "tfoot", "table", "body", "html"))
+
+
 def parse(source: str) -> Node:
     """The page's tree; text nodes are strings."""
     root = Node("html", {})
-    stack, at, size = [root], 0, len(source)
-
-    def close(tags, bounds) -> None:
-        while len(stack) > 1 and stack[-1].tag not in bounds:
-            if not any(n.tag in tags for n in _above(stack, bounds)):
-                return
-            stack.pop()
+    open_, at, size = _Open(root), 0, len(source)
 
     while at < size:
+        inner = open_.nodes[-1].children
         m = _TAG.search(source, at)
         if m is None:
-            stack[-1].children.append(_text(source[at:]))
+            inner.append(_text(source[at:]))
             break
         if m.start() > at:
-            stack[-1].children.append(_text(source[at:m.start()]))
+            inner.append(_text(source[at:m.start()]))
         at = m.end()
         if m[1]:
             tag = m[1].lower()
+            place = open_.last((tag,))
             if tag == "br":
-                stack[-1].children.append(Node("br", {}))
-            elif tag == "p" and not any(n.tag == "p" for n in _above(stack, SCOPE)):
-                stack[-1].children.append(Node("p", {}))
-            else:
-                # inline end tags do not reach out of a table cell or list item
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        # an inline end tag leaves the blocks inside it open
-                        inside = tag not in BLOCK and any(n.tag in BLOCK for n in stack[k + 1:])
-                        del stack[k:k + 1 if inside else len(stack)]
-                        break
-                    if stack[k].tag in ("td", "th", "table") and tag not in ("tr", "tbody", "thead", "tfoot", "table", "body", "html"):
-                        break
+                inner.append(Node("br", {}))
+            elif tag == "p" and place <= open_.last(SCOPE):
+                inner.append(Node("p", {}))
+            elif place and (tag in TABLE_PARTS or place >= open_.last(("td", "th", "table"))):
+                # an end tag does not reach out of a table cell, and an inline one leaves the
+                # blocks inside its element open
+                if tag not in BLOCK and open_.blocks and open_.blocks[-1] > place:
+                    open_.close_one(bisect_left(open_.places, place))
+                else:
+                    open_.close_from(place)
             continue
         if not m[2]:
             continue
@@ -116,19 +160,14 @@ def parse(source: str) -> Node:
         if tag == "html":
             root.attrs.update(attrs)
             continue
-        if tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag in SCOPE:
-                    break
+        if tag in CLOSES_P and (place := open_.last(("p",))) > open_.last(SCOPE):
+            open_.close_from(place)
         if tag in CLOSES:
-            close(*CLOSES[tag])
-        elif stack[-1].tag == "head" and tag not in HIDDEN:
-            stack.pop()
+            open_.close_within(*CLOSES[tag])
+        elif open_.nodes[-1].tag == "head" and tag not in HIDDEN:
+            open_.close_from(open_.places[-1])
         node = Node(tag, attrs)
-        stack[-1].children.append(node)
+        open_.nodes[-1].children.append(node)
         if tag in VOID:
             continue
         if tag in RAW or tag in RCDATA:
@@ -136,18 +175,11 @@ def parse(source: str) -> Node:
             body = source[at:end.start()]
             node.children.append(_text(body) if tag in RCDATA else body)
             at = end.end()
-        elif len(stack) < MAX_DEPTH:
-            stack.append(node)
+        else:
+            open_.push(node)
     return root
 
 
-def _above(stack: list[Node], bounds) -> Iterator[Node]:
-    for n in reversed(stack):
-        if n.tag in bounds:
-            return
-        yield n
-
-
 def hidden(node: Node, parent: Node | None) -> bool:
     a = node.attrs
     if node.tag in HIDDEN or "hidden" in a and a["hidden"].lower() != "until-found":
@@ -201,7 +233,7 @@ class _Flow:
         self.gap = 0
         self.lines.append((self.indent + self.lead + line).rstrip(" ") if line or self.lead else "")
         if self.lead:
-            self.indent, self.lead = self.indent + " " * len(self.lead), ""
+            self.indent, self.lead = (self.indent + " " * len(self.lead))[:INDENT], ""
 
     def block(self, margin: int) -> None:
         self.end()
@@ -219,7 +251,21 @@ def _number(value: str | None, default: int) -> int:
         return default
 
 
-def _walk(node: Node, flow: _Flow, pre: bool, depth: int) -> None:
+def _finish(walk: Generator):
+    """Run a walk to its end. A walk yields the walks of inner elements and is sent their results,
+    so nesting uses this list and not the call stack."""
+    stack, result = [walk], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(result))
+            result = None
+        except StopIteration as done:
+            stack.pop()
+            result = done.value
+    return result
+
+
+def _walk(node: Node, flow: _Flow, pre: bool, depth: int) -> Generator:
     for child in node.children:
         if isinstance(child, str):
             if node.tag == "details" and "open" not in node.attrs:
@@ -240,11 +286,11 @@ def _walk(node: Node, flow: _Flow, pre: bool, depth: int) -> None:
             flow.text(child.attrs.get("value", ""))
         elif tag == "table":
             flow.block(1)
-            _table(child, flow, depth)
+            yield _table(child, flow, depth)
             flow.block(1)
         elif tag in ("ul", "ol", "menu"):
             flow.block(0 if depth else 1)
-            _list(child, flow, pre, depth)
+            yield _list(child, flow, pre, depth)
             flow.block(0 if depth else 1)
         elif tag in BLOCK:
             margin = BLOCK[tag]
@@ -252,17 +298,17 @@ def _walk(node: Node, flow: _Flow, pre: bool, depth: int) -> None:
             inner = pre or tag in ("pre", "textarea")
             indent = flow.indent
             if tag in ("blockquote", "dd"):
-                flow.indent += "  "
+                flow.indent = (flow.indent + "  ")[:INDENT]
             if inner and child.children and isinstance(child.children[0], str) and child.children[0].startswith("\n"):
                 child.children[0] = child.children[0][1:]
-            _walk(child, flow, inner, depth)
+            yield _walk(child, flow, inner, depth)
             flow.block(margin)
             flow.indent = indent
         else:
-            _walk(child, flow, pre, depth)
+            yield _walk(child, flow, pre, depth)
 
 
-def _list(node: Node, flow: _Flow, pre: bool, depth: int) -> None:
+def _list(node: Node, flow: _Flow, pre: bool, depth: int) -> Generator:
     number = _number(node.attrs.get("start"), 1)
     for child in node.children:
         if isinstance(child, str):
@@ -271,47 +317,46 @@ def _list(node: Node, flow: _Flow, pre: bool, depth: int) -> None:
             continue
         if hidden(child, node):
             continue
+        flow.end()
         if child.tag != "li":
-            flow.end()
-            _walk(Node("div", {}), flow, pre, depth + 1)
             holder = Node("div", {})
             holder.children.append(child)
-            _walk(holder, flow, pre, depth + 1)
+            yield _walk(holder, flow, pre, depth + 1)
             continue
-        flow.end()
         indent, lead = flow.indent, flow.lead
         if node.tag == "ol":
             number = _number(child.attrs.get("value"), number)
-            flow.lead = lead + f"{number}. "
+            flow.lead = (lead + f"{number}. ")[-INDENT:]
             number += 1
         else:
-            flow.lead = lead + "- "
-        _walk(child, flow, pre, depth + 1)
-        flow.end(bool(flow.lead) and False)
+            flow.lead = (lead + "- ")[-INDENT:]
+        yield _walk(child, flow, pre, depth + 1)
+        flow.end()
         flow.indent, flow.lead = indent, ""
 
 
-def _cell(node: Node) -> str:
+def _cell(node: Node) -> Generator:
     flow = _Flow()
-    _walk(node, flow, False, 1)
+    yield _walk(node, flow, False, 1)
     return " ".join(x.strip() for x in flow.result().split("\n") if x.strip())
 
 
 def _rows(node: Node) -> Iterator[Node]:
+    """The rows of a table and of its parts (which never nest)."""
     for child in node.children:
         if isinstance(child, Node) and not hidden(child, node):
             if child.tag == "tr":
                 yield child
             elif child.tag in ("thead", "tbody", "tfoot"):
-                yield from _rows(child)
+                yield from (c for c in child.children if isinstance(c, Node) and c.tag == "tr" and not hidden(c, child))
 
 
-def _table(node: Node, flow: _Flow, depth: int) -> None:
+def _table(node: Node, flow: _Flow, depth: int) -> Generator:
     loose = Node("div", {})            # captions and what stands outside of rows
     for part in [node, *[c for c in node.children if isinstance(c, Node) and c.tag in ("thead", "tbody", "tfoot")]]:
         loose.children.extend(c for c in part.children if isinstance(c, str) and c.strip()
                               or isinstance(c, Node) and c.tag not in ("tr", "thead", "tbody", "tfoot", "colgroup", "col"))
-    _walk(loose, flow, False, depth)
+    yield _walk(loose, flow, False, depth)
     flow.end()
     grid, held = [], {}                # held: column -> rows that a cell above still covers
     for row in _rows(node):
@@ -325,7 +370,7 @@ def _table(node: Node, flow: _Flow, depth: int) -> None:
                 continue
             while held.get(column, 0) > 0:
                 column += 1
-            cells[column] = (cells.get(column, "") + " " + _cell(child)).strip()
+            cells[column] = (cells.get(column, "") + " " + (yield _cell(child))).strip()
             span, down = (min(max(_number(child.attrs.get(k), 1), 1), 1000) for k in ("colspan", "rowspan"))
             for c in range(column, column + span):
                 held[c] = max(held.get(c, 0), down)
@@ -349,30 +394,27 @@ def visible_text(source: str | None) -> str | None:
     if source is None:
         return None
     flow = _Flow()
-    _walk(parse(source), flow, False, 0)
+    _finish(_walk(parse(source), flow, False, 0))
     return flow.result()
 
 
-def _extract(column: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, n = 0, batch.num_rows
-            while at < n:
-                texts, size, start = [], 0, at
-                while at < n and size < BATCH_CHARS:
-                    page = batch.column(column)[at].as_py()
-                    texts.append(visible_text(page))
-                    size += len(page or "")
-                    at += 1
-                part = batch.slice(start, at - start)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())],
-                                                 names=[*batch.schema.names, "__text"])
-    return run
+def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at, n = 0, batch.num_rows
+        while at < n:
+            texts, size, start = [], 0, at
+            while at < n and size < BATCH_CHARS:
+                page = batch.column(0)[at].as_py()
+                texts.append(visible_text(page))
+                size += len(page or "")
+                at += 1
+            yield pa.RecordBatch.from_arrays([batch.column(1).slice(start, at - start), pa.array(texts, pa.string())],
+                                             names=["row", "text"])
 
 
 def extract_text(pages: DataFrame, html_col: str = "html", name: str = "text") -> DataFrame:
     """``pages`` without the HTML, with the column ``name`` (a column of that name is replaced)."""
-    pages = pages.drop(name).withColumn(html_col, F.col(html_col).cast("string"))
-    schema = pages.withColumn("__text", F.lit("")).schema
-    return (pages.mapInArrow(_extract(pages.columns.index(html_col)), schema).drop(html_col)
-            .withColumnRenamed("__text", name))
+    stay = [c for c in pages.columns if c.lower() not in (html_col.lower(), name.lower())]
+    rows = pages.select(F.col(html_col).cast("string").alias("html"), F.struct(*[pages[f"`{c}`"] for c in stay]).alias("row"))
+    done = rows.mapInArrow(_extract, rows.select("row").schema.add("text", "string"))
+    return done.select(*[F.col("row").getField(c).alias(c) for c in stay], F.col("text").alias(name))
