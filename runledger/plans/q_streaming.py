@@ -8,14 +8,15 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from ..streaming import jobs as J
 from ..streaming import streams as S
+from .q_lifecycle import _JOBS_SQL as JOBS_SQL
 from .q_metrics import TASK_MARKS
 from .registry import pct, register
 
 
 def _land_weblog(d, path: str, where=None) -> None:
-    """Add the weblog rows (those of ``where`` as one file) as landed JSON lines, payloads as
-    JSON objects."""
+    """Add the weblog rows (those of ``where``) as landed JSON lines, payloads as JSON objects."""
     def q(c):
         return F.when(F.col(c).isNull(), F.lit("null")).otherwise(F.to_json(F.array(F.col(c)))
                                                                   .substr(F.lit(2), F.length(F.to_json(F.array(F.col(c)))) - 2))
@@ -25,7 +26,7 @@ def _land_weblog(d, path: str, where=None) -> None:
         F.lit(', "utcTime": "'), F.date_format("utc_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit('"'),
         F.lit(', "metadata": '), F.coalesce("metadata", F.lit("null")),
         F.lit(', "trace": '), F.coalesce("trace", F.lit("null")), F.lit("}"))
-    rows = d.weblog if where is None else d.weblog.filter(where).coalesce(1)
+    rows = d.weblog if where is None else d.weblog.filter(where)
     rows.select(line.alias("value")).write.mode("append").text(path)
 
 
@@ -106,8 +107,8 @@ def q_stream_running(d):
     root = _scratch(d, "stream-running")
     for k in (2, 0, 3, 1):
         _land_weblog(d, f"{root}/landing", (F.col("id") % 4 == k) | (F.col("id") % 28 == k + 4))
-    S.run_to_parts(S.running_state(S.read_weblog_stream(d.spark, f"{root}/landing", max_files=1)),
-                   "update", f"{root}/state", f"{root}/ckpt")
+        S.run_to_parts(S.running_state(S.read_weblog_stream(d.spark, f"{root}/landing")),
+                       "update", f"{root}/state", f"{root}/ckpt")
     state = S.latest_state(d.spark, f"{root}/state", ["run_name", "task_id", "process"])
     return S.running_by_process(state, d.workflow_runs)
 
@@ -132,16 +133,40 @@ FROM e2
 """)
 def q_stream_run_state(d):
     """The keyed run state machine (applyInPandasWithState) over the lifecycle log,
-    replayed in order of arrival over five micro-batches; the last one repeats starts and
-    closes, which change nothing. One row per run."""
+    replayed in order of arrival over five micro-batches (the stream is started anew for
+    each); the last one repeats starts and closes, which change nothing. One row per run."""
     root = _scratch(d, "stream-run-state")
-    ev = d.lifecycle_events
-    ends = ev.select(F.percentile_approx("seq", [0.25, 0.5, 0.75]).alias("q")).first()["q"]
-    slices = [F.col("seq") <= ends[0], F.col("seq").between(ends[0] + 1, ends[1]),
-              F.col("seq").between(ends[1] + 1, ends[2]), F.col("seq") > ends[2],
-              F.col("event").isin("started", "completed")]
-    for part in slices:
-        ev.filter(part).coalesce(1).write.mode("append").parquet(f"{root}/events")
-    src = d.spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/events")
-    S.run_to_parts(S.run_state_stream(src, timeouts=False), "update", f"{root}/state", f"{root}/ckpt")
+    for slice_ in [*_arrivals(d.lifecycle_events), F.col("event").isin("started", "completed")]:
+        S.run_to_parts(S.run_state_stream(_landed(d, slice_, root), timeouts=False), "update", f"{root}/state", f"{root}/ckpt")
     return S.latest_state(d.spark, f"{root}/state", ["run_name"]).select("run_name", "status")
+
+
+def _arrivals(events) -> list:
+    """Four slices of the log in order of arrival."""
+    a, b, c = events.select(F.percentile_approx("seq", [0.25, 0.5, 0.75]).alias("q")).first()["q"]
+    seq = F.col("seq")
+    return [seq <= a, seq.between(a + 1, b), seq.between(b + 1, c), seq > c]
+
+
+def _landed(d, slice_, root: str):
+    """Land a slice of the lifecycle log, as many files as it has partitions, and read the landing
+    folder as a stream. Started again on its checkpoint, a stream takes the new files as one
+    micro-batch."""
+    ev = d.lifecycle_events
+    ev.filter(slice_).write.mode("append").parquet(f"{root}/events")
+    return d.spark.readStream.schema(ev.schema).parquet(f"{root}/events")
+
+
+@register("stream_jobs", ("lifecycle_events", "workflows"), JOBS_SQL + """
+SELECT sample_id, workflow_id, workflow_version, status, retries AS retry_count, run AS run_name,
+  status = 'failed' AS dead_letter, CASE WHEN status = 'failed' THEN run END AS dead_letter_run,
+  done_seq AS completed_seq
+FROM state
+""")
+def q_stream_jobs(d):
+    """Job rows (dead letters among them) kept by the stream (run and job state machines, RocksDB state) over
+    four micro-batches, the stream stopped and started again between them."""
+    root = _scratch(d, "stream-jobs")
+    for slice_ in _arrivals(d.lifecycle_events):
+        S.run_to_parts(J.job_stream(_landed(d, slice_, root), d.workflows), "append", f"{root}/jobs", f"{root}/ckpt")
+    return J.current_jobs(d.spark, f"{root}/jobs")

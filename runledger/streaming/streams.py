@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions.display import is_failed, null_label, ratio_pct
+from .jobs import in_order
 from ..sources.events import WEBLOG_SCHEMA, enrich_events, to_task_executions, weblog_envelope
 
 WEEK_START_OFFSET = "4 days"   # 1970-01-01 was a Thursday; Monday-aligned weeks
@@ -183,9 +184,11 @@ def _run_state_fn(heartbeat_ms: int, claim_ttl_ms: int, timeouts: bool = True,
             return
         status, run_id, last = state.get if state.exists else (None, None, None)
         # rows of one key arrive in no particular order within a micro-batch
-        batch = pd.concat(list(pdfs), ignore_index=True).sort_values("seq", kind="stable")
-        for ev, rid, ts in zip(batch["event"], batch["run_id"], batch["utc_time"]):
-            last = ts if last is None or ts > last else last
+        for ev, rid, ts in in_order(pdfs, ["event", "run_id", "utc_time"], ["seq"]):
+            ts = None if ts is None or ts != ts else pd.Timestamp(ts)
+            if ts is None:
+                ts = last
+            last = ts if last is None or ts is not None and ts > last else last
             if status in TERMINAL:
                 continue                          # T7: late events never roll back
             if ev == "claim" and status is None:
