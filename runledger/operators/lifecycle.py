@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .keyed import first_per_key
+
 TERMINAL_RUN = ("completed", "failed", "expired")
 IN_FLIGHT_JOB = ("claimed", "submitted", "running")
 CLAIM_TTL_MINUTES = 5
@@ -247,7 +249,7 @@ def _set_failure(jobs: DataFrame, hit, at, reason) -> DataFrame:
 def new_dead_letters(found: DataFrame, existing: DataFrame) -> DataFrame:
     """Dead-letter rows to insert; a job that has a row keeps it (one per ``job_id``)."""
     return (found.join(existing.select("job_id").distinct(), "job_id", "left_anti")
-            .dropDuplicates(["job_id"]))
+            .transform(first_per_key, ["job_id"]))
 
 
 def watchdog_report(runs: DataFrame, jobs: DataFrame, as_of: dt.datetime, stale_minutes: int = 15) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.identity import (canon_label, classify_source, derive_sample_id, has_accession,
                                   is_amplicon, is_orphan, normalize_srrs, parse_srrs, sample_id)
+from .keyed import KeyedTable, first_per_key
 from .state import insert_ignore, latest_per_key, upsert
 
 LIBRARY_FIELDS = ("library_strategy", "library_selection", "library_source", "instrument_platform")
@@ -165,6 +166,30 @@ def register_samples(samples: DataFrame, incoming: DataFrame) -> DataFrame:
     return out
 
 
+def register_into(samples: KeyedTable, members: KeyedTable, incoming: DataFrame) -> DataFrame:
+    """U3 on bucketed tables: upsert samples and attach them to their collections, touching only
+    the buckets of the samples named; returns their rows with ``collections``, all of a sample's
+    memberships in order.
+
+    ``incoming``: sample_id, metadata, and any of ncbi_accession, biosample_id, collection_id
+    (null: no collection). The accession is stored in its normal form; a blank accession or
+    biosample keeps the stored one. ``members`` is keyed by (collection_id, sample_id) and
+    bucketed by sample. Of several rows of one sample the first by text counts, but every row's
+    collection is attached."""
+    rows = incoming
+    if "ncbi_accession" in rows.columns:
+        rows = rows.withColumn("ncbi_accession", F.nullif(normalize_srrs(parse_srrs(F.col("ncbi_accession"))), F.lit("")))
+    if "biosample_id" in rows.columns:
+        rows = rows.withColumn("biosample_id", F.nullif(F.trim("biosample_id"), F.lit("")))
+    samples.upsert(rows.drop("collection_id"), keep_if_null=("ncbi_accession", "biosample_id"))
+    if "collection_id" in rows.columns:
+        members.insert_ignore(rows.filter("collection_id is not null").select("collection_id", "sample_id"))
+    of_sample = (members.lookup(rows.select("sample_id")).groupBy("sample_id")
+                 .agg(F.array_sort(F.collect_set("collection_id")).alias("collections")))
+    return (samples.lookup(rows).join(of_sample, "sample_id", "left")
+            .withColumn("collections", F.coalesce("collections", F.array().cast("array<string>"))))
+
+
 def add_memberships(members: DataFrame, new_members: DataFrame) -> DataFrame:
     """U4 membership part: idempotent attach of (collection, sample) pairs."""
     return insert_ignore(members, new_members.select("collection_id", "sample_id"),
@@ -288,7 +313,7 @@ def add_to_collection(collections: DataFrame, members: DataFrame, new: DataFrame
     (collection_id, source, type, label, sample_id)."""
     decl = (new.select("collection_id", "source", "type",
                        F.coalesce(F.nullif(F.trim("label"), F.lit("")), F.col("collection_id")).alias("label"))
-            .dropDuplicates(["collection_id"])
+            .transform(first_per_key, ["collection_id"])
             .withColumn("created_at", F.lit(now).cast("timestamp_ntz"))
             .withColumn("updated_at", F.lit(now).cast("timestamp_ntz")))
     if "updated_at" not in collections.columns:
@@ -304,7 +329,7 @@ def register_workflow(workflows: DataFrame, jobs: DataFrame, new: DataFrame) ->
     existing row keeps its status (the reference behaviour; see README). Of several versions
     of one workflow in a batch, only the last (by ``created_at``, then version) is active."""
     keys = ["workflow_id", "version"]
-    new = new.dropDuplicates(keys)
+    new = first_per_key(new, keys)
     order = [F.desc(c) for c in ("created_at", "version") if c in new.columns]
     last = F.row_number().over(Window.partitionBy("workflow_id").orderBy(*order)) == 1
     incoming = new.withColumn("status", F.when(last, F.lit("active")).otherwise(F.lit("retired")))
@@ -358,7 +383,7 @@ def register_accessions(reports: DataFrame, samples: DataFrame, collections: Dat
                               F.to_json(F.struct("sra_sample", F.col("biosample_id").alias("biosample"),
                                                  "sra_study", "bioproject",
                                                  F.col("collection_id").alias("collection"))).alias("metadata"))
-    out_samples = insert_ignore(samples, new_samples.dropDuplicates(["sample_id"]), ["sample_id"])
+    out_samples = insert_ignore(samples, first_per_key(new_samples, ["sample_id"]), ["sample_id"])
     decl = (g_ok.select("collection_id", "sample_id").join(ok, "collection_id")
             .withColumn("type", F.lit("project")).withColumn("label", F.col("collection_id")))
     cols, mem = add_to_collection(collections, members, decl, now)

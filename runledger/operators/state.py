@@ -12,13 +12,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import default_root
+from .keyed import first_per_key
 
 POINTER = "CURRENT"
 
 
-def _pointer(base: str):
+def _pointer(spark: SparkSession, base: str):
     import pyarrow.fs as pafs
-    fs, path = pafs.FileSystem.from_uri(base if "://" in base else "file://" + base)
+    fs, path = pafs.FileSystem.from_uri(base if "://" in base else default_root(spark) + base)
     return fs, f"{path.rstrip('/')}/{POINTER}"
 
 
@@ -27,7 +29,7 @@ def write_versioned(table: DataFrame, base: str) -> str:
     rename). A crash in between leaves the old version current. Returns the version."""
     version = f"v-{uuid.uuid4().hex}"
     table.write.parquet(f"{base.rstrip('/')}/{version}")
-    fs, pointer = _pointer(base)
+    fs, pointer = _pointer(table.sparkSession, base)
     with fs.open_output_stream(f"{pointer}.{version}", compression=None) as f:
         f.write(version.encode())
     fs.move(f"{pointer}.{version}", pointer)
@@ -36,7 +38,7 @@ def write_versioned(table: DataFrame, base: str) -> str:
 
 def read_current(spark: SparkSession, base: str) -> DataFrame:
     """The current version of a state table."""
-    fs, pointer = _pointer(base)
+    fs, pointer = _pointer(spark, base)
     with fs.open_input_stream(pointer, compression=None) as f:
         return spark.read.parquet(f"{base.rstrip('/')}/{f.read().decode()}")
 
@@ -78,8 +80,8 @@ def insert_ignore(target: DataFrame, source: DataFrame, keys: list[str]) -> Data
 
 
 def new_rows(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
-    """Source rows (first per key) whose key is not in target."""
-    return source.dropDuplicates(keys).join(target.select(*keys).distinct(), keys, "left_anti")
+    """Source rows (one per key, see ``first_per_key``) whose key is not in target."""
+    return first_per_key(source, keys).join(target.select(*keys).distinct(), keys, "left_anti")
 
 
 def existing_keys(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:

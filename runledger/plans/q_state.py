@@ -15,11 +15,12 @@ from ..operators import filters as FL
 from ..operators import registry as G
 from ..operators import state as ST
 from ..operators.filters import MetricFilter
+from ..operators.keyed import KeyedTable
 from ..sources import events as EV
 from ..sources import files as FS
 from ..sources import lake
 from ..sources import outputs as O
-from ..session import scratch_path
+from ..session import default_root, scratch_path
 from .registry import r2, register
 
 NOW = dt.datetime(2026, 1, 1)
@@ -168,6 +169,43 @@ def q_register_samples(d):
     return G.register_samples(d.samples.drop("created_at"), _incoming_samples(d))
 
 
+@register("bucketed_registration", ("samples", "collection_samples"), """
+, incoming AS (
+  SELECT 'N' || sample_id AS sample_id, '{"new": 1}' AS metadata, biosample_id, 'fresh' AS collection_id
+  FROM samples WHERE sample_id LIKE '%3'
+  UNION ALL SELECT sample_id, '{"upd": 1}', 'SAMX', NULL FROM samples WHERE sample_id LIKE '%77'),
+members AS (SELECT collection_id, sample_id FROM collection_samples
+  UNION SELECT collection_id, sample_id FROM incoming WHERE collection_id IS NOT NULL),
+stored AS (
+  SELECT s.sample_id, s.ncbi_accession, coalesce(i.biosample_id, s.biosample_id) AS biosample_id,
+         coalesce(i.metadata, s.metadata) AS metadata, i.sample_id IS NOT NULL AS registered
+  FROM samples s LEFT JOIN incoming i ON i.sample_id = s.sample_id
+  UNION ALL SELECT sample_id, NULL, biosample_id, metadata, true FROM incoming WHERE sample_id LIKE 'N%')
+SELECT s.*, CASE WHEN registered THEN coalesce((SELECT string_agg(collection_id, ',' ORDER BY collection_id) FROM members m
+                                               WHERE m.sample_id = s.sample_id), '') END AS collections
+FROM stored s
+""")
+def q_bucketed_registration(d):
+    """Samples registered into bucketed tables, twice (the second time changes nothing); the
+    whole table, and the memberships that the registration returned."""
+    root = _scratch(d, "bucketed")
+    samples = KeyedTable(f"{root}/samples", ("sample_id",), 64)
+    members = KeyedTable(f"{root}/members", ("collection_id", "sample_id"), 64, by=("sample_id",))
+    samples.create(d.samples.drop("created_at"))
+    members.create(d.collection_samples.select("collection_id", "sample_id").distinct())
+    fresh = d.samples.filter("sample_id like '%3'").select(
+        F.concat(F.lit("N"), "sample_id").alias("sample_id"), F.lit("").alias("ncbi_accession"), "biosample_id",
+        F.lit('{"new": 1}').alias("metadata"), F.lit("fresh").alias("collection_id"))
+    known = d.samples.filter("sample_id like '%77'").select(
+        "sample_id", F.lit(None).cast("string").alias("ncbi_accession"), F.lit(" SAMX").alias("biosample_id"),
+        F.lit('{"upd": 1}').alias("metadata"), F.lit(None).cast("string").alias("collection_id"))
+    for _ in range(2):
+        done = G.register_into(samples, members, fresh.unionByName(known))
+    done = done.select("sample_id", F.array_join("collections", ",").alias("collections"))
+    return (samples.read(d.spark).join(done, "sample_id", "left")
+            .withColumn("registered", F.col("collections").isNotNull()))
+
+
 @register("insert_ignore_samples", ("samples",), """
 SELECT sample_id, metadata FROM samples UNION ALL SELECT 'N' || sample_id, '{"new": 1}' FROM samples WHERE sample_id LIKE '%3'
 """)
@@ -378,9 +416,11 @@ def q_one_event_log(d):
 
 def _write_files(rows, root: str):
     """Write (path, text) rows as files under ``root`` on the executors; a keyed table of them."""
+    root = root if "://" in root else default_root(rows.sparkSession) + root
+
     def write(batches):
         import pyarrow.fs as pafs
-        fs, base = pafs.FileSystem.from_uri(root if "://" in root else "file://" + root)
+        fs, base = pafs.FileSystem.from_uri(root)
         for pdf in batches:
             for p, t in zip(pdf["path"], pdf["text"]):
                 fs.create_dir(f"{base}/{p}".rpartition("/")[0], recursive=True)

@@ -82,3 +82,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A child of the checkpoint folder for intermediate tables that cut lineage."""
     return ensure_checkpoint_dir(spark).rstrip("/") + "/" + name
+
+
+def default_root(spark: SparkSession) -> str:
+    """``scheme://authority`` of the session's default filesystem. Paths without a scheme lie
+    there for Spark; code that opens files by itself puts this in front of them."""
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    uri = spark._jvm.org.apache.hadoop.fs.FileSystem.getDefaultUri(conf)
+    return f"{uri.getScheme()}://{uri.getAuthority() or ''}"

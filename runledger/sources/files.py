@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import default_root
+
 TASK_LOG_MAX = 5 * 1024 * 1024           # fixed values: upload size limits
 NEXTFLOW_LOG_MAX = 16 * 1024 * 1024
 WRAPPER_LOG_MAX = 4 * 1024 * 1024
@@ -90,6 +92,8 @@ def read_task_logs(spark: SparkSession, work_dir: str, max_bytes: int | None = T
     over ``max_bytes`` (``None``: no limit) and files outside a hash folder are not read and
     come back with a reason. Content is decoded as UTF-8 with replacement characters."""
     root = work_dir.rstrip("/")
+    if "://" not in root:
+        root = default_root(spark) + root
     prefixes = spark.range(256).select(F.lower(F.lpad(F.hex("id"), 2, "0")).alias("prefix"))
 
     def walk(batches):
@@ -98,7 +102,7 @@ def read_task_logs(spark: SparkSession, work_dir: str, max_bytes: int | None = T
         for pdf in batches:
             for pre in pdf["prefix"].tolist():
                 uri = f"{root}/{pre}"
-                fs, base = pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri)
+                fs, base = pafs.FileSystem.from_uri(uri)
                 found = fs.get_file_info(pafs.FileSelector(base, allow_not_found=True, recursive=True))
                 rows = [(root, i.path, int(i.size)) for i in found if i.type == pafs.FileType.File and i.base_name in LOG_NAMES]
                 yield pd.DataFrame(rows, columns=["root", "path", "length"])
@@ -110,7 +114,7 @@ def read_task_logs(spark: SparkSession, work_dir: str, max_bytes: int | None = T
         for pdf in batches:
             rows, held = [], 0
             for task_hash, log_type, base, path in zip(pdf["task_hash"], pdf["log_type"], pdf["root"], pdf["path"]):
-                fs, _ = pafs.FileSystem.from_uri(base if "://" in base else "file://" + base)
+                fs, _ = pafs.FileSystem.from_uri(base)
                 with fs.open_input_stream(path, compression=None) as f:
                     text = f.read().decode("utf-8", "replace")
                 rows.append((task_hash, log_type, text, path))

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import default_root
+
 _ID = [("sample_id", T.StringType()), ("study_name", T.StringType()), ("run_ids", T.StringType()),
        ("workflow", T.StringType()), ("version", T.StringType())]
 _BRANCH = [("data_type", T.StringType())]
@@ -67,7 +69,7 @@ def ensure_schema(spark: SparkSession, base: str) -> None:
     import pyarrow.fs as pafs
     for name, schema in SCHEMAS.items():
         path = f"{base.rstrip('/')}/{name}"
-        fs, p = pafs.FileSystem.from_uri(path if "://" in path else "file://" + path)
+        fs, p = pafs.FileSystem.from_uri(path if "://" in path else default_root(spark) + path)
         if fs.get_file_info(p).type == pafs.FileType.NotFound:
             (spark.createDataFrame([], stored_schema(name))
              .write.mode("append").partitionBy(*partition_cols(name)).parquet(path))

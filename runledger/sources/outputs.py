@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.parse import parse_float
+from ..session import default_root
 
 BRANCHES = ("full_data", "rarefied_data")
 SENTINEL = "MARK_COMPLETE"
@@ -79,12 +80,12 @@ def _decode(raw: bytes) -> str:
     return raw.decode("utf-8", "replace")
 
 
-def _open_bytes(path: str, content: bool) -> tuple[bytes | None, str]:
+def _open_bytes(uri: str, content: bool) -> tuple[bytes | None, str]:
     """(content, status): ``ok``, ``missing``, or ``error: ...`` for what may pass (permissions,
     timeouts, throttling)."""
     import pyarrow.fs as pafs
     try:
-        fs, p = pafs.FileSystem.from_uri(path if "://" in path else "file://" + path)
+        fs, p = pafs.FileSystem.from_uri(uri)
         if fs.get_file_info(p).type == pafs.FileType.NotFound:
             return None, "missing"
         if not content:
@@ -113,6 +114,7 @@ def fetch_outputs(paths: DataFrame, read_content: bool = True,
     not coalesced by AQE): a batch of thousands of files is fetched by thousands of tasks,
     not by the one or two partitions its keys happened to arrive in."""
     n = partitions or paths.sparkSession.sparkContext.defaultParallelism * 4
+    root = default_root(paths.sparkSession)
     paths = paths.repartition(n, "path")
     out_schema = T.StructType(paths.schema.fields + [T.StructField("exists", T.BooleanType()),
                                                      T.StructField("text", T.StringType()),
@@ -123,7 +125,7 @@ def fetch_outputs(paths: DataFrame, read_content: bool = True,
             texts, status, held, first = [], [], 0, 0
             files = pdf["path"].tolist()
             for i, p in enumerate(files):
-                raw, s = _open_bytes(p, read_content)
+                raw, s = _open_bytes(p if "://" in p else root + p, read_content)
                 texts.append(_decode(raw) if raw else None)
                 status.append(s)
                 held += len(texts[-1] or "")
