@@ -61,16 +61,39 @@ def parse_tag(c) -> Column:
     return F.substring_index(t, ":", 1)
 
 
+def _members(payload) -> Column:
+    """A JSON object as a map of typed members; NULL for anything else."""
+    return F.try_variant_get(F.try_parse_json(_col(payload)), "$", "map<string,variant>")
+
+
 def json_has_key(payload, key: str) -> Column:
-    """JSONB ``?`` on an object."""
-    m = F.from_json(_col(payload), "map<string,string>")
-    return F.map_contains_key(m, key)
+    """JSONB ``?`` on an object; a member that is JSON null counts. False for other JSON."""
+    text = F.from_json(_col(payload), "map<string,string>")       # objects that repeat a key
+    return F.when(_col(payload).isNotNull(),
+                  F.coalesce(F.map_contains_key(_members(payload), key), F.map_contains_key(text, key), F.lit(False)))
 
 
 def json_drop_key(payload, key: str) -> Column:
-    """JSONB ``-`` on an object; returns JSON text."""
-    m = F.from_json(_col(payload), "map<string,string>")
-    return F.to_json(F.map_filter(m, lambda k, v: k != F.lit(key)))
+    """JSONB ``-`` on an object; returns JSON text.
+
+    The other members keep their types, nesting and order (members of nested objects come by
+    name). Of a key that an object repeats the last value counts, and its members are read as
+    text. What is no object stays as it is."""
+    p = _col(payload)
+    keys = F.filter(F.array_distinct(F.json_object_keys(p)), lambda k: k != F.lit(key))
+    typed, text = _members(p), F.from_json(p, "map<string,string>")
+
+    def last(k):
+        return F.element_at(F.map_values(F.map_filter(text, lambda name, _: name == k)), -1)
+
+    whole = F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(typed, k)))
+    return F.coalesce(F.when(typed.isNotNull(), F.to_json(whole)),
+                      F.to_json(F.map_from_arrays(keys, F.transform(keys, last))), p)
+
+
+def variant_text(payload, key: str) -> Column:
+    """The text of a member of a VARIANT payload; NULL when missing or JSON null."""
+    return F.try_variant_get(_col(payload), f"$['{key}']", "string")
 
 
 def row_to_json_except(df_columns, exclude: str) -> Column:
@@ -95,31 +118,43 @@ TRACE_FIELDS_FLOAT = [
 ]
 
 
-def task_fact_columns(trace="trace", strict: bool = False) -> list[Column]:
-    """typed columns of one completed task, from the raw ``trace`` JSON text.
+TRACE_KEYS = ["task_id", "hash", "process", "name", "status", "attempt", "exit", "error_action",
+              *[key for _, key in TRACE_FIELDS_FLOAT]]
+
+
+def trace_members(trace="trace") -> Column:
+    """All members of a trace that the task fact reads, as text, from one parse of the JSON text.
+    Select it into a column before reading several members."""
+    return F.from_json(_col(trace), "struct<" + ",".join(f"`{k}`:string" for k in TRACE_KEYS) + ">")
+
+
+def task_fact_columns(trace="trace", strict: bool = False, read=None) -> list[Column]:
+    """typed columns of one completed task. ``read(payload, key)`` gives the text of a member:
+    by default of JSON text, ``variant_text`` for VARIANT, ``Column.getField`` for
+    ``trace_members``.
 
     ``strict=True`` (U17, the backfill from stored events) casts with ANSI semantics, so
     junk numbers fail the job instead of becoming NULL or the default."""
-    tr = _col(trace)
+    tr, member = _col(trace), read or json_text
     if strict:
-        return ([F.coalesce(json_text(tr, "task_id"), F.lit("")).alias("task_id")]
-                + [parse_str(json_text(tr, k)).alias(n) for n, k in
+        return ([F.coalesce(member(tr, "task_id"), F.lit("")).alias("task_id")]
+                + [parse_str(member(tr, k)).alias(n) for n, k in
                    (("task_hash", "hash"), ("process", "process"), ("name", "name"),
                     ("status", "status"))]
-                + [F.coalesce(parse_str(json_text(tr, "attempt")), F.lit("1")).cast("int").alias("attempt")]
-                + [parse_str(json_text(tr, k)).alias(n) for n, k in
+                + [F.coalesce(parse_str(member(tr, "attempt")), F.lit("1")).cast("int").alias("attempt")]
+                + [parse_str(member(tr, k)).alias(n) for n, k in
                    (("exit_code", "exit"), ("error_action", "error_action"))]
-                + [parse_str(json_text(tr, key)).cast("double").alias(name)
+                + [parse_str(member(tr, key)).cast("double").alias(name)
                    for name, key in TRACE_FIELDS_FLOAT])
     out = [
-        F.coalesce(json_text(tr, "task_id"), F.lit("")).alias("task_id"),
-        parse_str(json_text(tr, "hash")).alias("task_hash"),
-        parse_str(json_text(tr, "process")).alias("process"),
-        parse_str(json_text(tr, "name")).alias("name"),
-        parse_str(json_text(tr, "status")).alias("status"),
-        parse_int(json_text(tr, "attempt")).alias("attempt"),
-        parse_str(json_text(tr, "exit")).alias("exit_code"),
-        parse_str(json_text(tr, "error_action")).alias("error_action"),
+        F.coalesce(member(tr, "task_id"), F.lit("")).alias("task_id"),
+        parse_str(member(tr, "hash")).alias("task_hash"),
+        parse_str(member(tr, "process")).alias("process"),
+        parse_str(member(tr, "name")).alias("name"),
+        parse_str(member(tr, "status")).alias("status"),
+        parse_int(member(tr, "attempt")).alias("attempt"),
+        parse_str(member(tr, "exit")).alias("exit_code"),
+        parse_str(member(tr, "error_action")).alias("error_action"),
     ]
-    out += [parse_float(json_text(tr, key)).alias(name) for name, key in TRACE_FIELDS_FLOAT]
+    out += [parse_float(member(tr, key)).alias(name) for name, key in TRACE_FIELDS_FLOAT]
     return out

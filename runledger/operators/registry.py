@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.identity import (canon_label, classify_source, derive_sample_id, has_accession,
                                   is_amplicon, is_orphan, normalize_srrs, parse_srrs, sample_id)
+from ..functions.parse import json_drop_key
 from .keyed import KeyedTable, first_per_key
 from .state import insert_ignore, latest_per_key, upsert
 
@@ -250,10 +251,8 @@ def backfill_collections(samples: DataFrame) -> dict[str, DataFrame]:
     cols = tagged.select(F.col("_cohort").alias("collection_id")).distinct().select(
         "collection_id", F.lit("metadata").alias("source"), F.col("collection_id").alias("label"))
     members = tagged.select(F.col("_cohort").alias("collection_id"), "sample_id")
-    m = F.from_json("metadata", "map<string,string>")
     stripped = samples.withColumn(
-        "metadata", F.when(cohort.isNotNull(), F.to_json(F.map_filter(m, lambda k, v: k != "cohort")))
-        .otherwise(F.col("metadata")))
+        "metadata", F.when(cohort.isNotNull(), json_drop_key("metadata", "cohort")).otherwise(F.col("metadata")))
     return {"collections": cols, "members": members, "samples": stripped}
 
 

@@ -105,6 +105,42 @@ def q_metadata_keys(d):
                             P.json_drop_key("metadata", "cohort").alias("without_cohort"), row.alias("row_json"))
 
 
+def _typed_metadata(d):
+    """Samples whose metadata holds numbers, nested values, nulls and booleans."""
+    return d.samples.select("sample_id", F.concat(
+        F.lit('{"n": '), F.length("sample_id"), F.lit(', "cohort": "'), F.substring("sample_id", -1, 1),
+        F.lit('", "o": {"k": [1, "x", null], "id": "'), "sample_id", F.lit('"}, "z": null, "b": true, "f": 0.25}')).alias("metadata"))
+
+
+@register("typed_metadata", ("samples",), """
+SELECT sample_id, '{"n":' || length(sample_id) || ',"o":{"id":"' || sample_id || '","k":[1,"x",null]},"z":null,"b":true,"f":0.25}' AS metadata,
+  right(sample_id, 1) AS collection_id, true AS has_z
+FROM samples
+""")
+def q_typed_metadata(d):
+    """The cohort moves from the metadata to memberships; numbers, nested values and nulls
+    stay what they are."""
+    typed = _typed_metadata(d)
+    back = G.backfill_collections(typed)
+    return back["samples"].join(back["members"], "sample_id").select(
+        "sample_id", "metadata", "collection_id", P.json_has_key("metadata", "z").alias("has_z"))
+
+
+@register("variant_log", ("weblog",), """
+SELECT id, run_name, trace ->> '$.process' AS process, TRY_CAST(trace ->> '$.attempt' AS INTEGER) AS attempt,
+  TRY_CAST(trace ->> '$.memory' AS BIGINT) AS memory, metadata ->> '$.workflow.revision' AS revision
+FROM weblog
+""")
+def q_variant_log(d):
+    """the weblog stored with VARIANT payloads in Parquet and read back by typed paths."""
+    path = _scratch(d, "variant-log")
+    EV.to_variant_log(d.weblog).write.parquet(path)
+    get = lambda c, key, kind: F.try_variant_get(c, f"$.{key}", kind)
+    return d.spark.read.parquet(path).select(
+        "id", "run_name", get("trace", "process", "string").alias("process"), get("trace", "attempt", "int").alias("attempt"),
+        get("trace", "memory", "bigint").alias("memory"), get("metadata", "workflow.revision", "string").alias("revision"))
+
+
 # ------------------------------------------------------------------------------ predicates
 
 @register("filtered_tasks", ("task_executions",), """

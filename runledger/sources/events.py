@@ -7,11 +7,11 @@ the same way.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.parse import parse_tag, task_fact_columns
+from ..functions.parse import parse_tag, task_fact_columns, trace_members, variant_text
 
 WEBLOG_EVENTS = ("started", "process_submitted", "process_started", "process_completed",
                  "error", "completed")
@@ -145,12 +145,40 @@ def to_task_executions(telemetry: DataFrame, strict: bool = False) -> DataFrame:
     Rows whose process is missing or blank are not valid facts (process is NOT NULL);
     use ``quarantined_tasks`` to keep them instead of failing the batch."""
     done = telemetry.filter((F.col("event") == "process_completed") & F.col("trace").isNotNull())
+    envelope = ["id", "run_name", "run_id", "sample_id", "workflow_id", "workflow_version", "utc_time"]
+    # the trace is parsed once for a row, in a projection of its own
+    done = done.select(*envelope, trace_members("trace").alias("trace"))
+    return _task_facts(done, Column.getField, strict)
+
+
+def _task_facts(done: DataFrame, read, strict: bool = False) -> DataFrame:
     flat = done.select(
         F.col("id").alias("telemetry_id"), "run_name", "run_id", "sample_id", "workflow_id",
-        "workflow_version", "utc_time", *task_fact_columns("trace", strict=strict))
+        "workflow_version", "utc_time", *task_fact_columns("trace", strict, read))
     return flat.filter(F.col("process").isNotNull())
 
 
+PAYLOADS = ("metadata", "trace")
+
+
+def to_variant_log(telemetry: DataFrame) -> DataFrame:
+    """The event log with its payloads as VARIANT, parsed once when it is written: readers take
+    typed members by path (``try_variant_get``) without parsing JSON text again. A payload that
+    is no JSON, or an object that repeats a key, stays as text in ``<payload>_text``."""
+    out = telemetry
+    for c in PAYLOADS:
+        v = F.try_parse_json(c)
+        out = out.withColumn(f"{c}_text", F.when(v.isNull(), F.col(c))).withColumn(c, F.try_parse_json(c))
+    return out
+
+
+def variant_task_executions(log: DataFrame) -> DataFrame:
+    """F1 from a log of ``to_variant_log``; its traces that stayed text are flattened as text."""
+    done = log.filter(F.col("event") == "process_completed")
+    text = done.filter(F.col("trace_text").isNotNull()).withColumn("trace", F.col("trace_text"))
+    return _task_facts(done.filter(F.col("trace").isNotNull()), variant_text).unionByName(to_task_executions(text))
+
+
 def quarantined_tasks(telemetry: DataFrame) -> DataFrame:
     done = telemetry.filter((F.col("event") == "process_completed") & F.col("trace").isNotNull())
     proc = F.nullif(F.get_json_object("trace", "$['process']"), F.lit(""))

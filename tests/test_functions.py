@@ -93,3 +93,31 @@ def test_misc_derived_columns(spark):
         [(1, 0, None), (1, 0, dt.datetime(2026, 1, 1)), (1, 0, dt.datetime(2026, 1, 9)), (1, 1, None), (0, 0, None)],
         "samples_remaining long, samples_running long, last_completed_at timestamp_ntz")
     assert [r[0] for r in df.select(D.is_stalled_collection(as_of)).collect()] == [True, True, False, False, False]
+
+
+def test_json_members_keep_their_types(spark):
+    rows = [('{"n":3,"o":{"k":[1,2.5,null]},"z":null,"cohort":"x","b":true}', '{"n":3,"o":{"k":[1,2.5,null]},"z":null,"b":true}', True),
+            ('{"cohort":null,"big":12345678901234567890123,"u":"\\u00e9"}', '{"big":12345678901234567890123,"u":"é"}', True),
+            ('{"a":1}', '{"a":1}', False), ("{}", "{}", False), ("[1]", "[1]", False), ("nope", "nope", False), (None, None, None),
+            ('{"a":1,"a":2,"cohort":"y"}', '{"a":"2"}', True)]
+    df = spark.createDataFrame([(r[0],) for r in rows], "t string")
+    got = df.select(P.json_drop_key("t", "cohort").alias("d"), P.json_has_key("t", "cohort").alias("h")).collect()
+    assert [(r.d, r.h) for r in got] == [(w, h) for _, w, h in rows]
+
+
+def test_the_three_payload_forms_flatten_alike(spark):
+    from runledger.sources import events as EV
+    traces = ['{"task_id": 7, "process": "P", "exit": 0, "attempt": "2", "%cpu": "12.5", "memory": 4294967296, "status": "COMPLETED"}',
+              '{"process": "P", "attempt": "x", "realtime": null, "rchar": "1e3", "hash": ""}', '{"process": "P", "process": "Q"}',
+              "junk", "[]", '{"process": {"nested": [1, 2]}}', '{"process": ""}']
+    rows = [(i, "r", "u", "s", "w", "1", None, "process_completed", None, t) for i, t in enumerate(traces)]
+    log = spark.createDataFrame(rows, "id long, run_name string, run_id string, sample_id string, workflow_id string, "
+                                      "workflow_version string, utc_time timestamp_ntz, event string, metadata string, trace string")
+    plain = EV._task_facts(log, None)
+    once = EV.to_task_executions(log)
+    typed = EV.variant_task_executions(EV.to_variant_log(log))
+    key = lambda r: (r.telemetry_id, str(r))
+    assert len(plain.collect()) >= 3
+    for r, o, t in zip(*(sorted((r for r in f.collect() if r.telemetry_id != 2), key=key) for f in (plain, once, typed))):
+        assert r == o == t
+    assert once._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
