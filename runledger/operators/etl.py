@@ -71,13 +71,13 @@ def study_labels(collections: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def parse_batch(spark: SparkSession, keys: DataFrame, base: str, workflow: str, version: str,
-                labels: DataFrame | None = None, include_deferred: bool = False
+                labels: DataFrame | None = None, include_deferred: bool = False, specs=None
                 ) -> tuple[dict[str, DataFrame], DataFrame]:
     """Parse one batch without writing (A30 dry run): (rows per table, unpublished keys).
 
     Common columns (G3): sample, study label, run ids from the sample's qc manifest,
     workflow, version and the branch as data_type."""
-    specs = specs_for(workflow, version)
+    specs = specs or specs_for(workflow, version)
     ready, skipped = published(keys, base)
     # fetched once: every table's parse plan reads the same file rows
     files = fetch_outputs(output_paths(ready, base, specs, include_deferred)).checkpoint()
@@ -112,17 +112,23 @@ def ingest_counts(tables: dict[str, DataFrame]) -> DataFrame:
 
 def ingest(spark: SparkSession, keys: DataFrame, base: str, lake_base: str, workflow: str,
            version: str, labels: DataFrame | None = None, as_of: dt.datetime | None = None,
-           include_deferred: bool = False) -> dict[str, DataFrame]:
+           include_deferred: bool = False, specs=None) -> dict:
     """K2-K4 + A29: parse a batch, append every table under one ingest id, then append the
-    watermark. Counts are materialised once (checkpointed into the shared checkpoint
-    folder) so the watermark and the report agree without re-reading the sources."""
+    watermark. Parsed tables are materialised once (checkpointed into the shared checkpoint
+    folder) so the watermark and the report agree without re-reading the sources.
+
+    ``written`` holds the rows of each table as the writes themselves observed them; the
+    watermark is only written if its counts agree with them."""
     ingest_id = uuid.uuid4().hex
-    tables, skipped = parse_batch(spark, keys, base, workflow, version, labels, include_deferred)
+    tables, skipped = parse_batch(spark, keys, base, workflow, version, labels, include_deferred, specs)
     tables = {k: v.checkpoint() for k, v in tables.items()}
-    lake.write_tables(tables, lake_base, ingest_id)
-    counts = ingest_counts(tables)
-    wm = lake.mark_ingested(counts, lake_base, ingest_id, as_of or dt.datetime.utcnow())
-    return {"counts": counts, "skipped_unpublished": skipped, "watermark": wm}
+    written = lake.write_tables(tables, lake_base, ingest_id)
+    counts = ingest_counts(tables).checkpoint()
+    total = {r["table"]: r["n"] for r in counts.groupBy("table").agg(F.sum("n").alias("n")).collect()}
+    if any(total.get(t, 0) != n for t, n in written.items()):
+        raise RuntimeError(f"rows written {written} differ from rows counted {total}")
+    wm = lake.mark_ingested(counts, lake_base, ingest_id, as_of or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None))
+    return {"counts": counts, "skipped_unpublished": skipped, "watermark": wm, "written": written}
 
 
 def etl_status(jobs: DataFrame, watermark: DataFrame, workflow_id: str, version: str) -> DataFrame:

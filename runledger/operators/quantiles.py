@@ -2,25 +2,32 @@
 
 Spark's exact ``percentile`` keeps a value->count map per group and merges it in one task,
 which is unbounded when one group holds a large share of the rows. The exact method here
-never gathers a whole group. It is one lazy plan for groups of every size:
+never gathers a whole group. The same steps serve groups of every size:
 
-1. one pass computes, per group, the row count, the extremes and a ``percentile_approx``
-   band ``[b_lo, b_hi]`` around the target quantile (the sketch merges map-side; its rank
-   error is at most n/accuracy, so the band is a few n/accuracy ranks wide). A group of at
-   most ``accuracy`` values has its whole range as band;
-2. a second pass counts the values below and inside the band (combined map-side). Should the
-   band of a group not hold the target ranks, its band becomes the whole range;
-3. the values inside the band (about 6n/accuracy, or at most ``accuracy`` of them) are
-   sorted within their group; the two ranks around ``q * (n - 1)`` give the interpolated
-   exact value.
+1. one aggregation gives, per group and value column, the count, the extremes and a
+   ``percentile_approx`` band ``[b_lo, b_hi]`` around the target quantile (the sketch merges
+   map-side; its rank error is at most n/accuracy, so the band reaches 3n/accuracy ranks to
+   either side). A group of at most ``accuracy`` values has its whole range as band;
+2. a second pass over the rows counts, map-side, the rows below the band and each distinct
+   value inside it. What is shuffled is one row a task for each distinct value in the band, so
+   ties, however many, are one row;
+3. the distinct values in the band (about 6n/accuracy of n distinct ones, or at most
+   ``accuracy``) are put in order within their group and their counts added up; the two ranks
+   around ``q * (n - 1)`` give the interpolated exact value. A band that missed them, which
+   the sketch's error bound rules out, would end the job rather than give a wrong value.
 
 ``method="approx"`` stops after the sketch.
 """
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+
 DEFAULT_ACCURACY = 10000
 
 
@@ -32,40 +39,47 @@ def group_quantile(df: DataFrame, keys: list[str], values: list[str], q: float,
         raise ValueError("q must be within [0, 1]")
     if method not in ("exact", "approx"):
         raise ValueError("method must be 'exact' or 'approx'")
-    long = (df.select(*keys, *values)
-            .unpivot(keys, values, "metric", "v")
-            .filter(F.col("v").isNotNull()))
-    gk = keys + ["metric"]
+    margin = 3.0 / accuracy
+    at = q if method == "approx" else [max(0.0, q - margin), min(1.0, q + margin)]
+    wide = df.groupBy(*keys).agg(*[agg for v in values for agg in (
+        F.count(v).alias(f"n_{v}"), F.min(v).alias(f"lo_{v}"), F.max(v).alias(f"hi_{v}"),
+        F.percentile_approx(v, at, accuracy).alias(f"b_{v}"))])
     if method == "approx":
-        res = long.groupBy(*gk).agg(F.percentile_approx("v", q, accuracy).alias("qv"))
-        return _widen(res, keys, values)
+        return wide.select(*keys, *[F.col(f"b_{v}").alias(f"q_{v}") for v in values])
 
-    margin = 3.0 / accuracy
-    ends = F.array(F.lit(max(0.0, q - margin)), F.lit(min(1.0, q + margin)))
-    few = F.col("n") <= accuracy
-    stats = (long.groupBy(*gk)
-             .agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"),
-                  F.percentile_approx("v", ends, accuracy).alias("b"))
-             .withColumn("b_lo", F.when(few, F.col("lo")).otherwise(F.col("b")[0]))
-             .withColumn("b_hi", F.when(few, F.col("hi")).otherwise(F.col("b")[1]))
-             .withColumn("pos", (F.col("n") - 1).cast("double") * F.lit(q))
-             .withColumn("r_lo", F.floor("pos").cast("long")).withColumn("r_hi", F.ceil("pos").cast("long"))
-             .drop("b"))
-    counts = (long.join(stats.select(*gk, "b_lo", "b_hi"), gk).groupBy(*gk)
-              .agg(F.count_if(F.col("v") < F.col("b_lo")).alias("below"),
-                   F.count_if(F.col("v").between(F.col("b_lo"), F.col("b_hi"))).alias("inside")))
-    held = (F.col("below") <= F.col("r_lo")) & (F.col("below") + F.col("inside") > F.col("r_hi"))
-    bands = (stats.join(counts, gk).withColumn("held", held)
-             .select(*gk, "pos", "r_lo", "r_hi", F.when(held, F.col("below")).otherwise(0).alias("below"),
-                     F.when(held, F.col("b_lo")).otherwise(F.col("lo")).alias("b_lo"),
-                     F.when(held, F.col("b_hi")).otherwise(F.col("hi")).alias("b_hi")))
-    ranked = (long.join(bands, gk).filter(F.col("v").between(F.col("b_lo"), F.col("b_hi")))
-              .withColumn("rank", F.col("below") - 1 + F.row_number().over(Window.partitionBy(*gk).orderBy("v"))))
-    picked = (ranked.filter((F.col("rank") == F.col("r_lo")) | (F.col("rank") == F.col("r_hi")))
-              .groupBy(*gk, "pos", "r_lo", "r_hi")
-              .agg(F.max(F.when(F.col("rank") == F.col("r_lo"), F.col("v"))).alias("v_lo"),
-                   F.max(F.when(F.col("rank") == F.col("r_hi"), F.col("v"))).alias("v_hi")))
-    value = (F.when(F.col("v_lo") == F.col("v_hi"), F.col("v_lo"))
+    # one row a group, stored: its size then decides whether it is broadcast to the rows, so that
+    # these are not shuffled by a hot group, and both uses below read it
+    path = scratch_path(df.sparkSession, f"quantile-bands-{uuid.uuid4().hex}")
+    wide.write.parquet(path)
+    wide = df.sparkSession.read.schema(wide.schema).parquet(path)
+    few = {v: F.col(f"n_{v}") <= accuracy for v in values}
+    bands = wide.select(*[F.col(k).alias(f"_g_{k}") for k in keys], *[c for v in values for c in (
+        F.when(few[v], F.col(f"lo_{v}")).otherwise(F.col(f"b_{v}")[0]).cast("double").alias(f"_lo_{v}"),
+        F.when(few[v], F.col(f"hi_{v}")).otherwise(F.col(f"b_{v}")[1]).cast("double").alias(f"_hi_{v}"))])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_g_{k}")) for k in keys])
+    # one entry a row and column: null for a value below the band, none above it
+    entries = [F.when(F.col(v) <= F.col(f"_hi_{v}"), F.struct(
+        F.lit(v).alias("metric"), F.when(F.col(v) >= F.col(f"_lo_{v}"), F.col(v).cast("double")).alias("v"))) for v in values]
+    counted = (df.select(*keys, *values).join(bands, same)
+               .select(*keys, F.explode(F.array(*entries)).alias("e")).filter("e is not null")
+               .groupBy(*keys, "e.metric", "e.v").agg(F.count("*").alias("c")))
+    gk = [*keys, "metric"]
+    position = F.map_from_arrays(F.array(*[F.lit(v) for v in values]), F.array(*[F.col(f"n_{v}") for v in values]))
+    sizes = wide.select(*[F.col(k).alias(f"_g_{k}") for k in keys], F.explode(position).alias("_m", "n"))
+    w = Window.partitionBy(*gk).orderBy(F.asc_nulls_first("v"))
+    ranked = (counted.withColumn("upto", F.sum("c").over(w))
+              .join(sizes, same & (F.col("metric") == F.col("_m")))
+              .withColumn("pos", (F.col("n") - 1).cast("double") * F.lit(q))
+              .withColumn("r_lo", F.floor("pos").cast("long")).withColumn("r_hi", F.ceil("pos").cast("long")))
+
+    def holds(rank):
+        return (F.col("upto") > F.col(rank)) & (F.col("upto") - F.col("c") <= F.col(rank))
+
+    picked = (ranked.filter(holds("r_lo") | holds("r_hi")).groupBy(*gk, "pos", "r_lo", "r_hi")
+              .agg(F.max(F.when(holds("r_lo"), F.col("v"))).alias("v_lo"), F.max(F.when(holds("r_hi"), F.col("v"))).alias("v_hi")))
+    missed = F.raise_error(F.lit("a quantile lies outside its band")).cast("double")
+    value = (F.when(F.col("v_lo").isNull() | F.col("v_hi").isNull(), missed)
+             .when(F.col("v_lo") == F.col("v_hi"), F.col("v_lo"))
              .otherwise((F.col("r_hi") - F.col("pos")) * F.col("v_lo")
                         + (F.col("pos") - F.col("r_lo")) * F.col("v_hi")))
     return _widen(picked.select(*gk, value.alias("qv")), keys, values)

@@ -3,6 +3,7 @@ with oracle SQL written from the rule it checks."""
 from __future__ import annotations
 
 import datetime as dt
+import gzip
 import uuid
 
 from pyspark.sql import functions as F
@@ -450,8 +451,9 @@ def q_one_event_log(d):
             .groupBy("event").agg(F.count("*").alias("n")))
 
 
-def _write_files(rows, root: str):
-    """Write (path, text) rows as files under ``root`` on the executors; a keyed table of them."""
+def _write_files(rows, root: str, zipped: bool = False):
+    """Write (path, text) rows as files under ``root`` on the executors; a keyed table of them.
+    ``zipped``: names in ``.gz`` hold gzip, not plain text."""
     root = root if "://" in root else default_root(rows.sparkSession) + root
 
     def write(batches):
@@ -461,7 +463,7 @@ def _write_files(rows, root: str):
             for p, t in zip(pdf["path"], pdf["text"]):
                 fs.create_dir(f"{base}/{p}".rpartition("/")[0], recursive=True)
                 with fs.open_output_stream(f"{base}/{p}", compression=None) as f:
-                    f.write(t.encode())
+                    f.write(gzip.compress(t.encode()) if zipped and p.endswith(".gz") else t.encode())
             yield pdf[["path"]]
     rows.select("path", "text").mapInPandas(write, "path string").count()
 
@@ -480,7 +482,7 @@ def q_task_log_walk(d):
     return found.groupBy("task_hash", "log_type").agg(F.md5(F.max("content")).alias("content_md5"))
 
 
-def _publish(d, root: str):
+def _publish(d, root: str, zipped: bool = False):
     """Profiles and manifests of one version as published files, and their keys."""
     base = F.concat_ws("/", "workflow_id", "workflow_version", "sample_id")
     manifests = d.qc_manifests.filter("workflow_version = '1-URGENT'")
@@ -490,7 +492,7 @@ def _publish(d, root: str):
              .unionByName(manifests.select(F.concat_ws("/", base, F.lit("manifest.json")).alias("path"), "text"))
              .unionByName(manifests.filter("sample_id not like '%9'").select(
                  F.concat_ws("/", base, F.lit("MARK_COMPLETE")).alias("path"), F.lit("").alias("text"))))
-    _write_files(files, root)
+    _write_files(files, root, zipped)
     return manifests.select("sample_id", "workflow_id", "workflow_version")
 
 
@@ -633,3 +635,67 @@ def q_etl_tick_all(d):
     from ..operators import etl as E
     b = E.backlog(d.jobs, d.etl_ingested, "shotgun", "1-URGENT", dt.datetime(2030, 1, 1))
     return E.tick_decision(b, batch=None).select("backlog", "ingest", "batch_size")
+
+
+# Published outputs of one version: the profile, tagged, and the manifest.
+_TAGGED = [O.OutputSpec("metaphlan_markers/marker_rel_ab_w_read_stats.tsv.gz", "taxonomic_profile_metaphlan",
+                        O.parse_metaphlan, tags=(("profiler", "metaphlan"),)),
+           O.OutputSpec(O.MANIFEST, "qc_metrics", O.parse_qc, branched=False)]
+
+_READY_SQL = r"""
+, ready AS (SELECT sample_id, text FROM qc_manifests WHERE workflow_version = '1-URGENT' AND sample_id NOT LIKE '%9'),
+pl AS (SELECT sample_id, branch, unnest(string_split(text, chr(10))) AS line FROM profile_files
+       WHERE workflow_version = '1-URGENT' AND sample_id IN (SELECT sample_id FROM ready)),
+v AS (SELECT *, string_split(line, chr(9)) AS f FROM pl WHERE NOT starts_with(line, '#') AND NOT regexp_matches(line, '^\s*$')),
+p AS (SELECT * FROM v WHERE len(f) >= 3 AND TRY_CAST(f[3] AS DOUBLE) IS NOT NULL)
+"""
+
+
+@register("ingest_counts", ("profile_lines", "profile_files", "qc_manifests"), _READY_SQL + """
+SELECT 'taxonomic_profile_metaphlan' AS "table", sample_id, branch AS data_type, 'metaphlan' AS profiler, count(*) AS n,
+  coalesce((SELECT array_to_string(CAST(json_extract(r.text, '$.provenance.input_ids') AS VARCHAR[]), ';') FROM ready r
+            WHERE r.sample_id = p.sample_id), '') AS run_ids
+FROM p GROUP BY sample_id, branch
+""")
+def q_ingest_counts(d):
+    """A30 (dry run), G2, G3, S16: rows that an ingest would write, from gzip files, with the spec's
+    tag and the common columns."""
+    from ..operators import etl as E
+    root = _scratch(d, "dry-run")
+    tables, _ = E.parse_batch(d.spark, _publish(d, root, zipped=True), root, "shotgun", "1-URGENT", specs=_TAGGED)
+    return (tables["taxonomic_profile_metaphlan"].groupBy("sample_id", "data_type", "profiler", "run_ids")
+            .agg(F.count("*").alias("n")).withColumn("table", F.lit("taxonomic_profile_metaphlan")))
+
+
+@register("backlog_stream", ("profile_lines", "profile_files", "qc_manifests"), _READY_SQL + """
+, n AS (SELECT 'taxonomic_profile_metaphlan' AS "table", sample_id FROM p UNION ALL SELECT 'qc_metrics', sample_id FROM ready)
+SELECT "table", count(*) AS rows, count(*) AS observed, count(DISTINCT sample_id) AS samples,
+  (SELECT count(*) FROM qc_manifests WHERE workflow_version = '1-URGENT' AND sample_id LIKE '%9') AS skipped,
+  'wait,age,threshold' AS ticks
+FROM n GROUP BY "table"
+""")
+def q_backlog_stream(d):
+    """Three ticks over landed completion records. The first has too few, the second
+    takes them for their age, the third the rest; the lake, its watermark and the observed counts."""
+    from ..streaming.backlog import tick
+    root = _scratch(d, "backlog")
+    keys = _publish(d, root, zipped=True)
+    record = keys.withColumn("completed_at", F.lit(NOW).cast("timestamp_ntz"))
+    early = F.pmod(F.xxhash64("sample_id"), F.lit(10)) == 0
+    few = record.filter(early).count()
+    ticks = []
+    for hours, slice_ in ((1, early), (30, F.lit(False)), (31, ~early)):
+        record.filter(slice_).write.mode("append").parquet(f"{root}/landing")
+        ticks.append(tick(d.spark, f"{root}/landing", f"{root}/state", root, f"{root}/lake", "shotgun", "1-URGENT",
+                          NOW + dt.timedelta(hours=hours), specs=_TAGGED, threshold=few + 1, batch=None))
+    reasons = ",".join(t["decision"]["reason"] for t in ticks)
+    observed = {k: sum(t["written"][k] for t in ticks if "written" in t) for k in ticks[-1]["written"]}
+    skipped = ticks[-1]["skipped_unpublished"].count()      # those of earlier ticks are tried again
+    marked = lake.read_watermark(d.spark, f"{root}/lake").select("sample_id", F.explode("row_counts").alias("table", "n"))
+    samples = marked.groupBy("table").agg(F.count("*").alias("samples"))
+    out = None
+    for name, n in observed.items():
+        rows = (lake.scan_lake(d.spark, f"{root}/lake", name).agg(F.count("*").alias("rows"))
+                .withColumn("table", F.lit(name)).withColumn("observed", F.lit(n).cast("long")))
+        out = rows if out is None else out.unionByName(rows)
+    return out.join(samples, "table").withColumn("skipped", F.lit(skipped).cast("long")).withColumn("ticks", F.lit(reasons))

@@ -16,7 +16,7 @@ directory.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -86,16 +86,22 @@ def align(rows: DataFrame, table: str) -> DataFrame:
 
 
 def write_tables(tables: dict[str, DataFrame], base: str, ingest_id: str,
-                 rows_per_file: int = 2_000_000) -> None:
-    """K2 data half: append each table's rows for this ingest, clustered by sample."""
+                 rows_per_file: int = 2_000_000) -> dict[str, int]:
+    """K2 data half: append each table's rows for this ingest, clustered by sample. Returns the
+    rows of each table, observed by the write itself (A29)."""
+    written = {}
     for name, rows in tables.items():
-        df = align(rows, name).withColumn("ingest_id", F.lit(ingest_id))
+        seen = Observation(f"rows-{name}")
         parts = partition_cols(name)
         # range-partition on (partition columns, sample): a hot workflow/version directory is
         # split over many tasks while each file stays clustered by sample
-        (df.repartitionByRange(*parts, "sample_id").sortWithinPartitions(*parts, "sample_id")
-         .write.mode("append").option("maxRecordsPerFile", rows_per_file)
+        df = (align(rows, name).withColumn("ingest_id", F.lit(ingest_id))
+              .repartitionByRange(*parts, "sample_id").sortWithinPartitions(*parts, "sample_id")
+              .observe(seen, F.count(F.lit(1)).alias("n")))
+        (df.write.mode("append").option("maxRecordsPerFile", rows_per_file)
          .partitionBy(*parts).parquet(f"{base.rstrip('/')}/{name}"))
+        written[name] = seen.get["n"]
+    return written
 
 
 def mark_ingested(counts: DataFrame, base: str, ingest_id: str, at) -> DataFrame:

@@ -156,3 +156,50 @@ def test_match_profilers_fallback(spark):
     genus = spark.createDataFrame([(10, 100), (11, 100), (12, 200)], "ncbi_taxid int, genus_taxid int")
     got = {r["ncbi_taxid"]: r["match_level"] for r in match_profilers(mp, br, genus).collect()}
     assert got == {10: "species", 11: "genus", 12: "unmatched"}
+
+
+def test_backlog_ticks_take_each_completion_once(spark, monkeypatch):
+    """Waiting, age, threshold; a replayed batch and a crash before the watermark add nothing."""
+    import uuid
+
+    from runledger.session import scratch_path
+    from runledger.streaming import backlog as B
+    root = scratch_path(spark, "backlog-" + uuid.uuid4().hex).replace("file:", "")
+    now = dt.datetime(2026, 1, 1)
+    specs = [O.OutputSpec(O.MANIFEST, "qc_metrics", O.parse_qc, branched=False)]
+
+    def complete(*names):
+        for s in names:
+            folder = f"{root}/pub/w/1/{s}"
+            os.makedirs(folder, exist_ok=True)
+            for name, text in ((O.MANIFEST, "{}"), (O.SENTINEL, "")):
+                with open(f"{folder}/{name}", "w") as f:
+                    f.write(text)
+        spark.createDataFrame([(s, "w", "1", now) for s in names], B.COMPLETIONS).write.mode("append").parquet(f"{root}/in")
+
+    def tick(hours, **rule):
+        return B.tick(spark, f"{root}/in", f"{root}/state", f"{root}/pub", f"{root}/lake", "w", "1",
+                      now + dt.timedelta(hours=hours), specs=specs, **{"threshold": 3, **rule})
+
+    complete("a", "b")
+    assert tick(1)["decision"]["reason"] == "wait"
+    complete("c", "a")                                        # a again: the same job
+    with monkeypatch.context() as m:
+        m.setattr(lake, "mark_ingested", lambda *a: (_ for _ in ()).throw(RuntimeError("crash")))
+        with pytest.raises(RuntimeError):
+            tick(2)
+    assert lake.scan_lake(spark, f"{root}/lake", "qc_metrics").count() == 0
+    done = tick(3)
+    assert done["decision"]["reason"] == "threshold" and done["written"] == {"qc_metrics": 3}
+    assert tick(4)["decision"]["backlog"] == 0
+    complete("d")
+    assert tick(30, max_age_hours=48)["decision"]["reason"] == "wait"
+    assert tick(50)["written"] == {"qc_metrics": 1}           # no new record: the age alone
+    rows = lake.scan_lake(spark, f"{root}/lake", "qc_metrics").select("sample_id").collect()
+    assert sorted(r.sample_id for r in rows) == ["a", "b", "c", "d"]
+    with monkeypatch.context() as m:                          # counts that disagree leave no watermark
+        m.setattr(lake, "write_tables", lambda *a: {"qc_metrics": 7})
+        complete("e")
+        with pytest.raises(RuntimeError, match="differ"):
+            tick(90)
+    assert lake.read_watermark(spark, f"{root}/lake").count() == 4
