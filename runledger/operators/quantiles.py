@@ -4,17 +4,19 @@ Spark's exact ``percentile`` keeps a value->count map per group and merges it in
 which is unbounded when one group holds a large share of the rows. The exact method here
 never gathers a whole group. The same steps serve groups of every size:
 
-1. one aggregation gives, per group and value column, the count, the extremes and a
-   ``percentile_approx`` band ``[b_lo, b_hi]`` around the target quantile (the sketch merges
-   map-side; its rank error is at most n/accuracy, so the band reaches 3n/accuracy ranks to
-   either side). A group of at most ``accuracy`` values has its whole range as band;
+1. one aggregation gives, per group and value column, the count, the extremes and
+   ``percentile_approx`` bands around the target quantile (the sketch merges map-side; its
+   rank error is at most n/accuracy). Bands reach 3/accuracy, 1 % or 10 % of the group to
+   either side; a group takes the narrowest that exceeds the sketch's error by two ranks, and
+   a group of some 20 values its whole range;
 2. a second pass over the rows counts, map-side, the rows below the band and each distinct
    value inside it. What is shuffled is one row a task for each distinct value in the band, so
    ties, however many, are one row;
-3. the distinct values in the band (about 6n/accuracy of n distinct ones, or at most
-   ``accuracy``) are put in order within their group and their counts added up; the two ranks
-   around ``q * (n - 1)`` give the interpolated exact value. A band that missed them, which
-   the sketch's error bound rules out, would end the job rather than give a wrong value.
+3. the distinct values in the band (about 6n/accuracy of n distinct ones; at most
+   accuracy/50 in a group of fewer than ``accuracy`` values) are put in order within their
+   group and their counts added up; the two ranks around ``q * (n - 1)`` give the interpolated
+   exact value. A band that missed them, which the sketch's error bound rules out, would end
+   the job rather than give a wrong value.
 
 ``method="approx"`` stops after the sketch.
 """
@@ -39,8 +41,9 @@ def group_quantile(df: DataFrame, keys: list[str], values: list[str], q: float,
         raise ValueError("q must be within [0, 1]")
     if method not in ("exact", "approx"):
         raise ValueError("method must be 'exact' or 'approx'")
-    margin = 3.0 / accuracy
-    at = q if method == "approx" else [max(0.0, q - margin), min(1.0, q + margin)]
+    # bands of several widths; a group takes the narrowest that surely holds its ranks
+    margins = [m for m in (3.0 / accuracy, 0.01, 0.1) if 3.0 / accuracy <= m < 1]
+    at = q if method == "approx" else [p for m in margins for p in (max(0.0, q - m), min(1.0, q + m))] or [0.0, 1.0]
     wide = df.groupBy(*keys).agg(*[agg for v in values for agg in (
         F.count(v).alias(f"n_{v}"), F.min(v).alias(f"lo_{v}"), F.max(v).alias(f"hi_{v}"),
         F.percentile_approx(v, at, accuracy).alias(f"b_{v}"))])
@@ -52,10 +55,16 @@ def group_quantile(df: DataFrame, keys: list[str], values: list[str], q: float,
     path = scratch_path(df.sparkSession, f"quantile-bands-{uuid.uuid4().hex}")
     wide.write.parquet(path)
     wide = df.sparkSession.read.schema(wide.schema).parquet(path)
-    few = {v: F.col(f"n_{v}") <= accuracy for v in values}
+
+    def end(v, side):
+        """An end of the band of a column: 2 ranks beyond the sketch's error, or the extreme."""
+        n, out = F.col(f"n_{v}"), F.col(f"{('lo', 'hi')[side]}_{v}")
+        for k, m in reversed(list(enumerate(margins))):
+            out = F.when(F.lit(m) * n >= n / F.lit(float(accuracy)) + 2, F.col(f"b_{v}")[2 * k + side]).otherwise(out)
+        return out.cast("double")
+
     bands = wide.select(*[F.col(k).alias(f"_g_{k}") for k in keys], *[c for v in values for c in (
-        F.when(few[v], F.col(f"lo_{v}")).otherwise(F.col(f"b_{v}")[0]).cast("double").alias(f"_lo_{v}"),
-        F.when(few[v], F.col(f"hi_{v}")).otherwise(F.col(f"b_{v}")[1]).cast("double").alias(f"_hi_{v}"))])
+        end(v, 0).alias(f"_lo_{v}"), end(v, 1).alias(f"_hi_{v}"))])
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_g_{k}")) for k in keys])
     # one entry a row and column: null for a value below the band, none above it
     entries = [F.when(F.col(v) <= F.col(f"_hi_{v}"), F.struct(
