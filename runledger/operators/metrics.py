@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.display import (GIB, bytes_to_gb, heat_level, is_failed, is_sentinel,
                                  null_label, ratio_pct, time_bucket)
+from . import paging
 from .filters import MetricFilter
 from .quantiles import group_quantile
 
@@ -317,27 +318,38 @@ def running_totals(telemetry: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def tasks_page(tasks: DataFrame, flt: MetricFilter | None = None, process: str | None = None,
-               status: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+               status: str | None = None, limit: int = 50, offset: int = 0, cursor: dict | None = None) -> DataFrame:
     """O1: task browser page, newest first (telemetry_id breaks ties), with GB columns.
 
+    ``cursor``: the ``utc_time`` and ``telemetry_id`` of the last row seen, in place of an offset
+    (``paging.cursor_of(row, TASK_ORDER)``).
     The page total is a separate aggregate (``tasks_total``), not a global window."""
     if limit < 1:
         raise ValueError("limit must be >= 1")
-    if offset < 0:
-        raise ValueError("offset must be >= 0")
+    if offset < 0 or offset and cursor is not None:
+        raise ValueError("offset must be >= 0, and none is taken beside a cursor")
     x = _base(tasks, flt)
     if process is not None:
         x = x.filter(F.col("process") == process)
     if status is not None:
         x = x.filter(F.col("status") == status)
-    page = (x.select("telemetry_id", "run_name", "run_id", "sample_id", "workflow_id",
-                     "workflow_version", "utc_time", "process", "name", "status", "attempt",
-                     "task_hash", "exit_code", "error_action", "realtime_ms", "requested_cpus",
-                     bytes_to_gb("requested_memory_bytes").alias("requested_memory_gb"),
-                     "pct_cpu", "pct_mem", bytes_to_gb("peak_rss").alias("peak_rss_gb"),
-                     bytes_to_gb("rchar").alias("read_gb"), bytes_to_gb("wchar").alias("write_gb"))
-            .orderBy(F.desc("utc_time"), F.desc("telemetry_id")))
-    return page.limit(offset + limit).offset(offset) if offset else page.limit(limit)
+    # the top-k runs over stored columns; derived ones are computed for the page alone
+    rows = x.select(*_TASK_ROW)
+    if cursor is not None:
+        return _task_row(paging.page(rows, TASK_ORDER, limit, cursor))
+    ordered = rows.orderBy(*paging.ordering(TASK_ORDER))
+    return _task_row(ordered.limit(offset + limit).offset(offset) if offset else ordered.limit(limit))
+
+
+TASK_ORDER = [("utc_time", "desc"), ("telemetry_id", "desc")]
+_TASK_ROW = ["telemetry_id", "run_name", "run_id", "sample_id", "workflow_id", "workflow_version", "utc_time", "process", "name",
+             "status", "attempt", "task_hash", "exit_code", "error_action", "realtime_ms", "requested_cpus",
+             "requested_memory_bytes", "pct_cpu", "pct_mem", "peak_rss", "rchar", "wchar"]
+
+
+def _task_row(rows: DataFrame) -> DataFrame:
+    gb = {"requested_memory_bytes": "requested_memory_gb", "peak_rss": "peak_rss_gb", "rchar": "read_gb", "wchar": "write_gb"}
+    return rows.select(*[bytes_to_gb(c).alias(gb[c]) if c in gb else c for c in _TASK_ROW])
 
 
 def tasks_total(tasks: DataFrame, flt: MetricFilter | None = None, process: str | None = None,

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.display import classify_run, driver_death, is_active_agent
+from . import paging
 from .collections import JOB_STATUSES
 
 NEXTFLOW_LOG_TYPE = "nextflow_log"
@@ -109,18 +110,25 @@ def classified_runs(runs: DataFrame, as_of: dt.datetime) -> DataFrame:
     return runs.withColumn("classification", classify_run(as_of))
 
 
+RUN_ORDER = [("claimed_at", "desc"), ("run_name", "asc")]
+
+
 def runs_page(runs: DataFrame, as_of: dt.datetime, status: str | None = None,
-              workflow_id: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
-    """O2 + P13: runs by claim time (newest first, never-claimed last), classified."""
+              workflow_id: str | None = None, limit: int = 50, offset: int = 0,
+              cursor: dict | None = None) -> DataFrame:
+    """O2 + P13: runs by claim time (newest first, never-claimed last), classified. ``cursor``: the
+    last run seen, in place of an offset (``paging.cursor_of(row, RUN_ORDER)``)."""
     if not 1 <= limit <= 500:
         raise ValueError("limit must be within 1..500")
-    if offset < 0:
-        raise ValueError("offset must be >= 0")
+    if offset < 0 or offset and cursor is not None:
+        raise ValueError("offset must be >= 0, and none is taken beside a cursor")
     r = runs
     if status is not None:
         r = r.filter(F.col("status") == status)
     if workflow_id is not None:
         r = r.filter(F.col("workflow_id") == workflow_id)
+    if cursor is not None:
+        return classified_runs(paging.page(r, RUN_ORDER, limit, cursor), as_of)
     page = r.orderBy(F.desc_nulls_last("claimed_at"), F.asc("run_name"))
     page = page.limit(offset + limit).offset(offset) if offset else page.limit(limit)
     return classified_runs(page, as_of)

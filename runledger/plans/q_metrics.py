@@ -6,6 +6,7 @@ import datetime as dt
 from ..operators import metrics as M
 from ..operators.filters import MetricFilter
 from ..sources.events import enrich_events, to_task_executions
+from ..operators.paging import cursor_of
 from .registry import pct, r2, register
 
 ALL = MetricFilter(all_time=True)
@@ -296,6 +297,18 @@ def q_tasks_page(d):
     return M.tasks_page(d.task_executions, ALL, status="FAILED", limit=50, offset=100)
 
 
+@register("tasks_next_page", TE, """
+SELECT telemetry_id, utc_time, process, peak_rss / 1073741824.0 AS peak_rss_gb
+FROM task_executions WHERE status = 'FAILED'
+ORDER BY utc_time DESC, telemetry_id DESC LIMIT 50 OFFSET 100
+""")
+def q_tasks_next_page(d):
+    """O1 by cursor: the page after the hundredth failed task."""
+    last = M.tasks_page(d.task_executions, ALL, status="FAILED", limit=100).collect()[-1]
+    page = M.tasks_page(d.task_executions, ALL, status="FAILED", limit=50, cursor=cursor_of(last, M.TASK_ORDER))
+    return page.select("telemetry_id", "utc_time", "process", "peak_rss_gb")
+
+
 @register("tasks_total", TE, """
 SELECT count(*) AS total FROM task_executions WHERE status = 'FAILED'
 """)

@@ -170,3 +170,20 @@ def q_stream_jobs(d):
     for slice_ in _arrivals(d.lifecycle_events):
         S.run_to_parts(J.job_stream(_landed(d, slice_, root), d.workflows), "append", f"{root}/jobs", f"{root}/ckpt")
     return J.current_jobs(d.spark, f"{root}/jobs")
+
+
+@register("stream_unique_events", ("weblog",), """
+SELECT run_name, event, utc_time, trace, 1 AS copies FROM (SELECT DISTINCT run_name, event, utc_time, trace FROM weblog)
+""")
+def q_stream_unique_events(d):
+    """T1 with repeats dropped: the weblog landed in three overlapping parts, each event kept once."""
+    root = _scratch(d, "stream-unique")
+    d.workflow_runs.write.mode("overwrite").parquet(f"{root}/runs")
+    for k in range(3):
+        _land_weblog(d, f"{root}/landing", F.col("id") % 4 >= k)
+        q = S.ingest_stream(d.spark, f"{root}/landing", f"{root}/runs", f"{root}/out", f"{root}/ckpt",
+                            unique_by=["run_name", "event", "utc_time", "trace"], within="3650 days")
+        q.processAllAvailable()
+        q.stop()
+    log = d.spark.read.parquet(f"{root}/out/telemetry")
+    return log.groupBy("run_name", "event", "utc_time", "trace").agg(F.count("*").cast("int").alias("copies"))

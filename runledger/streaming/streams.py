@@ -50,27 +50,45 @@ def _event_id(batch_id: int):
 
 
 def ingest_stream(spark: SparkSession, landing: str, runs_path: str, out: str, checkpoint: str,
-                  available_now: bool = True):
-    """Event log + task facts, enriched by run name, one directory per micro-batch."""
+                  available_now: bool = True, unique_by: list[str] | None = None, within: str = "1 day"):
+    """Event log + task facts, enriched by run name, one directory per micro-batch.
+
+    The log keeps repeated events; ``unique_by`` names columns by which repeats that arrive
+    ``within`` that span of event time are dropped (``drop_repeats``)."""
     events = read_weblog_stream(spark, landing).filter("valid").drop("valid")
+    if unique_by:
+        events = drop_repeats(events, unique_by, within)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         runs = spark.read.parquet(runs_path)            # static side, re-read per batch
         log = (enrich_events(batch, runs)
                .withColumn("id", _event_id(batch_id)))
         log = log.withColumn("event_date", F.to_date("utc_time")).persist()
-        (log.write.mode("overwrite").partitionBy("event_date")
-         .parquet(f"{out}/telemetry/batch_id={batch_id}"))
-        facts = to_task_executions(log.drop("event_date")).withColumn("event_date", F.to_date("utc_time"))
-        (facts.write.mode("overwrite").partitionBy("event_date")
-         .parquet(f"{out}/task_executions/batch_id={batch_id}"))
-        log.unpersist()
+        try:
+            (log.write.mode("overwrite").partitionBy("event_date")
+             .parquet(f"{out}/telemetry/batch_id={batch_id}"))
+            facts = to_task_executions(log.drop("event_date")).withColumn("event_date", F.to_date("utc_time"))
+            (facts.write.mode("overwrite").partitionBy("event_date")
+             .parquet(f"{out}/task_executions/batch_id={batch_id}"))
+        finally:
+            log.unpersist()
 
     w = events.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
 
 
+def drop_repeats(events: DataFrame, keys: list[str], within: str) -> DataFrame:
+    """T1, T7 as an option: the first event of each key; repeats are known for the span ``within``
+    of event time, then forgotten, so the state stays bounded. Events without a time have no
+    place in that span: they all stay, as do all columns' types."""
+    kind = events.schema["utc_time"].dataType
+    timed = (events.filter("utc_time is not null").withColumn("utc_time", F.col("utc_time").cast("timestamp"))
+             .withWatermark("utc_time", within).dropDuplicatesWithinWatermark(keys)
+             .withColumn("utc_time", F.col("utc_time").cast(kind)))
+    return timed.unionByName(events.filter("utc_time is null"))
+
+
 def event_mix_stream(events: DataFrame) -> DataFrame:
     """Rows per event type (complete-mode aggregation)."""
     return events.groupBy("event").agg(F.count(F.lit(1)).alias("rows"))
