@@ -21,6 +21,7 @@ from ..sources import events as EV
 from ..sources import files as FS
 from ..sources import lake
 from ..sources import outputs as O
+from ..sources.logsource import task_logs
 from ..session import default_root, scratch_path
 from .registry import r2, register
 
@@ -482,6 +483,20 @@ def q_task_log_walk(d):
     return found.groupBy("task_hash", "log_type").agg(F.md5(F.max("content")).alias("content_md5"))
 
 
+@register("task_log_source", ("task_logs",), """
+, f AS (SELECT task_hash, log_type, max(content) AS content FROM task_logs WHERE log_type IN ('out', 'err', 'sh') GROUP BY ALL)
+SELECT left(task_hash, 9) AS task_hash, log_type, md5(max(content)) AS content_md5 FROM f GROUP BY left(task_hash, 9), log_type
+""")
+def q_task_log_source(d):
+    """The same files read through the data source, one input partition a prefix folder."""
+    root = _scratch(d, "work")
+    logs = (d.task_logs.filter("log_type in ('out', 'err', 'sh')").groupBy("task_hash", "log_type").agg(F.max("content").alias("text"))
+            .withColumn("path", F.concat("task_hash", F.lit("/.command."), "log_type")))
+    _write_files(logs, root)
+    found = task_logs(d.spark, root).filter("reason is null")
+    return found.groupBy("task_hash", "log_type").agg(F.md5(F.max("content")).alias("content_md5"))
+
+
 def _publish(d, root: str, zipped: bool = False):
     """Profiles and manifests of one version as published files, and their keys."""
     base = F.concat_ws("/", "workflow_id", "workflow_version", "sample_id")

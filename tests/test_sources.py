@@ -253,3 +253,22 @@ def test_malformed_manifest_is_an_error(spark):
     bad = spark.createDataFrame([("s1", '{"read_accounting": ')], "sample_id string, text string")
     with pytest.raises(Exception, match="malformed manifest"):
         O.parse_qc(bad).collect()
+
+
+def test_task_log_source_equals_the_walk(spark, tmp_path):
+    from runledger.sources.logsource import task_logs
+    for place, name, text in (("ab/cdef1234567", ".command.out", b"out \xff"), ("ab/cdef1234567", ".command.sh", b""),
+                              ("ab/cdef1234567/deep", ".command.err", b"deep"), ("00/0123456", ".command.err", b"x" * 50),
+                              ("00/0123456", ".exitcode", b"0"), ("zz/0123456", ".command.out", b"not hex")):
+        folder = tmp_path / "work" / place
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / name).write_bytes(text)
+    root = str(tmp_path / "work")
+    logs, rejected = FS.read_task_logs(spark, root, max_bytes=40)
+    got = task_logs(spark, root, max_bytes=40)
+    assert sorted((r.task_hash, r.log_type, r.content) for r in got.filter("reason is null").collect()) == \
+        sorted((r.task_hash, r.log_type, r.content) for r in logs.collect())
+    assert sorted((r.path, r.length, r.reason) for r in got.filter("reason is not null").collect()) == \
+        sorted((r.path, r.length, r.reason) for r in rejected.collect())
+    assert got.rdd.getNumPartitions() == 2
+    assert task_logs(spark, f"{root}/none").collect() == []
