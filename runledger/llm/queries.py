@@ -74,7 +74,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op1_toxicity")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from the labelled rows outside the held-out third."""
-    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(~held))
     return toxicity.score(docs, model).select(

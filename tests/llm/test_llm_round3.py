@@ -263,3 +263,13 @@ def test_new_queries_cover_their_tables(spark, name):
     if name == "op11_fill_in_middle":
         back = out.join(docs, "doc_id").filter(F.sha2("text", 256) != F.col("restored_sha256"))
         assert back.count() == 0
+
+
+@pytest.mark.parametrize("name", ["op1_toxicity", "op12_quality_classifier"])
+def test_a_null_id_is_not_held_out(spark, tmp_path, name):
+    docs = spark.createDataFrame([(None, "some words"), (1, None), (2, "other words here")], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(2, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = E.queries()[name](spark, str(tmp_path)).collect()
+    assert len(out) == 3 and all(isinstance(r.held_out, bool) and 0 <= r.score <= 1 for r in out)
+    assert [r.held_out for r in out if r.doc_id is None] == [False]
