@@ -2,18 +2,22 @@
 
 A feature is the presence of a character n-gram (hashed, over ASCII-lower-cased UTF-8 bytes
 with ASCII punctuation and white space as blanks). Its value is its naive Bayes log-count
-ratio between toxic and other training documents; a logistic regression on these scaled
-features gives the score.
+ratio between toxic and other training documents, drawn towards 0 as far as the ratio may come
+from its standard error alone; a logistic regression on these scaled features gives the score.
+Every n-gram slot met in training is a feature (2^20 slots, none left out).
 
-Fitting uses a bounded sample: about ``FIT_ROWS`` labelled training documents chosen by a
-hash of their id (all of them, if fewer). Counts per n-gram are summed over the sample on the
-executors; the ``FEATURES`` n-grams with the most significant ratios are kept, and the sample's
-sparse rows over those (bounded by FIT_ROWS * FEATURES) are fitted on the driver. Scoring
-reads every whole text of all documents in one pass without a shuffle.
+Fitting uses a bounded sample: about ``FIT_ROWS`` labelled training rows chosen by a hash of
+their id (all of them, if fewer), equal rows once. Counts per slot are summed over the sample on
+the executors. The sample's slots are stored; every step of the regression reads them, a task
+hands over one partial gradient, and the driver sees vectors of 2^20 numbers, whatever the
+sample's texts hold. Scoring reads every whole text of all documents in one pass without a
+shuffle, with one broadcast weight per slot (4 MB).
 
 Defined results: a null or empty text has no n-grams and gets the score of the intercept;
-labels other than 0 and 1 and null ids are ignored in training; repeated label rows count
-each; without any training row the score is 0.5 everywhere; an empty table gives no rows.
+labels other than 0 and 1 and null ids are ignored in training; an id with several label rows
+has the label of most of them (toxic, if as many); equal documents of one id are one training
+row; without any training row the score is 0.5 everywhere; an empty table gives no rows; input
+columns of any other name are carried through.
 """
 from __future__ import annotations
 
@@ -31,9 +35,13 @@ from .store import Scratch
 FIT_ROWS = 16_000         # expected size of the training sample
 ORDERS = (4, 5, 6)        # n-gram lengths in bytes
 BITS = 20                 # hashed n-gram slots
-FEATURES = 1024           # n-grams that enter the regression
+SLOTS = 1 << BITS
 ALPHA = 1.0               # smoothing of the counts
+DOUBT = 9.0               # squared standard errors at which a ratio is cut to a quarter
 L2 = 1e-4
+STEPS = 12                # gradients of the regression; later ones fit the sample's noise
+MEMORY = 5                # earlier steps that shape the next one
+BLOCKS = 8                # pieces in which partial sums are added up
 THRESHOLD = 0.7
 PART_BYTES = 1 << 18      # text whose n-grams are held at a time
 
@@ -83,76 +91,149 @@ def _doc_of(offsets: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(docs), np.diff(offsets) + 2)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents per slot and class, as (class, slot, count) of the slots met."""
+def _present(b: np.ndarray, o: np.ndarray, last: np.ndarray) -> Iterator[np.ndarray]:
+    """The slots present in each text, each once. ``last`` is work space of one number a slot."""
+    docs = len(o) - 1
+    ends = o[1:] + 2 * np.arange(1, docs + 1)
+    orders = [(np.searchsorted(start, np.concatenate([[0], ends])), slot) for start, slot in ngram_slots(b, o)]
+    for k in range(docs):
+        met = [slot[cuts[k]:cuts[k + 1]] for cuts, slot in orders]
+        met = np.concatenate(met) if met else np.zeros(0, np.int64)
+        at = np.arange(len(met), dtype=last.dtype)
+        last[met] = at                                               # of equal slots one place stays
+        yield met[last[met] == at]
+
+
+def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(toxic, gaps): each text's present slots in order, as differences to the one before."""
     textops.drop_large_cache()
-    total = np.zeros((2, 1 << BITS), np.int64)
+    last = np.zeros(SLOTS, np.int32)
     for batch in batches:
-        toxic = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), np.int64)
         data, offsets = textops.utf8(batch.column(0))
         for i, j, b, o in textops.chunks(data, offsets, PART_BYTES):
-            owner = _doc_of(o)
-            keys = [(owner[p] << BITS) | s for p, s in ngram_slots(b, o)]
-            if keys:
-                key = np.unique(np.concatenate(keys))
-                hot = toxic[i:j][key >> BITS] == 1
-                slot = key & ((1 << BITS) - 1)
-                total[1] += np.bincount(slot[hot], minlength=1 << BITS)
-                total[0] += np.bincount(slot[~hot], minlength=1 << BITS)
-    slots = np.flatnonzero(total.any(axis=0))
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(slots.astype(np.int32)), pa.array(total[0][slots]), pa.array(total[1][slots])],
-        names=["slot", "clean", "toxic"])
-
-
-def _present(table: np.ndarray, b: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, feature) of the kept features present in each text, each once."""
-    owner, keys = _doc_of(o), []
-    for p, s in ngram_slots(b, o):
-        f = table[s]
-        hit = f >= 0
-        keys.append(owner[p[hit]] * FEATURES + f[hit])
-    key = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
-    return key // FEATURES, key % FEATURES
-
-
-def _rows(table_value):
+            rows = [np.diff(np.sort(met), prepend=0).astype(np.int32) for met in _present(b, o, last)]
+            at = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(1).slice(i, j - i),
+                 pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32)))],
+                names=["toxic", "gaps"])
+
+
+def _stored(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(label of each row, row of each entry, slot of each entry) of stored rows."""
+    size = np.asarray(batch.column(1).value_lengths(), np.int64)
+    total = np.cumsum(np.asarray(batch.column(1).flatten(), np.int64))
+    first = np.cumsum(size) - size
+    before = np.where(first > 0, total[np.maximum(first, 1) - 1], 0) if len(total) else first
+    toxic = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
+    return toxic, np.repeat(np.arange(len(size)), size), total - np.repeat(before, size)
+
+
+def _blocks(vectors: np.ndarray, *numbers: float) -> Iterator[pa.RecordBatch]:
+    """The task's vectors over the slots in BLOCKS pieces, then its numbers."""
+    width = SLOTS // BLOCKS
+    parts = [vectors[:, k * width:(k + 1) * width] for k in range(BLOCKS)]
+    for k, part in enumerate([*parts, np.array(numbers)] if numbers else parts):
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())],
+                                         names=["k", "sums"])
+
+
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+            part = np.frombuffer(raw.as_buffer(), np.float64)
+            total[k] = total[k] + part if k in total else part
+    for k, v in total.items():
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([v.tobytes()], pa.binary())], names=["k", "sums"])
+
+
+def _sum_slots(rows: DataFrame, task, vectors: int) -> tuple[np.ndarray, np.ndarray]:
+    """The tasks' vectors and numbers, added up piece by piece on the executors."""
+    out, numbers, width = np.zeros((vectors, SLOTS)), np.zeros(0), SLOTS // BLOCKS
+    for k, raw in (rows.mapInArrow(task, "k int, sums binary").repartition(BLOCKS, "k")
+                   .mapInArrow(_add, "k int, sums binary").collect()):
+        if k == BLOCKS:
+            numbers = np.frombuffer(raw, np.float64)
+        else:
+            out[:, k * width:(k + 1) * width] = np.frombuffer(raw, np.float64).reshape(vectors, width)
+    return out, numbers
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task function: documents per class and slot."""
+    total = np.zeros((2, SLOTS))
+    for batch in batches:
+        toxic, row, slot = _stored(batch)
+        hot = toxic[row] == 1
+        total[1] += np.bincount(slot[hot], minlength=SLOTS)
+        total[0] += np.bincount(slot[~hot], minlength=SLOTS)
+    yield from _blocks(total)
+
+
+def _residuals(model_value):
+    """Task function: the slots' sums of residuals; the loss and the sum of all residuals."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(table_value.value, np.int16)
+        weights, bias = model_value.value
+        total, loss, every = np.zeros((1, SLOTS)), 0.0, 0.0
         for batch in batches:
-            data, offsets = textops.utf8(batch.column(0))
-            got = [np.zeros(0, np.int16)] * batch.num_rows
-            for i, j, b, o in textops.chunks(data, offsets, PART_BYTES):
-                doc, feature = _present(table, b, o)
-                cuts = np.searchsorted(doc, np.arange(j - i + 1))
-                for k in range(j - i):
-                    got[i + k] = feature[cuts[k]:cuts[k + 1]].astype(np.int16)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(1), pa.array([g.tobytes() for g in got], pa.binary())], names=["toxic", "features"])
+            toxic, row, slot = _stored(batch)
+            z = np.bincount(row, weights[slot], minlength=len(toxic)) + bias
+            off = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - toxic
+            total[0] += np.bincount(slot, off[row], minlength=SLOTS)
+            loss += float(np.logaddexp(0, np.where(toxic == 1, -z, z)).sum())
+            every += float(off.sum())
+        yield from _blocks(total, loss, every)
     return run
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 400) -> tuple[np.ndarray, float]:
-    """L2-regularised logistic regression by accelerated gradient steps."""
-    n, d = x.shape
-    w, b = np.zeros(d, np.float64), math.log((y.sum() + 1) / (n - y.sum() + 1))
-    v, vb = w.copy(), b
-    lip = 0.25 * float((x.astype(np.float64) ** 2).sum(axis=1).mean() + 1) + L2
-    step = 4.0 / lip
-    for k in range(rounds):
-        z = x @ v.astype(np.float32) + np.float32(vb)
-        g = (1 / (1 + np.exp(-np.clip(z, -30, 30)))) - y
-        nw, nb = v - step * (x.T @ g / n + L2 * v), vb - step * float(g.mean())
-        m = k / (k + 3)
-        v, vb, w, b = nw + m * (nw - w), nb + m * (nb - b), nw, nb
-    return w, b
+def _direction(slope: np.ndarray, steps: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The slope shaped by the curvature met in earlier steps (limited-memory BFGS)."""
+    if not steps:
+        return slope / max(1.0, math.sqrt(slope @ slope))
+    out, shares = slope.copy(), []
+    for move, change in reversed(steps):
+        share = (move @ out) / (change @ move)
+        out -= share * change
+        shares.append(share)
+    move, change = steps[-1]
+    out *= (move @ change) / (change @ change)
+    for (move, change), share in zip(steps, reversed(shares)):
+        out += move * (share - (change @ out) / (change @ move))
+    return out
+
+
+def _logistic(rows: DataFrame, ratios: np.ndarray, positive: int, n: int) -> tuple[np.ndarray, float]:
+    """L2-regularised logistic regression on presence times ratio. Weights per slot, intercept."""
+    def look(at: np.ndarray) -> tuple[float, np.ndarray]:
+        shared = rows.sparkSession.sparkContext.broadcast((at[:-1] * ratios, at[-1]))
+        (total,), (loss, every) = _sum_slots(rows, _residuals(shared), 1)
+        shared.unpersist()
+        return loss / n + L2 / 2 * float(at[:-1] @ at[:-1]), np.append(ratios * total / n + L2 * at[:-1], every / n)
+
+    at = np.zeros(SLOTS + 1)
+    at[-1] = math.log((positive + 1) / (n - positive + 1))
+    loss, slope = look(at)
+    steps, length, turn = [], 1.0, _direction(slope, [])
+    for _ in range(STEPS - 1):
+        new = at - length * turn
+        new_loss, new_slope = look(new)
+        if new_loss > loss - 1e-4 * length * float(slope @ turn):     # too far
+            length /= 4
+            continue
+        move, change = new - at, new_slope - slope
+        if move @ change > 1e-12:
+            steps = [*steps, (move, change)][-MEMORY:]
+        at, loss, slope, length = new, new_loss, new_slope, 1.0
+        turn = _direction(slope, steps)
+    return at[:-1] * ratios, float(at[-1])
 
 
 class Model:
-    """Slot table (slot -> feature number or -1), feature weights and intercept."""
+    """Weight per slot and intercept."""
 
-    def __init__(self, table: np.ndarray, weights: np.ndarray, bias: float):
-        self.table, self.weights, self.bias = table, weights, bias
+    def __init__(self, weights: np.ndarray, bias: float):
+        self.weights, self.bias = weights.astype(np.float32), bias
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -160,52 +241,47 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     textops.small_batches(spark)
     labels = (labels.select(F.col(id_col).cast("long").alias("__id"), F.col(label_col).cast("int").alias("toxic"))
-              .filter("__id is not null and toxic in (0, 1)"))
+              .filter("__id is not null and toxic in (0, 1)")
+              .groupBy("__id").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic")))
     n = labels.count()
     if n > fit_rows:
-        share = int(fit_rows / n * (1 << 62))
-        labels = labels.filter(F.shiftrightunsigned(F.xxhash64(F.lit("fit"), "__id"), 2) < F.lit(share))
-    sample = Scratch(spark, "toxicity").keep(
-        docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("text"))
-        .join(F.broadcast(labels), "__id").select("text", "toxic"))        # about fit_rows rows
-    sums = (sample.mapInArrow(_count, "slot int, clean long, toxic long")
-            .groupBy("slot").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
+        labels = labels.filter(_drawn(fit_rows / n, "__id"))
+    rows = (docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("text"))
+            .join(F.broadcast(labels), "__id"))                      # about fit_rows ids at most
+    met = rows.select("__id").count()
+    if met > 2 * fit_rows:                                           # ids with very many rows
+        rows = rows.filter(_drawn(fit_rows / met, "text"))
+    scratch = Scratch(spark, "toxicity")
+    sample = scratch.keep(rows.dropDuplicates().select("text", "toxic").mapInArrow(_slots, "toxic int, gaps array<int>"))
     size = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     pos, neg = size.get(1, 0), size.get(0, 0)
-    table = np.full(1 << BITS, -1, np.int16)
     if not pos or not neg:
-        return Model(table, np.zeros(FEATURES), math.log((pos + 1) / (neg + 1)))
-    # log-count ratio and its standard error; the most significant features are kept
-    p, q = (F.col("toxic") + ALPHA) / (pos + 2 * ALPHA), (F.col("clean") + ALPHA) / (neg + 2 * ALPHA)
-    ratio = F.log(p / q)
-    error = F.sqrt(1 / (F.col("toxic") + ALPHA) + 1 / (F.col("clean") + ALPHA))
-    kept = sums.select("slot", ratio.alias("r"), F.abs(ratio / error).alias("z")).orderBy(F.desc("z"), "slot") \
-        .limit(FEATURES).collect()
-    ratios = np.zeros(FEATURES)
-    for i, r in enumerate(kept):
-        table[r.slot] = i
-        ratios[i] = r.r
-    shared = spark.sparkContext.broadcast(table.tobytes())
-    rows = sample.mapInArrow(_rows(shared), "toxic int, features binary").toArrow()
-    x = np.zeros((rows.num_rows, FEATURES), np.float32)
-    for i, raw in enumerate(rows.column("features").to_pylist()):
-        f = np.frombuffer(raw, np.int16)
-        x[i, f] = ratios[f]
-    y = rows.column("toxic").to_numpy().astype(np.float32)
-    w, b = _logistic(x, y)
-    return Model(table, w * ratios, b)
+        scratch.drop_all_but()
+        return Model(np.zeros(SLOTS), math.log((pos + 1) / (neg + 1)))
+    (clean, toxic), _ = _sum_slots(sample, _count, 2)
+    ratios = np.log((toxic + ALPHA) / (pos + 2 * ALPHA) * (neg + 2 * ALPHA) / (clean + ALPHA))
+    error = 1 / (toxic + ALPHA) + 1 / (clean + ALPHA)                # squared standard error
+    ratios *= (ratios ** 2 / (ratios ** 2 + DOUBT * error)) ** 2
+    ratios[(clean + toxic) == 0] = 0                                 # slots that no training text holds
+    weights, bias = _logistic(sample, ratios, pos, pos + neg)
+    scratch.drop_all_but()
+    return Model(weights, bias)
+
+
+def _drawn(share: float, col: str):
+    return F.shiftrightunsigned(F.xxhash64(F.lit("fit"), col), 2) < F.lit(int(share * (1 << 62)))
 
 
 def _score(model_value, column: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         textops.drop_large_cache()
-        table, weights, bias = model_value.value
+        weights, bias = model_value.value
+        last = np.zeros(SLOTS, np.int32)
         for batch in batches:
             data, offsets = textops.utf8(batch.column(column))
             z = np.full(batch.num_rows, bias)
             for i, j, b, o in textops.chunks(data, offsets, PART_BYTES):
-                doc, feature = _present(table, b, o)
-                z[i:j] += np.bincount(doc, weights[feature], minlength=j - i)
+                z[i:j] += [weights[met].sum(dtype=np.float64) for met in _present(b, o, last)]
             score = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)],
                                              names=[*batch.schema.names, "__score"])
@@ -214,7 +290,7 @@ def _score(model_value, column: int):
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with the column ``name`` (a column of that name is replaced)."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.table, model.weights, model.bias))   # about 2 MB
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))   # 4 MB
     docs = docs.drop(name)
     schema = docs.withColumn("__score", F.lit(0.0)).schema
     rows = docs.withColumn(text_col, F.col(text_col).cast("string"))
