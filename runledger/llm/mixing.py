@@ -4,7 +4,9 @@ Documents fall into cells (source, language, topic). Token counts per cell are s
 all documents; every margin gets a target that flattens its shares, ``min(t, scale * t**power)``
 with the scale chosen so that the targets add up to the token budget and none asks for more
 than there is. Raking multiplies one factor per source, language and topic until the
-expected tokens ``tokens * min(1, product of factors)`` meet all margins. A document is kept
+expected tokens ``tokens * min(1, product of factors)`` meet all margins, or until sweeps stop
+bringing them nearer (margins that contradict each other, or that capped cells cannot meet);
+``deviation`` is the largest share by which a margin is still off. A document is kept
 with its cell's calibrated probability, by a hash of its id, so a rerun keeps the same.
 
 Cells, margins and factors stay Spark tables; token sums are combined map-side, so a source
@@ -38,8 +40,8 @@ BAG_ROWS = 1024           # documents whose bags a task holds as one matrix
 UNIT = 1 << 20            # integer steps of a bag's entries in sums
 BUDGET = 0.6              # share of all tokens to keep
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.7}
-SWEEPS = 24
 SWEEPS_KEPT = 4           # sweeps in one job
+PROGRESS = 0.95           # a job must bring the deviation below this share of the one before
 CELL_ROWS = 100_000       # cells that one task holds
 TOLERANCE = 2e-3
 GRID = 64
@@ -219,12 +221,13 @@ def margin_targets(cells: DataFrame, dim: str, budget: float, power: float) -> D
     return t.select(dim, F.least(F.col("t"), F.lit(lo) * F.pow("t", power)).alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS,
-         tolerance: float = TOLERANCE) -> DataFrame:
-    """Cells with ``probability``: the margins' factors multiplied, at most 1.
+def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOLERANCE) -> DataFrame:
+    """Cells with ``probability``: the margins' factors multiplied, at most 1; and ``deviation``.
 
     A sweep scales every margin in turn; its sums are windows over the cells. After every
-    ``SWEEPS_KEPT`` sweeps the cells are stored and the last corrections tested."""
+    ``SWEEPS_KEPT`` sweeps the cells are stored and the last corrections tested: raking ends
+    when all are within ``tolerance`` or no longer shrink. ``deviation``, the same in every
+    row, is the largest correction, as a share, that the last sweep asked for."""
     scratch = Scratch(cells.sparkSession, "rake")
     factors = {d: f"f_{i}" for i, d in enumerate(targets)}
     product = reduce(lambda a, b: a * b, [F.col(f) for f in factors.values()])
@@ -234,27 +237,27 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS,
         cells = cells.join(goal, cells[d].eqNullSafe(goal["__d"]), "left").drop("__d")
     cells = scratch.keep(_compact(scratch.keep(cells.withColumns({f: F.lit(1.0) for f in factors.values()}))))
     parts = max(1, -(-cells.count() // CELL_ROWS))
-    done, step = 0, cells
-    while done < sweeps:
+    deviation = float("inf")
+    while True:
         step = cells.coalesce(parts)
-        for _ in range(min(SWEEPS_KEPT, sweeps - done)):
+        for _ in range(SWEEPS_KEPT):
             for d, f in factors.items():
                 total = F.sum(expected).over(Window.partitionBy(d))
                 step = step.withColumn(f"r_{f}", F.coalesce(F.when(total > 0, F.col(f"t_{f}") / total), F.lit(1.0)))
                 step = step.withColumn(f, F.least(F.lit(1e9), F.greatest(F.lit(1e-9), F.col(f) * F.col(f"r_{f}"))))
-            done += 1
         step = scratch.keep(step)
         off = step.agg(*[F.max(F.abs(F.col(f"r_{f}") - 1)) for f in factors.values()]).first()
         cells = step.drop(*[f"r_{f}" for f in factors.values()])
-        if all(x is None or x < tolerance for x in off):
+        before, deviation = deviation, max((x for x in off if x is not None), default=0.0)
+        if deviation < tolerance or deviation > PROGRESS * before:
             break
     scratch.drop_all_but(step)
     return cells.select(*targets, "tokens", F.when(F.col("tokens") > 0, F.least(F.lit(1.0), product))
-                        .otherwise(1.0).alias("probability"))
+                        .otherwise(1.0).alias("probability"), F.lit(deviation).alias("deviation"))
 
 
 def calibrated_cells(cells: DataFrame, budget: float = BUDGET, powers: dict[str, float] = POWERS) -> DataFrame:
-    """Sampling probability per cell. ``cells``: one row per cell, the margins' columns and ``tokens``."""
+    """Sampling probability per cell (and the margins' ``deviation``). ``cells``: one row per cell, the margins' columns and ``tokens``."""
     cells = Scratch(cells.sparkSession, "cells").keep(_compact(cells))
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     return rake(cells, {d: margin_targets(cells, d, budget * total, p) for d, p in powers.items()})
@@ -268,7 +271,7 @@ def keep_mask(id_col: str = "doc_id", probability: str = "probability"):
 
 def _attach(rows: DataFrame, cells: DataFrame) -> DataFrame:
     c = cells.select(F.col("source").alias("__s"), F.col("lang").alias("__l"), F.col("topic").alias("__t"),
-                     F.col("probability").alias("__p"))
+                     F.col("probability").alias("__p"), F.col("deviation").alias("__off"))
     return rows.join(c, rows["source"].eqNullSafe(c["__s"]) & rows["lang"].eqNullSafe(c["__l"])
                      & rows["__topic"].eqNullSafe(c["__t"])).drop("__s", "__l", "__t")
 
@@ -279,14 +282,15 @@ def _cells(rows: DataFrame) -> DataFrame:
 
 
 def mixture(docs: DataFrame, budget: float = BUDGET) -> DataFrame:
-    """``(doc_id, source, lang, topic, tokens, probability, kept)`` of every document."""
+    """``(doc_id, source, lang, topic, tokens, probability, kept, deviation)`` of every document."""
     scratch = Scratch(docs.sparkSession, "mix")
     marked = annotate(docs.select("doc_id", "text", "source", "lang"), fit_topics(docs))
     narrow = scratch.keep(marked.drop("text"))
     cells = calibrated_cells(scratch.keep(_cells(narrow)), budget)
     return _attach(narrow, cells).select(
         "doc_id", "source", "lang", F.col("__topic").alias("topic"), F.col("__tokens").alias("tokens"),
-        F.col("__p").alias("probability"), keep_mask("doc_id", "__p").alias("kept"))
+        F.col("__p").alias("probability"), keep_mask("doc_id", "__p").alias("kept"),
+        F.col("__off").alias("deviation"))
 
 
 def keep_mixture(docs: DataFrame, budget: float = BUDGET) -> DataFrame:

@@ -157,6 +157,41 @@ def test_toxicity_separates_held_out_documents(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, _, y in rows if not y}
 
 
+def test_toxicity_weighs_more_ngrams_than_any_short_list(spark):
+    """700 toxic words, each in few documents: thousands of n-grams carry the label, none alone."""
+    rng = random.Random(11)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(8))
+    bad, plain = [word("bdgkz") for _ in range(700)], [word("aeimnorst") for _ in range(700)]
+    rows = [(i, " ".join([rng.choice(plain) for _ in range(30)] + [rng.choice(bad) for _ in range(4 * (i % 3 == 0))]), int(i % 3 == 0))
+            for i in range(1500)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows if i % 5], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert (model.weights != 0).sum() > 4096
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    held = [(got[i] >= toxicity.THRESHOLD) == bool(y) for i, _, y in rows if i % 5 == 0]
+    assert sum(held) / len(held) > .97
+
+
+def test_toxicity_sample_is_bounded_in_rows(spark, monkeypatch):
+    """One id with many labels and many documents does not fill the sample; votes settle its label."""
+    rows = toxic_table(200)
+    hot = [(7, f"river stone walk {i}") for i in range(3000)]
+    docs = spark.createDataFrame([r[:2] for r in rows] + hot + [(8, rows[8][1])] * 500, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(7, 1)] * 400 + [(7, 0)] * 900, "doc_id long, toxic int")
+    sizes, keep = [], toxicity.Scratch.keep
+
+    def counted(self, df):
+        kept = keep(self, df)
+        sizes.append(kept.groupBy("toxic").count().collect())
+        return kept
+    monkeypatch.setattr(toxicity.Scratch, "keep", counted)
+    toxicity.fit(docs, labels.filter("doc_id in (7, 8, 12)"), fit_rows=2000)      # equal rows once
+    toxicity.fit(docs, labels.filter("doc_id in (7, 12)"), fit_rows=300)          # a draw of the hot id's rows
+    assert {r.toxic: r["count"] for r in sizes[0]} == {0: 3001, 1: 2}
+    assert 200 < sum(r["count"] for r in sizes[1]) < 400
+
+
 def test_toxicity_edge_cases(spark):
     rows = toxic_table(120)
     docs = spark.createDataFrame([(i, t, "s") for i, t, _ in rows] + [(900, None, "s"), (901, "", "s"), (None, "river", "s"),
@@ -206,10 +241,25 @@ def test_raking_agrees_with_plain_ipf(spark):
     for _ in range(200):
         w *= (np.array([60, 15]) / w.sum(axis=1))[:, None]
         w *= np.array([35, 40]) / w.sum(axis=0)
-    got = {(r.a, r.b): r.tokens * r.probability for r in mixing.rake(cells, frames, tolerance=1e-9, sweeps=12).collect()}
+    got = {(r.a, r.b): r.tokens * r.probability for r in mixing.rake(cells, frames, tolerance=1e-9).collect()}
     assert all(abs(got[str(i), str(j)] - w[i, j]) < 1e-3 for i in range(2) for j in range(2))
 
 
+def test_raking_reports_contradictory_margins(spark):
+    """Margins of different sums cannot be met at once: raking ends and says by how much."""
+    cells = spark.createDataFrame([(a, b, 100) for a in "xy" for b in "uv"], "a string, b string, tokens long")
+
+    def frames(last):
+        return {"a": spark.createDataFrame([("x", 60.0), ("y", 40.0)], "a string, target double"),
+                "b": spark.createDataFrame([("u", 50.0), ("v", last)], "b string, target double")}
+    off = {r.deviation for r in mixing.rake(cells, frames(150.0)).collect()}
+    assert len(off) == 1 and off.pop() > .3
+    met = mixing.rake(cells, frames(50.0)).collect()
+    assert {r.deviation < mixing.TOLERANCE for r in met} == {True}
+    assert abs(sum(r.tokens * r.probability for r in met if r.a == "x") - 60) < .5
+    assert mixing.rake(cells.limit(0), frames(50.0)).collect() == []
+
+
 def test_topics_are_fitted_on_all_documents(spark):
     """Two documents of 6,000 are a topic of their own, and the centroids are the means of all."""
     rng = random.Random(8)
