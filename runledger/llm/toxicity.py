@@ -41,7 +41,9 @@ DOUBT = 9.0               # squared standard errors at which a ratio is cut to a
 L2 = 1e-4
 STEPS = 12                # gradients of the regression; later ones fit the sample's noise
 MEMORY = 5                # earlier steps that shape the next one
-BLOCKS = 8                # pieces in which partial sums are added up
+TASKS = 4                 # tasks that read the bounded sample; each hands over one number a slot
+BLOCKS = 4                # pieces in which partial sums are added up
+STORED_ROWS = 256         # rows of the sample that a task holds as arrays
 THRESHOLD = 0.7
 PART_BYTES = 1 << 18      # text whose n-grams are held at a time
 
@@ -119,14 +121,17 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["toxic", "gaps"])
 
 
-def _stored(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(label of each row, row of each entry, slot of each entry) of stored rows."""
-    size = np.asarray(batch.column(1).value_lengths(), np.int64)
-    total = np.cumsum(np.asarray(batch.column(1).flatten(), np.int64))
-    first = np.cumsum(size) - size
-    before = np.where(first > 0, total[np.maximum(first, 1) - 1], 0) if len(total) else first
-    toxic = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
-    return toxic, np.repeat(np.arange(len(size)), size), total - np.repeat(before, size)
+def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(label of each row, row of each entry, slot of each entry) of stored rows, STORED_ROWS at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, STORED_ROWS):
+            part = batch.slice(at, STORED_ROWS)
+            size = np.asarray(part.column(1).value_lengths(), np.int64)
+            total = np.cumsum(np.asarray(part.column(1).flatten(), np.int64))
+            first = np.cumsum(size) - size
+            before = np.where(first > 0, total[np.maximum(first, 1) - 1], 0) if len(total) else first
+            toxic = np.asarray(part.column(0).to_numpy(zero_copy_only=False), np.int64)
+            yield toxic, np.repeat(np.arange(len(size)), size), total - np.repeat(before, size)
 
 
 def _blocks(vectors: np.ndarray, *numbers: float) -> Iterator[pa.RecordBatch]:
@@ -134,7 +139,7 @@ def _blocks(vectors: np.ndarray, *numbers: float) -> Iterator[pa.RecordBatch]:
     width = SLOTS // BLOCKS
     parts = [vectors[:, k * width:(k + 1) * width] for k in range(BLOCKS)]
     for k, part in enumerate([*parts, np.array(numbers)] if numbers else parts):
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())],
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.astype(np.float32).tobytes()], pa.binary())],
                                          names=["k", "sums"])
 
 
@@ -142,7 +147,7 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for k, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-            part = np.frombuffer(raw.as_buffer(), np.float64)
+            part = np.frombuffer(raw.as_buffer(), np.float32).astype(np.float64)
             total[k] = total[k] + part if k in total else part
     for k, v in total.items():
         yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([v.tobytes()], pa.binary())], names=["k", "sums"])
@@ -151,7 +156,7 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sum_slots(rows: DataFrame, task, vectors: int) -> tuple[np.ndarray, np.ndarray]:
     """The tasks' vectors and numbers, added up piece by piece on the executors."""
     out, numbers, width = np.zeros((vectors, SLOTS)), np.zeros(0), SLOTS // BLOCKS
-    for k, raw in (rows.mapInArrow(task, "k int, sums binary").repartition(BLOCKS, "k")
+    for k, raw in (rows.coalesce(TASKS).mapInArrow(task, "k int, sums binary").repartition(BLOCKS, "k")
                    .mapInArrow(_add, "k int, sums binary").collect()):
         if k == BLOCKS:
             numbers = np.frombuffer(raw, np.float64)
@@ -163,8 +168,7 @@ def _sum_slots(rows: DataFrame, task, vectors: int) -> tuple[np.ndarray, np.ndar
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Task function: documents per class and slot."""
     total = np.zeros((2, SLOTS))
-    for batch in batches:
-        toxic, row, slot = _stored(batch)
+    for toxic, row, slot in _stored(batches):
         hot = toxic[row] == 1
         total[1] += np.bincount(slot[hot], minlength=SLOTS)
         total[0] += np.bincount(slot[~hot], minlength=SLOTS)
@@ -176,8 +180,7 @@ def _residuals(model_value):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = model_value.value
         total, loss, every = np.zeros((1, SLOTS)), 0.0, 0.0
-        for batch in batches:
-            toxic, row, slot = _stored(batch)
+        for toxic, row, slot in _stored(batches):
             z = np.bincount(row, weights[slot], minlength=len(toxic)) + bias
             off = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - toxic
             total[0] += np.bincount(slot, off[row], minlength=SLOTS)
