@@ -2,11 +2,16 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
+
+from pyspark.sql import functions as F
 
 from ..operators import metrics as M
+from ..operators import rollup
 from ..operators.filters import MetricFilter
 from ..sources.events import enrich_events, to_task_executions
 from ..operators.paging import cursor_of
+from ..session import scratch_path
 from .registry import pct, r2, register
 
 ALL = MetricFilter(all_time=True)
@@ -203,6 +208,41 @@ def q_resources_by_attempt(d):
     return M.resources_by_attempt(d.task_executions, ALL)
 
 
+# The days that the rollup report covers.
+ROLLUP_DAYS = (dt.date(2000, 3, 1), dt.date(2001, 10, 31))
+
+
+@register("rollup_window", TE, f"""
+SELECT process, attempt, count(*) AS rows, count(*) FILTER (status = 'COMPLETED') AS success,
+  count(*) FILTER ({FAILED}) AS failed, {_mean("pct_cpu")} AS avg_pct_cpu, {_mean("pct_mem")} AS avg_pct_mem,
+  {_mean("peak_rss")} AS avg_peak_rss, true AS p95_in_range
+FROM task_executions
+WHERE process IS NOT NULL AND CAST(utc_time AS DATE) BETWEEN DATE '{ROLLUP_DAYS[0]}' AND DATE '{ROLLUP_DAYS[1]}'
+GROUP BY process, attempt
+""")
+def q_rollup_window(d):
+    """A1/A8/A9 over a span of days from daily states that three batches of facts wrote (the second
+    one twice, as after a failure). ``p95_in_range``: the facts at or below the sketched p95 of CPU
+    use are 95 % of the group, within 1 % and one row."""
+    spark, facts = d.spark, d.task_executions
+    path = scratch_path(spark, f"rollup-{uuid.uuid4().hex}")
+    for batch in (0, 1, 2, 1):
+        rollup.write_batch(facts.filter(F.pmod(F.xxhash64("process", "utc_time"), F.lit(3)) == batch), path, batch)
+    report = rollup.window_report(rollup.read_states(spark, path), *ROLLUP_DAYS)
+    day = F.to_date("utc_time")
+    same = facts["process"].eqNullSafe(F.col("p")) & facts["attempt"].eqNullSafe(F.col("a"))
+    ranks = (facts.filter(day.between(*[F.lit(x) for x in ROLLUP_DAYS]) & F.col("pct_cpu").isNotNull())
+             .join(report.select(F.col("process").alias("p"), F.col("attempt").alias("a"), F.col("q_pct_cpu").alias("q")), same)
+             .groupBy("p", "a").agg(F.count("*").alias("n"), F.count_if(F.col("pct_cpu") < F.col("q")).alias("below"),
+                                    F.count_if(F.col("pct_cpu") <= F.col("q")).alias("upto")))
+    slack = F.lit(0.01) * F.col("n") + 1
+    held = (F.col("below") - slack <= 0.95 * F.col("n")) & (F.col("upto") + slack >= 0.95 * F.col("n"))
+    on = F.col("process").eqNullSafe(F.col("p")) & F.col("attempt").eqNullSafe(F.col("a"))
+    return report.join(ranks, on, "left").select(
+        "process", "attempt", "rows", "success", "failed", "avg_pct_cpu", "avg_pct_mem", "avg_peak_rss",
+        F.coalesce(held, F.col("q_pct_cpu").isNull()).alias("p95_in_range"))
+
+
 @register("failure_signatures", TE, f"""
 SELECT process, coalesce(exit_code, '<null>') AS exit_code, error_action, count(*) AS failures
 FROM task_executions WHERE {FAILED}
