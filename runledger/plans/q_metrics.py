@@ -205,7 +205,9 @@ FROM per WHERE rows > 4 ORDER BY rows DESC, process, attempt LIMIT 100
 """)
 def q_resources_by_attempt(d):
     """A9 with exact p95 (banded exact quantile, no whole-group gather)."""
-    return M.resources_by_attempt(d.task_executions, ALL)
+    facts = d.keep("task_executions", "process", "attempt", "status", "utc_time", "requested_cpus", "requested_memory_bytes",
+                   "requested_time_ms", "pct_cpu", "pct_mem", "peak_rss", "read_bytes", "write_bytes")
+    return M.resources_by_attempt(facts, ALL)
 
 
 # The days that the rollup report covers.
@@ -224,7 +226,8 @@ def q_rollup_window(d):
     """A1/A8/A9 over a span of days from daily states that three batches of facts wrote (the second
     one twice, as after a failure). ``p95_in_range``: the facts at or below the sketched p95 of CPU
     use are 95 % of the group, within 1 % and one row."""
-    spark, facts = d.spark, d.task_executions
+    spark = d.spark
+    facts = d.keep("task_executions", "process", "attempt", "status", "utc_time", *rollup.MEASURES)
     path = scratch_path(spark, f"rollup-{uuid.uuid4().hex}")
     for batch in (0, 1, 2, 1):
         rollup.write_batch(facts.filter(F.pmod(F.xxhash64("process", "utc_time"), F.lit(3)) == batch), path, batch)
