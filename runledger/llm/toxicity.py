@@ -211,7 +211,7 @@ def _logistic(rows: DataFrame, ratios: np.ndarray, positive: int, n: int) -> tup
     def look(at: np.ndarray) -> tuple[float, np.ndarray]:
         shared = rows.sparkSession.sparkContext.broadcast((at[:-1] * ratios, at[-1]))
         (total,), (loss, every) = _sum_slots(rows, _residuals(shared), 1)
-        shared.unpersist()
+        shared.destroy()                 # unpersist would leave its blocks on the driver, 8 MB a step
         return loss / n + L2 / 2 * float(at[:-1] @ at[:-1]), np.append(ratios * total / n + L2 * at[:-1], every / n)
 
     at = np.zeros(SLOTS + 1)
@@ -261,14 +261,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not pos or not neg:
         scratch.drop_all_but()
         return Model(np.zeros(SLOTS), math.log((pos + 1) / (neg + 1)))
+    weights, bias = _logistic(sample, _ratios(sample, pos, neg), pos, pos + neg)
+    scratch.drop_all_but()
+    return Model(weights, bias)
+
+
+def _ratios(sample: DataFrame, pos: int, neg: int) -> np.ndarray:
+    """The value of each slot; the counts behind it are not kept through the regression."""
     (clean, toxic), _ = _sum_slots(sample, _count, 2)
     ratios = np.log((toxic + ALPHA) / (pos + 2 * ALPHA) * (neg + 2 * ALPHA) / (clean + ALPHA))
     error = 1 / (toxic + ALPHA) + 1 / (clean + ALPHA)                # squared standard error
     ratios *= (ratios ** 2 / (ratios ** 2 + DOUBT * error)) ** 2
     ratios[(clean + toxic) == 0] = 0                                 # slots that no training text holds
-    weights, bias = _logistic(sample, ratios, pos, pos + neg)
-    scratch.drop_all_but()
-    return Model(weights, bias)
+    return ratios
 
 
 def _drawn(share: float, col: str):
