@@ -54,7 +54,7 @@ ORDER BY failed DESC, failure_pct DESC, total_completed DESC, process NULLS LAST
 @register("failures", TE, _FAILURES_SQL.format(where="", pct=pct("failed", "total_completed")))
 def q_failures(d):
     """A10 over all task facts: per-process totals, modal exit code and error action."""
-    return M.failures(d.task_executions, ALL)
+    return M.failures(d.keep("task_executions", "process", "status", "exit_code", "error_action"), ALL)
 
 
 @register("failures_window", TE, _FAILURES_SQL.format(
