@@ -37,6 +37,7 @@ from .store import Scratch
 TOPICS = 8
 BUCKETS = 1024            # hashed words
 BAG_ROWS = 1024           # documents whose bags a task holds as one matrix
+CHUNKS = 16               # stored chunks of bags in a batch
 UNIT = 1 << 20            # integer steps of a bag's entries in sums
 BUDGET = 0.6              # share of all tokens to keep
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.7}
@@ -69,43 +70,82 @@ def _bags(b: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _unit(counts), words
 
 
+BAGS = "sizes binary, slots binary, counts binary, units binary"
+BAG = "slots array<smallint>, counts array<int>"
+
+
 def _store_bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The word counts above zero of every document with words."""
+    """The bags of every document with words, a row for each chunk of texts: per bag its size, then
+    the slots, word counts and unit vector's entries above zero of all bags, one after the other."""
     textops.drop_large_cache()
     for batch in batches:
         data, offsets = textops.utf8(batch.column(0))
         for _, _, b, o in textops.chunks(data, offsets):
             counts, words = _counts(b, o)
             counts = counts[words > 0]
+            if not len(counts):
+                continue
             row, slot = np.nonzero(counts)
-            at = pa.array(np.searchsorted(row, np.arange(len(counts) + 1)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [pa.ListArray.from_arrays(at, pa.array(slot.astype(np.int16))),
-                 pa.ListArray.from_arrays(at, pa.array(counts[row, slot].astype(np.int32)))], names=["slots", "counts"])
+            columns = (np.bincount(row, minlength=len(counts)).astype(np.int32), slot.astype(np.int16),
+                       counts[row, slot].astype(np.int32), _unit(counts)[row, slot])
+            yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns],
+                                             names=["sizes", "slots", "counts", "units"])
+
 
+def _column(batch: pa.RecordBatch, name: str, i: int, kind) -> np.ndarray:
+    return np.frombuffer(batch.column(name)[i].as_buffer(), kind)
 
-def _matrices(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    """Stored bags as unit vectors, BAG_ROWS at a time."""
-    for at in range(0, batch.num_rows, BAG_ROWS):
-        part = batch.slice(at, BAG_ROWS)
-        size = np.asarray(part.column(0).value_lengths())
-        counts = np.zeros((len(size), BUCKETS))
-        counts[np.repeat(np.arange(len(size)), size), part.column(0).flatten().to_numpy()] = part.column(1).flatten().to_numpy()
-        yield part, _unit(counts)
+
+def _matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]]:
+    """Stored bags as unit vectors, BAG_ROWS at a time: (matrix, row of each entry, slot of each
+    entry, count of each entry if it was read)."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            sizes, slots = _column(batch, "sizes", i, np.int32), _column(batch, "slots", i, np.int16)
+            units = _column(batch, "units", i, np.float32)
+            counts = _column(batch, "counts", i, np.int32) if "counts" in batch.schema.names else None
+            ends = np.cumsum(sizes, dtype=np.int64)
+            for at in range(0, len(sizes), BAG_ROWS):
+                size = sizes[at:at + BAG_ROWS]
+                cut = slice(int(ends[at] - sizes[at]), int(ends[at + len(size) - 1]))
+                row = np.repeat(np.arange(len(size)), size)
+                x = np.zeros((len(size), BUCKETS), np.float32)
+                x[row, slots[cut]] = units[cut]
+                yield x, row, slots[cut], None if counts is None else counts[cut]
+
+
+def _bag(i: int, row: np.ndarray, slot: np.ndarray, count: np.ndarray) -> tuple[list[int], list[int]]:
+    lo, hi = np.searchsorted(row, [i, i + 1])
+    return slot[lo:hi].tolist(), count[lo:hi].tolist()
+
+
+def _least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task function: the task's smallest bag by slots, then counts."""
+    best = None
+    for batch in batches:
+        for i in range(batch.num_rows):
+            sizes, slots = _column(batch, "sizes", i, np.int32), _column(batch, "slots", i, np.int16)
+            row, counts = np.repeat(np.arange(len(sizes)), sizes), _column(batch, "counts", i, np.int32)
+            first = slots[np.cumsum(sizes, dtype=np.int64) - sizes]
+            for k in np.flatnonzero(first == first.min()):
+                bag = _bag(int(k), row, slots, counts)
+                best = bag if best is None else min(best, bag)
+    if best is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([best[0]], pa.list_(pa.int16())), pa.array([best[1]], pa.list_(pa.int32()))],
+                                         names=["slots", "counts"])
 
 
 def _farthest(centers_value):
     """Task function: the task's bag that is least like its most similar centroid."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = None
-        for batch in batches:
-            for part, x in _matrices(batch):
-                near = np.round((x @ centers_value.value.T).max(axis=1), 5)
-                if best is not None and near.min() > best[0]:
-                    continue
-                for i in np.flatnonzero(near == near.min()):
-                    bag = (float(near[i]), part.column(0)[int(i)].as_py(), part.column(1)[int(i)].as_py())
-                    best = bag if best is None else min(best, bag)
+        for x, row, slot, count in _matrices(batches):
+            near = np.round((x @ centers_value.value.T).max(axis=1), 5)
+            if best is not None and near.min() > best[0]:
+                continue
+            for i in np.flatnonzero(near == near.min()):
+                bag = (float(near[i]), *_bag(int(i), row, slot, count))
+                best = bag if best is None else min(best, bag)
         if best is not None:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([best[0]], pa.float64()), pa.array([best[1]], pa.list_(pa.int16())),
@@ -118,11 +158,10 @@ def _sums(centers_value):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centers = centers_value.value
         total = np.zeros(centers.shape, np.int64)
-        for batch in batches:
-            for _, x in _matrices(batch):
-                near = np.argmax(x @ centers.T, axis=1)
-                steps = np.rint(x.astype(np.float64) * UNIT)
-                total += ((near == np.arange(len(centers))[:, None]).astype(np.float64) @ steps).astype(np.int64)
+        for x, row, slot, _ in _matrices(batches):
+            near = np.argmax(x @ centers.T, axis=1)
+            steps = np.rint(x[row, slot].astype(np.float64) * UNIT)
+            total += np.bincount(near[row] * BUCKETS + slot, steps, total.size).astype(np.int64).reshape(total.shape)
         some = np.flatnonzero(total.any(axis=1))
         yield pa.RecordBatch.from_arrays(
             [pa.array(some.astype(np.int32)), pa.array([total[k].tobytes() for k in some], pa.binary())], names=["k", "sums"])
@@ -147,10 +186,17 @@ def fit_topics(docs: DataFrame, text_col: str = "text", topics: int = TOPICS, ro
     textops.small_batches(spark)
     scratch = Scratch(spark, "topics")
     bags = scratch.keep(docs.select(F.col(text_col).cast("string").alias("text")).filter("length(text) > 0")
-                        .mapInArrow(_store_bags, "slots array<smallint>, counts array<int>"))
-    first = bags.agg(F.min(F.struct("slots", "counts")).alias("bag")).first().bag
+                        .mapInArrow(_store_bags, BAGS))
+    with textops.few_rows(spark, CHUNKS):
+        centers = _centroids(bags, topics, rounds)
+    scratch.drop_all_but()
+    return centers
+
+
+def _centroids(bags: DataFrame, topics: int, rounds: int) -> np.ndarray:
+    context = bags.sparkSession.sparkContext
+    first = bags.select("sizes", "slots", "counts").mapInArrow(_least, BAG).agg(F.min(F.struct("slots", "counts")).alias("bag")).first().bag
     if first is None:
-        scratch.drop_all_but()
         return np.zeros((1, BUCKETS), np.float32)
 
     def row(bag) -> np.ndarray:
@@ -159,22 +205,21 @@ def fit_topics(docs: DataFrame, text_col: str = "text", topics: int = TOPICS, ro
         return _unit(counts)
     centers = row(first)
     while len(centers) < topics:                              # farthest first, so no random start
-        shared = spark.sparkContext.broadcast(centers)
-        far = (bags.mapInArrow(_farthest(shared), "near double, slots array<smallint>, counts array<int>")
+        shared = context.broadcast(centers)
+        far = (bags.mapInArrow(_farthest(shared), f"near double, {BAG}")
                .agg(F.min(F.struct("near", "slots", "counts")).alias("bag")).first().bag)
         if far.near >= 1:                                     # every bag is a centroid
             break
         centers = np.vstack([centers, row(far)])
     for _ in range(rounds):
-        shared, before = spark.sparkContext.broadcast(centers), centers
+        shared, before = context.broadcast(centers), centers
         centers = centers.copy()
-        for k, raw in (bags.mapInArrow(_sums(shared), "k int, sums binary").repartition(topics, "k")
-                       .mapInArrow(_add_sums, "k int, sums binary").collect()):
+        for k, raw in (bags.select("sizes", "slots", "units").mapInArrow(_sums(shared), "k int, sums binary")
+                       .repartition(topics, "k").mapInArrow(_add_sums, "k int, sums binary").collect()):
             m = np.frombuffer(raw, np.int64).astype(np.float64)
             centers[k] = m / np.sqrt(m @ m)
         if np.array_equal(centers, before):
             break
-    scratch.drop_all_but()
     return centers
 
 

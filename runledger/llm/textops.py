@@ -9,6 +9,7 @@ from __future__ import annotations
 import sys
 import types
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,20 @@ def small_batches(spark) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+@contextmanager
+def few_rows(spark, rows: int):
+    """Jobs inside read stored tables of long rows ``rows`` at a time, from Parquet and over Arrow."""
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k in keys:
+            spark.conf.set(k, str(min(rows, int(before[k])) if int(before[k]) > 0 else rows))
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def large_cache(key, build):
     """The worker's one large cache: made by ``build()`` and held until another is asked for, so
     that stages which share a worker do not add up."""

@@ -43,7 +43,8 @@ STEPS = 12                # gradients of the regression; later ones fit the samp
 MEMORY = 5                # earlier steps that shape the next one
 TASKS = 4                 # tasks that read the bounded sample; each hands over one number a slot
 BLOCKS = 4                # pieces in which partial sums are added up
-STORED_ROWS = 256         # rows of the sample that a task holds as arrays
+STORED_ROWS = 128         # rows of the sample in a batch
+STORED_SLOTS = 1 << 18    # slots that a task holds as arrays (or one row's, if it has more)
 THRESHOLD = 0.7
 PART_BYTES = 1 << 18      # text whose n-grams are held at a time
 
@@ -122,10 +123,13 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(label of each row, row of each entry, slot of each entry) of stored rows, STORED_ROWS at a time."""
+    """(label of each row, row of each entry, slot of each entry) of stored rows, about STORED_SLOTS slots at a time."""
     for batch in batches:
-        for at in range(0, batch.num_rows, STORED_ROWS):
-            part = batch.slice(at, STORED_ROWS)
+        ends, at = np.cumsum(np.asarray(batch.column(1).value_lengths(), np.int64)), 0
+        while at < batch.num_rows:
+            held = STORED_SLOTS + (ends[at - 1] if at else 0)
+            end = max(at + 1, int(np.searchsorted(ends, held, side="right")))
+            part, at = batch.slice(at, end - at), end
             size = np.asarray(part.column(1).value_lengths(), np.int64)
             total = np.cumsum(np.asarray(part.column(1).flatten(), np.int64))
             first = np.cumsum(size) - size
@@ -256,14 +260,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         rows = rows.filter(_drawn(fit_rows / met, "text"))
     scratch = Scratch(spark, "toxicity")
     sample = scratch.keep(rows.dropDuplicates().select("text", "toxic").mapInArrow(_slots, "toxic int, gaps array<int>"))
+    with textops.few_rows(spark, STORED_ROWS):
+        model = _fit_stored(sample)
+    scratch.drop_all_but()
+    return model
+
+
+def _fit_stored(sample: DataFrame) -> Model:
     size = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     pos, neg = size.get(1, 0), size.get(0, 0)
     if not pos or not neg:
-        scratch.drop_all_but()
         return Model(np.zeros(SLOTS), math.log((pos + 1) / (neg + 1)))
-    weights, bias = _logistic(sample, _ratios(sample, pos, neg), pos, pos + neg)
-    scratch.drop_all_but()
-    return Model(weights, bias)
+    return Model(*_logistic(sample, _ratios(sample, pos, neg), pos, pos + neg))
 
 
 def _ratios(sample: DataFrame, pos: int, neg: int) -> np.ndarray:
