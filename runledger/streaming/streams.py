@@ -11,8 +11,8 @@
 * T6 ``timeline_stream``: tumbling event-time windows with a watermark; weeks start on
   Monday (``startTime`` offset from the Thursday epoch).
 * T9 ``event_mix_stream``: running count per event type.
-* T3-T5, T7 ``run_state_stream``: a keyed state machine per run (``applyInPandasWithState``)
-  with the guarded transitions and a processing-time timeout that fails a running run whose
+* T3-T5, T7 ``run_state_stream``: a state machine per run (``applyInPandasWithState`` by buckets of
+  runs) with the guarded transitions and a processing-time timeout that fails a running run whose
   heartbeats stopped (T4) or expires a claim past its TTL (T5).
 * T8 ``etl_tick``: one scheduled tick - decide by backlog/age, then ingest the next batch.
 """
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -172,77 +173,106 @@ RUN_STATE_OUT = T.StructType([
     T.StructField("last_event_at", T.TimestampType()),
     T.StructField("reason", T.StringType()),
 ])
-RUN_STATE = T.StructType([
-    T.StructField("status", T.StringType()),
-    T.StructField("run_id", T.StringType()),
-    T.StructField("last_event_at", T.TimestampType()),
+# The runs of one bucket, an entry each; times in microseconds, ``ends`` when the run's status runs out.
+RUN_STATES = T.StructType([
+    T.StructField("run_name", T.ArrayType(T.StringType())),
+    T.StructField("status", T.ArrayType(T.StringType())),
+    T.StructField("run_id", T.ArrayType(T.StringType())),
+    T.StructField("last_event_at", T.ArrayType(T.LongType())),
+    T.StructField("ends", T.ArrayType(T.LongType())),
 ])
 TERMINAL = ("completed", "failed", "expired")
+NO_TIME = np.iinfo(np.int64).min          # a null time as numpy stores it
+RUN_BUCKETS = 2048                        # groups of runs that share a call of the state machine
+
+
+def _moved(status: str | None, run_id: str | None, event: str, event_run: str | None) -> tuple[str | None, str | None]:
+    """A run's status and id after an event (T7: the first end is final)."""
+    if event == "claim" and status is None:
+        return "claimed", run_id
+    if event == "submitted" and status == "claimed":
+        return "submitted", run_id
+    if event == "started" and status in ("claimed", "submitted"):
+        return "running", run_id or event_run
+    if event in ("completed", "failed") and status is not None:
+        return event, run_id
+    if event == "expire" and status == "claimed":
+        return "expired", run_id
+    return status, run_id
 
 
 def _run_state_fn(heartbeat_ms: int, claim_ttl_ms: int, timeouts: bool = True,
                   retention_ms: int = 24 * 3600 * 1000):
+    waits = {"running": heartbeat_ms, "claimed": claim_ttl_ms, **dict.fromkeys(TERMINAL, retention_ms)}
+
     def fn(key, pdfs, state):
-        (run_name,) = key
-        if state.hasTimedOut:
-            status, run_id, last = state.get
-            if status in TERMINAL:           # retention over: forget the finished run
-                state.remove()
-                return
-            if status == "running":
-                status, reason = "failed", "heartbeat timeout"
-            elif status == "claimed":
-                status, reason = "expired", "claim ttl"
-            else:                            # submitted runs may wait in the queue for long
-                return
-            state.update((status, run_id, last))
-            state.setTimeoutDuration(retention_ms)
-            yield pd.DataFrame([{"run_name": run_name, "status": status, "run_id": run_id,
-                                 "last_event_at": last, "reason": reason}])
-            return
-        status, run_id, last = state.get if state.exists else (None, None, None)
-        # rows of one key arrive in no particular order within a micro-batch
-        for ev, rid, ts in in_order(pdfs, ["event", "run_id", "utc_time"], ["seq"]):
-            ts = None if ts is None or ts != ts else pd.Timestamp(ts)
-            if ts is None:
-                ts = last
-            last = ts if last is None or ts is not None and ts > last else last
-            if status in TERMINAL:
-                continue                          # T7: late events never roll back
-            if ev == "claim" and status is None:
-                status = "claimed"
-            elif ev == "submitted" and status == "claimed":
-                status = "submitted"
-            elif ev == "started" and status in ("claimed", "submitted"):
-                status, run_id = "running", run_id or rid
-            elif ev in ("completed", "failed") and status is not None:
-                status = ev
-            elif ev == "expire" and status == "claimed":
-                status = "expired"
-        if status is None:                        # events of an unknown run: nothing to keep
-            return
-        state.update((status, run_id, last))
-        if timeouts:
-            # a finished run is kept for ``retention_ms`` so late events stay no-ops
-            wait = retention_ms if status in TERMINAL else {"running": heartbeat_ms, "claimed": claim_ttl_ms}.get(status)
-            if wait is not None:
-                state.setTimeoutDuration(wait)
-        yield pd.DataFrame([{"run_name": run_name, "status": status, "run_id": run_id,
-                             "last_event_at": last, "reason": None}])
+        runs = {k: rest for k, *rest in zip(*state.get)} if state.exists else {}
+        now = state.getCurrentProcessingTimeMs() if timeouts else 0
+        out = []
+
+        def ends(status):                     # a submitted run may wait in the queue for long
+            return now + waits[status] if timeouts and status in waits else None
+
+        # rows of a bucket arrive in no particular order within a micro-batch
+        touched = {}
+        if not state.hasTimedOut:
+            for run_name, ev, rid, at in in_order(_in_micros(pdfs), ["run_name", "event", "run_id", "utc_time"], ["seq"]):
+                if run_name not in touched:
+                    touched[run_name] = runs.get(run_name, (None, None, None))[:3]
+                status, run_id, last = touched[run_name]
+                if at != NO_TIME and (last is None or at > last):
+                    last = int(at)
+                if status not in TERMINAL:    # T7: late events never roll back
+                    status, run_id = _moved(status, run_id, ev, rid)
+                touched[run_name] = status, run_id, last
+            for run_name, (status, run_id, last) in touched.items():
+                if status is not None:        # else events of an unknown run: nothing to keep
+                    runs[run_name] = status, run_id, last, ends(status)
+                    out.append((run_name, status, run_id, last, None))
+        for run_name, (status, run_id, last, limit) in list(runs.items()):
+            if limit is None or limit > now or run_name in touched:
+                continue
+            if status in TERMINAL:            # retention over: forget the finished run
+                del runs[run_name]
+                continue
+            status, reason = ("failed", "heartbeat timeout") if status == "running" else ("expired", "claim ttl")
+            runs[run_name] = status, run_id, last, ends(status)
+            out.append((run_name, status, run_id, last, reason))
+        if runs:
+            state.update(tuple(map(list, zip(*((k, *rest) for k, rest in runs.items())))))
+            limits = [r[3] for r in runs.values() if r[3] is not None]
+            if limits:
+                state.setTimeoutDuration(max(1, min(limits) - now))
+        elif state.exists:
+            state.remove()
+        if out:
+            names, statuses, ids, times, reasons = zip(*out)
+            times = np.array([NO_TIME if t is None else t for t in times], "int64").view("datetime64[us]")
+            yield pd.DataFrame({"run_name": names, "status": statuses, "run_id": ids,
+                                "last_event_at": times.astype("datetime64[ns]"), "reason": reasons})
     return fn
 
 
+def _in_micros(frames):
+    """Frames with ``utc_time`` as whole microseconds (NO_TIME: null)."""
+    for frame in frames:
+        yield frame.assign(utc_time=frame["utc_time"].to_numpy().astype("datetime64[us]").astype("int64"))
+
+
 def run_state_stream(events: DataFrame, heartbeat_minutes: float = 15,
-                     claim_ttl_minutes: float = 5, timeouts: bool = True) -> DataFrame:
+                     claim_ttl_minutes: float = 5, timeouts: bool = True, buckets: int = RUN_BUCKETS) -> DataFrame:
     """Per-run guarded state with processing-time timeouts (receipt time is what
     the heartbeat rule measures). Output: the run's state after each micro-batch.
 
-    ``timeouts=False`` replays a log deterministically (no wall-clock transitions)."""
+    The machine is called once for each bucket of runs (a hash of the name) that a micro-batch
+    touches, as a call costs far more than a run's events; every run has its own state and time
+    limit within it. ``timeouts=False`` replays a log deterministically (no wall-clock transitions)."""
     fn = _run_state_fn(int(heartbeat_minutes * 60_000), int(claim_ttl_minutes * 60_000), timeouts)
     mode = GroupStateTimeout.ProcessingTimeTimeout if timeouts else GroupStateTimeout.NoTimeout
-    return (events.select("run_name", "seq", "event", "run_id", F.col("utc_time").cast("timestamp"))
-            .groupBy("run_name")
-            .applyInPandasWithState(fn, RUN_STATE_OUT, RUN_STATE, "update", mode))
+    return (events.select("run_name", "seq", "event", "run_id", F.col("utc_time").cast("timestamp"),
+                          F.pmod(F.xxhash64("run_name"), F.lit(buckets)).alias("bucket"))
+            .groupBy("bucket")
+            .applyInPandasWithState(fn, RUN_STATE_OUT, RUN_STATES, "update", mode))
 
 
 def etl_tick(spark: SparkSession, jobs: DataFrame, watermark: DataFrame, base: str, lake_base: str,

@@ -65,3 +65,47 @@ def test_weekly_window_starts_monday(spark):
                    F.count_if(F.col("status") == "FAILED").alias("failed")).collect()}
     assert got == want
     assert all(b.weekday() == 0 for b in got)
+
+
+class _State:
+    """A group state as the run machine sees it, its clock set by the test."""
+    exists, hasTimedOut, value, wait, now = False, False, None, None, 0
+
+    @property
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.exists, self.value = True, value
+
+    def remove(self):
+        self.exists, self.value = False, None
+
+    def setTimeoutDuration(self, ms):
+        self.wait = ms
+
+    def getCurrentProcessingTimeMs(self):
+        return self.now
+
+
+def test_runs_of_a_bucket_keep_their_own_state_and_limits():
+    import pandas as pd
+    fn, state = S._run_state_fn(1000, 400, True, 5000), _State()
+
+    def call(now, rows=(), timed_out=False):
+        state.now, state.hasTimedOut, state.wait = now, timed_out, None
+        pdf = pd.DataFrame(list(rows), columns=["run_name", "seq", "event", "run_id", "utc_time"])
+        pdf["utc_time"] = pd.to_datetime(pdf["utc_time"])
+        return {r.run_name: (r.status, r.reason) for out in fn((0,), iter([pdf] if rows else []), state) for r in out.itertuples()}
+
+    got = call(0, [("b", 3, "started", "u", T0), ("a", 1, "claim", None, T0), ("b", 2, "claim", None, None),
+                   (None, 4, "claim", None, None), ("x", 5, "started", None, T0)])
+    assert got == {"a": ("claimed", None), "b": ("running", None), None: ("claimed", None)} and state.wait == 400
+    # the claims ran out while b has new events; b's own limit moved
+    assert call(500, [("b", 6, "heartbeat", None, T0)]) == {"b": ("running", None), "a": ("expired", "claim ttl"), None: ("expired", "claim ttl")}
+    assert state.wait == 1000
+    assert call(1500, timed_out=True) == {"b": ("failed", "heartbeat timeout")} and state.wait == 4000
+    assert call(1600, [("a", 7, "started", "late", T0)]) == {"a": ("expired", None)}
+    assert call(5500, timed_out=True) == {} and sorted(state.value[0], key=str) == ["a", "b"]
+    call(6600, timed_out=True)
+    assert not state.exists
