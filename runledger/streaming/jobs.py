@@ -2,25 +2,28 @@
 
 Two keyed state machines (``transformWithStateInPandas``, RocksDB state) in one stream:
 
-* **Runs** (key ``run_name``): a value state holds the run's status and last signal, a map
-  state the jobs claimed into the run. An event of a run becomes one step for each of its jobs
-  that it can concern; events before the run's first claim find no run, and a submit or an
-  expiry counts only while the run is merely claimed. Timers fail a running run whose signals
+* **Runs**: a run has its status and last signal and the jobs claimed into it. An event of a run
+  becomes one step for each of its jobs that it can concern; events before the run's first claim
+  find no run, and a submit or an expiry counts only while the run is merely claimed. Timers fail a running run whose signals
   stopped (T4) and expire a claim past its time (T5).
-* **Jobs** (key sample, workflow, version): a value state holds one job - status, retries, run,
-  completion - and each step applies the same guarded update as the batch fold
-  (``lifecycle.fold_jobs``), so both give the same rows. A job's retries survive its runs.
+* **Jobs** (sample, workflow, version): a job has its status, retries, run and completion, and each
+  step applies the same guarded update as the batch fold (``lifecycle.fold_jobs``), so both give the same rows. A job's retries survive its runs.
+
+A machine is called once for each bucket of runs or jobs (a hash of the key) that a micro-batch
+touches, as a call and its state requests cost far more than a key's rows; the bucket's value state
+holds an entry for each of its keys.
 
 Output is one row per job that a micro-batch touched; the last one of a job is its state, and
 those with ``dead_letter`` are its dead letters.
 
-Rows of a key come in no order within a micro-batch; both machines put them in order of
+Rows of a bucket come in no order within a micro-batch; both machines put them in order of
 ``seq``. Micro-batches must follow the order of arrival (the landed log does). What a timer
 does comes after the rows of its micro-batch. Clocks: ``none`` replays a log without timers,
 ``event`` reads the watermark (a replay gives the same timeouts), ``receipt`` the wall clock.
 """
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,7 +50,7 @@ _JOB_COLUMNS = [c.split()[0] for c in JOBS.split(", ")]
 
 
 def in_order(frames: Iterator[pd.DataFrame], columns: list[str], by: list[str]) -> Iterator[tuple]:
-    """The rows of one key of a micro-batch by ``by``. Columns are gathered as arrays, in which
+    """The rows of one group of a micro-batch by ``by``. Columns are gathered as arrays, in which
     strings that repeat are shared."""
     parts: dict[str, list[np.ndarray]] = {c: [] for c in dict.fromkeys([*columns, *by])}
     for frame in frames:
@@ -78,8 +81,63 @@ def _moved(status: str, event: str) -> str:
     return status
 
 
+BUCKET = "entries string"  # the keys of one bucket with their states: columns as JSON (a value state holds no arrays)
+BUCKETS = 1024            # groups of runs, and of jobs, that share a call of their machine
+FRAME_ROWS = 10_000
+
+
+def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
+    """Rows as columns of objects: whole numbers beside nulls stay whole."""
+    return pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in zip(columns, zip(*rows))})
+
+
+def _load(state) -> list[list]:
+    """The columns of a bucket's entries; none, if it has none yet."""
+    stored = state.get()
+    return json.loads(stored[0]) if stored else []
+
+
+def _save(state, rows: list[tuple]) -> None:
+    state.update((json.dumps([*zip(*rows)]),))
+
+
+class _Run:
+    """One run: its status, last signal, last row, time limit and the jobs claimed into it, by sample."""
+    __slots__ = ("status", "signal", "last_seq", "ends", "jobs")
+
+    def __init__(self, status=None, signal=0, last_seq=0, ends=None):
+        self.status, self.signal, self.last_seq, self.ends, self.jobs = status, signal, last_seq, ends, {}
+
+    def claimed(self) -> list[tuple]:
+        return [job for jobs in self.jobs.values() for job in jobs]
+
+    def step(self, seq: int, event: str, sample, workflow, version, at) -> list[tuple]:
+        """The jobs that an event concerns."""
+        if event != "claim" and self.status is None:
+            return []                                  # no such run yet
+        self.last_seq = max(self.last_seq, seq)
+        if event == "claim":
+            job = (sample, workflow, version)
+            self.status = self.status or "claimed"
+            mine = self.jobs.setdefault(sample, [])
+            if job not in mine:
+                mine.append(job)
+            hit = [job]
+        elif event == "sentinel":
+            hit = list(self.jobs.get(sample, ()))
+        elif event in CONTROL:
+            # a submit or an expiry counts only as the run's first event
+            hit = [] if event in ("submitted", "expire") and self.status != "claimed" else self.claimed()
+            self.status = _moved(self.status, event)
+        else:
+            hit = []                                   # a heartbeat only renews the signal
+        if at is not None and at == at:
+            self.signal = max(self.signal, int(at.value // 1_000_000))
+        return hit
+
+
 class RunSteps(StatefulProcessor):
-    """Events of a run -> steps of its jobs."""
+    """Events of the runs of a bucket -> steps of their jobs."""
 
     def __init__(self, clock: str, heartbeat_ms: int, ttl_ms: int, retention_ms: int):
         self.clock, self.waits = clock, {"running": heartbeat_ms, "claimed": ttl_ms}
@@ -87,136 +145,142 @@ class RunSteps(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.run = handle.getValueState("run", "status string, last_signal long, last_seq long")
-        self.jobs = handle.getMapState("jobs", "sample_id string, workflow_id string, workflow_version string", "seq long")
+        self.runs = handle.getValueState("runs", BUCKET)
+
+    def _load(self) -> dict[str, _Run]:
+        runs = {}
+        for name, status, signal, last_seq, ends, jobs in zip(*_load(self.runs)):
+            run = runs[name] = _Run(status, signal, last_seq, ends)
+            for job in jobs:
+                run.jobs.setdefault(job[0], []).append(tuple(job))
+        return runs
+
+    def _save(self, runs: dict[str, _Run]) -> None:
+        if not runs:
+            self.runs.clear()
+            return
+        _save(self.runs, [(n, r.status, r.signal, r.last_seq, r.ends, r.claimed()) for n, r in runs.items()])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        (run_name,) = key
-        status, signal, last_seq = self.run.get() if self.run.exists() else (None, 0, 0)
-        known: dict[str, list[tuple]] | None = None
-        new, steps = {}, []
-        for seq, event, sample, workflow, version, at in in_order(
-                rows, ["seq", "event", *JOB_KEYS, "utc_time"], ["seq"]):
+        runs = self._load()
+        touched, steps = {}, []
+        for run_name, seq, event, sample, workflow, version, at in in_order(
+                rows, ["run_name", "seq", "event", *JOB_KEYS, "utc_time"], ["seq"]):
             seq, at = int(seq), None if at is None else pd.Timestamp(at)
-            if event != "claim" and status is None:
-                continue                               # no such run yet
-            if known is None:
-                known = {}
-                for job in self.jobs.keys():
-                    known.setdefault(job[0], []).append(tuple(job))
-            last_seq = max(last_seq, seq)
-            if event == "claim":
-                job = (sample, workflow, version)
-                status = status or "claimed"
-                if job not in known.get(sample, ()):
-                    known.setdefault(sample, []).append(job)
-                    new[job] = seq
-                hit = [job]
-            elif event == "sentinel":
-                hit = known.get(sample, [])
-            elif event in CONTROL:
-                if event in ("submitted", "expire") and status != "claimed":
-                    hit = []                           # not the run's first event
-                else:
-                    hit = [job for jobs in known.values() for job in jobs]
-                status = _moved(status, event)
-            else:
-                hit = []                               # a heartbeat only renews the signal
-            if at is not None and at == at:
-                signal = max(signal, int(at.value // 1_000_000))
-            steps.extend((*job, seq, event, run_name, False, at) for job in hit)
-            if len(steps) >= 10_000:
-                yield pd.DataFrame(steps, columns=_STEP_COLUMNS)
+            run = touched[run_name] = runs.get(run_name) or touched.get(run_name) or _Run()
+            steps.extend((*job, seq, event, run_name, False, at)
+                         for job in run.step(seq, event, sample, workflow, version, at))
+            if len(steps) >= FRAME_ROWS:
+                yield _frame(steps, _STEP_COLUMNS)
                 steps = []
-        for job, seq in new.items():
-            self.jobs.updateValue(job, (seq,))
-        if status is not None:
+        known = {n: r for n, r in touched.items() if r.status is not None}
+        runs.update(known)
+        if known:
             if self.clock == "receipt":
-                signal = timerValues.getCurrentProcessingTimeInMs()
-            self.run.update((status, signal, last_seq))
-            self._arm(status, signal, timerValues)
+                now = timerValues.getCurrentProcessingTimeInMs()
+                for run in known.values():
+                    run.signal = now
+            self._arm(runs, known)
+            self._save(runs)
         if steps:
-            yield pd.DataFrame(steps, columns=_STEP_COLUMNS)
+            yield _frame(steps, _STEP_COLUMNS)
 
-    def _arm(self, status: str, signal: int, timerValues) -> None:
-        """One timer, at the time when this status runs out. Finished runs are kept for a while,
-        so that late events find them."""
+    def _arm(self, runs: dict[str, _Run], touched: dict[str, _Run]) -> None:
+        """A timer at each time when the status of a touched run runs out; runs of the bucket share it. Finished
+        runs are kept for a while, so that late events find them."""
         if self.clock == "none":
             return
-        for old in list(self.handle.listTimers()):
+        before = {r.ends for r in touched.values()} - {None}
+        for run in touched.values():
+            wait = self.waits.get(run.status, self.retention_ms if run.status in ENDED else None)
+            run.ends = None if wait is None else run.signal + wait
+        for old in before - {r.ends for r in runs.values()}:
             self.handle.deleteTimer(old)
-        wait = self.waits.get(status, self.retention_ms if status in ENDED else None)
-        if wait is not None:
-            self.handle.registerTimer(signal + wait)
+        for new in {r.ends for r in touched.values()} - before - {None}:
+            self.handle.registerTimer(new)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        (run_name,) = key
-        status, signal, last_seq = self.run.get()
-        if status not in self.waits:
-            self.run.clear()
-            self.jobs.clear()
-            return
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        event, ended = ("failed", "failed") if status == "running" else ("expire", "expired")
-        jobs = [tuple(job) for job in self.jobs.keys()]
-        self.run.update((ended, at, last_seq))
-        self.handle.registerTimer(at + self.retention_ms)
-        for start in range(0, len(jobs), 10_000):
-            yield pd.DataFrame([(*job, last_seq, event, run_name, True, pd.Timestamp(at, unit="ms"))
-                                for job in jobs[start:start + 10_000]], columns=_STEP_COLUMNS)
+        time, runs, steps = expiredTimerInfo.getExpiryTimeInMs(), self._load(), []
+        due = [n for n, r in runs.items() if r.ends is not None and r.ends <= time]
+        for run_name in due:
+            run = runs[run_name]
+            if run.status not in self.waits:
+                del runs[run_name]                     # retention over
+                continue
+            at = run.ends
+            event, run.status = ("failed", "failed") if run.status == "running" else ("expire", "expired")
+            run.ends = at + self.retention_ms
+            self.handle.registerTimer(run.ends)
+            steps.extend((*job, run.last_seq, event, run_name, True, pd.Timestamp(at, unit="ms")) for job in run.claimed())
+        if due:
+            self._save(runs)
+        for start in range(0, len(steps), FRAME_ROWS):
+            yield _frame(steps[start:start + FRAME_ROWS], _STEP_COLUMNS)
 
     def close(self) -> None:
         pass
 
 
 class JobFold(StatefulProcessor):
-    """Steps of a job -> its state."""
+    """Steps of the jobs of a bucket -> their states."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.job = handle.getValueState(
-            "job", "status string, retry_count long, run_name string, dead boolean, completed_seq long")
+        self.jobs = handle.getValueState("jobs", BUCKET)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        state = None
-        for timer, seq, event, run, budget in in_order(
-                rows, ["timer", "seq", "event", "run_name", "max_retries"], ["timer", "seq"]):
+        known = {tuple(entry[:3]): entry[3:] for entry in zip(*_load(self.jobs))}
+        touched: dict[tuple, _JobState] = {}
+        for *job, timer, seq, event, run, budget in in_order(
+                rows, [*JOB_KEYS, "timer", "seq", "event", "run_name", "max_retries"], ["timer", "seq"]):
+            job = tuple(job)
+            state = touched.get(job)
             if state is None:
-                state = _JobState(None if _missing(budget) else budget)
-                if self.job.exists():
-                    state.status, state.retries, state.run, state.dead, state.done_seq = self.job.get()
+                state = touched[job] = _JobState(None if _missing(budget) else budget)
+                if job in known:
+                    state.status, state.retries, state.run, state.dead, state.done_seq = known[job]
             state.apply(int(seq), event, run)
-        if state is not None:
-            self.job.update((state.status, state.retries, state.run, state.dead, state.done_seq))
-            yield pd.DataFrame([state.row(key)], columns=_JOB_COLUMNS)
+        known.update((job, (s.status, s.retries, s.run, s.dead, s.done_seq)) for job, s in touched.items())
+        if known:
+            _save(self.jobs, [(*job, *rest) for job, rest in known.items()])
+        out = [state.row(job) for job, state in touched.items()]
+        for start in range(0, len(out), FRAME_ROWS):
+            yield _frame(out[start:start + FRAME_ROWS], _JOB_COLUMNS)
 
     def close(self) -> None:
         pass
 
 
+def _bucket(buckets: int, *columns: str):
+    return F.pmod(F.xxhash64(*columns), F.lit(buckets)).alias("bucket")
+
+
 def run_steps(events: DataFrame, clock: str = "none", heartbeat_minutes: float = HEARTBEAT_MINUTES,
               claim_ttl_minutes: float = CLAIM_TTL_MINUTES, retention_minutes: float = RETENTION_MINUTES,
-              late: str = "0 seconds") -> DataFrame:
+              late: str = "0 seconds", buckets: int = BUCKETS) -> DataFrame:
     """The first machine: a stream of lifecycle events (``lifecycle.lifecycle_log``) -> steps of jobs."""
-    rows = events.select("run_name", "seq", "event", *JOB_KEYS, F.col("utc_time").cast("timestamp").alias("utc_time"))
+    rows = events.select("run_name", "seq", "event", *JOB_KEYS, F.col("utc_time").cast("timestamp").alias("utc_time"),
+                         _bucket(buckets, "run_name"))
     if clock == "event":
         rows = rows.withWatermark("utc_time", late)
     machine = RunSteps(clock, *(int(m * 60_000) for m in (heartbeat_minutes, claim_ttl_minutes, retention_minutes)))
-    return rows.groupBy("run_name").transformWithStateInPandas(machine, STEPS, "append", CLOCKS[clock])
+    return rows.groupBy("bucket").transformWithStateInPandas(machine, STEPS, "append", CLOCKS[clock])
 
 
-def fold_steps(steps: DataFrame, workflows: DataFrame) -> DataFrame:
+def fold_steps(steps: DataFrame, workflows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """The second machine: a stream of steps -> job rows. ``workflows`` is static, for the retry
     budgets."""
     budgets = workflows.select("workflow_id", F.col("version").alias("workflow_version"), "max_retries")
     return (steps.join(budgets, ["workflow_id", "workflow_version"], "left")
-            .select(*JOB_KEYS, "seq", "event", "run_name", "timer", "max_retries").groupBy(*JOB_KEYS)
+            .select(*JOB_KEYS, "seq", "event", "run_name", "timer", "max_retries", _bucket(buckets, *JOB_KEYS))
+            .groupBy("bucket")
             .transformWithStateInPandas(JobFold(), JOBS, "append", "None"))
 
 
-def job_stream(events: DataFrame, workflows: DataFrame, **clock) -> DataFrame:
-    """Lifecycle events -> job rows, both machines in one stream. See ``run_steps`` for ``clock``."""
+def job_stream(events: DataFrame, workflows: DataFrame, buckets: int = BUCKETS, **clock) -> DataFrame:
+    """Lifecycle events -> job rows, both machines in one stream. See ``run_steps`` for ``clock``. The number of
+    ``buckets`` is part of a checkpoint: it must stay as it was when the stream began."""
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    return fold_steps(run_steps(events, **clock), workflows)
+    return fold_steps(run_steps(events, buckets=buckets, **clock), workflows, buckets)
 
 
 def current_jobs(spark: SparkSession, out: str) -> DataFrame:
