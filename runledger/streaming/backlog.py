@@ -34,12 +34,13 @@ def completions(spark: SparkSession, backlog: str) -> DataFrame:
 
 
 def tick(spark: SparkSession, landing: str, state: str, base: str, lake_base: str, workflow: str, version: str,
-         as_of: dt.datetime, labels: DataFrame | None = None, specs=None, **rule) -> dict:
+         as_of: dt.datetime, labels: DataFrame | None = None, specs=None, wave: int = E.WAVE, stage=None, **rule) -> dict:
     """One tick: take in the completion records that landed since the last one, then ingest the
     next batch if the rule (``etl.tick_decision``) says so.
 
     ``landing``: folder of Parquet records; ``state``: folder of the stream's checkpoint and the
-    backlog. Returns the decision row and, after an ingest, its ``etl.ingest`` result."""
+    backlog. ``wave`` and ``stage`` are those of ``etl.ingest_waves``. Returns the decision row and, after an
+    ingest, its result."""
     def take_in(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{state}/backlog/batch_id={batch_id}")
 
@@ -52,6 +53,10 @@ def tick(spark: SparkSession, landing: str, state: str, base: str, lake_base: st
     decision = E.tick_decision(E.backlog(jobs, done, workflow, version, as_of), **rule).first()
     out = {"decision": decision}
     if decision["ingest"]:
-        keys = E.pending_queue(jobs, done, workflow, version, decision["batch_size"]).select(*E.KEYS)
-        out |= E.ingest(spark, keys, base, lake_base, workflow, version, labels, as_of, specs=specs)
+        if decision["batch_size"] < decision["backlog"]:
+            keys = E.pending_queue(jobs, done, workflow, version, decision["batch_size"])
+        else:                                         # all of it: no order needed
+            keys = E.not_ingested(jobs, done, workflow, version)
+        out |= E.ingest_waves(spark, keys.select(*E.KEYS), base, lake_base, workflow, version, labels, as_of, specs=specs,
+                              wave=wave, stage=stage)
     return out
