@@ -9,8 +9,9 @@ Every n-gram slot met in training is a feature (2^20 slots, none left out).
 Fitting uses a bounded sample: about ``FIT_ROWS`` labelled training rows chosen by a hash of
 their id (all of them, if fewer), equal rows once. Counts per slot are summed over the sample on
 the executors. The sample's slots are stored; every step of the regression reads them, a task
-hands over one partial gradient, and the driver sees vectors of 2^20 numbers, whatever the
-sample's texts hold. Scoring reads every whole text of all documents in one pass without a
+hands over one partial gradient, and the driver sees vectors of a number for each slot whose value
+is not 0 (the weights of the others are 0 at every step), 2^20 at most, whatever the sample's texts
+hold. Scoring reads every whole text of all documents in one pass without a
 shuffle, with one broadcast weight per slot (4 MB).
 
 Defined results: a null or empty text has no n-grams and gets the score of the intercept;
@@ -139,9 +140,8 @@ def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
 
 
 def _blocks(vectors: np.ndarray, *numbers: float) -> Iterator[pa.RecordBatch]:
-    """The task's vectors over the slots in BLOCKS pieces, then its numbers."""
-    width = SLOTS // BLOCKS
-    parts = [vectors[:, k * width:(k + 1) * width] for k in range(BLOCKS)]
+    """The task's vectors in BLOCKS pieces, then its numbers."""
+    parts = np.array_split(vectors, BLOCKS, axis=1)
     for k, part in enumerate([*parts, np.array(numbers)] if numbers else parts):
         yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.astype(np.float32).tobytes()], pa.binary())],
                                          names=["k", "sums"])
@@ -157,15 +157,16 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([v.tobytes()], pa.binary())], names=["k", "sums"])
 
 
-def _sum_slots(rows: DataFrame, task, vectors: int) -> tuple[np.ndarray, np.ndarray]:
-    """The tasks' vectors and numbers, added up piece by piece on the executors."""
-    out, numbers, width = np.zeros((vectors, SLOTS)), np.zeros(0), SLOTS // BLOCKS
+def _sum_slots(rows: DataFrame, task, vectors: int, width: int = SLOTS) -> tuple[np.ndarray, np.ndarray]:
+    """The tasks' vectors of some width and numbers, added up piece by piece on the executors."""
+    out, numbers = np.zeros((vectors, width)), np.zeros(0)
+    pieces = np.array_split(out, BLOCKS, axis=1)
     for k, raw in (rows.coalesce(TASKS).mapInArrow(task, "k int, sums binary").repartition(BLOCKS, "k")
                    .mapInArrow(_add, "k int, sums binary").collect()):
         if k == BLOCKS:
             numbers = np.frombuffer(raw, np.float64)
         else:
-            out[:, k * width:(k + 1) * width] = np.frombuffer(raw, np.float64).reshape(vectors, width)
+            pieces[k][:] = np.frombuffer(raw, np.float64).reshape(pieces[k].shape)
     return out, numbers
 
 
@@ -179,10 +180,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _blocks(total)
 
 
-def _residuals(model_value):
-    """Task function: the slots' sums of residuals; the loss and the sum of all residuals."""
+def _residuals(used_value, model_value):
+    """Task function: the used slots' sums of residuals; the loss and the sum of all residuals."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bias = model_value.value
+        used, (of_used, bias) = used_value.value, model_value.value
+        weights = np.zeros(SLOTS)
+        weights[used] = of_used
         total, loss, every = np.zeros((1, SLOTS)), 0.0, 0.0
         for toxic, row, slot in _stored(batches):
             z = np.bincount(row, weights[slot], minlength=len(toxic)) + bias
@@ -190,7 +193,7 @@ def _residuals(model_value):
             total[0] += np.bincount(slot, off[row], minlength=SLOTS)
             loss += float(np.logaddexp(0, np.where(toxic == 1, -z, z)).sum())
             every += float(off.sum())
-        yield from _blocks(total, loss, every)
+        yield from _blocks(total[:, used], loss, every)
     return run
 
 
@@ -211,14 +214,20 @@ def _direction(slope: np.ndarray, steps: list[tuple[np.ndarray, np.ndarray]]) ->
 
 
 def _logistic(rows: DataFrame, ratios: np.ndarray, positive: int, n: int) -> tuple[np.ndarray, float]:
-    """L2-regularised logistic regression on presence times ratio. Weights per slot, intercept."""
+    """L2-regularised logistic regression on presence times ratio. Weights per slot, intercept.
+
+    A slot of ratio 0 keeps the coefficient 0, so the steps hold the others alone."""
+    context = rows.sparkSession.sparkContext
+    used = np.flatnonzero(ratios).astype(np.int32)
+    ratios, places = ratios[used], context.broadcast(used)
+
     def look(at: np.ndarray) -> tuple[float, np.ndarray]:
-        shared = rows.sparkSession.sparkContext.broadcast((at[:-1] * ratios, at[-1]))
-        (total,), (loss, every) = _sum_slots(rows, _residuals(shared), 1)
+        shared = context.broadcast((at[:-1] * ratios, at[-1]))
+        (total,), (loss, every) = _sum_slots(rows, _residuals(places, shared), 1, len(used))
         shared.destroy()                 # unpersist would leave its blocks on the driver, 8 MB a step
         return loss / n + L2 / 2 * float(at[:-1] @ at[:-1]), np.append(ratios * total / n + L2 * at[:-1], every / n)
 
-    at = np.zeros(SLOTS + 1)
+    at = np.zeros(len(used) + 1)
     at[-1] = math.log((positive + 1) / (n - positive + 1))
     loss, slope = look(at)
     steps, length, turn = [], 1.0, _direction(slope, [])
@@ -233,7 +242,10 @@ def _logistic(rows: DataFrame, ratios: np.ndarray, positive: int, n: int) -> tup
             steps = [*steps, (move, change)][-MEMORY:]
         at, loss, slope, length = new, new_loss, new_slope, 1.0
         turn = _direction(slope, steps)
-    return at[:-1] * ratios, float(at[-1])
+    places.destroy()
+    weights = np.zeros(SLOTS)
+    weights[used] = at[:-1] * ratios
+    return weights, float(at[-1])
 
 
 class Model:

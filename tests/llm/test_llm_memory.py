@@ -52,3 +52,20 @@ def test_bags_are_stored_by_chunks_of_texts():
     (least,) = mixing._least(iter(stored))
     bags = [(np.flatnonzero(c).tolist(), c[c > 0].tolist()) for c in counts[words > 0]]
     assert (least.column(0)[0].as_py(), least.column(1)[0].as_py()) == min(bags)
+
+
+def test_steps_hold_only_the_slots_with_a_value(spark, monkeypatch):
+    """pipeline: the driver's vectors are as wide as the slots whose ratio is not 0, and the weights are those of all slots."""
+    rows = spark.createDataFrame([(k % 2, [k % 7, 3, 90 + k % 2 * 5]) for k in range(40)], "toxic int, gaps array<int>")
+    ratios = toxicity._ratios(rows, 20, 20)
+    used, widths, whole = np.flatnonzero(ratios), [], toxicity._sum_slots
+
+    def watched(*a):
+        out, numbers = whole(*a)
+        widths.append(out.shape)
+        return out, numbers
+    monkeypatch.setattr(toxicity, "_sum_slots", watched)
+    weights, _ = toxicity._logistic(rows, ratios, 20, 40)
+    assert 0 < len(used) < 40 and set(widths) == {(1, len(used))} and len(widths) == toxicity.STEPS
+    assert weights.shape == (toxicity.SLOTS,) and set(np.flatnonzero(weights)) <= set(used) and weights.any()
+    assert not toxicity._logistic(rows, np.zeros(toxicity.SLOTS), 20, 40)[0].any()
