@@ -15,6 +15,8 @@ directory.
 """
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -85,20 +87,29 @@ def align(rows: DataFrame, table: str) -> DataFrame:
     return rows.select(*cols, *(["ingest_id"] if "ingest_id" in rows.columns else []))
 
 
-def write_tables(tables: dict[str, DataFrame], base: str, ingest_id: str,
-                 rows_per_file: int = 2_000_000) -> dict[str, int]:
+def write_tables(tables: dict[str, DataFrame], base: str, ingest_id: str, rows_per_file: int = 2_000_000,
+                 parsers: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> dict[str, int]:
     """K2 data half: append each table's rows for this ingest, clustered by sample. Returns the
-    rows of each table, observed by the write itself (A29)."""
+    rows of each table, observed by the write itself (A29).
+
+    A table named in ``parsers`` is given as its files (the table's partition columns,
+    ``sample_id`` and what the parser reads, whose rows keep these columns): the files are
+    clustered and then parsed by the tasks that write, so that texts are moved, not parsed rows,
+    and a file is parsed once, not for the bounds of the ranges, too."""
     written = {}
     for name, rows in tables.items():
         seen = Observation(f"rows-{name}")
         parts = partition_cols(name)
+        parse = (parsers or {}).get(name)
         # range-partition on (partition columns, sample): a hot workflow/version directory is
         # split over many tasks while each file stays clustered by sample
-        df = (align(rows, name).withColumn("ingest_id", F.lit(ingest_id))
-              .repartitionByRange(*parts, "sample_id").sortWithinPartitions(*parts, "sample_id")
+        if parse is None:
+            df = align(rows, name).repartitionByRange(*parts, "sample_id")
+        else:
+            df = align(parse(rows.repartitionByRange(*parts, "sample_id")), name)
+        df = (df.withColumn("ingest_id", F.lit(ingest_id)).sortWithinPartitions(*parts, "sample_id")
               .observe(seen, F.count(F.lit(1)).alias("n")))
-        (df.write.mode("append").option("maxRecordsPerFile", rows_per_file)
+        (df.write.mode("append").option("maxRecordsPerFile", rows_per_file).option("compression", "zstd")
          .partitionBy(*parts).parquet(f"{base.rstrip('/')}/{name}"))
         written[name] = seen.get["n"]
     return written
@@ -149,11 +160,12 @@ def live(rows: DataFrame, history: DataFrame) -> DataFrame:
 
     Rows of an ingest that never reached the watermark are left out by its id; of the others
     only the superseded (key, ingest) pairs are, which stay few, so a scan does not meet the
-    whole watermark."""
+    whole watermark. The ids are one for each ingest, so they are broadcast: a shuffle by them
+    would bring all rows of an ingest into one task."""
     w = Window.partitionBy(*KEY).orderBy(F.desc("ingested_at"), F.desc("ingest_id"))
     superseded = (history.withColumn("_rn", F.row_number().over(w)).filter("_rn > 1")
                   .select(*KEY, "ingest_id"))
-    return (rows.join(history.select("ingest_id").distinct(), "ingest_id", "left_semi")
+    return (rows.join(F.broadcast(history.select("ingest_id").distinct()), "ingest_id", "left_semi")
             .join(superseded, KEY + ["ingest_id"], "left_anti").select(*rows.columns))
 
 

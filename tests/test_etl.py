@@ -137,6 +137,46 @@ def test_empty_lake_and_version_strings(spark):
     assert {r["version"] for r in lake.scan_lake(spark, lk, "marker_presence").collect()} == {"2.1", "2.10"}
 
 
+def test_files_are_clustered_before_they_are_parsed(spark):
+    """A table given by its files holds the parser's rows; each file is parsed once, by the write."""
+    cols = "sample_id string, workflow string, version string, data_type string, text string"
+    texts = [(f"s{i:02d}", "w", v, b, f"#c\nk__A|s__{i}\t2|{i}\t{i}.5\t-\t{i}.0\njunk\nk__B\t2\t1.25")
+             for i in range(40) for v in ("1", "2") for b in ("full_data", "rarefied_data")]
+    files = spark.createDataFrame(texts + [("empty", "w", "1", "full_data", None), (None, "w", "1", "full_data", "k__C\t3\t1")], cols).repartition(6)
+    table, calls = "taxonomic_profile_metaphlan", spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            calls.add(b.num_rows)
+            yield b
+    plain, filed = tempfile.mkdtemp(prefix="rl-lake-"), tempfile.mkdtemp(prefix="rl-lake-")
+    assert lake.write_tables({table: O.parse_metaphlan(files)}, plain, "i1") == {table: 321}
+    n = lake.write_tables({table: files}, filed, "i1",
+                          parsers={table: lambda f: O.parse_metaphlan(f.mapInArrow(seen, f.schema))})
+    assert n == {table: 321} and calls.value == 162
+    a, b = (lake._stored(spark, at, table) for at in (plain, filed))
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0 and b.count() == 321
+    per_file = b.groupBy(F.input_file_name().alias("f")).agg(F.min("sample_id").alias("lo"), F.max("sample_id").alias("hi"),
+                                                             F.first("version").alias("v"), F.first("data_type").alias("t")).collect()
+    for x in per_file:                                   # the files of a directory hold ranges of samples
+        assert not any(y["lo"] < x["lo"] < y["hi"] for y in per_file if (x["v"], x["t"]) == (y["v"], y["t"]) and x["lo"] and y["lo"])
+
+
+def test_ingest_ids_do_not_shuffle_the_rows(spark):
+    rows = spark.createDataFrame([("a", "w", "1", "i1"), ("a", "w", "1", "i2"), ("b", "w", "1", "i1"), ("c", "w", "1", "i3")],
+                                 "sample_id string, workflow string, version string, ingest_id string")
+    history = (rows.filter("ingest_id <> 'i3'").withColumn("ingested_at", F.expr("if(ingest_id = 'i1', TIMESTAMP_NTZ '2026-01-01', TIMESTAMP_NTZ '2026-01-02')")))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        live = lake.live(rows, history)
+        plan = live._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin [ingest_id" in plan
+        assert sorted((r["sample_id"], r["ingest_id"]) for r in live.collect()) == [("a", "i2"), ("b", "i1")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_paths_never_list(spark):
     keys = spark.createDataFrame([("s1", "wf", "v")], "sample_id string, workflow_id string, workflow_version string")
     paths = {r["path"] for r in O.output_paths(keys, "/base", O.specs_for("cmgd_nextflow", "2.2.1")).collect()}
